@@ -546,8 +546,8 @@ _GAP_US = int(GAP_SECONDS * 1_000_000)
 _THROTTLE_CTES = [
     ("wf", _WATCH_FILTER_SQL),
     ("ev", "SELECT *, t_us AS t FROM wf"),
-    ("nx", f"""SELECT a.event_id, b.event_id AS nid FROM ev a ASOF LEFT JOIN ev b
-               ON a.root = b.root AND b.t >= a.t + {_GAP_US}"""),
+    ("nx", f"""SELECT a.event_id, (SELECT arg_min(b.event_id, b.t) FROM ev b
+               WHERE b.root = a.root AND b.t >= a.t + {_GAP_US}) AS nid FROM ev a"""),
     ("chain", """SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY root ORDER BY t, event_id) AS rn
                  FROM ev) WHERE rn = 1
                UNION ALL
