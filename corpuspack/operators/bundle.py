@@ -144,3 +144,20 @@ def written_stats(spark, out_dir: str) -> DataFrame:
         F.sum(T.char_count("text")).cast("bigint").alias("n_chars"),
     )
     return agg.withColumn("kb", F.bround(F.col("n_chars") / 1024.0, 1))
+
+
+def build_bundles(files: DataFrame, selection: DataFrame, out_dir: str, *, remove_comments: bool = False,
+                  remove_docstrings: bool = False, num_ranges: int | None = None) -> DataFrame | None:
+    """Pack the selected files of every bundle and write them; returns per-bundle statistics.
+
+    Nothing is written (and ``None`` returned) when the selection is empty, so existing
+    bundles stay as they are.
+    """
+    from corpuspack.operators.selection import keep_selected
+
+    if selection.isEmpty():
+        return None
+    chosen = keep_selected(files, selection)
+    blocks = pack(chosen, remove_comments=remove_comments, remove_docstrings=remove_docstrings)
+    write_bundles(blocks, out_dir, num_ranges)
+    return written_stats(files.sparkSession, out_dir)
