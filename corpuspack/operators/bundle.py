@@ -107,12 +107,14 @@ def processed_count(blocks: DataFrame) -> DataFrame:
     return blocks.where("is_file").groupBy("bundle").agg(F.count(F.lit(1)).alias("n_processed"))
 
 
-def write_bundles(blocks: DataFrame, out_dir: str, num_ranges: int | None = None) -> None:
+def write_bundles(blocks: DataFrame, out_dir: str, num_ranges: int | None = None, only_written: bool = False) -> None:
     """Write every bundle as ordered part files under ``out_dir/bundle=<b>/``.
 
     Each row is the block minus its final newline; the text sink adds it back. Blocks are
     range-partitioned on (bundle, okey), so one huge bundle spreads over many tasks and
     part-file name order equals bundle order. No single task sees a whole bundle.
+    ``only_written`` replaces just the bundles present in ``blocks`` (dynamic partition
+    overwrite); otherwise ``out_dir`` is replaced as a whole.
     """
     spark = blocks.sparkSession
     n = num_ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -124,6 +126,7 @@ def write_bundles(blocks: DataFrame, out_dir: str, num_ranges: int | None = None
         .sortWithinPartitions("bundle", "okey")
         .select("bundle", "value")
         .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic" if only_written else "static")
         .partitionBy("bundle")
         .text(out_dir)
     )

@@ -179,3 +179,60 @@ def snapshot_diff(before: DataFrame, after: DataFrame) -> DataFrame:
         .when(F.col("_a") != F.col("_b"), F.lit("modified"))
     )
     return j.select("path", kind.alias("kind")).where(F.col("kind").isNotNull())
+
+
+# ---------------------------------------------------------------------------------------
+# incremental rebuild
+
+
+class BundleRebuilder:
+    """``foreachBatch`` handler: after each micro-batch of kept changes, refresh the
+    selection against the current file table and rebuild only the bundles that hold a
+    changed file that was selected, overwriting just their partitions of ``out_dir``.
+
+    ``files_fn`` returns the current ``files(bundle, path, content)`` table. The selection
+    lives in the shared folder as a table, so a restarted query picks it up; every write is
+    a whole-partition overwrite, so a retried batch gives the same output.
+    """
+
+    def __init__(self, files_fn, selection: DataFrame, out_dir: str, state_dir: str, *, hide=(),
+                 remove_comments: bool = False, remove_docstrings: bool = False):
+        self.files_fn = files_fn
+        self.out_dir = out_dir
+        self.state_dir = state_dir.rstrip("/")
+        self.hide = list(hide)
+        self.rc, self.rd = remove_comments, remove_docstrings
+        self.version = 0
+        selection.select("path").write.mode("overwrite").parquet(self._sel_path(0))
+        self.rebuilt: list[tuple[int, list[str]]] = []
+
+    def _sel_path(self, v: int) -> str:
+        return f"{self.state_dir}/selection-v{v}"
+
+    def current_selection(self, spark) -> DataFrame:
+        return spark.read.parquet(self._sel_path(self.version))
+
+    def __call__(self, changes: DataFrame, batch_id: int) -> None:
+        from corpuspack.operators import bundle as B
+        from corpuspack.operators import selection as S
+
+        spark = changes.sparkSession
+        files = self.files_fn()
+        vis = S.visible_files(files, self.hide)
+        old_sel = self.current_selection(spark)
+        # membership is tested against the selection before the refresh, so the bundle of a
+        # deleted selected file is rebuilt too
+        hit_paths = changes.select("path").distinct().join(old_sel, "path", "left_semi")
+        hit = hit_paths.join(files.select("path", "bundle"), "path").select("bundle").distinct()
+        new_sel = S.refresh_selection(old_sel, vis)
+        nxt = self.version + 1
+        new_sel.write.mode("overwrite").parquet(self._sel_path(nxt))
+        self.version = nxt
+        sel = self.current_selection(spark)
+        bundles = [r.bundle for r in hit.collect()]  # distinct bundle names only
+        if not bundles or sel.isEmpty():
+            return
+        chosen = S.keep_selected(vis, sel).join(hit, "bundle", "left_semi")
+        blocks = B.pack(chosen, remove_comments=self.rc, remove_docstrings=self.rd)
+        B.write_bundles(blocks, self.out_dir, only_written=True)
+        self.rebuilt.append((batch_id, sorted(bundles)))
