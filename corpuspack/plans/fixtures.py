@@ -34,7 +34,8 @@ _PATH = """
       WHEN 9 THEN '.rb' WHEN 10 THEN '.rs' WHEN 11 THEN '.swift' WHEN 12 THEN '.md'
       WHEN 13 THEN '' ELSE '.py' END) AS path"""
 
-SPARK_FILES = f"""
+# The documented text of the view (explode every line, re-assemble per document).
+SPARK_FILES_REFERENCE = f"""
 WITH l AS (
   SELECT doc_id, source, lang, posexplode(split(text, '\\n')) AS (pos, line) FROM {{documents}}
 ), m AS (
@@ -46,6 +47,14 @@ SELECT doc_id, source AS bundle, {_PATH.format(str_t='STRING')},
 FROM m GROUP BY doc_id, source, lang
 """
 
+# Same rows, computed per document with a higher-order function: no explode, no shuffle.
+# (A NULL text yields no lines and so no row, as in the text above.)
+SPARK_FILES = f"""
+SELECT doc_id, source AS bundle, {_PATH.format(str_t='STRING')},
+  array_join(transform(split(text, '\\n'), (line, pos) -> {_LINE_MIX.replace(' AS ln', '')}), '\\n') AS content
+FROM {{documents}} WHERE text IS NOT NULL
+"""
+
 DUCK_FILES = f"""
 WITH l AS (
   SELECT doc_id, source, lang, unnest(string_split(text, chr(10))) AS line,
