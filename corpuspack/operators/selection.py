@@ -40,15 +40,31 @@ def visible_files(files: DataFrame, hide: Sequence[str] = ()) -> DataFrame:
     return files.where(~hidden(F.col("path"), F.lit(False), hide))
 
 
-def empty_dirs(visible: DataFrame) -> DataFrame:
+def node_info(visible: DataFrame) -> DataFrame:
+    """``(path, is_dir, is_leaf)`` for every visible node in one aggregation: each node
+    emits itself and a "has a child" mark for its parent (map-side combine folds the marks
+    of a huge directory before the shuffle). A leaf is a file or an empty directory."""
+    rows = visible.select(F.explode(F.array(
+        F.struct(F.col("path").alias("p"), F.col("is_dir").alias("d"), F.lit(True).alias("n"), F.lit(False).alias("c")),
+        F.struct(P.parent_dir("path").alias("p"), F.lit(None).cast("boolean").alias("d"), F.lit(False).alias("n"),
+                 F.lit(True).alias("c")),
+    )).alias("r")).select("r.*")
+    agg = rows.groupBy("p").agg(F.max("n").alias("n"), F.max("d").alias("d"), F.max("c").alias("c"))
+    return agg.where("n").select(
+        F.col("p").alias("path"), F.col("d").alias("is_dir"), (~F.col("d") | ~F.col("c")).alias("is_leaf")
+    )
+
+
+def empty_dirs(visible: DataFrame, info: DataFrame | None = None) -> DataFrame:
     """Visible directories without a visible child."""
-    parents = visible.select(P.parent_dir("path").alias("path")).distinct()
-    return visible.where("is_dir").select("path").join(parents, "path", "left_anti")
+    info = node_info(visible) if info is None else info
+    return info.where(F.col("is_dir") & F.col("is_leaf")).select("path")
 
 
-def leaves(visible: DataFrame) -> DataFrame:
+def leaves(visible: DataFrame, info: DataFrame | None = None) -> DataFrame:
     """What a selection can hold: visible files and visible empty directories."""
-    return visible.where(~F.col("is_dir")).select("path").unionByName(empty_dirs(visible))
+    info = node_info(visible) if info is None else info
+    return info.where("is_leaf").select("path")
 
 
 def select_glob(visible_file_paths: DataFrame, patterns: Sequence[str]) -> DataFrame:
@@ -82,9 +98,10 @@ def selected_dirs(visible: DataFrame, selection: DataFrame) -> DataFrame:
 
 def dir_rollup(visible: DataFrame, selection: DataFrame) -> DataFrame:
     """``(path, any_selected)`` for every visible directory."""
-    hits = selected_dirs(visible, selection).withColumn("hit", F.lit(True))
-    dirs = visible.where("is_dir").select("path")
-    return dirs.join(hits, "path", "left").select(
+    dirs = visible.select("path", "is_dir")
+    sel = selection.select("path").join(dirs.select("path"), "path", "left_semi")
+    hits = sel.select(F.explode(P.ancestors(F.col("path"), include_self=True)).alias("path")).distinct()
+    return dirs.where("is_dir").join(hits.withColumn("hit", F.lit(True)), "path", "left").select(
         "path", F.coalesce(F.col("hit"), F.lit(False)).alias("any_selected")
     )
 
@@ -108,23 +125,30 @@ def toggle(selection: DataFrame, targets: DataFrame, visible: DataFrame, check_d
 
     A file target flips. A directory target with any selected descendant loses all its
     files and empty directories; otherwise they are all added (an empty directory toggles
-    itself). Targets that are not visible nodes are ignored.
+    itself). Targets that are not visible nodes are ignored. Overlapping targets (one inside
+    a directory target) make the query fail when it runs.
     """
-    tv = targets.select("path").distinct().join(visible.select("path", "is_dir"), "path")
+    info = node_info(visible)  # one aggregation, read by every step below
+    tv = targets.select("path").distinct().join(info, "path")
     dir_t = tv.where("is_dir").select("path")
     file_t = tv.where(~F.col("is_dir")).select("path")
-    if check_disjoint and not overlapping_targets(dir_t, tv).isEmpty():
-        raise ValueError("toggle targets overlap: a target lies inside a directory target")
-    flags = dir_t.join(selected_dirs(visible, selection).withColumn("hit", F.lit(True)), "path", "left")
-    flags = flags.select(F.col("path").alias("target"), F.coalesce("hit", F.lit(False)).alias("any_selected"))
-    lv = leaves(visible)
+    sel = selection.select("path").join(info.select("path"), "path", "left_semi")
+    hits = sel.select(F.explode(P.ancestors(F.col("path"), include_self=True)).alias("path")).distinct()
+    flags = dir_t.join(hits.withColumn("hit", F.lit(True)), "path", "left").select(
+        F.col("path").alias("target"), F.coalesce("hit", F.lit(False)).alias("any_selected"))
+    lv = info.where("is_leaf").select("path")
     affected = lv.select("path", F.explode(P.ancestors(F.col("path"), include_self=True)).alias("target")).join(
         flags, "target"
     )
     remove = affected.where("any_selected").select("path")
     add = affected.where(~F.col("any_selected")).select("path")
     after_dirs = selection.select("path").join(remove, "path", "left_anti").unionByName(add).distinct()
-    return toggle_files(after_dirs, file_t)
+    out = toggle_files(after_dirs, file_t)
+    if check_disjoint:
+        bad = overlapping_targets(dir_t, tv.select("path"))
+        out = out.unionByName(bad.select(
+            F.raise_error(F.concat(F.lit("toggle targets overlap: "), F.col("target"))).cast("string").alias("path")))
+    return out
 
 
 def selection_count(selection: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpuspack.session import materialize, spread
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings "
     "pages benchmark labels conversations"
@@ -176,14 +178,18 @@ class Tables:
             self._cache[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         return self._cache[name]
 
-    def _view(self, name: str, text: str, **deps: DataFrame) -> DataFrame:
+    def _view(self, name: str, text: str, stored: bool = False, **deps: DataFrame) -> DataFrame:
+        """A derived view; ``stored`` ones (small, path-only, read by many branches of a
+        plan) are written once to the shared folder and read back like the tables they
+        stand for, instead of being re-derived in every branch."""
         if name not in self._cache:
-            self._cache[name] = self.spark.sql(text, **deps)
+            df = self.spark.sql(text, **deps)
+            self._cache[name] = materialize(df, f"view-{name}") if stored else df
         return self._cache[name]
 
     @property
     def files(self) -> DataFrame:
-        return self._view("files", SPARK_FILES, documents=self.table("documents"))
+        return self._view("files", SPARK_FILES, documents=spread(self.table("documents"), "doc_id"))
 
     @property
     def raw_files(self) -> DataFrame:
@@ -191,15 +197,15 @@ class Tables:
 
     @property
     def nodes(self) -> DataFrame:
-        return self._view("nodes", SPARK_NODES, files=self.files)
+        return self._view("nodes", SPARK_NODES, stored=True, files=self.files)
 
     @property
     def selection(self) -> DataFrame:
-        return self._view("selection", _SELECTION, files=self.files)
+        return self._view("selection", _SELECTION, stored=True, files=self.files)
 
     @property
     def toggle_targets(self) -> DataFrame:
-        return self._view("toggle_targets", _TOGGLE_TARGETS, files=self.files)
+        return self._view("toggle_targets", _TOGGLE_TARGETS, stored=True, files=self.files)
 
     @property
     def change_events(self) -> DataFrame:

@@ -58,3 +58,24 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared folder (survives executor loss)."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, key: str | None = None) -> DataFrame:
+    """Redistribute an under-split input before CPU-heavy per-row work.
+
+    Only when the input has fewer partitions than the session's parallelism (e.g. one
+    large row group read locally); a big table already has many splits and is returned
+    as is, so no shuffle is added at scale. Hash on ``key`` keeps retries deterministic.
+    """
+    want = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want, key) if key else df.repartition(want)
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as a parquet table in the shared folder and read it back: computed
+    once, lineage cut, and it survives executor loss (unlike a cache)."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -101,8 +101,8 @@ def test_overlapping_targets_rejected(spark):
     vis = S.visible_nodes(_nodes(spark, G_NODES), HIDE)
     sel = spark.createDataFrame([("b/x.py",)], "path string")
     t = spark.createDataFrame([("b",), ("b/x.py",)], "path string")
-    with pytest.raises(ValueError):
-        S.toggle(sel, t, vis)
+    with pytest.raises(Exception, match="toggle targets overlap"):
+        S.toggle(sel, t, vis).collect()
 
 
 def test_select_glob_all_refresh(spark):
