@@ -9,8 +9,6 @@ ranges + groups rows - are turned into start offsets and joined back.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -19,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpuspack.functions import paths as P
-from corpuspack.session import cut_lineage
+from corpuspack.session import materialize
 
 # broadcast the per-range totals only below this many rows (their count is checked)
 BROADCAST_MAX_ROWS = 1_000_000
@@ -62,11 +60,9 @@ def _local_positions(group: str, key: str, size: str | None):
                 first_run = run_start == 0
                 local = np.where(first_run, local + carry_n, local)
                 off = np.where(first_run, off + carry_off, off)
-            last_start = run_start[-1]
             carry_n = int(local[-1]) + 1
             carry_off = int(off[-1] + sizes[-1])
             last_group = g[n - 1].as_py()
-            del last_start
             yield b.append_column("_range", pa.array(np.full(n, part, dtype=np.int32))) \
                 .append_column("_lseq", pa.array(local)).append_column("_loff", pa.array(off))
 
@@ -85,8 +81,8 @@ def positions(df: DataFrame, group: str, key: str, size: str | None = None,
         + [T.StructField("_range", T.IntegerType()), T.StructField("_lseq", T.LongType()),
            T.StructField("_loff", T.LongType())]
     )
-    # checkpoint pins the range ids: totals and the join-back read the same rows
-    local = cut_lineage(ranged.mapInArrow(_local_positions(group, key, size), schema))
+    # a written table pins the range ids: totals and the join-back read the same rows
+    local = materialize(ranged.mapInArrow(_local_positions(group, key, size), schema), "positions")
     totals = local.groupBy("_range", group).agg(
         F.count(F.lit(1)).alias("_n"), F.sum(F.col(size) if size else F.lit(0)).cast("bigint").alias("_sz")
     )

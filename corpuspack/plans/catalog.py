@@ -602,3 +602,63 @@ def q_sql_transform(spark, sf):
              md5(remove_docstrings(content)) AS nodoc_md5,
              md5(transform_source(content, ext, true, true)) AS both_md5
            FROM (SELECT *, file_ext(substring_index(path, '/', -1)) AS ext FROM {f})""", f=files)
+
+
+# ---------------------------------------------------------------------------------------
+# streams (run to completion over a replay of the change feed)
+
+
+@query("throttle_stream", _with(
+    "SELECT event_id, t_us, root, path, kind FROM ev WHERE event_id IN (SELECT event_id FROM chain)",
+    ["change_events"], _THROTTLE_CTES, recursive=True))
+def q_throttle_stream(spark, sf):
+    ev = W.watch_filter(Tables(spark, sf).change_events, None, IGNORE_NAMES, IGNORE_PATHS, INCLUDE_NAMES)
+    folder = scratch_path(spark, "throttle-stream")
+    src = W.replay_source(ev.select("event_id", "ts", "root", "path", "kind"), f"{folder}/in")
+    kept = W.run_to_table(W.throttle_stream(src, GAP_SECONDS), folder)
+    return kept.select("event_id", _t_us("ts"), "root", "path", "kind")
+
+
+_REBUILD_CTES = _THROTTLE_CTES + [
+    ("hit", """SELECT DISTINCT f.bundle FROM ev JOIN files f ON f.path = ev.path
+               WHERE ev.event_id IN (SELECT event_id FROM chain) AND ev.path IN (SELECT path FROM selection)"""),
+    ("chosen", f"""SELECT * FROM files WHERE path IN (SELECT path FROM selection)
+                   AND NOT {D.hidden('path', 'false', [])} AND bundle IN (SELECT bundle FROM hit)"""),
+    ("blocks", D.blocks_cte("chosen", True, True)),
+]
+
+
+@query("watch_rebuild", _with(
+    """SELECT bundle, CAST(sum(length(block) - length(replace(block, chr(10), ''))) + 1 AS BIGINT) AS n_lines,
+         CAST(sum(length(block)) AS BIGINT) AS n_chars,
+         round_even(CAST(sum(length(block)) AS DOUBLE) / 1024.0, 1) AS kb
+       FROM blocks GROUP BY bundle""",
+    ["change_events", "selection"], _REBUILD_CTES, recursive=True))
+def q_watch_rebuild(spark, sf):
+    t = Tables(spark, sf)
+    folder = scratch_path(spark, "watch-rebuild")
+    out = f"{folder}/bundles"
+    rebuild = W.BundleRebuilder(lambda: t.files, t.selection, out, f"{folder}/state",
+                                remove_comments=True, remove_docstrings=True)
+    src = W.replay_source(t.change_events, f"{folder}/in")
+    q = W.watch(src, rebuild, ignore_names=IGNORE_NAMES, ignore_paths=IGNORE_PATHS, include_names=INCLUDE_NAMES,
+                gap_seconds=GAP_SECONDS, checkpoint=f"{folder}/checkpoint")
+    q.awaitTermination()
+    return B.written_stats(spark, out)
+
+
+# ---------------------------------------------------------------------------------------
+# directory trees
+
+
+@query("list_tree", _with(
+    f"""SELECT path, false AS is_dir, CAST(strlen(content) AS BIGINT) AS length FROM files
+        UNION ALL
+        SELECT DISTINCT unnest({D.ancestors()}) AS path, true AS is_dir, CAST(NULL AS BIGINT) AS length FROM files""",
+    ["files"], []))
+def q_list_tree(spark, sf):
+    from corpuspack.sources.tree import list_tree, write_tree
+
+    root = scratch_path(spark, "tree")
+    write_tree(Tables(spark, sf).files, root)
+    return list_tree(spark, root, read_content=False).select("path", "is_dir", "length")

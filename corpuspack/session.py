@@ -79,3 +79,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def posix_path(uri: str) -> str:
+    """Local path of a ``file:`` URI (or a plain path); other schemes cannot be opened with
+    os-level IO and are refused."""
+    if uri.startswith("file://"):
+        return uri[len("file://"):] or "/"
+    if uri.startswith("file:"):
+        return uri[len("file:"):]
+    if "://" in uri:
+        raise ValueError(f"{uri!r} is not a POSIX path every executor can open")
+    return uri

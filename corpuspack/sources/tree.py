@@ -13,6 +13,7 @@ import os
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from corpuspack.schema import TREE_SCHEMA
+from corpuspack.session import posix_path
 
 
 class _Batch(InputPartition):
@@ -82,7 +83,7 @@ class TreeDataSource(DataSource):
         return TREE_SCHEMA
 
     def reader(self, schema):
-        root = self.options.get("path")
+        root = posix_path(self.options.get("path"))
         read_content = str(self.options.get("readContent", "true")).lower() == "true"
         batch = int(self.options.get("entriesPerPartition", "16"))
         return _TreeReader(root, read_content, batch)
@@ -99,3 +100,19 @@ def list_tree(spark, root: str, read_content: bool = True):
         spark.read.format("filetree").option("path", root)
         .option("readContent", str(read_content).lower()).load()
     )
+
+
+def write_tree(files, root: str, text_col: str = "content") -> None:
+    """Write a file table out as a directory tree under ``root`` (one file per row, UTF-8),
+    from the executors; ``root`` must be a folder every executor sees."""
+    root = posix_path(root)
+
+    def write_part(rows):
+        for r in rows:
+            full = os.path.join(root, r["path"])
+            os.makedirs(os.path.dirname(full), exist_ok=True)
+            with open(full, "wb") as fh:
+                fh.write(r[text_col].encode("utf-8"))
+
+    os.makedirs(root, exist_ok=True)
+    files.select("path", text_col).foreachPartition(write_part)

@@ -236,3 +236,34 @@ class BundleRebuilder:
         blocks = B.pack(chosen, remove_comments=self.rc, remove_docstrings=self.rd)
         B.write_bundles(blocks, self.out_dir, only_written=True)
         self.rebuilt.append((batch_id, sorted(bundles)))
+
+
+def replay_source(events: DataFrame, folder: str, chunks: int = 4, ts: str = "ts") -> DataFrame:
+    """Write a change table as ``chunks`` time-ordered files under ``folder`` (one write
+    each, oldest first) and return a streaming reader over them, one file per trigger:
+    a replay of the feed in arrival order."""
+    spark = events.sparkSession
+    bounds = events.select(_micros(ts).alias("_t")).approxQuantile("_t", [i / chunks for i in range(1, chunks)], 0.0)
+    edges = [None, *sorted(set(int(b) for b in bounds)), None]
+    for k in range(len(edges) - 1):
+        lo, hi = edges[k], edges[k + 1]
+        cond = F.lit(True)
+        if lo is not None:
+            cond = cond & (_micros(ts) >= lo)
+        if hi is not None:
+            cond = cond & (_micros(ts) < hi)
+        events.where(cond).coalesce(1).write.mode("overwrite").parquet(f"{folder}/chunk={k:05d}")
+    return (
+        spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1)
+        .option("pathGlobFilter", "*.parquet").parquet(f"{folder}/chunk=*")
+    )
+
+
+def run_to_table(stream: DataFrame, folder: str) -> DataFrame:
+    """Run a stream until its input is consumed (``availableNow``) into a parquet table."""
+    q = (
+        stream.writeStream.format("parquet").option("path", f"{folder}/out")
+        .option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    )
+    q.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
