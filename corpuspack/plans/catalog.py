@@ -564,6 +564,16 @@ def q_throttle(spark, sf):
     return W.throttle(ev, GAP_SECONDS).select("event_id", _t_us("ts"), "root", "path", "kind")
 
 
+@query("throttle_split", _with(
+    "SELECT event_id, t_us, root, path, kind FROM ev WHERE event_id IN (SELECT event_id FROM chain)",
+    ["change_events"], _THROTTLE_CTES, recursive=True))
+def q_throttle_split(spark, sf):
+    """The throttle through its parallel form (every root treated as hot)."""
+    ev = W.watch_filter(Tables(spark, sf).change_events, None, IGNORE_NAMES, IGNORE_PATHS, INCLUDE_NAMES)
+    ev = ev.select("event_id", "ts", "root", "path", "kind")
+    return W.throttle(ev, GAP_SECONDS, method="jump").select("event_id", _t_us("ts"), "root", "path", "kind")
+
+
 @query("last_changed", _with(
     """SELECT root, arg_max(path, t) AS last_path, max(t) AS last_us, count(*) AS n_kept
        FROM ev WHERE event_id IN (SELECT event_id FROM chain) GROUP BY root""",

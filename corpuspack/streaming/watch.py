@@ -14,7 +14,7 @@ from collections.abc import Callable, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
@@ -87,19 +87,144 @@ def _scan(key: str, gap: int):
     return run
 
 
+# roots with more change rows than this take the parallel (jump) path in method="auto"
+HOT_ROOT_ROWS = 2_000_000
+
+
+def _throttle_scan(df: DataFrame, key: str, gap: int, tiebreak: str) -> DataFrame:
+    parted = df.repartition(key).sortWithinPartitions(key, "_t", tiebreak)
+    return parted.mapInArrow(_scan(key, gap), df.schema)
+
+
+def _next_pointers(ev: DataFrame, key: str, gap: int, tiebreak: str, num_ranges: int) -> DataFrame:
+    """``(_id, _nxt)``: for each event the first event of its key at time >= t + gap.
+
+    Probes (t + gap) and events are range-partitioned together on (key, time, tag), so a
+    hot key spreads over many ranges; one forward pass per range hands each probe the next
+    event. Probes still open at the end of a range take the first event of the next range
+    holding one for that key (a table of at most ranges x keys-per-range rows)."""
+    from corpuspack.session import materialize
+
+    spark = ev.sparkSession
+    targets = ev.select(key, F.col("_t").alias("_time"), F.lit(1).alias("_tag"), F.col("_id"), F.col(tiebreak).alias("_tb"))
+    probes = ev.select(key, (F.col("_t") + F.lit(gap)).alias("_time"), F.lit(0).alias("_tag"), F.col("_id"),
+                       F.lit(None).cast("long").alias("_tb"))
+    both = targets.unionByName(probes).repartitionByRange(num_ranges, key, "_time", "_tag", "_tb") \
+        .sortWithinPartitions(key, "_time", "_tag", "_tb")
+    out_schema = T.StructType([
+        T.StructField(key, ev.schema[key].dataType), T.StructField("_id", T.LongType()),
+        T.StructField("_nxt", T.LongType()), T.StructField("_range", T.IntegerType()),
+        T.StructField("_first", T.BooleanType()),
+    ])
+
+    def scan(batches):
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        cur, has_event, pending = None, False, []
+        out_k, out_id, out_nxt, out_first = [], [], [], []
+
+        def emit(k, i, nxt, first):
+            out_k.append(k); out_id.append(i); out_nxt.append(nxt); out_first.append(first)
+
+        def flush():
+            rb = pa.RecordBatch.from_arrays(
+                [pa.array(out_k, pa.string()), pa.array(out_id, pa.int64()), pa.array(out_nxt, pa.int64()),
+                 pa.array([part] * len(out_id), pa.int32()), pa.array(out_first, pa.bool_())],
+                names=[key, "_id", "_nxt", "_range", "_first"])
+            out_k.clear(); out_id.clear(); out_nxt.clear(); out_first.clear()
+            return rb
+
+        for b in batches:
+            for k, tag, i in zip(b.column(key).to_pylist(), b.column("_tag").to_pylist(), b.column("_id").to_pylist()):
+                if k != cur:
+                    for p in pending:  # still open: the answer lies in a later range
+                        emit(cur, p, None, False)
+                    cur, has_event, pending = k, False, []
+                if tag == 0:
+                    pending.append(i)
+                    continue
+                if not has_event:  # first event of this key in this range
+                    has_event = True
+                    emit(k, i, None, True)
+                for p in pending:
+                    emit(k, p, i, False)
+                pending = []
+            if out_id:
+                yield flush()
+        for p in pending:
+            emit(cur, p, None, False)
+        if out_id:
+            yield flush()
+
+    local = materialize(both.mapInArrow(scan, out_schema), "throttle-nxt")
+    # per (key, range): the first event of the key in any later range (<= ranges + keys rows)
+    pairs = local.select(key, "_range").distinct()
+    firsts = local.where("_first").select(key, "_range", F.col("_id").alias("_fid"))
+    w = Window.partitionBy(key).orderBy("_range").rowsBetween(1, Window.unboundedFollowing)
+    later = pairs.join(firsts, [key, "_range"], "left").select(
+        key, "_range", F.first("_fid", ignorenulls=True).over(w).alias("_later"))
+    if later.limit(1_000_001).count() <= 1_000_000:
+        later = F.broadcast(later)
+    answered = local.where(~F.col("_first") & F.col("_nxt").isNotNull()).select("_id", "_nxt")
+    opened = local.where(~F.col("_first") & F.col("_nxt").isNull()).join(later, [key, "_range"]).select(
+        "_id", F.col("_later").alias("_nxt"))
+    return answered.unionByName(opened)
+
+
+def _throttle_jump(df: DataFrame, key: str, gap: int, tiebreak: str, num_ranges: int) -> DataFrame:
+    """Exact throttle without a sequential pass: kept events are the orbit of each key's
+    first event under ``nxt``; pointer doubling (J_{k+1} = J_k o J_k, equi-joins on event
+    id) reaches every orbit member in log2(orbit length) rounds."""
+    from corpuspack.session import materialize
+
+    ev = materialize(df.withColumn("_id", F.monotonically_increasing_id()), "throttle-ev")
+    jumps = [materialize(_next_pointers(ev, key, gap, tiebreak, num_ranges).where(F.col("_nxt").isNotNull()),
+                         "throttle-j0")]
+    while not jumps[-1].isEmpty():
+        j = jumps[-1]
+        nxt = j.alias("a").join(j.alias("b"), F.col("a._nxt") == F.col("b._id")).select(
+            F.col("a._id").alias("_id"), F.col("b._nxt").alias("_nxt"))
+        jumps.append(materialize(nxt, f"throttle-j{len(jumps)}"))
+    start = ev.groupBy(key).agg(F.min_by("_id", F.struct("_t", tiebreak)).alias("_id")).select("_id")
+    orbit = start
+    for j in reversed(jumps):
+        step = orbit.join(j, "_id").select(F.col("_nxt").alias("_id"))
+        orbit = materialize(orbit.unionByName(step).distinct(), "throttle-orbit")
+    return ev.join(orbit, "_id", "left_semi").drop("_id")
+
+
 def throttle(events: DataFrame, gap_seconds: float = DEFAULT_GAP_SECONDS, key: str = "root",
-             ts: str = "ts", tiebreak: str = "event_id") -> DataFrame:
+             ts: str = "ts", tiebreak: str = "event_id", method: str = "auto",
+             hot_rows: int = HOT_ROOT_ROWS) -> DataFrame:
     """Batch throttle: rows kept by the leading-edge rule, per ``key`` in time order.
 
-    Events are hash-partitioned by key, sorted by (key, time, tiebreak) and scanned once per
-    partition with the kept time carried across Arrow batches (bounded memory: no group is
-    collected). Each decision depends on the previous kept event, so one key is scanned in
-    order by one task.
+    ``scan``: hash-partition by key, sort by (key, time, tiebreak) and scan each partition
+    once with the kept time carried across Arrow batches (one shuffle, bounded memory, but
+    a key is scanned by one task). ``jump``: the exact parallel form (range partitions and
+    pointer doubling) that splits a hot key over many tasks. ``auto``: keys with more than
+    ``hot_rows`` rows go the ``jump`` way, the rest the ``scan`` way.
     """
     gap = int(round(gap_seconds * 1_000_000))
     df = events.withColumn("_t", _micros(ts))
-    parted = df.repartition(key).sortWithinPartitions(key, "_t", tiebreak)
-    return parted.mapInArrow(_scan(key, gap), df.schema).drop("_t")
+    spark = events.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if gap <= 0:
+        return events
+    if method == "scan":
+        return _throttle_scan(df, key, gap, tiebreak).drop("_t")
+    if method == "jump":
+        return _throttle_jump(df, key, gap, tiebreak, n).drop("_t")
+    hot = df.groupBy(key).count().where(F.col("count") > hot_rows).select(key)
+    hot_keys = hot.limit(10_001).collect()  # hot keys are few by definition (>= hot_rows rows each)
+    if not hot_keys:
+        return _throttle_scan(df, key, gap, tiebreak).drop("_t")
+    if len(hot_keys) > 10_000:
+        return _throttle_jump(df, key, gap, tiebreak, n).drop("_t")
+    hot_df = spark.createDataFrame(hot_keys, hot.schema)
+    cold = _throttle_scan(df.join(F.broadcast(hot_df), key, "left_anti"), key, gap, tiebreak)
+    warm = _throttle_jump(df.join(F.broadcast(hot_df), key, "left_semi"), key, gap, tiebreak, n)
+    return cold.unionByName(warm).drop("_t")
 
 
 def last_changed(kept: DataFrame, key: str = "root", ts: str = "ts") -> DataFrame:

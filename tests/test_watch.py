@@ -125,3 +125,26 @@ def test_rebuild_only_hit_bundles(spark, tmp_dir):
         assert os.path.isdir(os.path.join(out, f"bundle={b}"))
     got = _bundle_text(out, "p")
     assert got == before["p"] == "# Files combined from: p\n\n# ==== BEGIN FILE: a.py ====\nx\n\n# ==== END FILE: a.py ====\n\n"
+
+
+def test_throttle_jump_equals_scan_and_model(spark):
+    rng = random.Random(21)
+    rows = []
+    for root, n, steps in [("hot", 1500, [1, 5, 100, 250, 499, 500, 501]), ("r2", 120, [300, 700, 1600]),
+                           ("r3", 3, [2000])]:
+        t = 0
+        for _ in range(n):
+            t += rng.choice(steps + [0])  # 0: equal times (tie broken by event id)
+            rows.append((t / 1000, root, f"p{len(rows)}.py", False))
+    ev = _events(spark, rows)
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    try:
+        jump = {r.event_id for r in W.throttle(ev, 0.5, method="jump").collect()}
+        auto = {r.event_id for r in W.throttle(ev, 0.5, method="auto", hot_rows=1000).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    expect = set()
+    for root in ["hot", "r2", "r3"]:
+        idx = [i for i, r in enumerate(rows) if r[1] == root]
+        expect |= {idx[k] for k in model_throttle([round(rows[i][0] * 1000) for i in idx], 500)}
+    assert jump == expect and auto == expect
