@@ -18,6 +18,7 @@ from corpuspack.functions.sql import register_sql_functions
 from corpuspack.operators import bundle as B
 from corpuspack.operators import ordering as O
 from corpuspack.operators import selection as S
+from corpuspack.operators import transform as TR
 from corpuspack.plans import duck as D
 from corpuspack.plans.fixtures import Tables, duck_with
 from corpuspack.session import scratch_path
@@ -292,6 +293,21 @@ def q_transform_all(spark, sf):
     return f.select("path", F.md5(t).alias("text_md5"), T.char_count(t).alias("n_chars"))
 
 
+_LINES_RE_SQL = D.sq(T.LINES_RE)
+
+
+@query("transform_lines", _with(
+    f"""SELECT path, CAST(generate_subscripts(l, 1) - 1 AS BIGINT) AS pos, unnest(l) AS line
+       FROM (SELECT path, regexp_extract_all({D.transform('text', 'ext', True, True)}, {_LINES_RE_SQL}, 1) AS l
+             FROM (SELECT path, {D.ext()} AS ext, string_agg(line, '' ORDER BY pos) AS text FROM (
+                   SELECT path, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS line
+                   FROM (SELECT path, regexp_extract_all(content, {_LINES_RE_SQL}, 1) AS l FROM files))
+                   GROUP BY path))""", ["files"], []))
+def q_transform_lines(spark, sf):
+    lines = TR.explode_lines(Tables(spark, sf).files)
+    return TR.transform_lines(lines, remove_comments=True, remove_docstrings=True)
+
+
 # ---------------------------------------------------------------------------------------
 # aggregations
 
@@ -672,3 +688,21 @@ def q_list_tree(spark, sf):
     root = scratch_path(spark, "tree")
     write_tree(Tables(spark, sf).files, root)
     return list_tree(spark, root, read_content=False).select("path", "is_dir", "length")
+
+
+@query("watch_callback", _with(
+    "SELECT event_id, t_us, root, path, kind FROM ev WHERE event_id IN (SELECT event_id FROM chain)",
+    ["change_events"], _THROTTLE_CTES, recursive=True))
+def q_watch_callback(spark, sf):
+    """The watch loop end to end: every micro-batch of kept changes goes to a callback,
+    which here appends it to a table."""
+    folder = scratch_path(spark, "watch-callback")
+    src = W.replay_source(Tables(spark, sf).change_events, f"{folder}/in")
+
+    def on_change(df, batch_id):
+        df.select("event_id", "ts", "root", "path", "kind").write.mode("append").parquet(f"{folder}/seen")
+
+    q = W.watch(src, on_change, ignore_names=IGNORE_NAMES, ignore_paths=IGNORE_PATHS, include_names=INCLUDE_NAMES,
+                gap_seconds=GAP_SECONDS, checkpoint=f"{folder}/checkpoint")
+    q.awaitTermination()
+    return spark.read.parquet(f"{folder}/seen").select("event_id", _t_us("ts"), "root", "path", "kind")
