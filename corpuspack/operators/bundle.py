@@ -116,13 +116,14 @@ def write_bundles(blocks: DataFrame, out_dir: str, num_ranges: int | None = None
     ``only_written`` replaces just the bundles present in ``blocks`` (dynamic partition
     overwrite); otherwise ``out_dir`` is replaced as a whole.
     """
-    spark = blocks.sparkSession
-    n = num_ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = blocks.select(
         "bundle", "okey", F.expr("substring(block, 1, length(block) - 1)").alias("value")
     )
+    # without a fixed count AQE may merge neighbouring ranges (order is kept)
+    ranged = (rows.repartitionByRange(num_ranges, "bundle", "okey") if num_ranges
+              else rows.repartitionByRange("bundle", "okey"))
     (
-        rows.repartitionByRange(n, "bundle", "okey")
+        ranged
         .sortWithinPartitions("bundle", "okey")
         .select("bundle", "value")
         .write.mode("overwrite")

@@ -73,9 +73,8 @@ def positions(df: DataFrame, group: str, key: str, size: str | None = None,
               num_ranges: int | None = None) -> DataFrame:
     """Add ``seq`` (0-based position by ``key`` inside ``group``) and, when ``size`` is
     given, ``offset`` (sum of ``size`` over the earlier rows of the group)."""
-    spark = df.sparkSession
-    n = num_ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, group, key).sortWithinPartitions(group, key)
+    ranged = df.repartitionByRange(num_ranges, group, key) if num_ranges else df.repartitionByRange(group, key)
+    ranged = ranged.sortWithinPartitions(group, key)
     schema = T.StructType(
         list(df.schema.fields)
         + [T.StructField("_range", T.IntegerType()), T.StructField("_lseq", T.LongType()),

@@ -320,6 +320,8 @@ class BundleRebuilder:
     a whole-partition overwrite, so a retried batch gives the same output.
     """
 
+    REPORT_NAMES = 100
+
     def __init__(self, files_fn, selection: DataFrame, out_dir: str, state_dir: str, *, hide=(),
                  remove_comments: bool = False, remove_docstrings: bool = False):
         self.files_fn = files_fn
@@ -354,13 +356,13 @@ class BundleRebuilder:
         new_sel.write.mode("overwrite").parquet(self._sel_path(nxt))
         self.version = nxt
         sel = self.current_selection(spark)
-        bundles = [r.bundle for r in hit.collect()]  # distinct bundle names only
-        if not bundles or sel.isEmpty():
+        if hit.isEmpty() or sel.isEmpty():
             return
         chosen = S.keep_selected(vis, sel).join(hit, "bundle", "left_semi")
         blocks = B.pack(chosen, remove_comments=self.rc, remove_docstrings=self.rd)
         B.write_bundles(blocks, self.out_dir, only_written=True)
-        self.rebuilt.append((batch_id, sorted(bundles)))
+        # a few names for the report only (the rebuild itself never leaves the executors)
+        self.rebuilt.append((batch_id, sorted(r.bundle for r in hit.limit(self.REPORT_NAMES).collect())))
 
 
 def replay_source(events: DataFrame, folder: str, chunks: int = 4, ts: str = "ts") -> DataFrame:
