@@ -1,0 +1,47 @@
+"""corpuspack: pack file collections into ordered text bundles with Spark.
+
+Column functions (native expressions) and DataFrame operators; see README.md.
+"""
+
+from corpuspack.functions.patterns import (
+    glob_match,
+    keyword_filter,
+    parse_patterns,
+    should_ignore,
+    should_include,
+)
+from corpuspack.functions.text import (
+    comment_prefix,
+    extension,
+    read_text,
+    remove_docstrings,
+    remove_docstrings_lines,
+    split_lines,
+    strip_comments,
+    strip_comments_lines,
+    transform_line_array,
+    transform_source,
+)
+from corpuspack.operators.bundle import (
+    build_bundles,
+    bundle_stats,
+    create_bundle,
+    file_blocks,
+    pack,
+    write_bundles,
+    written_stats,
+)
+
+# names of the original tool's functions, as column functions
+get_comment_prefix = comment_prefix
+apply_transformations = transform_line_array
+strip_single_line_comments = strip_comments_lines
+remove_python_docstrings = remove_docstrings_lines
+
+__all__ = [
+    "apply_transformations", "build_bundles", "bundle_stats", "comment_prefix", "create_bundle", "extension",
+    "file_blocks", "get_comment_prefix", "glob_match", "keyword_filter", "pack", "parse_patterns", "read_text",
+    "remove_docstrings", "remove_docstrings_lines", "remove_python_docstrings", "should_ignore", "should_include",
+    "split_lines", "strip_comments", "strip_comments_lines", "strip_single_line_comments", "transform_line_array",
+    "transform_source", "write_bundles", "written_stats",
+]

@@ -144,3 +144,18 @@ def newline_count(text) -> Column:
 
 def char_count(text) -> Column:
     return F.length(_col(text)).cast("bigint")
+
+
+def transform_line_array(lines, ext, remove_comments: bool | Column = False,
+                         remove_docstrings_: bool | Column = False) -> Column:
+    """Array-of-lines form (each line keeps its newline): join, transform, split again."""
+    joined = F.array_join(_col(lines), "")
+    return split_lines(transform_source(joined, ext, remove_comments, remove_docstrings_))
+
+
+def strip_comments_lines(lines, ext) -> Column:
+    return split_lines(strip_comments(F.array_join(_col(lines), ""), ext))
+
+
+def remove_docstrings_lines(lines) -> Column:
+    return split_lines(remove_docstrings(F.array_join(_col(lines), "")))

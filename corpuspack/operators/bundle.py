@@ -107,30 +107,45 @@ def processed_count(blocks: DataFrame) -> DataFrame:
     return blocks.where("is_file").groupBy("bundle").agg(F.count(F.lit(1)).alias("n_processed"))
 
 
-def write_bundles(blocks: DataFrame, out_dir: str, num_ranges: int | None = None, only_written: bool = False) -> None:
-    """Write every bundle as ordered part files under ``out_dir/bundle=<b>/``.
+def sink_frame(blocks: DataFrame, num_ranges: int | None = None, observation=None) -> DataFrame:
+    """``(bundle, value)`` rows in bundle order, range-partitioned on (bundle, okey).
 
-    Each row is the block minus its final newline; the text sink adds it back. Blocks are
-    range-partitioned on (bundle, okey), so one huge bundle spreads over many tasks and
-    part-file name order equals bundle order. No single task sees a whole bundle.
-    ``only_written`` replaces just the bundles present in ``blocks`` (dynamic partition
-    overwrite); otherwise ``out_dir`` is replaced as a whole.
+    Each value is the block minus its final newline (the text sink adds it back). The
+    optional observation counts file blocks above the exchange (the range sampling pass
+    must not count rows) and below the sort (so a writer sees the (bundle, okey) order and
+    adds no sort of its own, which could reorder the blocks of a bundle).
     """
     rows = blocks.select(
-        "bundle", "okey", F.expr("substring(block, 1, length(block) - 1)").alias("value")
+        "bundle", "okey", "is_file", F.expr("substring(block, 1, length(block) - 1)").alias("value")
     )
     # without a fixed count AQE may merge neighbouring ranges (order is kept)
     ranged = (rows.repartitionByRange(num_ranges, "bundle", "okey") if num_ranges
               else rows.repartitionByRange("bundle", "okey"))
+    if observation is not None:
+        ranged = ranged.observe(observation, F.count_if(F.col("is_file")).alias("n_files"))
+    return ranged.sortWithinPartitions("bundle", "okey").select("bundle", "value")
+
+
+def write_bundles(blocks: DataFrame, out_dir: str, num_ranges: int | None = None, only_written: bool = False) -> int:
+    """Write every bundle as ordered part files under ``out_dir/bundle=<b>/``.
+
+    Blocks are range-partitioned on (bundle, okey), so one huge bundle spreads over many
+    tasks and part-file name order equals bundle order. No single task sees a whole bundle.
+    ``only_written`` replaces just the bundles present in ``blocks`` (dynamic partition
+    overwrite); otherwise ``out_dir`` is replaced as a whole. Returns the number of file
+    blocks written, observed during the write itself.
+    """
+    from pyspark.sql import Observation
+
+    seen = Observation("bundle_write")
     (
-        ranged
-        .sortWithinPartitions("bundle", "okey")
-        .select("bundle", "value")
+        sink_frame(blocks, num_ranges, seen)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic" if only_written else "static")
         .partitionBy("bundle")
         .text(out_dir)
     )
+    return int(seen.get["n_files"])
 
 
 def read_bundle_parts(spark, out_dir: str) -> DataFrame:
@@ -165,3 +180,20 @@ def build_bundles(files: DataFrame, selection: DataFrame, out_dir: str, *, remov
     blocks = pack(chosen, remove_comments=remove_comments, remove_docstrings=remove_docstrings)
     write_bundles(blocks, out_dir, num_ranges)
     return written_stats(files.sparkSession, out_dir)
+
+
+def create_bundle(files: DataFrame, paths: DataFrame, out_dir: str, *, root: str | Column | None = None,
+                  remove_comments: bool = False, remove_docstrings: bool = False,
+                  dirs: DataFrame | None = None) -> tuple[int, DataFrame]:
+    """Pack a caller's ordered list ``paths(bundle, seq, path)`` (duplicates kept, list
+    order) from ``files(path, content)`` and write it; returns (files processed, rejects).
+    Paths are shown relative to ``root``."""
+    from corpuspack.sources.files import explicit_list, seq_key
+
+    root = F.lit("") if root is None else root
+    found, rejects = explicit_list(files.select("path", "content"), paths, dirs)
+    blocks = file_blocks(found.withColumn("okey", seq_key()), root=root, order="okey",
+                         remove_comments=remove_comments, remove_docstrings=remove_docstrings)
+    header = header_blocks(paths.select("bundle").distinct())
+    n = write_bundles(header.unionByName(blocks), out_dir)
+    return n, rejects

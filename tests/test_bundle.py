@@ -119,3 +119,35 @@ def test_positions_match_window_with_hot_group(spark):
         for i, (k, s) in enumerate(items):
             assert got[(g, k)] == (i, off)
             off += s
+
+
+def test_create_bundle_api_counts_and_rejects(spark, tmp_dir):
+    files = _files(spark).drop("bundle")
+    paths = spark.createDataFrame([("out", 1, "proj/src/utils.py"), ("out", 2, "proj/src/main.py"),
+                                   ("out", 3, "proj/missing.py")], "bundle string, seq int, path string")
+    out = os.path.join(tmp_dir, "cb")
+    n, rejects = B.create_bundle(files, paths, out, root=F.lit("proj"), remove_comments=True)
+    assert n == 2 and [r.path for r in rejects.collect()] == ["proj/missing.py"]
+    got, _ = _read_back(out, "out")
+    assert got == model_bundle("out", [("src/utils.py", UTILS), ("src/main.py", MAIN)], comments=True)[0]
+
+
+def test_marker_by_extension(spark):
+    files = spark.createDataFrame([("b", "b/x.js", "a\n"), ("b", "b/y.py", "c\n")], "bundle string, path string, content string")
+    text = _packed(B.pack(files, marker="by_extension"))
+    assert "// ==== BEGIN FILE: x.js ====\na\n\n// ==== END FILE: x.js ====" in text
+    assert "# ==== BEGIN FILE: y.py ====" in text and text.startswith("# Files combined from: b\n\n")
+
+
+def test_line_array_api(spark):
+    import corpuspack as cp
+
+    lines = ["# c\n", "def f():\n", '    """d"""\n', "    return 1\n"]
+    df = spark.createDataFrame([(lines, ".py")], "l array<string>, e string")
+    r = df.select(cp.apply_transformations("l", "e", True, True).alias("a"),
+                  cp.strip_single_line_comments("l", "e").alias("b"),
+                  cp.remove_python_docstrings("l").alias("c"), cp.get_comment_prefix("e").alias("p")).first()
+    assert r.a == ["def f():\n", "    return 1\n"]
+    assert r.b == lines[1:]
+    assert r.c == [lines[0], lines[1], lines[3]]
+    assert r.p == "#"

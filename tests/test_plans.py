@@ -35,3 +35,16 @@ def test_entry_contract(spark):
     assert df.columns == ["bundle", "n_files", "n_lines", "n_chars", "kb"]
     assert df.count() > 0
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+def test_bundle_sink_keeps_order_for_the_writer(spark):
+    """The frame handed to the partitioned text writer is ordered by bundle, so the writer
+    adds no (unstable) sort of its own that could reorder the blocks of a bundle."""
+    from pyspark.sql import Observation
+
+    from corpuspack.operators import bundle as B
+
+    files = spark.createDataFrame([("b", "b/x.py", "x\n")], "bundle string, path string, content string")
+    frame = B.sink_frame(B.pack(files), observation=Observation("t"))
+    order = frame._jdf.queryExecution().optimizedPlan().outputOrdering().toString()
+    assert order.startswith("List(bundle") and "ASC" in order
