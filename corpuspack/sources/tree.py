@@ -1,9 +1,11 @@
 """Directory-tree source: list (and optionally read) every file and directory under a root.
 
 Spark's file listing skips names starting with ``_`` or ``.`` (``__init__.py`` would vanish),
-so trees are listed by a Python data source. The driver only lists the first level; each
-partition walks a batch of top-level entries on an executor, so the walk itself is
-distributed. Unreadable directories are skipped, as the original tool does.
+so trees are listed by a Python data source. The driver expands the top of the tree breadth
+first, for a bounded number of entries, so that the work splits even when one folder holds
+most of the tree; executors then walk the remaining subtrees, and the files the driver saw
+are read by executors in chunks. Unreadable directories are skipped, as the original tool
+does.
 """
 
 from __future__ import annotations
@@ -16,28 +18,47 @@ from corpuspack.schema import TREE_SCHEMA
 from corpuspack.session import posix_path
 
 
-class _Batch(InputPartition):
-    def __init__(self, entries):
-        self.entries = entries
+class _Part(InputPartition):
+    def __init__(self, walks, entries):
+        self.walks = walks  # relative dirs whose subtrees this task lists
+        self.entries = entries  # (relative path, is_dir) listed by the driver
+
+
+def _scandir(full: str):
+    try:
+        with os.scandir(full) as it:
+            return sorted((e.name, e.is_dir(follow_symlinks=False)) for e in it)
+    except OSError:
+        return []
 
 
 class _TreeReader(DataSourceReader):
-    def __init__(self, root: str, read_content: bool, batch: int):
+    def __init__(self, root: str, read_content: bool, target: int, driver_limit: int, chunk: int):
         self.root = root
         self.read_content = read_content
-        self.batch = batch
+        self.target = target
+        self.driver_limit = driver_limit
+        self.chunk = chunk
 
     def partitions(self):
-        try:
-            top = sorted(os.listdir(self.root))
-        except OSError:
-            return [_Batch([])]
-        groups = [top[i:i + self.batch] for i in range(0, len(top), self.batch)] or [[]]
-        return [_Batch(g) for g in groups]
-
-    def _emit(self, rel: str, full: str, is_dir: bool):
+        entries, frontier = [], [""]
+        while frontier and len(frontier) < self.target and len(entries) < self.driver_limit:
+            nxt = []
+            for d in frontier:
+                for name, is_dir in _scandir(os.path.join(self.root, d)):
+                    rel = f"{d}/{name}" if d else name
+                    entries.append((rel, is_dir))
+                    if is_dir:
+                        nxt.append(rel)
+            frontier = nxt
+        parts = [_Part(frontier[i::self.target], []) for i in range(min(self.target, len(frontier)))]
+        parts += [_Part([], entries[i:i + self.chunk]) for i in range(0, len(entries), self.chunk)]
+        return parts or [_Part([], [])]
+
+    def _row(self, rel: str, is_dir: bool):
         if is_dir:
             return (rel, True, None, None)
+        full = os.path.join(self.root, rel)
         try:
             size = os.path.getsize(full)
         except OSError:
@@ -52,27 +73,26 @@ class _TreeReader(DataSourceReader):
         return (rel, False, size, data)
 
     def read(self, partition):
-        for entry in partition.entries:
-            full = os.path.join(self.root, entry)
-            is_dir = os.path.isdir(full) and not os.path.islink(full)
-            yield self._emit(entry, full, is_dir)
-            if not is_dir:
-                continue
-            for dirpath, dirnames, filenames in os.walk(full, onerror=lambda e: None):
-                dirnames.sort()
-                rel_dir = os.path.relpath(dirpath, self.root).replace(os.sep, "/")
-                for d in dirnames:
-                    yield self._emit(f"{rel_dir}/{d}", os.path.join(dirpath, d), True)
-                for f in sorted(filenames):
-                    yield self._emit(f"{rel_dir}/{f}", os.path.join(dirpath, f), False)
+        for rel, is_dir in partition.entries:
+            yield self._row(rel, is_dir)
+        for top in partition.walks:
+            stack = [top]
+            while stack:
+                d = stack.pop()
+                for name, is_dir in _scandir(os.path.join(self.root, d)):
+                    rel = f"{d}/{name}" if d else name
+                    yield self._row(rel, is_dir)
+                    if is_dir:
+                        stack.append(rel)
 
 
 class TreeDataSource(DataSource):
     """``spark.read.format("filetree").option("path", root).load()``
 
-    Options: ``readContent`` (default true), ``entriesPerPartition`` (default 16).
-    Output: ``path`` relative to the root with '/' separators, ``is_dir``, ``length``,
-    ``content`` (raw bytes, NULL for directories).
+    Options: ``readContent`` (default true), ``partitions`` (subtree tasks, default 64),
+    ``driverEntries`` (entries the driver may list, default 100000), ``chunk`` (driver-listed
+    entries per task, default 2000). Output: ``path`` relative to the root with '/'
+    separators, ``is_dir``, ``length``, ``content`` (raw bytes, NULL for directories).
     """
 
     @classmethod
@@ -83,23 +103,27 @@ class TreeDataSource(DataSource):
         return TREE_SCHEMA
 
     def reader(self, schema):
-        root = posix_path(self.options.get("path"))
-        read_content = str(self.options.get("readContent", "true")).lower() == "true"
-        batch = int(self.options.get("entriesPerPartition", "16"))
-        return _TreeReader(root, read_content, batch)
+        o = self.options
+        return _TreeReader(
+            posix_path(o.get("path")),
+            str(o.get("readContent", "true")).lower() == "true",
+            int(o.get("partitions", "64")),
+            int(o.get("driverEntries", "100000")),
+            int(o.get("chunk", "2000")),
+        )
 
 
 def register(spark) -> None:
     spark.dataSource.register(TreeDataSource)
 
 
-def list_tree(spark, root: str, read_content: bool = True):
+def list_tree(spark, root: str, read_content: bool = True, **options):
     """All entries under ``root`` (the root itself excluded)."""
     register(spark)
-    return (
-        spark.read.format("filetree").option("path", root)
-        .option("readContent", str(read_content).lower()).load()
-    )
+    reader = spark.read.format("filetree").option("path", root).option("readContent", str(read_content).lower())
+    for k, v in options.items():
+        reader = reader.option(k, str(v))
+    return reader.load()
 
 
 def write_tree(files, root: str, text_col: str = "content") -> None:

@@ -98,6 +98,21 @@ def test_decode_text_edges(spark):
     assert got == ["a\nb\nc", "", "\n", "﻿x\n", None, "nul\x00byte", "ok"]
 
 
+def test_strict_utf8_like_python(spark):
+    cases = [b"\xed\xa0\x80", b"\xc0\x80", b"\xf4\x90\x80\x80", b"\xe2\x82", b"a\xe2\x82\xacb",
+             b"\xf0\x9f\x98\x80", b"\xef\xbf\xbf", b"\xf8\x88\x80\x80\x80", b"\xe0\x80\xaf", b"\x80"]
+    df = spark.createDataFrame([(c,) for c in cases], "b binary")
+    got = [r[0] for r in df.select(T.read_text("b")).collect()]
+
+    def py(c):
+        try:
+            return c.decode("utf-8")
+        except UnicodeDecodeError:
+            return None
+
+    assert got == [py(c) for c in cases]
+
+
 def test_split_lines(spark):
     df = spark.createDataFrame([("a\nb\n\nc",), ("",), ("x\n",)], "t string")
     got = [r[0] for r in df.select(T.split_lines("t")).collect()]

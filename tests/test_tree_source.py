@@ -25,3 +25,19 @@ def test_listing_only(spark, tmp_dir):
     open(os.path.join(tmp_dir, "d", "f.py"), "w").write("abc")
     rows = list_tree(spark, tmp_dir, read_content=False).collect()
     assert {(r.path, r.content) for r in rows} == {("d", None), ("d/f.py", None)}
+
+
+def test_split_options_give_the_same_listing(spark, tmp_dir):
+    root = os.path.join(tmp_dir, "t")
+    for i in range(30):
+        d = os.path.join(root, f"d{i % 3}", f"s{i % 5}")
+        os.makedirs(d, exist_ok=True)
+        open(os.path.join(d, f"f{i}.py"), "w").write("x" * i)
+    os.makedirs(os.path.join(root, "flat"))
+    for i in range(50):
+        open(os.path.join(root, "flat", f"g{i}"), "w").write("y")
+    base = sorted(tuple(r) for r in list_tree(spark, root).collect())
+    for opts in [dict(partitions=1), dict(partitions=2, driverEntries=3, chunk=1), dict(partitions=100, chunk=7)]:
+        got = list_tree(spark, root, **opts)
+        assert sorted(tuple(r) for r in got.collect()) == base, opts
+    assert len(base) == 30 + 50 + 1 + 3 + 3 * 5
