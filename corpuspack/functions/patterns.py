@@ -190,13 +190,6 @@ def any_glob(col, patterns: Sequence[str]) -> Column:
     return reduce(lambda a, b: a | b, preds) if preds else F.lit(False)
 
 
-def duck_any_glob(col_sql: str, patterns: Sequence[str]) -> str:
-    """DuckDB predicate equivalent of :func:`any_glob` for the oracles."""
-    if not patterns:
-        return "false"
-    return "(" + " OR ".join(f"regexp_full_match({col_sql}, '{glob_to_regex(p)}')" for p in patterns) + ")"
-
-
 # ---------------------------------------------------------------------------------------
 # keyword predicates (substring, case-sensitive)
 

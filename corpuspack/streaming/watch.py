@@ -369,7 +369,10 @@ def replay_source(events: DataFrame, folder: str, chunks: int = 4, ts: str = "ts
     """Write a change table as ``chunks`` time-ordered files under ``folder`` (one write
     each, oldest first) and return a streaming reader over them, one file per trigger:
     a replay of the feed in arrival order."""
+    from corpuspack.session import materialize
+
     spark = events.sparkSession
+    events = materialize(events, "replay-input")  # read once per chunk below
     bounds = events.select(_micros(ts).alias("_t")).approxQuantile("_t", [i / chunks for i in range(1, chunks)], 0.0)
     edges = [None, *sorted(set(int(b) for b in bounds)), None]
     for k in range(len(edges) - 1):
