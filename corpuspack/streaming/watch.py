@@ -333,6 +333,19 @@ class BundleRebuilder:
         selection.select("path").write.mode("overwrite").parquet(self._sel_path(0))
         self.rebuilt: list[tuple[int, list[str]]] = []
 
+    def build_all(self, spark) -> None:
+        """Build every bundle of the current selection once (before the watch starts, when
+        no confirmation is wanted)."""
+        from corpuspack.operators import bundle as B
+        from corpuspack.operators import selection as S
+
+        sel = self.current_selection(spark)
+        if sel.isEmpty():
+            return
+        vis = S.visible_files(self.files_fn(), self.hide)
+        B.write_bundles(B.pack(S.keep_selected(vis, sel), remove_comments=self.rc, remove_docstrings=self.rd),
+                        self.out_dir, only_written=True)
+
     def _sel_path(self, v: int) -> str:
         return f"{self.state_dir}/selection-v{v}"
 

@@ -148,3 +148,14 @@ def test_transform_dynamic_flags_equal_static(spark):
     got = df.select(T.transform_source(F.col("t"), F.col("e"), F.col("rc"), F.col("rd"))).collect()
     for (t, e, rc, rd), r in zip(rows, got):
         assert r[0] == model_transform(t, e, rc, rd)
+
+
+def test_comment_prefix_from_user_table(spark):
+    from corpuspack.operators.transform import with_comment_prefix
+
+    files = spark.createDataFrame([("a.py",), ("b.lua",), ("c",), ("d.js",)], "path string")
+    user = spark.createDataFrame([(".lua", "--"), (".py", ";")], "ext string, prefix string")
+    got = {r.path: r.prefix for r in with_comment_prefix(files, user).collect()}
+    assert got == {"a.py": ";", "b.lua": "--", "c": "#", "d.js": "#"}
+    built_in = {r.path: r.prefix for r in with_comment_prefix(files).collect()}
+    assert built_in == {"a.py": "#", "b.lua": "#", "c": "#", "d.js": "//"}

@@ -125,6 +125,9 @@ def test_rebuild_only_hit_bundles(spark, tmp_dir):
         assert os.path.isdir(os.path.join(out, f"bundle={b}"))
     got = _bundle_text(out, "p")
     assert got == before["p"] == "# Files combined from: p\n\n# ==== BEGIN FILE: a.py ====\nx\n\n# ==== END FILE: a.py ====\n\n"
+    # a full build at start (no confirmation) rewrites every selected bundle the same way
+    rb.build_all(spark)
+    assert {b: _bundle_text(out, b) for b in "pqr"} == before
 
 
 def test_throttle_jump_equals_scan_and_model(spark):
