@@ -86,8 +86,17 @@ def refresh_selection(selection: DataFrame, visible_file_paths: DataFrame) -> Da
     return selection.select("path").join(visible_file_paths.select("path"), "path", "left_semi")
 
 
+# selections up to this many paths are broadcast into the semi join (checked per call)
+SELECTION_BROADCAST_MAX = 2_000_000
+
+
 def keep_selected(files: DataFrame, selection: DataFrame) -> DataFrame:
-    return files.join(selection.select("path"), "path", "left_semi")
+    """Files whose path is selected. A selection of checked, bounded size is broadcast, so
+    file contents are not shuffled by path before the pack's own range shuffle."""
+    sel = selection.select("path")
+    if sel.limit(SELECTION_BROADCAST_MAX + 1).count() <= SELECTION_BROADCAST_MAX:
+        sel = F.broadcast(sel.distinct())
+    return files.join(sel, "path", "left_semi")
 
 
 def selected_dirs(visible: DataFrame, selection: DataFrame) -> DataFrame:
