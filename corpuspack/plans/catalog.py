@@ -562,8 +562,13 @@ _GAP_US = int(GAP_SECONDS * 1_000_000)
 _THROTTLE_CTES = [
     ("wf", _WATCH_FILTER_SQL),
     ("ev", "SELECT *, t_us AS t FROM wf"),
-    ("nx", f"""SELECT a.event_id, (SELECT arg_min(b.event_id, b.t) FROM ev b
-               WHERE b.root = a.root AND b.t >= a.t + {_GAP_US}) AS nid FROM ev a"""),
+    ("nx", f"""SELECT event_id, nid FROM (
+                 SELECT tag, event_id, first_value(CASE WHEN tag = 1 THEN event_id END IGNORE NULLS) OVER (
+                   PARTITION BY root ORDER BY time, tag, event_id
+                   ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS nid
+                 FROM (SELECT root, t + {_GAP_US} AS time, 0 AS tag, event_id FROM ev
+                       UNION ALL SELECT root, t AS time, 1 AS tag, event_id FROM ev))
+               WHERE tag = 0"""),
     ("chain", """SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY root ORDER BY t, event_id) AS rn
                  FROM ev) WHERE rn = 1
                UNION ALL
