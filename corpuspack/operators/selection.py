@@ -100,17 +100,16 @@ def keep_selected(files: DataFrame, selection: DataFrame) -> DataFrame:
 
 
 def selected_dirs(visible: DataFrame, selection: DataFrame) -> DataFrame:
-    """Directories with a selected descendant (or selected themselves)."""
+    """Directories with a selected descendant (or selected themselves): selected visible
+    paths exploded into their ancestors, de-duplicated map-side before the shuffle."""
     sel = selection.select("path").join(visible.select("path"), "path", "left_semi")
     return sel.select(F.explode(P.ancestors(F.col("path"), include_self=True)).alias("path")).distinct()
 
 
 def dir_rollup(visible: DataFrame, selection: DataFrame) -> DataFrame:
     """``(path, any_selected)`` for every visible directory."""
-    dirs = visible.select("path", "is_dir")
-    sel = selection.select("path").join(dirs.select("path"), "path", "left_semi")
-    hits = sel.select(F.explode(P.ancestors(F.col("path"), include_self=True)).alias("path")).distinct()
-    return dirs.where("is_dir").join(hits.withColumn("hit", F.lit(True)), "path", "left").select(
+    hits = selected_dirs(visible, selection)
+    return visible.where("is_dir").select("path").join(hits.withColumn("hit", F.lit(True)), "path", "left").select(
         "path", F.coalesce(F.col("hit"), F.lit(False)).alias("any_selected")
     )
 
@@ -141,8 +140,7 @@ def toggle(selection: DataFrame, targets: DataFrame, visible: DataFrame, check_d
     tv = targets.select("path").distinct().join(info, "path")
     dir_t = tv.where("is_dir").select("path")
     file_t = tv.where(~F.col("is_dir")).select("path")
-    sel = selection.select("path").join(info.select("path"), "path", "left_semi")
-    hits = sel.select(F.explode(P.ancestors(F.col("path"), include_self=True)).alias("path")).distinct()
+    hits = selected_dirs(info, selection)
     flags = dir_t.join(hits.withColumn("hit", F.lit(True)), "path", "left").select(
         F.col("path").alias("target"), F.coalesce("hit", F.lit(False)).alias("any_selected"))
     lv = info.where("is_leaf").select("path")

@@ -409,10 +409,9 @@ def _explicit_paths(t: Tables) -> DataFrame:
 def q_pack_explicit_list(spark, sf):
     t = Tables(spark, sf)
     found, _ = SF.explicit_list(t.files.drop("bundle"), _explicit_paths(t), t.nodes.where("is_dir"))
-    blocks = B.file_blocks(found.withColumn("okey", SF.seq_key()).withColumn("seq_", F.col("seq")),
-                           root=F.lit(""), order="okey")
-    return blocks.join(found.select("path", "seq").withColumn("okey", SF.seq_key()), ["okey", "path"]).select(
-        "seq", "path", F.md5("block").alias("block_md5"))
+    blocks = B.file_blocks(found.withColumn("okey", SF.seq_key()), root=F.lit(""), order="okey")
+    # the order key is the zero-padded list position
+    return blocks.select(F.col("okey").cast("bigint").alias("seq"), "path", F.md5("block").alias("block_md5"))
 
 
 @query("list_rejects", _with(
