@@ -710,3 +710,31 @@ def q_watch_callback(spark, sf):
                 gap_seconds=GAP_SECONDS, checkpoint=f"{folder}/checkpoint")
     q.awaitTermination()
     return spark.read.parquet(f"{folder}/seen").select("event_id", _t_us("ts"), "root", "path", "kind")
+
+
+# ---------------------------------------------------------------------------------------
+# other file sets: web pages by host, conversations in turn order
+
+
+@query("pages_bundle_stats", _with(_STATS_SQL, ["page_files"],
+                                   [("blocks", D.blocks_cte("page_files", True, True))]))
+def q_pages_bundle_stats(spark, sf):
+    pages = Tables(spark, sf).page_files
+    return B.bundle_stats(B.pack(pages, remove_comments=True, remove_docstrings=True))
+
+
+@query("pack_conversations", _with(
+    """SELECT bundle, CAST(row_number() OVER (PARTITION BY bundle ORDER BY okey) - 1 AS BIGINT) AS seq,
+         CAST(coalesce(sum(length(block)) OVER (PARTITION BY bundle ORDER BY okey
+              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset",
+         path, CAST(length(block) AS BIGINT) AS n_chars, md5(block) AS block_md5
+       FROM blocks""",
+    ["conversation_files"],
+    [("blocks", D.blocks_cte("conversation_files", okey="lpad(CAST(seq AS VARCHAR), 20, '0')"))]))
+def q_pack_conversations(spark, sf):
+    conv = Tables(spark, sf).conversation_files
+    blocks = B.header_blocks(conv).unionByName(B.file_blocks(conv.withColumn("okey", SF.seq_key()), order="okey"))
+    sized = blocks.select("bundle", "okey", "path", T.char_count("block").alias("n_chars"),
+                          F.md5("block").alias("block_md5"))
+    placed = O.positions(sized, "bundle", "okey", size="n_chars")
+    return placed.select("bundle", "seq", "offset", "path", "n_chars", "block_md5")

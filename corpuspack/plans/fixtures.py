@@ -129,6 +129,24 @@ FROM {files} WHERE doc_id % 10 <> 4
 """
 
 
+# Second file set: web pages, one bundle per host, path = host + URL path + ".html".
+_PAGE_FILES = r"""
+SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS bundle,
+  concat(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1), regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), '.html')
+    AS path,
+  html AS content
+FROM {pages}
+"""
+
+# Conversations: one bundle per conversation, one "file" per turn, in turn order.
+_CONVERSATION_FILES = """
+SELECT conv_id, concat('conv', CAST(conv_id AS {str_t})) AS bundle, turn AS seq,
+  concat('conv', CAST(conv_id AS {str_t}), '/', lpad(CAST(turn AS {str_t}), 4, '0'), '-', role, '.md') AS path,
+  text AS content
+FROM {conversations}
+"""
+
+
 def _duck(text: str) -> str:
     return text.replace("{files}", "files").replace("{events}", "events").replace("{documents}", "documents")
 
@@ -141,6 +159,8 @@ DUCK_VIEWS = {
     "change_events": _duck(_CHANGE_EVENTS),
     "snapshot_a": _duck(_SNAPSHOT_A),
     "snapshot_b": _duck(_SNAPSHOT_B),
+    "page_files": _PAGE_FILES.replace("{pages}", "pages"),
+    "conversation_files": _CONVERSATION_FILES.replace("{str_t}", "VARCHAR").replace("{conversations}", "conversations"),
 }
 # views each view reads (files first)
 _DEPENDS = {
@@ -151,6 +171,8 @@ _DEPENDS = {
     "change_events": ["files"],
     "snapshot_a": ["files"],
     "snapshot_b": ["files"],
+    "page_files": [],
+    "conversation_files": [],
 }
 
 
@@ -221,3 +243,12 @@ class Tables:
     @property
     def snapshot_b(self) -> DataFrame:
         return self._view("snapshot_b", _SNAPSHOT_B, files=self.files)
+
+    @property
+    def page_files(self) -> DataFrame:
+        return self._view("page_files", _PAGE_FILES, pages=spread(self.table("pages"), "page_id"))
+
+    @property
+    def conversation_files(self) -> DataFrame:
+        text = _CONVERSATION_FILES.replace("{str_t}", "STRING")
+        return self._view("conversation_files", text, conversations=self.table("conversations"))
