@@ -159,3 +159,18 @@ def test_comment_prefix_from_user_table(spark):
     assert got == {"a.py": ";", "b.lua": "--", "c": "#", "d.js": "#"}
     built_in = {r.path: r.prefix for r in with_comment_prefix(files).collect()}
     assert built_in == {"a.py": "#", "b.lua": "#", "c": "#", "d.js": "//"}
+
+
+def test_long_lines_and_long_docstrings_do_not_overflow(spark):
+    texts = [
+        "x" * 1_000_000 + "\n" + '"""' + "\n",
+        '"""\n' + "doc line\n" * 100_000,
+        "# c\n" * 100_000 + "code\n",
+        ("a = '''" + "y" * 500_000 + "'''\n") * 2,
+        "  // " + "z" * 500_000 + "\nkeep\n",
+    ]
+    exts = [".py", ".py", ".py", ".py", ".js"]
+    df = spark.createDataFrame(list(zip(texts, exts)), "t string, e string")
+    rows = df.select(T.transform_source(F.col("t"), F.col("e"), True, True).alias("o")).collect()
+    for t, e, r in zip(texts, exts, rows):
+        assert r.o == model_transform(t, e, True, True)
