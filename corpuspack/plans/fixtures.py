@@ -113,13 +113,15 @@ SELECT path FROM {files} WHERE doc_id % 50 = 7
   AND NOT (bundle IN ('src0', 'src1', 'src2', 'src3', 'src4') AND path LIKE concat(bundle, '/de/%'))
 """
 
+# FIXTURES' text joins the events with the one-row (max(doc_id) + 1); the same rows come
+# from that value as a scalar subquery.
 _CHANGE_EVENTS = """
 SELECT e.event_id, e.ts, f.bundle AS root, f.path,
   CASE e.event_type WHEN 'signup' THEN 'created' WHEN 'error' THEN 'deleted'
                     WHEN 'purchase' THEN 'moved' ELSE 'modified' END AS kind,
   e.event_id % 50 = 0 AS is_directory
-FROM {events} e CROSS JOIN (SELECT max(doc_id) + 1 AS n FROM {documents}) d
-JOIN {files} f ON f.doc_id = e.event_id % d.n
+FROM (SELECT *, event_id % (SELECT max(doc_id) + 1 FROM {documents}) AS doc_key FROM {events}) e
+JOIN {files} f ON f.doc_id = e.doc_key
 """
 
 _SNAPSHOT_A = "SELECT path, md5(content) AS content_hash FROM {files} WHERE doc_id % 10 <> 3"
