@@ -14,6 +14,7 @@ from collections.abc import Callable, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -121,41 +122,68 @@ def _next_pointers(ev: DataFrame, key: str, gap: int, tiebreak: str, num_ranges:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        cur, has_event, pending = None, False, []
-        out_k, out_id, out_nxt, out_first = [], [], [], []
+        names = [key, "_id", "_nxt", "_range", "_first"]
+        carry_key, carry_has, pending = None, False, np.empty(0, dtype=np.int64)
 
-        def emit(k, i, nxt, first):
-            out_k.append(k); out_id.append(i); out_nxt.append(nxt); out_first.append(first)
-
-        def flush():
-            rb = pa.RecordBatch.from_arrays(
-                [pa.array(out_k, pa.string()), pa.array(out_id, pa.int64()), pa.array(out_nxt, pa.int64()),
-                 pa.array([part] * len(out_id), pa.int32()), pa.array(out_first, pa.bool_())],
-                names=[key, "_id", "_nxt", "_range", "_first"])
-            out_k.clear(); out_id.clear(); out_nxt.clear(); out_first.clear()
-            return rb
+        def out(keys, ids, nxt, first):
+            m = len(ids)
+            return pa.RecordBatch.from_arrays(
+                [keys, pa.array(ids, pa.int64()), pa.array(nxt, pa.int64(), mask=None if nxt is None else nxt < 0)
+                 if nxt is not None else pa.nulls(m, pa.int64()),
+                 pa.array(np.full(m, part, dtype=np.int32)), pa.array(np.full(m, first))], names=names)
 
         for b in batches:
-            for k, tag, i in zip(b.column(key).to_pylist(), b.column("_tag").to_pylist(), b.column("_id").to_pylist()):
-                if k != cur:
-                    for p in pending:  # still open: the answer lies in a later range
-                        emit(cur, p, None, False)
-                    cur, has_event, pending = k, False, []
-                if tag == 0:
-                    pending.append(i)
-                    continue
-                if not has_event:  # first event of this key in this range
-                    has_event = True
-                    emit(k, i, None, True)
-                for p in pending:
-                    emit(k, p, i, False)
-                pending = []
-            if out_id:
-                yield flush()
-        for p in pending:
-            emit(cur, p, None, False)
-        if out_id:
-            yield flush()
+            n = b.num_rows
+            if n == 0:
+                continue
+            k = b.column(key)
+            key_type = k.type
+            tag = b.column("_tag").to_numpy(zero_copy_only=False)
+            ids = b.column("_id").to_numpy(zero_copy_only=False).astype(np.int64)
+            starts = np.zeros(n, dtype=bool)
+            starts[0] = True
+            if n > 1:
+                starts[1:] = pc.not_equal(k.slice(1), k.slice(0, n - 1)).fill_null(True).to_numpy(zero_copy_only=False)
+            run = np.cumsum(starts) - 1
+            run_starts = np.flatnonzero(starts)
+            n_runs = len(run_starts)
+            idx = np.arange(n)
+            # index of the first event at or after each row (n when none)
+            nxt_any = np.minimum.accumulate(np.where(tag == 1, idx, n)[::-1])[::-1]
+            in_run = (nxt_any < n) & (run[np.minimum(nxt_any, n - 1)] == run)
+            continues = carry_key is not None and k[0].as_py() == carry_key
+            # probes carried from the previous batch
+            if len(pending):
+                j = nxt_any[0]
+                if continues and j < n and run[j] == 0:
+                    yield out(pa.array([carry_key] * len(pending), k.type), pending,
+                              np.full(len(pending), ids[j], dtype=np.int64), False)
+                    pending = np.empty(0, dtype=np.int64)
+                elif not (continues and n_runs == 1):
+                    yield out(pa.array([carry_key] * len(pending), k.type), pending, None, False)
+                    pending = np.empty(0, dtype=np.int64)
+            probe = tag == 0
+            hit = np.flatnonzero(probe & in_run)
+            if len(hit):
+                yield out(k.take(pa.array(hit)), ids[hit], ids[nxt_any[hit]], False)
+            last = run == n_runs - 1
+            closed = np.flatnonzero(probe & ~in_run & ~last)
+            if len(closed):
+                yield out(k.take(pa.array(closed)), ids[closed], None, False)
+            pending = np.concatenate([pending, ids[probe & ~in_run & last]])
+            # first event of each key in this range
+            ft = nxt_any[run_starts]
+            has = (ft < n) & (run[np.minimum(ft, n - 1)] == np.arange(n_runs))
+            first_mask = has.copy()
+            if continues and carry_has:
+                first_mask[0] = False
+            fi = ft[first_mask]
+            if len(fi):
+                yield out(k.take(pa.array(fi)), ids[fi], None, True)
+            carry_has = bool(has[-1]) or (n_runs == 1 and continues and carry_has)
+            carry_key = k[n - 1].as_py()
+        if len(pending):
+            yield out(pa.array([carry_key] * len(pending), key_type), pending, None, False)
 
     local = materialize(both.mapInArrow(scan, out_schema), "throttle-nxt")
     # per (key, range): the first event of the key in any later range (<= ranges + keys rows)

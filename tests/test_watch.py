@@ -141,11 +141,13 @@ def test_throttle_jump_equals_scan_and_model(spark):
             rows.append((t / 1000, root, f"p{len(rows)}.py", False))
     ev = _events(spark, rows)
     spark.conf.set("spark.sql.shuffle.partitions", "13")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "11")  # carries across batches
     try:
         jump = {r.event_id for r in W.throttle(ev, 0.5, method="jump").collect()}
         auto = {r.event_id for r in W.throttle(ev, 0.5, method="auto", hot_rows=1000).collect()}
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     expect = set()
     for root in ["hot", "r2", "r3"]:
         idx = [i for i, r in enumerate(rows) if r[1] == root]
