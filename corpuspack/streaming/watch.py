@@ -68,20 +68,20 @@ def _scan(key: str, gap: int):
             n = b.num_rows
             if n == 0:
                 continue
-            keys = b.column(key).to_pylist()
+            kcol = b.column(key)
             t = b.column("_t").to_numpy(zero_copy_only=False).astype(np.int64)
+            bounds = [0]
+            if n > 1:
+                change = pc.not_equal(kcol.slice(1), kcol.slice(0, n - 1)).fill_null(True)
+                bounds += (np.flatnonzero(change.to_numpy(zero_copy_only=False)) + 1).tolist()
+            bounds.append(n)
             take: list[int] = []
-            s = 0
-            while s < n:
-                k = keys[s]
-                e = s + 1
-                while e < n and keys[e] == k:
-                    e += 1
+            for s, e in zip(bounds[:-1], bounds[1:]):  # one run per key
+                k = kcol[s].as_py()
                 last = carry_last if k == carry_key else None
                 kept, last = _accept_run(t[s:e], last, gap)
                 take.extend(s + j for j in kept)
                 carry_key, carry_last = k, last
-                s = e
             if take:
                 yield b.take(pa.array(take, type=pa.int64()))
 
