@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from corpuspack.functions import paths as P
 from corpuspack.functions import patterns as G
 from corpuspack.functions import text as T
+from corpuspack.functions.times import epoch_micros
 from corpuspack.functions.sql import register_sql_functions
 from corpuspack.operators import bundle as B
 from corpuspack.operators import ordering as O
@@ -550,11 +551,11 @@ def q_ext_filter(spark, sf):
 @query("watch_filter", _with(_WATCH_FILTER_SQL, ["change_events"], []))
 def q_watch_filter(spark, sf):
     ev = W.watch_filter(Tables(spark, sf).change_events, None, IGNORE_NAMES, IGNORE_PATHS, INCLUDE_NAMES)
-    return ev.select("event_id", _t_us("ts"), "root", "path", "kind")
+    return ev.select("event_id", _t_us(ev, "ts"), "root", "path", "kind")
 
 
-def _t_us(c: str):
-    return F.unix_micros(F.col(c).cast("timestamp")).alias("t_us")
+def _t_us(df: DataFrame, c: str):
+    return epoch_micros(df, c).alias("t_us")
 
 
 _GAP_US = int(GAP_SECONDS * 1_000_000)
@@ -581,7 +582,8 @@ _THROTTLE_CTES = [
 def q_throttle(spark, sf):
     ev = W.watch_filter(Tables(spark, sf).change_events, None, IGNORE_NAMES, IGNORE_PATHS, INCLUDE_NAMES)
     ev = ev.select("event_id", "ts", "root", "path", "kind")
-    return W.throttle(ev, GAP_SECONDS).select("event_id", _t_us("ts"), "root", "path", "kind")
+    kept = W.throttle(ev, GAP_SECONDS)
+    return kept.select("event_id", _t_us(kept, "ts"), "root", "path", "kind")
 
 
 @query("throttle_split", _with(
@@ -591,7 +593,8 @@ def q_throttle_split(spark, sf):
     """The throttle through its parallel form (every root treated as hot)."""
     ev = W.watch_filter(Tables(spark, sf).change_events, None, IGNORE_NAMES, IGNORE_PATHS, INCLUDE_NAMES)
     ev = ev.select("event_id", "ts", "root", "path", "kind")
-    return W.throttle(ev, GAP_SECONDS, method="jump").select("event_id", _t_us("ts"), "root", "path", "kind")
+    kept = W.throttle(ev, GAP_SECONDS, method="jump")
+    return kept.select("event_id", _t_us(kept, "ts"), "root", "path", "kind")
 
 
 @query("last_changed", _with(
@@ -602,7 +605,7 @@ def q_last_changed(spark, sf):
     ev = W.watch_filter(Tables(spark, sf).change_events, None, IGNORE_NAMES, IGNORE_PATHS, INCLUDE_NAMES)
     kept = W.throttle(ev.select("event_id", "ts", "root", "path", "kind"), GAP_SECONDS)
     out = W.last_changed(kept)
-    return out.select("root", "last_path", _t_us("last_ts").alias("last_us"), "n_kept")
+    return out.select("root", "last_path", _t_us(out, "last_ts").alias("last_us"), "n_kept")
 
 
 # ---------------------------------------------------------------------------------------
@@ -646,7 +649,7 @@ def q_throttle_stream(spark, sf):
     folder = scratch_path(spark, "throttle-stream")
     src = W.replay_source(ev.select("event_id", "ts", "root", "path", "kind"), f"{folder}/in")
     kept = W.run_to_table(W.throttle_stream(src, GAP_SECONDS), folder)
-    return kept.select("event_id", _t_us("ts"), "root", "path", "kind")
+    return kept.select("event_id", _t_us(kept, "ts"), "root", "path", "kind")
 
 
 _REBUILD_CTES = _THROTTLE_CTES + [
@@ -709,7 +712,8 @@ def q_watch_callback(spark, sf):
     q = W.watch(src, on_change, ignore_names=IGNORE_NAMES, ignore_paths=IGNORE_PATHS, include_names=INCLUDE_NAMES,
                 gap_seconds=GAP_SECONDS, checkpoint=f"{folder}/checkpoint")
     q.awaitTermination()
-    return spark.read.parquet(f"{folder}/seen").select("event_id", _t_us("ts"), "root", "path", "kind")
+    seen = spark.read.parquet(f"{folder}/seen")
+    return seen.select("event_id", _t_us(seen, "ts"), "root", "path", "kind")
 
 
 # ---------------------------------------------------------------------------------------

@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from corpuspack.functions import paths as P
+from corpuspack.functions.times import epoch_micros
 from corpuspack.functions.patterns import keyword_filter
 
 # Fixed value: the watcher's minimum gap between two accepted changes.
@@ -40,8 +41,8 @@ def watch_filter(events: DataFrame, extension: str | None = None, ignore_names:
     return df.where(keyword_filter(P.base_name(F.col("path")), F.col("path"), ignore_names, ignore_paths, include_names))
 
 
-def _micros(ts_col: str):
-    return F.unix_micros(F.col(ts_col).cast("timestamp"))
+def _micros(df: DataFrame, ts_col: str):
+    return epoch_micros(df, ts_col)
 
 
 def _accept_run(t: np.ndarray, last: int | None, gap: int) -> tuple[list[int], int | None]:
@@ -234,7 +235,7 @@ def throttle(events: DataFrame, gap_seconds: float = DEFAULT_GAP_SECONDS, key: s
     ``hot_rows`` rows go the ``jump`` way, the rest the ``scan`` way.
     """
     gap = int(round(gap_seconds * 1_000_000))
-    df = events.withColumn("_t", _micros(ts))
+    df = events.withColumn("_t", _micros(events, ts))
     spark = events.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     if gap <= 0:
@@ -294,7 +295,7 @@ def throttle_stream(events: DataFrame, gap_seconds: float = DEFAULT_GAP_SECONDS,
     :func:`throttle`.
     """
     gap = int(round(gap_seconds * 1_000_000))
-    df = events.withColumn("_t", _micros(ts))
+    df = events.withColumn("_t", _micros(events, ts))
     out_schema = T.StructType([f for f in df.schema.fields if f.name != "_t"])
     state_schema = T.StructType([T.StructField("last", T.LongType())])
     return df.groupBy(key).applyInPandasWithState(
@@ -414,15 +415,15 @@ def replay_source(events: DataFrame, folder: str, chunks: int = 4, ts: str = "ts
 
     spark = events.sparkSession
     events = materialize(events, "replay-input")  # read once per chunk below
-    bounds = events.select(_micros(ts).alias("_t")).approxQuantile("_t", [i / chunks for i in range(1, chunks)], 0.0)
+    bounds = events.select(_micros(events, ts).alias("_t")).approxQuantile("_t", [i / chunks for i in range(1, chunks)], 0.0)
     edges = [None, *sorted(set(int(b) for b in bounds)), None]
     for k in range(len(edges) - 1):
         lo, hi = edges[k], edges[k + 1]
         cond = F.lit(True)
         if lo is not None:
-            cond = cond & (_micros(ts) >= lo)
+            cond = cond & (_micros(events, ts) >= lo)
         if hi is not None:
-            cond = cond & (_micros(ts) < hi)
+            cond = cond & (_micros(events, ts) < hi)
         events.where(cond).coalesce(1).write.mode("overwrite").parquet(f"{folder}/chunk={k:05d}")
     return (
         spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1)

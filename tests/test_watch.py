@@ -153,3 +153,18 @@ def test_throttle_jump_equals_scan_and_model(spark):
         idx = [i for i, r in enumerate(rows) if r[1] == root]
         expect |= {idx[k] for k in model_throttle([round(rows[i][0] * 1000) for i in idx], 500)}
     assert jump == expect and auto == expect
+
+
+def test_epoch_micros_ignores_session_zone(spark):
+    from corpuspack.functions.times import epoch_micros
+
+    df = spark.sql("SELECT TIMESTAMP_NTZ'2024-01-01 00:00:07.179575' AS a, TIMESTAMP'2024-01-01 00:00:07Z' AS b")
+    prev = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        got = []
+        for tz in ["UTC", "America/Los_Angeles", "Asia/Kolkata"]:
+            spark.conf.set("spark.sql.session.timeZone", tz)
+            got.append(tuple(df.select(epoch_micros(df, "a"), epoch_micros(df, "b")).first()))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", prev)
+    assert set(got) == {(1704067207179575, 1704067207000000)}
