@@ -439,3 +439,27 @@ def run_to_table(stream: DataFrame, folder: str) -> DataFrame:
     )
     q.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+# ---------------------------------------------------------------------------------------
+# polling a directory tree
+
+
+def tree_snapshot(spark, root: str) -> DataFrame:
+    """``(path, content_hash)`` of every file under ``root`` (hashing runs on executors)."""
+    from corpuspack.sources.tree import list_tree
+
+    return list_tree(spark, root).where(~F.col("is_dir")).select(
+        "path", F.md5(F.coalesce(F.col("content"), F.lit(b""))).alias("content_hash"))
+
+
+def snapshot_changes(before: DataFrame, after: DataFrame, root_name: str, at=None) -> DataFrame:
+    """Rows in the ``change_events`` schema for the differences between two snapshots, so a
+    polled directory feeds the same filter -> throttle -> rebuild path as an event feed."""
+    diff = snapshot_diff(before, after)
+    ts = F.current_timestamp() if at is None else F.lit(at).cast("timestamp")
+    return diff.select(
+        F.xxhash64("path", "kind").alias("event_id"), ts.alias("ts"), F.lit(root_name).alias("root"), "path",
+        F.when(F.col("kind") == "modified", F.lit("modified")).otherwise(F.col("kind")).alias("kind"),
+        F.lit(False).alias("is_directory"),
+    )

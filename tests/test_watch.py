@@ -168,3 +168,22 @@ def test_epoch_micros_ignores_session_zone(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", prev)
     assert set(got) == {(1704067207179575, 1704067207000000)}
+
+
+def test_polled_tree_changes(spark, tmp_dir):
+    root = os.path.join(tmp_dir, "proj")
+    os.makedirs(os.path.join(root, "pkg"))
+    for name, text in [("pkg/__init__.py", "a"), ("pkg/m.py", "b"), ("gone.py", "c")]:
+        open(os.path.join(root, name), "w").write(text)
+    listing = W.tree_snapshot(spark, root)
+    before = spark.createDataFrame(listing.collect(), listing.schema)  # freeze the small test listing
+    open(os.path.join(root, "pkg/m.py"), "w").write("changed")
+    os.remove(os.path.join(root, "gone.py"))
+    open(os.path.join(root, "new.py"), "w").write("n")
+    after = W.tree_snapshot(spark, root)
+    ev = W.snapshot_changes(before, after, "proj", at=dt.datetime(2024, 1, 1))
+    got = sorted((r.path, r.kind, r.root, r.is_directory) for r in ev.collect())
+    assert got == [("gone.py", "deleted", "proj", False), ("new.py", "created", "proj", False),
+                   ("pkg/m.py", "modified", "proj", False)]
+    kept = W.throttle(W.watch_filter(ev), 0.5)
+    assert kept.count() == 1  # all three at one instant: the throttle keeps the first
