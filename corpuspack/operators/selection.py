@@ -136,7 +136,10 @@ def toggle(selection: DataFrame, targets: DataFrame, visible: DataFrame, check_d
     itself). Targets that are not visible nodes are ignored. Overlapping targets (one inside
     a directory target) make the query fail when it runs.
     """
-    info = node_info(visible)  # one aggregation, read by every step below
+    from corpuspack.session import materialize
+
+    # one aggregation, written once: every step below reads it (paths only, no content)
+    info = materialize(node_info(visible), "node-info")
     tv = targets.select("path").distinct().join(info, "path")
     dir_t = tv.where("is_dir").select("path")
     file_t = tv.where(~F.col("is_dir")).select("path")

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuspack.session import materialize, spread
+from corpuspack.session import spread, write_table
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings "
@@ -189,6 +189,10 @@ def duck_with(sql: str, *views: str) -> str:
     return f"WITH {ctes}\n{sql.strip()}"
 
 
+# (application id, data folder, view) -> folder of the written view
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
 class Tables:
     """Lazily read driver tables and derived views for one ``sf_dir``."""
 
@@ -204,11 +208,18 @@ class Tables:
 
     def _view(self, name: str, text: str, stored: bool = False, **deps: DataFrame) -> DataFrame:
         """A derived view; ``stored`` ones (small, path-only, read by many branches of a
-        plan) are written once to the shared folder and read back like the tables they
-        stand for, instead of being re-derived in every branch."""
+        plan) are written once per application and data folder to the shared folder and
+        read back like the tables they stand for, instead of being re-derived in every
+        branch and every query."""
         if name not in self._cache:
-            df = self.spark.sql(text, **deps)
-            self._cache[name] = materialize(df, f"view-{name}") if stored else df
+            if not stored:
+                self._cache[name] = self.spark.sql(text, **deps)
+            else:
+                key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+                if key not in _STORED:
+                    df = self.spark.sql(text, **deps)
+                    _STORED[key] = write_table(df, f"view-{name}")
+                self._cache[name] = self.spark.read.parquet(_STORED[key])
         return self._cache[name]
 
     @property

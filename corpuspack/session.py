@@ -73,12 +73,17 @@ def spread(df: DataFrame, key: str | None = None) -> DataFrame:
     return df.repartition(want, key) if key else df.repartition(want)
 
 
+def write_table(df: DataFrame, name: str) -> str:
+    """Write ``df`` as a parquet table in a new folder under the shared folder."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a parquet table in the shared folder and read it back: computed
     once, lineage cut, and it survives executor loss (unlike a cache)."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.parquet(write_table(df, name))
 
 
 def posix_path(uri: str) -> str:
