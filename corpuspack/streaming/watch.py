@@ -107,7 +107,6 @@ def _next_pointers(ev: DataFrame, key: str, gap: int, tiebreak: str, num_ranges:
     holding one for that key (a table of at most ranges x keys-per-range rows)."""
     from corpuspack.session import materialize
 
-    spark = ev.sparkSession
     targets = ev.select(key, F.col("_t").alias("_time"), F.lit(1).alias("_tag"), F.col("_id"), F.col(tiebreak).alias("_tb"))
     probes = ev.select(key, (F.col("_t") + F.lit(gap)).alias("_time"), F.lit(0).alias("_tag"), F.col("_id"),
                        F.lit(None).cast("long").alias("_tb"))

@@ -4,8 +4,6 @@ import datetime as dt
 import os
 import random
 
-import pandas as pd
-from pyspark.sql import functions as F
 
 from corpuspack.operators import bundle as B
 from corpuspack.streaming import watch as W
