@@ -4,7 +4,6 @@ import datetime as dt
 import os
 import random
 
-
 from corpuspack.operators import bundle as B
 from corpuspack.streaming import watch as W
 from models import model_throttle
