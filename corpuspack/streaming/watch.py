@@ -388,10 +388,10 @@ class BundleRebuilder:
         files = self.files_fn()
         vis = S.visible_files(files, self.hide)
         old_sel = self.current_selection(spark)
-        # membership is tested against the selection before the refresh, so the bundle of a
-        # deleted selected file is rebuilt too
-        hit_paths = changes.select("path").distinct().join(old_sel, "path", "left_semi")
-        hit = hit_paths.join(files.select("path", "bundle"), "path").select("bundle").distinct()
+        # membership is tested against the selection before the refresh, and the bundle is
+        # the event's root, so the bundle of a deleted selected file is rebuilt too
+        hit = (changes.select("path", F.col("root").alias("bundle")).join(old_sel, "path", "left_semi")
+               .select("bundle").distinct())
         new_sel = S.refresh_selection(old_sel, vis)
         nxt = self.version + 1
         new_sel.write.mode("overwrite").parquet(self._sel_path(nxt))

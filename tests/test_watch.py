@@ -184,3 +184,21 @@ def test_polled_tree_changes(spark, tmp_dir):
                    ("pkg/m.py", "modified", "proj", False)]
     kept = W.throttle(W.watch_filter(ev), 0.5)
     assert kept.count() == 1  # all three at one instant: the throttle keeps the first
+
+
+def test_deleted_selected_file_rebuilds_its_bundle(spark, tmp_dir):
+    before_files = spark.createDataFrame([("p", "p/a.py", "x\n"), ("p", "p/b.py", "y\n"), ("q", "q/c.py", "z\n")],
+                                         "bundle string, path string, content string")
+    after_files = before_files.where("path <> 'p/b.py'")  # b.py was deleted
+    sel = spark.createDataFrame([("p/a.py",), ("p/b.py",), ("q/c.py",)], "path string")
+    out = os.path.join(tmp_dir, "bundles")
+    B.write_bundles(B.pack(before_files.join(sel, "path", "left_semi")), out)
+    rb = W.BundleRebuilder(lambda: after_files, sel, out, os.path.join(tmp_dir, "state"))
+    src = os.path.join(tmp_dir, "ev")
+    ev = _events(spark, [(0.0, "p", "p/b.py", False)])
+    _write_stream_input(spark, ev, src, n_files=1)
+    stream = spark.readStream.schema(ev.schema).parquet(src + "/*")
+    W.watch(stream, rb, checkpoint=os.path.join(tmp_dir, "ck")).awaitTermination(120)
+    assert [b for _, bs in rb.rebuilt for b in bs] == ["p"]
+    assert "b.py" not in _bundle_text(out, "p") and "a.py" in _bundle_text(out, "p")
+    assert "c.py" in _bundle_text(out, "q")
