@@ -113,3 +113,22 @@ def test_select_glob_all_refresh(spark):
     assert _paths(S.select_all(sel, files)) == ["a.py", "b/x.py", "c.md", "empty", "gone.py"]
     assert _paths(S.refresh_selection(sel, files)) == ["a.py"]
     assert _paths(S.deselect_all(sel)) == []
+
+
+def test_tree_key_order_equals_tuple_order(spark):
+    rng = random.Random(17)
+    alphabet = list("aAbB_-. 0Zzéɛ日本ÄäÖø~")
+    paths = set()
+    while len(paths) < 400:
+        depth = rng.randint(1, 4)
+        paths.add("/".join("".join(rng.choice(alphabet) for _ in range(rng.randint(1, 4))) for _ in range(depth)))
+    rows = [(p, rng.random() < 0.3) for p in sorted(paths)]
+    df = spark.createDataFrame(rows, "path string, is_dir boolean")
+    got = [r.path for r in tree_order(df).orderBy("okey").collect()]
+
+    def key(row):
+        p, d = row
+        parts = p.split("/")
+        return [(i == len(parts) - 1 and not d, c.lower(), c) for i, c in enumerate(parts)]
+
+    assert got == [p for p, _ in sorted(rows, key=key)]
