@@ -216,10 +216,16 @@ class Tables:
                 self._cache[name] = self.spark.sql(text, **deps)
             else:
                 key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
-                if key not in _STORED:
-                    df = self.spark.sql(text, **deps)
-                    _STORED[key] = write_table(df, f"view-{name}")
-                self._cache[name] = self.spark.read.parquet(_STORED[key])
+                stored_df = None
+                if key in _STORED:
+                    try:
+                        stored_df = self.spark.read.parquet(_STORED[key])
+                    except Exception:  # the folder was cleaned up meanwhile: derive it again
+                        stored_df = None
+                if stored_df is None:
+                    _STORED[key] = write_table(self.spark.sql(text, **deps), f"view-{name}")
+                    stored_df = self.spark.read.parquet(_STORED[key])
+                self._cache[name] = stored_df
         return self._cache[name]
 
     @property
