@@ -37,5 +37,6 @@ TREE_SCHEMA = T.StructType([
     T.StructField("path", T.StringType()),
     T.StructField("is_dir", T.BooleanType()),
     T.StructField("length", T.LongType()),
+    T.StructField("mtime", T.TimestampType()),
     T.StructField("content", T.BinaryType()),
 ])

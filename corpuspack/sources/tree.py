@@ -10,6 +10,7 @@ does.
 
 from __future__ import annotations
 
+import datetime
 import os
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -56,13 +57,14 @@ class _TreeReader(DataSourceReader):
         return parts or [_Part([], [])]
 
     def _row(self, rel: str, is_dir: bool):
-        if is_dir:
-            return (rel, True, None, None)
         full = os.path.join(self.root, rel)
         try:
-            size = os.path.getsize(full)
+            st = os.stat(full)
+            size, mtime = st.st_size, datetime.datetime.fromtimestamp(st.st_mtime, datetime.timezone.utc)
         except OSError:
-            size = None
+            size, mtime = None, None
+        if is_dir:
+            return (rel, True, None, mtime, None)
         data = None
         if self.read_content:
             try:
@@ -70,7 +72,7 @@ class _TreeReader(DataSourceReader):
                     data = fh.read()
             except OSError:
                 data = None
-        return (rel, False, size, data)
+        return (rel, False, size, mtime, data)
 
     def read(self, partition):
         for rel, is_dir in partition.entries:
@@ -92,7 +94,8 @@ class TreeDataSource(DataSource):
     Options: ``readContent`` (default true), ``partitions`` (subtree tasks, default 64),
     ``driverEntries`` (entries the driver may list, default 100000), ``chunk`` (driver-listed
     entries per task, default 2000). Output: ``path`` relative to the root with '/'
-    separators, ``is_dir``, ``length``, ``content`` (raw bytes, NULL for directories).
+    separators, ``is_dir``, ``length``, ``mtime``, ``content`` (raw bytes, NULL for
+    directories).
     """
 
     @classmethod

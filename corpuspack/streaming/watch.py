@@ -444,10 +444,18 @@ def run_to_table(stream: DataFrame, folder: str) -> DataFrame:
 # polling a directory tree
 
 
-def tree_snapshot(spark, root: str) -> DataFrame:
-    """``(path, content_hash)`` of every file under ``root`` (hashing runs on executors)."""
+def tree_snapshot(spark, root: str, by: str = "content") -> DataFrame:
+    """``(path, content_hash)`` of every file under ``root``, computed on executors.
+
+    ``by="content"`` hashes the bytes (exact); ``by="stat"`` uses size and modification
+    time only, so a poll of a large tree reads no file contents.
+    """
     from corpuspack.sources.tree import list_tree
 
+    if by == "stat":
+        listed = list_tree(spark, root, read_content=False).where(~F.col("is_dir"))
+        sig = F.concat_ws(":", F.col("length").cast("string"), F.unix_micros("mtime").cast("string"))
+        return listed.select("path", F.md5(sig).alias("content_hash"))
     return list_tree(spark, root).where(~F.col("is_dir")).select(
         "path", F.md5(F.coalesce(F.col("content"), F.lit(b""))).alias("content_hash"))
 

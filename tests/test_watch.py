@@ -184,6 +184,13 @@ def test_polled_tree_changes(spark, tmp_dir):
                    ("pkg/m.py", "modified", "proj", False)]
     kept = W.throttle(W.watch_filter(ev), 0.5)
     assert kept.count() == 1  # all three at one instant: the throttle keeps the first
+    # the stat-based snapshot sees the same changes without reading contents
+    os.utime(os.path.join(root, "pkg/m.py"), (1, 1))
+    stat_after = W.tree_snapshot(spark, root, by="stat")
+    frozen = spark.createDataFrame(stat_after.collect(), stat_after.schema)
+    os.utime(os.path.join(root, "pkg/m.py"), (2, 2))
+    stat_later = W.tree_snapshot(spark, root, by="stat")
+    assert [(r.path, r.kind) for r in W.snapshot_diff(frozen, stat_later).collect()] == [("pkg/m.py", "modified")]
 
 
 def test_deleted_selected_file_rebuilds_its_bundle(spark, tmp_dir):
