@@ -197,9 +197,8 @@ def anti_contains(df: DataFrame, keywords: DataFrame, col: str, kw_col: str) ->
     if n <= KEYWORDS_BROADCAST_MAX:
         kw = F.broadcast(keywords.select(F.col(kw_col).alias("_kw")).distinct())
         return df.join(kw, F.col(col).contains(F.col("_kw")), "left_anti")
-    tagged = df.withColumn("_rid", F.monotonically_increasing_id())
-    from corpuspack.session import cut_lineage
+    from corpuspack.session import materialize
 
-    tagged = cut_lineage(tagged)  # stable ids for the join back
+    tagged = materialize(df.withColumn("_rid", F.monotonically_increasing_id()), "keyword-rows")  # stable ids
     hits = _substring_hits(tagged, col, keywords, kw_col)
     return tagged.join(hits, "_rid", "left_anti").drop("_rid")

@@ -48,3 +48,23 @@ def test_empty_keyword_matches_everything(spark):
     rows = [("a.py", "a.py")]
     assert _eval(spark, rows, lambda n, p: should_include(n, [""])) == [True]
     assert _eval(spark, rows, lambda n, p: keyword_filter(n, p, ignore_names=[""])) == [False]
+
+
+def test_keyword_table_join_both_paths(spark, monkeypatch):
+    import random
+
+    from corpuspack.operators import selection as S
+
+    rng = random.Random(2)
+    paths = ["/".join(rng.choice(["src", "tests", "lib", "a", "bé", "x_y"]) for _ in range(rng.randint(1, 4)))
+             + rng.choice([".py", ".js", ""]) for _ in range(300)]
+    kws = ["/tests/", "lib/a", "é", "x_y/src", ".js", "zzz"]
+    files = spark.createDataFrame([(p,) for p in paths], "path string")
+    table = spark.createDataFrame([(k,) for k in kws], "kw string")
+    expect = sorted(p for p in paths if not any(k in p for k in kws))
+    small = sorted(r.path for r in S.anti_contains(files, table, "path", "kw").collect())
+    monkeypatch.setattr(S, "KEYWORDS_BROADCAST_MAX", 2)  # force the substring equi-join path
+    large = sorted(r.path for r in S.anti_contains(files, table, "path", "kw").collect())
+    assert small == large == expect
+    with_empty = spark.createDataFrame([(k,) for k in kws + [""]], "kw string")
+    assert S.anti_contains(files, with_empty, "path", "kw").count() == 0
