@@ -48,3 +48,22 @@ def test_bundle_sink_keeps_order_for_the_writer(spark):
     frame = B.sink_frame(B.pack(files), observation=Observation("t"))
     order = frame._jdf.queryExecution().optimizedPlan().outputOrdering().toString()
     assert order.startswith("List(bundle") and "ASC" in order
+
+
+def test_flagship_plan_shape(spark):
+    """Per-bundle statistics: no join at all, and every exchange moves either the
+    redistributed input or tiny per-bundle rows (partial aggregation before the shuffle)."""
+    df = catalog.REGISTRY["bundle_stats"](spark, SF001)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+    exchanges = [ln for ln in plan.splitlines() if "Exchange" in ln]
+    assert len(exchanges) <= 4, exchanges
+    assert "HashAggregate" in plan and "partial_" in plan
+
+
+def test_sink_uses_one_range_exchange(spark):
+    from corpuspack.operators import bundle as B
+
+    files = spark.createDataFrame([("b", "b/x.py", "x\n")], "bundle string, path string, content string")
+    plan = B.sink_frame(B.pack(files))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("rangepartitioning(bundle") == 1
