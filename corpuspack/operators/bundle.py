@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 from corpuspack.functions import paths as P
 from corpuspack.functions import text as T
 
-BLOCK_COLS = ["bundle", "okey", "path", "is_file", "block"]
-
 
 def _lit_fmt(fmt: str, prefix: Column, **cols: Column) -> Column:
     """Build ``fmt`` (``{p}`` and named fields) as a concat of literals and columns."""
