@@ -151,3 +151,26 @@ def test_line_array_api(spark):
     assert r.b == lines[1:]
     assert r.c == [lines[0], lines[1], lines[3]]
     assert r.p == "#"
+
+
+def test_one_bundle_holding_everything_matches_duckdb(spark, tmp_dir):
+    """Skew extreme on the driver data: every file in one bundle, written over several
+    ranges, equals DuckDB's single ordered string_agg of the same blocks."""
+    import duckdb
+
+    from conftest import SF001 as SF001_DIR
+    from corpuspack.plans import duck as D
+    from corpuspack.plans.fixtures import DUCK_FILES, Tables
+
+    files = Tables(spark, SF001_DIR).files.withColumn("bundle", F.lit("all"))
+    out = os.path.join(tmp_dir, "one")
+    n = B.write_bundles(B.pack(files, remove_comments=True, remove_docstrings=True), out, num_ranges=6)
+    got, n_parts = _read_back(out, "all")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF001_DIR}/documents.parquet')")
+    sql = (f"WITH files AS ({DUCK_FILES}), src AS (SELECT 'all' AS bundle, path, content FROM files), "
+           f"blocks AS ({D.blocks_cte('src', True, True)}) "
+           "SELECT string_agg(block, '' ORDER BY okey), count(*) FILTER (WHERE is_file) FROM blocks")
+    expect, n_files = con.execute(sql).fetchone()
+    assert n_parts > 1 and n == n_files
+    assert got == expect
