@@ -137,6 +137,22 @@ def is_simple_glob(pattern: str) -> bool:
     return not any(t[0] == "set" for t in _tokens(pattern))
 
 
+def can_match_trailing_slash(pattern: str) -> bool:
+    """Whether the glob can match some string ending with '/' (its last token must be
+    able to match '/'). Globs that cannot are skipped in the directory test."""
+    toks = _tokens(pattern)
+    if not toks:
+        return False
+    last = toks[-1]
+    if last is _STAR or last is _ANY:
+        return True
+    if last[0] == "lit":
+        return last[1] == "/"
+    _, negate, items = last
+    inside = any(lo <= "/" <= hi for lo, hi in items)
+    return inside != negate
+
+
 def glob_to_regex(pattern: str) -> str:
     """Anchored regex for a glob; valid for both java.util.regex and RE2."""
     parts = []

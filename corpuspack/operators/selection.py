@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuspack.functions import paths as P
-from corpuspack.functions.patterns import any_glob
+from corpuspack.functions.patterns import any_glob, can_match_trailing_slash
 
 
 def hidden(path="path", is_dir="is_dir", hide: Sequence[str] = ()):
@@ -25,9 +25,10 @@ def hidden(path="path", is_dir="is_dir", hide: Sequence[str] = ()):
     p = F.col(path) if isinstance(path, str) else path
     d = F.col(is_dir) if isinstance(is_dir, str) else is_dir
     by_name = F.exists(P.parts(p), lambda c: c.startswith(".") | any_glob(c, hide))
-    if not hide:
+    dir_globs = [g for g in hide if can_match_trailing_slash(g)]  # others never match "dir/"
+    if not dir_globs:
         return by_name
-    by_dir = F.exists(P.ancestors(p, include_self=d), lambda a: any_glob(F.concat(a, F.lit("/")), hide))
+    by_dir = F.exists(P.ancestors(p, include_self=d), lambda a: any_glob(F.concat(a, F.lit("/")), dir_globs))
     return by_name | by_dir
 
 

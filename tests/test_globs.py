@@ -71,3 +71,17 @@ def test_parse_patterns():
     assert parse_patterns(True, "__pycache__,*.meta") == ["__pycache__", "*.meta"]
     assert parse_patterns(" *.py , ,\t*.md\n,") == ["*.py", "*.md"]
     assert parse_patterns(["a", " ", " b "]) == ["a", "b"]
+
+
+def test_trailing_slash_filter_is_safe():
+    from corpuspack.functions.patterns import can_match_trailing_slash
+
+    rng = random.Random(8)
+    for _ in range(3000):
+        pat = _rand_glob(rng)
+        if not can_match_trailing_slash(pat):
+            for _ in range(20):
+                assert not fnmatch.fnmatchcase(_rand_text(rng) + "/", pat), pat
+    assert not can_match_trailing_slash("__pycache__") and not can_match_trailing_slash("*.meta")
+    assert can_match_trailing_slash("src1[0-3]/fr/") and can_match_trailing_slash("Test_*")
+    assert can_match_trailing_slash("a[!x]") and not can_match_trailing_slash("a[!/]")
