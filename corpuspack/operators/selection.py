@@ -151,9 +151,10 @@ def toggle(selection: DataFrame, targets: DataFrame, visible: DataFrame, check_d
     affected = lv.select("path", F.explode(P.ancestors(F.col("path"), include_self=True)).alias("target")).join(
         flags, "target"
     )
-    remove = affected.where("any_selected").select("path")
-    add = affected.where(~F.col("any_selected")).select("path")
-    after_dirs = selection.select("path").join(remove, "path", "left_anti").unionByName(add).distinct()
+    # one outer join does both: a path stays (or enters) unless a target above it had a
+    # selected descendant; paths outside every target keep their state
+    merged = selection.select("path").distinct().join(affected.select("path", "any_selected"), "path", "full")
+    after_dirs = merged.where(~F.coalesce(F.col("any_selected"), F.lit(False))).select("path")
     out = toggle_files(after_dirs, file_t)
     if check_disjoint:
         bad = overlapping_targets(dir_t, tv.select("path"))
