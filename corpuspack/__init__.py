@@ -32,6 +32,28 @@ from corpuspack.operators.bundle import (
     written_stats,
 )
 
+from corpuspack.operators.selection import (
+    dir_rollup,
+    empty_dirs,
+    refresh_selection,
+    select_all,
+    select_glob,
+    toggle,
+    visible_files,
+    visible_nodes,
+)
+from corpuspack.sources.tree import list_tree
+from corpuspack.streaming.watch import (
+    BundleRebuilder,
+    snapshot_changes,
+    snapshot_diff,
+    throttle,
+    throttle_stream,
+    tree_snapshot,
+    watch,
+    watch_filter,
+)
+
 # names of the original tool's functions, as column functions
 get_comment_prefix = comment_prefix
 apply_transformations = transform_line_array
@@ -44,4 +66,7 @@ __all__ = [
     "remove_docstrings", "remove_docstrings_lines", "remove_python_docstrings", "should_ignore", "should_include",
     "split_lines", "strip_comments", "strip_comments_lines", "strip_single_line_comments", "transform_line_array",
     "transform_source", "write_bundles", "written_stats",
+    "dir_rollup", "empty_dirs", "refresh_selection", "select_all", "select_glob", "toggle", "visible_files",
+    "visible_nodes", "list_tree", "BundleRebuilder", "snapshot_changes", "snapshot_diff", "throttle",
+    "throttle_stream", "tree_snapshot", "watch", "watch_filter",
 ]
