@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuspack.llm import prefix_counts, token_file
+from corpuspack.llm import host_rules, prefix_counts, source_mix, token_file
 from corpuspack.llm.common import table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,17 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_host_rules")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_rules.judge(table(spark, sf_dir, "documents")).drop("n_lines")
+
+
+@query("op3_source_mix")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = source_mix.mix(table(spark, sf_dir, "documents"))
+    return mixed.withColumn("taken", F.col("size") * F.col("copies"))
+
+
 @query("op5_token_file")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.token_file(table(spark, sf_dir, "documents"))
