@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuspack.llm import host_rules, prefix_counts, source_mix, token_file
+from corpuspack.llm import host_rules, near_dup, prefix_counts, source_mix, token_file
 from corpuspack.llm.common import table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.withColumn("taken", F.col("size") * F.col("copies"))
 
 
+@query("op4_near_dup")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query("op5_token_file")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.token_file(table(spark, sf_dir, "documents"))
