@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuspack.llm import host_rules, near_dup, prefix_counts, source_mix, token_file
+from corpuspack.llm import decontam, host_rules, near_dup, prefix_counts, source_mix, token_file
 from corpuspack.llm.common import table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +45,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.token_file(table(spark, sf_dir, "documents"))
 
 
+@query("op6_decontam")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op10_prefix_counts")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = prefix_counts.prefix_table(table(spark, sf_dir, "documents"), keep_steps=False)
