@@ -1,25 +1,53 @@
-"""A corpus pipeline over ``documents``: each stage's result is written as Parquet and read back
-as the next stage's documents.
+"""A corpus pipeline over ``documents``.
 
-The stages, in order, each one training-data operator: token files (5).
-``ORACLE_SQL`` is None: tokenizers and alignments have no SQL form; tests hold the pipeline
-against a brute-force version.
+Five stages, each one training-data operator. A stage takes the documents that the one before
+kept and returns documents again, the last one where each document's ids lie in the token files.
+Every stage's result is written as Parquet in the shared folder and read back.
+
+``ORACLE_SQL`` is None: tokenizers and alignments have no SQL form; ``tests/llm`` holds the whole
+pipeline against a brute-force version.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuspack.llm import token_file
+from corpuspack.llm import decontam, host_rules, near_dup, source_mix, token_file
 from corpuspack.session import materialize
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that a quality rule rejects go."""
+    return host_rules.keep(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    return near_dup.keep(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that a benchmark item leaks into go."""
+    return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    return source_mix.emit(docs)
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Write the documents as token files and read back where each one lies."""
     return token_file.token_file(docs)
 
 
-STAGES = [("token file", tokens)]
+STAGES = [
+    ("quality rules", quality),
+    ("near-duplicates", near_duplicates),
+    ("decontamination", decontaminate),
+    ("source mix", mix),
+    ("token file", tokens),
+]
 
 ORACLE_SQL = None
 
