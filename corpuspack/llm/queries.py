@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuspack.llm import decontam, host_rules, main_text, near_dup, prefix_counts, source_mix, token_file
+from corpuspack.llm import decontam, host_rules, main_text, near_dup, pii, prefix_counts, source_mix, token_file
 from corpuspack.llm.common import table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,6 +55,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text.extract(table(spark, sf_dir, "pages"))
 
 
+@query("op8_pii")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.personal_data(table(spark, sf_dir, "documents")))
+
+
 @query("op10_prefix_counts")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = prefix_counts.prefix_table(table(spark, sf_dir, "documents"), keep_steps=False)
