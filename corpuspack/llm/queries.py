@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuspack.llm import decontam, host_rules, main_text, near_dup, pii, prefix_counts, source_mix, token_file
+from corpuspack.llm import decontam, host_rules, line_dedup, main_text, near_dup, pii, prefix_counts, site_quality, source_mix, token_file
 from corpuspack.llm.common import table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.judge(table(spark, sf_dir, "documents")).drop("n_lines")
 
 
+@query("op2_line_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_classes(table(spark, sf_dir, "documents"))
+
+
 @query("op3_source_mix")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = source_mix.mix(table(spark, sf_dir, "documents"))
@@ -60,6 +65,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.personal_data(table(spark, sf_dir, "documents")))
 
 
+@query("op9_site_quality")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_quality.site_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op10_prefix_counts")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = prefix_counts.prefix_table(table(spark, sf_dir, "documents"), keep_steps=False)
