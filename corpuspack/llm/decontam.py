@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from corpuspack.llm import common
 
@@ -158,8 +159,8 @@ def parts(items: DataFrame, part_words: int) -> Iterator[Items]:
     count = max(1, -(-chars // (2 * part_words)))  # a word takes two characters at least
     for k in range(count):
         mine = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == k).orderBy("item_id", "text")
-        got = mine.select("item_id", "text").toPandas()
-        yield Items.make([None if v != v else v for v in got["item_id"].tolist()], got["text"].tolist())
+        got = mine.select("item_id", "text").collect()
+        yield Items.make([r["item_id"] for r in got], [r["text"] for r in got])
 
 
 def document_counts(docs: DataFrame, items: Items) -> dict[int, int]:
@@ -195,6 +196,7 @@ def contaminated(docs: DataFrame, items: DataFrame, part_words: int = PART_WORDS
     text's stretch for each leak of an item (item_id, text) into a document (doc_id, text)."""
     spark = docs.sparkSession
     kind = items.schema["item_id"].dataType.simpleString()
+    arrow_kind = to_arrow_type(items.schema["item_id"].dataType)
     schema = f"doc_id long, item_id {kind}, score long, similarity double, first_word long, end_word long"
     out = spark.createDataFrame([], schema)
     for part in prepared(docs, items, part_words):
@@ -207,7 +209,7 @@ def contaminated(docs: DataFrame, items: DataFrame, part_words: int = PART_WORDS
                 found = list(p.leaks(batch.column(1)))
                 if found:
                     ids = batch.column(0).take(pa.array([f[0] for f in found]))
-                    columns = [[p.names[f[1]] for f in found], [f[2] for f in found],
+                    columns = [pa.array([p.names[f[1]] for f in found], arrow_kind), [f[2] for f in found],
                                [f[2] / float(lengths[f[1]]) for f in found], [f[3] for f in found], [f[4] for f in found]]
                     yield pa.RecordBatch.from_arrays(
                         [ids, *map(pa.array, columns)],
@@ -221,6 +223,7 @@ def contaminated(docs: DataFrame, items: DataFrame, part_words: int = PART_WORDS
 def clean(docs: DataFrame, items: DataFrame, part_words: int = PART_WORDS) -> DataFrame:
     """The rows of docs that no test item leaks into."""
     text = docs.columns.index("text")
+    kept = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # whatever the columns' names
     for part in prepared(docs, items, part_words):
         sent = docs.sparkSession.sparkContext.broadcast(part)
 
@@ -230,5 +233,5 @@ def clean(docs: DataFrame, items: DataFrame, part_words: int = PART_WORDS) -> Da
                 keep[[f[0] for f in sent.value.leaks(batch.column(text))]] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+        kept = kept.mapInArrow(run, kept.schema)
+    return kept.toDF(*docs.columns)
