@@ -10,6 +10,7 @@ an anchored regex that Java and RE2 read the same way (every literal as ``\\x{..
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
@@ -60,76 +61,40 @@ def _hexchar(ch: str) -> str:
 
 
 def _set_items(body: str) -> list[tuple[str, str]]:
-    """Members of a glob set body (without the leading '!') as (lo, hi) pairs.
+    """Members of a glob set body (without the leading '!') as (lo, hi) pairs, left to right.
 
-    The first character is always literal; afterwards a '-' joins its neighbours into a
-    range and the character after a range end cannot start another range. A trailing '-'
-    is literal. A reversed range drops both of its end points.
+    Three characters with '-' in the middle are a range, anything else is itself, so a '-'
+    at either end or right after a range is literal. A reversed range holds nothing.
     """
-    pieces: list[str] = []  # text between range operators
-    start, k = 0, 1
-    while True:
-        k = body.find("-", k)
-        if k < 0:
-            break
-        pieces.append(body[start:k])
-        start, k = k + 1, k + 3
-    tail = body[start:]
-    if tail:
-        pieces.append(tail)
-    else:
-        pieces[-1] += "-"
-    # drop reversed ranges, scanning from the right like the set is built
-    idx = len(pieces) - 1
-    while idx > 0:
-        left, right = pieces[idx - 1], pieces[idx]
-        if left[-1] > right[0]:
-            pieces[idx - 1] = left[:-1] + right[1:]
-            del pieces[idx]
-        idx -= 1
-    items: list[tuple[str, str]] = []
-    for n, piece in enumerate(pieces):
-        chars = list(piece)
-        if n > 0 and chars:  # first char closes the range opened by the previous piece
-            lo = items.pop()[0] if items else None
-            if lo is not None:
-                items.append((lo, chars[0]))
-                chars = chars[1:]
-        items.extend((c, c) for c in chars)
-    return items
+    members: list[tuple[str, str]] = []
+    at = 0
+    while at < len(body):
+        three = body[at:at + 3]
+        if len(three) == 3 and three[1] == "-":
+            if three[0] <= three[2]:
+                members.append((three[0], three[2]))
+            at += 3
+        else:
+            members.append((three[0], three[0]))
+            at += 1
+    return members
+
+
+# A run of stars, any one character, a set (its first member may be ']'), a character.
+_TOKEN = re.compile(r"(?P<star>\*+)|(?P<any>\?)|\[(?P<no>!?+)(?P<set>\][^\]]*|[^\]]+)\]|(?P<lit>.)", re.S)
 
 
 def _tokens(pattern: str) -> list:
     out: list = []
-    i, n = 0, len(pattern)
-    while i < n:
-        c = pattern[i]
-        i += 1
-        if c == "*":
-            if not out or out[-1] is not _STAR:
-                out.append(_STAR)
-        elif c == "?":
+    for m in _TOKEN.finditer(pattern):
+        if m["star"]:
+            out.append(_STAR)
+        elif m["any"]:
             out.append(_ANY)
-        elif c == "[":
-            j = i
-            if j < n and pattern[j] == "!":
-                j += 1
-            if j < n and pattern[j] == "]":
-                j += 1
-            while j < n and pattern[j] != "]":
-                j += 1
-            if j >= n:
-                out.append(("lit", "["))
-                continue
-            body = pattern[i:j]
-            i = j + 1
-            negate = body.startswith("!")
-            if negate:
-                body = body[1:]
-            items = _set_items(body) if body else []
-            out.append(("set", negate, items))
+        elif m["set"]:
+            out.append(("set", bool(m["no"]), _set_items(m["set"])))
         else:
-            out.append(("lit", c))
+            out.append(("lit", m["lit"]))
     return out
 
 
