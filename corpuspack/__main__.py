@@ -3,11 +3,14 @@
     spark-submit -m corpuspack pack --tree /data/repo --out /data/bundles --select '*.py' \
         --ignore --strip-comments
     python -m corpuspack pack --files /tables/files --out /tables/bundles --select
-    python -m corpuspack watch --files /tables/files --events /tables/changes --out ... --once
+    python -m corpuspack watch --files /tables/files --events /tables/changes --out ... --state ... --once
+    python -m corpuspack watch --tree /data/repo --out /data/bundles --state /data/state --select
 
 ``--files`` is a table with ``bundle, path, content``; ``--tree`` lists a folder (the
 bundle is the folder's name). ``--ignore`` / ``--select`` take comma-separated globs; given
-without a value they mean ``__pycache__,*.meta`` / ``*.py``.
+without a value they mean ``__pycache__,*.meta`` / ``*.py``. ``watch`` goes on until it is
+stopped (``--once``: until what is there is done); with the same ``--state`` folder it resumes.
+A watched ``--tree`` without ``--events`` is polled.
 """
 
 from __future__ import annotations
@@ -16,15 +19,15 @@ import argparse
 import json
 import os
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuspack.functions.patterns import DEFAULT_HIDE, DEFAULT_SELECT, parse_patterns
 from corpuspack.functions.text import read_text
 from corpuspack.operators import bundle as B
 from corpuspack.operators import selection as S
-from corpuspack.session import shared_dir
-from corpuspack.sources.tree import list_tree
+from corpuspack.session import materialize, ship
+from corpuspack.sources.tree import list_tree, read_listed
 
 
 def _args(argv=None):
@@ -42,7 +45,9 @@ def _args(argv=None):
         a.add_argument("--strip-comments", action="store_true")
         a.add_argument("--remove-docstrings", action="store_true")
         if name == "watch":
-            a.add_argument("--events", required=True, help="folder of change_events files")
+            a.add_argument("--events", help="folder of change_events files")
+            a.add_argument("--state", required=True, help="folder that keeps the watch's state between runs")
+            a.add_argument("--every", type=float, default=2.0, help="seconds between polls of a tree")
             a.add_argument("--gap", type=float, default=0.5)
             a.add_argument("--ignore-names", default="")
             a.add_argument("--ignore-paths", default="")
@@ -51,26 +56,40 @@ def _args(argv=None):
     return p.parse_args(argv)
 
 
-def _files(spark, a):
+def _paths(spark, a) -> DataFrame:
+    """``(bundle, path)`` and, of a tree, where each file lies; hidden parts aren't entered."""
     if a.files:
         return spark.read.format(a.format).load(a.files)
-    root = os.path.basename(os.path.normpath(a.tree))
-    listed = list_tree(spark, a.tree).where(~F.col("is_dir"))
-    return listed.select(F.lit(root).alias("bundle"), F.concat(F.lit(root + "/"), "path").alias("path"),
-                         read_text(F.col("content")).alias("content"))
+    name = os.path.basename(os.path.normpath(a.tree))
+    out = os.path.relpath(os.path.abspath(a.out), os.path.abspath(a.tree))
+    listed = list_tree(spark, a.tree, read_content=False, hide=parse_patterns(a.ignore, DEFAULT_HIDE),
+                       exclude=[] if out.startswith("..") else [out])
+    return listed.where(~F.col("is_dir")).select(
+        F.lit(name).alias("bundle"), F.concat(F.lit(name + "/"), "path").alias("path"), F.col("path").alias("at"))
+
+
+def _files(spark, a, selection: DataFrame | None = None) -> DataFrame:
+    """``(bundle, path, content)``; of a tree only the selected files are read."""
+    rows = _paths(spark, a)
+    if a.files:
+        return rows
+    if selection is not None:
+        rows = S.keep_selected(rows, selection)
+    read = read_listed(rows.select("bundle", F.col("path").alias("shown"), F.col("at").alias("path")), a.tree)
+    return read.select("bundle", F.col("shown").alias("path"), read_text(F.col("content")).alias("content"))
 
 
 def main(argv=None) -> None:
     a = _args(argv)
     spark = SparkSession.builder.appName(f"corpuspack-{a.cmd}").getOrCreate()
+    ship(spark)
     hide = parse_patterns(a.ignore, DEFAULT_HIDE)
     select = parse_patterns(a.select, DEFAULT_SELECT)
-    files = _files(spark, a)
-    vis = S.visible_files(files, hide)
-    selection = S.select_glob(vis, select)
+    options = {"remove_comments": a.strip_comments, "remove_docstrings": a.remove_docstrings}
+    selection = S.select_glob(S.visible_files(_paths(spark, a), hide), select)
     if a.cmd == "pack":
-        stats = B.build_bundles(vis, selection, a.out, remove_comments=a.strip_comments,
-                                remove_docstrings=a.remove_docstrings)
+        selection = materialize(selection, "selection")
+        stats = B.build_bundles(S.visible_files(_files(spark, a, selection), hide), selection, a.out, **options)
         if stats is None:
             print(json.dumps({"bundles": 0, "note": "no files selected; nothing written"}))
             return
@@ -80,16 +99,24 @@ def main(argv=None) -> None:
         return
     from corpuspack.streaming import watch as W
 
-    state = f"{shared_dir(spark).rstrip('/')}/watch-state"
-    rebuild = W.BundleRebuilder(lambda: files, selection, a.out, state, hide=hide,
-                                remove_comments=a.strip_comments, remove_docstrings=a.remove_docstrings)
+    state = a.state.rstrip("/")
+    # a new DataFrame each time: an old one keeps the list of files of its day
+    rebuild = W.BundleRebuilder(lambda: _files(spark, a), selection, a.out, state, hide=hide, **options)
+    polled = a.tree and not a.events
+    if polled:
+        W.poll_tree(spark, a.tree, state, hide=hide)
     rebuild.build_all(spark)
     schema = "event_id long, ts timestamp, root string, path string, kind string, is_directory boolean"
-    events = spark.readStream.schema(schema).parquet(a.events)
+    folder = f"{state}/events" if polled else a.events
+    if polled:
+        spark.createDataFrame([], schema).write.mode("append").parquet(folder)
+    events = spark.readStream.schema(schema).parquet(folder)
     q = W.watch(events, rebuild, ignore_names=parse_patterns(a.ignore_names),
                 ignore_paths=parse_patterns(a.ignore_paths), include_names=parse_patterns(a.include_names),
                 gap_seconds=a.gap, checkpoint=f"{state}/checkpoint",
-                trigger={"availableNow": True} if a.once else {"processingTime": "1 second"})
+                trigger={"availableNow": True} if a.once else None)
+    while polled and not a.once and not q.awaitTermination(a.every):
+        W.poll_tree(spark, a.tree, state, hide=hide)
     q.awaitTermination()
 
 

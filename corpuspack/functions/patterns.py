@@ -98,6 +98,17 @@ def _tokens(pattern: str) -> list:
     return out
 
 
+def longest_literal(pattern: str) -> str:
+    """The longest run of literal characters of a glob ('' if it has none)."""
+    runs = [""]
+    for t in _tokens(pattern):
+        if t[0] == "lit":
+            runs[-1] += t[1]
+        else:
+            runs.append("")
+    return max(runs, key=len)
+
+
 def is_simple_glob(pattern: str) -> bool:
     return not any(t[0] == "set" for t in _tokens(pattern))
 

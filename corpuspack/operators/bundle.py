@@ -42,6 +42,14 @@ def with_file_columns(files: DataFrame, root: str | Column = "bundle") -> DataFr
     )
 
 
+def _block(text_col: str, remove_comments: bool, remove_docstrings: bool, marker: str) -> Column:
+    """The block of a row that has its file columns."""
+    body = T.transform_source(F.col(text_col), F.col("ext"), remove_comments, remove_docstrings)
+    prefix = T.comment_prefix(F.col("ext")) if marker == "by_extension" else F.lit(marker)
+    rel = F.col("rel")
+    return F.concat(_lit_fmt(T.BEGIN_FMT, prefix, path=rel), body, _lit_fmt(T.END_FMT, prefix, path=rel))
+
+
 def file_blocks(files: DataFrame, *, text_col: str = "content", remove_comments: bool = False,
                 remove_docstrings: bool = False, marker: str = "#", root: str | Column = "bundle",
                 order: str | Column | None = None) -> DataFrame:
@@ -53,21 +61,23 @@ def file_blocks(files: DataFrame, *, text_col: str = "content", remove_comments:
     caller's list position).
     """
     df = with_file_columns(files, root).where(F.col(text_col).isNotNull())
-    body = T.transform_source(F.col(text_col), F.col("ext"), remove_comments, remove_docstrings)
-    prefix = T.comment_prefix(F.col("ext")) if marker == "by_extension" else F.lit(marker)
-    rel = F.col("rel")
-    block = F.concat(
-        _lit_fmt(T.BEGIN_FMT, prefix, path=rel), body, _lit_fmt(T.END_FMT, prefix, path=rel)
-    )
-    okey = P.tree_key(rel) if order is None else (F.col(order) if isinstance(order, str) else order)
+    block = _block(text_col, remove_comments, remove_docstrings, marker)
+    okey = P.tree_key(F.col("rel")) if order is None else (F.col(order) if isinstance(order, str) else order)
     return df.select(
         "bundle", okey.alias("okey"), F.col("path"), F.lit(True).alias("is_file"), block.alias("block")
     )
 
 
-def header_blocks(files: DataFrame, marker: str = "#") -> DataFrame:
-    """One header row per bundle (order key '' sorts before every file)."""
-    header = _lit_fmt(T.HEADER_FMT, F.lit(marker if marker != "by_extension" else "#"), root=F.col("bundle"))
+def _header(marker: str, root: str | Column) -> Column:
+    """Header text: the source root, or the bundle's id where that is empty."""
+    root_c = F.col(root) if isinstance(root, str) else root
+    shown = F.when(F.length(root_c) > 0, root_c).otherwise(F.col("bundle"))
+    return _lit_fmt(T.HEADER_FMT, F.lit(marker if marker != "by_extension" else "#"), root=shown)
+
+
+def header_blocks(files: DataFrame, marker: str = "#", root: str | Column = "bundle") -> DataFrame:
+    """One header row per bundle (order key '' sorts before every file). Reads no content."""
+    header = _header(marker, root)
     return files.select("bundle").distinct().select(
         "bundle", F.lit("").alias("okey"), F.lit(None).cast("string").alias("path"),
         F.lit(False).alias("is_file"), header.alias("block"),
@@ -76,8 +86,24 @@ def header_blocks(files: DataFrame, marker: str = "#") -> DataFrame:
 
 def pack(files: DataFrame, **kw) -> DataFrame:
     """Header and file blocks of every bundle (unordered rows; order by ``okey``)."""
-    marker = kw.get("marker", "#")
-    return header_blocks(files, marker).unionByName(file_blocks(files, **kw))
+    return header_blocks(files, kw.get("marker", "#"), kw.get("root", "bundle")).unionByName(file_blocks(files, **kw))
+
+
+def pack_stats(files: DataFrame, *, text_col: str = "content", remove_comments: bool = False,
+               remove_docstrings: bool = False, marker: str = "#", root: str | Column = "bundle") -> DataFrame:
+    """Files, lines, characters and KB of every bundle in one pass over the files. The header's
+    size is added per bundle; a bundle whose files are all rejected is its header."""
+    df = with_file_columns(files, root)
+    block = _block(text_col, remove_comments, remove_docstrings, marker)  # NULL where the text is
+    agg = df.groupBy("bundle").agg(
+        F.count(text_col).cast("bigint").alias("n_files"), F.sum(T.newline_count(block)).alias("_lines"),
+        F.sum(T.char_count(block)).alias("_chars"), *([] if isinstance(root, str) else [F.first(root).alias("_root")]))
+    header = _header(marker, root if isinstance(root, str) else F.col("_root"))
+    out = agg.select(
+        "bundle", "n_files",
+        (F.coalesce("_lines", F.lit(0)) + T.newline_count(header) + 1).cast("bigint").alias("n_lines"),
+        (F.coalesce("_chars", F.lit(0)) + T.char_count(header)).cast("bigint").alias("n_chars"))
+    return out.withColumn("kb", F.bround(F.col("n_chars") / 1024.0, 1))
 
 
 def block_summary(blocks: DataFrame) -> DataFrame:
@@ -105,30 +131,56 @@ def processed_count(blocks: DataFrame) -> DataFrame:
     return blocks.where("is_file").groupBy("bundle").agg(F.count(F.lit(1)).alias("n_processed"))
 
 
-def sink_frame(blocks: DataFrame, num_ranges: int | None = None, observation=None) -> DataFrame:
-    """``(bundle, value)`` rows in bundle order, range-partitioned on (bundle, okey).
+def range_starts(keys: DataFrame, num_ranges: int) -> DataFrame:
+    """One row with the sorted first keys ``(bundle, okey)`` of at most ``num_ranges`` even ranges."""
+    key = F.struct("bundle", "okey")
+    firsts = keys.select("bundle", "okey").repartitionByRange(num_ranges, "bundle", "okey").groupBy(
+        F.spark_partition_id()).agg(F.min(key).alias("first"))
+    return firsts.agg(F.sort_array(F.collect_list("first")).alias("starts"))
+
+
+def range_id(starts: Column, step: int) -> Column:
+    """Number of the range that a row's ``(bundle, okey)`` lies in: first among every ``step``-th
+    start, then among the ``step`` from there on."""
+    key = F.struct("bundle", "okey")
+    coarse = F.size(F.filter(starts, lambda s, i: (i % step == 0) & (s <= key)))
+    near = F.slice(starts, F.greatest((coarse - 1) * step + 1, F.lit(1)), F.lit(step))
+    fine = F.size(F.filter(near, lambda s: s <= key))
+    return F.greatest((F.greatest(coarse, F.lit(1)) - 1) * step + fine - 1, F.lit(0)).cast("int")
+
 
-    Each value is the block minus its final newline (the text sink adds it back). The
-    optional observation counts file blocks above the exchange (the range sampling pass
-    must not count rows) and below the sort (so a writer sees the (bundle, okey) order and
-    adds no sort of its own, which could reorder the blocks of a bundle).
+def sink_frame(blocks: DataFrame, num_ranges: int | None = None, observation=None,
+               keys: DataFrame | None = None) -> DataFrame:
+    """``(bundle, value)`` rows in bundle order, split into ranges of (bundle, okey).
+
+    Each value is the block minus its final newline (the text sink adds it back). The ranges
+    come from ``keys(bundle, okey)``, which need no content; the blocks themselves are made
+    and shuffled once, by range number. The observation counts file blocks.
     """
+    spark = blocks.sparkSession
+    n = num_ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    starts = range_starts(blocks if keys is None else keys, n).scalar()
     rows = blocks.select(
-        "bundle", "okey", "is_file", F.expr("substring(block, 1, length(block) - 1)").alias("value")
-    )
-    # without a fixed count AQE may merge neighbouring ranges (order is kept)
-    ranged = (rows.repartitionByRange(num_ranges, "bundle", "okey") if num_ranges
-              else rows.repartitionByRange("bundle", "okey"))
+        "bundle", "okey", "is_file", F.expr("substring(block, 1, length(block) - 1)").alias("value"),
+        starts.alias("_starts")).withColumn("_range", range_id(F.col("_starts"), max(1, int(n**0.5)))).drop("_starts")
+    ranged = rows.repartitionById(n, "_range")
     if observation is not None:
         ranged = ranged.observe(observation, F.count_if(F.col("is_file")).alias("n_files"))
     return ranged.sortWithinPartitions("bundle", "okey").select("bundle", "value")
 
 
-def write_bundles(blocks: DataFrame, out_dir: str, num_ranges: int | None = None, only_written: bool = False) -> int:
+def file_keys(files: DataFrame, root: str | Column = "bundle") -> DataFrame:
+    """``(bundle, okey)`` of files in tree order, from their paths alone."""
+    return with_file_columns(files.select("bundle", "path"), root).select("bundle", P.tree_key(F.col("rel")).alias("okey"))
+
+
+def write_bundles(blocks: DataFrame, out_dir: str, num_ranges: int | None = None, only_written: bool = False,
+                  keys: DataFrame | None = None) -> int:
     """Write every bundle as ordered part files under ``out_dir/bundle=<b>/``.
 
-    Blocks are range-partitioned on (bundle, okey), so one huge bundle spreads over many
+    Blocks are split into ranges of (bundle, okey), so one huge bundle spreads over many
     tasks and part-file name order equals bundle order. No single task sees a whole bundle.
+    ``keys`` (e.g. of :func:`file_keys`) gives the ranges without reading content.
     ``only_written`` replaces just the bundles present in ``blocks`` (dynamic partition
     overwrite); otherwise ``out_dir`` is replaced as a whole. Returns the number of file
     blocks written, observed during the write itself.
@@ -137,7 +189,7 @@ def write_bundles(blocks: DataFrame, out_dir: str, num_ranges: int | None = None
 
     seen = Observation("bundle_write")
     (
-        sink_frame(blocks, num_ranges, seen)
+        sink_frame(blocks, num_ranges, seen, keys)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic" if only_written else "static")
         .partitionBy("bundle")
@@ -146,19 +198,17 @@ def write_bundles(blocks: DataFrame, out_dir: str, num_ranges: int | None = None
     return int(seen.get["n_files"])
 
 
-def read_bundle_parts(spark, out_dir: str) -> DataFrame:
-    """Part files of written bundles, one row each (``bundle``, ``part``, ``text``)."""
-    return spark.read.text(out_dir, wholetext=True).select(
-        "bundle", F.input_file_name().alias("part"), F.col("value").alias("text")
-    )
+def read_bundle_lines(spark, out_dir: str) -> DataFrame:
+    """Lines of written bundles (``bundle``, ``part``, ``line``); bundle names stay strings."""
+    lines = spark.read.schema("value string, bundle string").option("lineSep", "\n").text(out_dir)
+    return lines.select("bundle", F.input_file_name().alias("part"), F.col("value").alias("line"))
 
 
 def written_stats(spark, out_dir: str) -> DataFrame:
-    """Lines and characters of written bundles, summed over their part files."""
-    parts = read_bundle_parts(spark, out_dir)
-    agg = parts.groupBy("bundle").agg(
-        (F.sum(T.newline_count("text")) + 1).cast("bigint").alias("n_lines"),
-        F.sum(T.char_count("text")).cast("bigint").alias("n_chars"),
+    """Lines and characters of written bundles; a part file is read line by line."""
+    agg = read_bundle_lines(spark, out_dir).groupBy("bundle").agg(
+        (F.count(F.lit(1)) + 1).cast("bigint").alias("n_lines"),
+        F.sum(T.char_count("line") + 1).cast("bigint").alias("n_chars"),
     )
     return agg.withColumn("kb", F.bround(F.col("n_chars") / 1024.0, 1))
 
@@ -176,7 +226,7 @@ def build_bundles(files: DataFrame, selection: DataFrame, out_dir: str, *, remov
         return None
     chosen = keep_selected(files, selection)
     blocks = pack(chosen, remove_comments=remove_comments, remove_docstrings=remove_docstrings)
-    write_bundles(blocks, out_dir, num_ranges)
+    write_bundles(blocks, out_dir, num_ranges, keys=file_keys(keep_selected(files.select("bundle", "path"), selection)))
     return written_stats(files.sparkSession, out_dir)
 
 
@@ -192,6 +242,6 @@ def create_bundle(files: DataFrame, paths: DataFrame, out_dir: str, *, root: str
     found, rejects = explicit_list(files.select("path", "content"), paths, dirs)
     blocks = file_blocks(found.withColumn("okey", seq_key()), root=root, order="okey",
                          remove_comments=remove_comments, remove_docstrings=remove_docstrings)
-    header = header_blocks(paths.select("bundle").distinct())
+    header = header_blocks(paths.select("bundle").distinct(), root=root)
     n = write_bundles(header.unionByName(blocks), out_dir)
     return n, rejects

@@ -19,9 +19,6 @@ from pyspark.sql import types as T
 from corpuspack.functions import paths as P
 from corpuspack.session import materialize
 
-# broadcast the per-range totals only below this many rows (their count is checked)
-BROADCAST_MAX_ROWS = 1_000_000
-
 
 def tree_order(nodes: DataFrame) -> DataFrame:
     """Nodes with their depth-first order key ``okey`` (sort by it for the tree order)."""
@@ -34,7 +31,7 @@ def _local_positions(group: str, key: str, size: str | None):
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        last_group, carry_n, carry_off = None, 0, 0
+        before, last_group, carry_n, carry_off = False, None, 0, 0  # whether any row came before
         for b in batches:
             n = b.num_rows
             if n == 0:
@@ -47,10 +44,12 @@ def _local_positions(group: str, key: str, size: str | None):
             starts = np.zeros(n, dtype=bool)
             starts[0] = True
             if n > 1:
-                neq = pc.not_equal(g.slice(1), g.slice(0, n - 1)).fill_null(True)
+                one, two = g.slice(1), g.slice(0, n - 1)
+                both_null = pc.and_(pc.is_null(one), pc.is_null(two))  # NULL is a group like others
+                neq = pc.if_else(both_null, False, pc.not_equal(one, two).fill_null(True))
                 starts[1:] = neq.to_numpy(zero_copy_only=False)
             first_g = g[0].as_py()
-            continues = last_group is not None and first_g == last_group
+            continues = before and first_g == last_group
             idx = np.arange(n, dtype=np.int64)
             run_start = np.maximum.accumulate(np.where(starts, idx, 0))
             local = idx - run_start
@@ -62,7 +61,7 @@ def _local_positions(group: str, key: str, size: str | None):
                 off = np.where(first_run, off + carry_off, off)
             carry_n = int(local[-1]) + 1
             carry_off = int(off[-1] + sizes[-1])
-            last_group = g[n - 1].as_py()
+            before, last_group = True, g[n - 1].as_py()
             yield b.append_column("_range", pa.array(np.full(n, part, dtype=np.int32))) \
                 .append_column("_lseq", pa.array(local)).append_column("_loff", pa.array(off))
 
@@ -91,10 +90,9 @@ def positions(df: DataFrame, group: str, key: str, size: str | None = None,
         F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_seq0"),
         F.coalesce(F.sum("_sz").over(w), F.lit(0)).alias("_off0"),
     )
-    n_base = base.limit(BROADCAST_MAX_ROWS + 1).count()
-    if n_base <= BROADCAST_MAX_ROWS:
-        base = F.broadcast(base)
-    out = local.join(base, ["_range", group]).withColumn("seq", F.col("_seq0") + F.col("_lseq"))
+    base = base.withColumnsRenamed({"_range": "_range0", group: "_group0"})
+    same = (F.col("_range") == F.col("_range0")) & F.col(group).eqNullSafe(F.col("_group0"))
+    out = local.join(base, same).drop("_range0", "_group0").withColumn("seq", F.col("_seq0") + F.col("_lseq"))
     if size:
         out = out.withColumn("offset", F.col("_off0") + F.col("_loff"))
     return out.drop("_range", "_lseq", "_loff", "_seq0", "_off0")

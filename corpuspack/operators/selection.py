@@ -11,11 +11,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuspack.functions import paths as P
-from corpuspack.functions.patterns import any_glob, can_match_trailing_slash
+from corpuspack.functions.patterns import any_glob, can_match_trailing_slash, glob_to_regex, longest_literal
 
 
 def hidden(path="path", is_dir="is_dir", hide: Sequence[str] = ()):
@@ -87,17 +88,10 @@ def refresh_selection(selection: DataFrame, visible_file_paths: DataFrame) -> Da
     return selection.select("path").join(visible_file_paths.select("path"), "path", "left_semi")
 
 
-# selections up to this many paths are broadcast into the semi join (checked per call)
-SELECTION_BROADCAST_MAX = 2_000_000
-
-
 def keep_selected(files: DataFrame, selection: DataFrame) -> DataFrame:
-    """Files whose path is selected. A selection of checked, bounded size is broadcast, so
-    file contents are not shuffled by path before the pack's own range shuffle."""
-    sel = selection.select("path")
-    if sel.limit(SELECTION_BROADCAST_MAX + 1).count() <= SELECTION_BROADCAST_MAX:
-        sel = F.broadcast(sel.distinct())
-    return files.join(sel, "path", "left_semi")
+    """Files whose path is selected. A small selection is broadcast by its statistics or by
+    adaptive execution, a large one joined by path."""
+    return files.join(selection.select("path").distinct(), "path", "left_semi")
 
 
 def selected_dirs(visible: DataFrame, selection: DataFrame) -> DataFrame:
@@ -168,39 +162,56 @@ def selection_count(selection: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------------------------------
-# keyword tables (substring theta join without a cross join)
+# keyword and glob tables (substring joins without a nested loop)
 
-KEYWORDS_BROADCAST_MAX = 10_000
 
+def containing(df: DataFrame, col: str, keywords: DataFrame, kw_col: str) -> DataFrame:
+    """``(value, keyword)`` for each different value of ``col`` and each keyword it contains.
 
-def _substring_hits(df: DataFrame, col: str, keywords: DataFrame, kw_col: str) -> DataFrame:
-    """Rows of ``df`` (with a ``_rid``) holding any keyword as a substring, found by an
-    equi-join of every substring of each keyword length against the keywords."""
-    lengths = [r[0] for r in keywords.select(F.length(kw_col)).distinct().collect()]
-    kw = keywords.select(F.col(kw_col).alias("_kw")).distinct()
-    if 0 in lengths:  # '' is in every string
-        return df.select("_rid")
-    lens = F.array(*[F.lit(int(n)) for n in sorted(lengths)])
-    c = F.col(col)
-    subs = F.flatten(F.transform(lens, lambda n: F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(0))),
-        lambda i: c.substr(i, n))))
-    exploded = df.select("_rid", F.explode(F.filter(subs, lambda s: s != "")).alias("_kw"))
-    return exploded.join(kw, "_kw", "left_semi").select("_rid").distinct()
+    An equi-join at every size: the substrings of each value at the lengths that keywords have
+    meet the keywords. Only values are carried, never the rows; NULLs match nothing, the empty
+    keyword matches every value.
+    """
+    kw = keywords.select(F.col(kw_col).alias("keyword")).where("keyword is not null").distinct()
+    lengths = kw.agg(F.sort_array(F.collect_set(F.length("keyword")))).scalar()  # bounded by the longest keyword
+    values = df.select(F.col(col).alias("value")).where("value is not null").distinct().withColumn("lengths", lengths)
+    v = F.col("value")
+    subs = F.flatten(F.transform("lengths", lambda n: F.when(n == 0, F.array(F.lit(""))).when(
+        n <= F.length(v), F.transform(F.sequence(F.lit(1), F.length(v) - n + 1), lambda i: v.substr(i, n)))
+        .otherwise(F.array().cast("array<string>"))))
+    parts = values.select("value", F.explode(F.array_distinct(subs)).alias("keyword"))
+    return parts.join(kw, "keyword").select("value", "keyword")
 
 
 def anti_contains(df: DataFrame, keywords: DataFrame, col: str, kw_col: str) -> DataFrame:
-    """Rows of ``df`` whose ``col`` contains none of the keywords.
+    """Rows of ``df`` whose ``col`` contains none of the keywords (a NULL ``col`` contains none)."""
+    hits = containing(df, col, keywords, kw_col).select(F.col("value").alias("_hit")).distinct()
+    return df.join(hits, F.col(col) == F.col("_hit"), "left_anti")
 
-    A keyword list of checked small size is broadcast into a nested-loop anti join;
-    a larger one goes through an exact substring equi-join (no cross join either way).
-    """
-    n = keywords.select(kw_col).distinct().limit(KEYWORDS_BROADCAST_MAX + 1).count()
-    if n <= KEYWORDS_BROADCAST_MAX:
-        kw = F.broadcast(keywords.select(F.col(kw_col).alias("_kw")).distinct())
-        return df.join(kw, F.col(col).contains(F.col("_kw")), "left_anti")
-    from corpuspack.session import materialize
 
-    tagged = materialize(df.withColumn("_rid", F.monotonically_increasing_id()), "keyword-rows")  # stable ids
-    hits = _substring_hits(tagged, col, keywords, kw_col)
-    return tagged.join(hits, "_rid", "left_anti").drop("_rid")
+def semi_contains(df: DataFrame, keywords: DataFrame, col: str, kw_col: str) -> DataFrame:
+    """Rows of ``df`` whose ``col`` contains a keyword; without any keyword all rows, as an empty
+    include list keeps everything."""
+    hits = containing(df, col, keywords, kw_col).select(F.col("value").alias("_hit")).distinct()
+    listed = keywords.where(F.col(kw_col).isNotNull()).agg((F.count(F.lit(1)) > 0).alias("any")).scalar()
+    found = df.join(hits.withColumn("_found", F.lit(True)), F.col(col) == F.col("_hit"), "left")
+    return found.where(F.col("_found") | ~listed).drop("_hit", "_found")
+
+
+def glob_matches(df: DataFrame, globs: DataFrame, col: str = "path", glob_col: str = "glob") -> DataFrame:
+    """``(value, glob)`` for each different value of ``col`` and each glob of a table it matches.
+
+    A glob's longest literal run must occur in the value, so values and globs first meet as
+    values and keywords; only such pairs are tried against the glob's pattern.
+    """
+    def parsed(batches):
+        for batch in batches:
+            patterns = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_pydict({
+                "glob": batch.column(0), "literal": pa.array([longest_literal(p) for p in patterns], pa.string()),
+                "pattern": pa.array([glob_to_regex(p) for p in patterns], pa.string())})
+
+    table = globs.select(F.col(glob_col).cast("string").alias("glob")).where("glob is not null").distinct().mapInArrow(
+        parsed, "glob string, literal string, pattern string")
+    met = containing(df, col, table, "literal").join(table.withColumnRenamed("literal", "keyword"), "keyword")
+    return met.where(F.rlike("value", F.col("pattern"))).select("value", "glob")

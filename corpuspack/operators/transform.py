@@ -35,18 +35,12 @@ def transform_lines(lines: DataFrame, remove_comments: bool = False, remove_docs
     return explode_lines(transform_files(texts, "text", remove_comments, remove_docstrings), "text")
 
 
-# user comment-syntax tables above this many rows are joined without broadcast
-SYNTAX_BROADCAST_MAX = 100_000
-
-
 def with_comment_prefix(files: DataFrame, syntax: DataFrame | None = None, default: str = T.DEFAULT_PREFIX) -> DataFrame:
     """Add ``ext`` and ``prefix``: from the built-in table, or from a user table
-    ``syntax(ext, prefix)`` joined on the extension (broadcast after a size check)."""
+    ``syntax(ext, prefix)`` joined on the extension."""
     df = files.withColumn("ext", T.extension(P.base_name(F.col("path"))))
     if syntax is None:
         return df.withColumn("prefix", T.comment_prefix("ext"))
     table = syntax.select(F.col("ext").alias("_ext"), F.col("prefix").alias("_prefix")).dropDuplicates(["_ext"])
-    if table.limit(SYNTAX_BROADCAST_MAX + 1).count() <= SYNTAX_BROADCAST_MAX:
-        table = F.broadcast(table)
     joined = df.join(table, df["ext"] == table["_ext"], "left")
     return joined.withColumn("prefix", F.coalesce("_prefix", F.lit(default))).drop("_ext", "_prefix")

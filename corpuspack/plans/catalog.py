@@ -76,9 +76,7 @@ _EMPTY_SQL = f"""SELECT v.path FROM vis v WHERE v.is_dir AND NOT EXISTS (
 
 
 def flagship(t: Tables) -> DataFrame:
-    vis = _visible_files(t)
-    blocks = B.pack(vis, remove_comments=True, remove_docstrings=True)
-    return B.bundle_stats(blocks)
+    return B.pack_stats(_visible_files(t), remove_comments=True, remove_docstrings=True)
 
 
 _STATS_SQL = f"""SELECT bundle,
@@ -139,9 +137,38 @@ def q_parse_patterns(spark, sf):
     ["files"], [("vis", _VIS_FILES_SQL), ("blocks", D.blocks_cte("vis", True, True))]))
 def q_write_bundle(spark, sf):
     t = Tables(spark, sf)
-    blocks = B.pack(_visible_files(t), remove_comments=True, remove_docstrings=True)
+    vis = _visible_files(t)
+    out = scratch_path(spark, "bundles")
+    B.write_bundles(B.pack(vis, remove_comments=True, remove_docstrings=True), out, keys=B.file_keys(vis))
+    return B.written_stats(spark, out)
+
+
+_WRITTEN_SQL = """SELECT bundle, CAST(sum(length(block) - length(replace(block, chr(10), ''))) + 1 AS BIGINT) AS n_lines,
+         CAST(sum(length(block)) AS BIGINT) AS n_chars,
+         round_even(CAST(sum(length(block)) AS DOUBLE) / 1024.0, 1) AS kb
+       FROM blocks GROUP BY bundle"""
+
+
+@query("pack_empty", _with(_WRITTEN_SQL, ["files"], [("vis", _VIS_FILES_SQL), ("blocks", D.blocks_cte("vis"))]))
+def q_pack_empty(spark, sf):
+    """An empty selection writes nothing: the bundles written before stay as they are."""
+    vis = _visible_files(Tables(spark, sf))
+    out = scratch_path(spark, "bundles")
+    B.write_bundles(B.pack(vis), out, keys=B.file_keys(vis))
+    if B.build_bundles(vis, S.select_glob(vis, []), out, remove_comments=True) is not None:
+        raise AssertionError("an empty selection was written")
+    return B.written_stats(spark, out)
+
+
+@query("bundle_names", _with(_WRITTEN_SQL, ["files"], [
+    ("named", """SELECT CASE WHEN doc_id % 2 = 0 THEN lpad(CAST(doc_id % 5 AS VARCHAR), 3, '0') ELSE CAST(doc_id % 5 AS VARCHAR) END
+         AS bundle, path, content FROM files"""), ("blocks", D.blocks_cte("named"))]))
+def q_bundle_names(spark, sf):
+    """Names that look like numbers stay what they are when bundles are read back."""
+    digit = (F.col("doc_id") % 5).cast("string")
+    named = Tables(spark, sf).files.withColumn("bundle", F.when(F.col("doc_id") % 2 == 0, F.lpad(digit, 3, "0")).otherwise(digit))
     out = scratch_path(spark, "bundles")
-    B.write_bundles(blocks, out)
+    B.write_bundles(B.pack(named), out, keys=B.file_keys(named))
     return B.written_stats(spark, out)
 
 
@@ -532,6 +559,28 @@ def q_ignore_paths_join(spark, sf):
     return S.anti_contains(t.files, kws, "path", "kw").select("bundle", "path")
 
 
+@query("include_names_join", _with(
+    """SELECT bundle, path FROM files f WHERE EXISTS (
+         SELECT 1 FROM (SELECT DISTINCT '/' || lang || '/m' AS kw FROM documents WHERE lang IN ('de', 'fr')) k
+         WHERE contains(f.path, k.kw))""", ["files"], []))
+def q_include_names_join(spark, sf):
+    t = Tables(spark, sf)
+    kws = t.table("documents").where(F.col("lang").isin("de", "fr")).select(
+        F.concat(F.lit("/"), "lang", F.lit("/m")).alias("kw"))
+    return S.semi_contains(t.files, kws, "path", "kw").select("bundle", "path")
+
+
+@query("glob_table", _with(
+    """SELECT DISTINCT f.path AS value, g.glob FROM files f JOIN (
+         SELECT DISTINCT source || '/' || lang || '/*[13579].?[!s]*' AS glob FROM documents
+         UNION SELECT '*/__init__*' UNION SELECT '?rc[2-4]/*') g ON f.path GLOB g.glob""", ["files"], []))
+def q_glob_table(spark, sf):
+    t = Tables(spark, sf)
+    globs = t.table("documents").select(F.concat("source", F.lit("/"), "lang", F.lit("/*[13579].?[!s]*")).alias("glob"))
+    globs = globs.unionByName(spark.createDataFrame([("*/__init__*",), ("?rc[2-4]/*",)], "glob string"))
+    return S.glob_matches(t.files, globs)
+
+
 # ---------------------------------------------------------------------------------------
 # change feed
 
@@ -675,11 +724,24 @@ def q_watch_rebuild(spark, sf):
                                 remove_comments=True, remove_docstrings=True)
     src = W.replay_source(t.change_events, f"{folder}/in")
     q = W.watch(src, rebuild, ignore_names=IGNORE_NAMES, ignore_paths=IGNORE_PATHS, include_names=INCLUDE_NAMES,
-                gap_seconds=GAP_SECONDS, checkpoint=f"{folder}/checkpoint")
+                gap_seconds=GAP_SECONDS, checkpoint=f"{folder}/checkpoint", trigger={"availableNow": True})
     q.awaitTermination()
     return B.written_stats(spark, out)
 
 
+@query("watch_initial", _with(_WRITTEN_SQL, ["selection"], [
+    ("chosen", f"""SELECT * FROM files WHERE path IN (SELECT path FROM selection) AND NOT {D.hidden('path', 'false', HIDE)}"""),
+    ("blocks", D.blocks_cte("chosen", True, True))]))
+def q_watch_initial(spark, sf):
+    """A watch that starts without asking builds every bundle of its selection first."""
+    t = Tables(spark, sf)
+    folder = scratch_path(spark, "watch-initial")
+    rebuild = W.BundleRebuilder(lambda: t.files, t.selection, f"{folder}/bundles", f"{folder}/state", hide=HIDE,
+                                remove_comments=True, remove_docstrings=True)
+    rebuild.build_all(spark)
+    return B.written_stats(spark, f"{folder}/bundles")
+
+
 # ---------------------------------------------------------------------------------------
 # directory trees
 
@@ -697,6 +759,19 @@ def q_list_tree(spark, sf):
     return list_tree(spark, root, read_content=False).select("path", "is_dir", "length")
 
 
+@query("list_tree_hidden", _with(
+    f"""SELECT path, is_dir FROM nodes WHERE NOT {D.hidden('path', 'is_dir', HIDE)}""", ["nodes"], []))
+def q_list_tree_hidden(spark, sf):
+    """Hidden subtrees are left out while the tree is walked."""
+    from corpuspack.sources.tree import list_tree, write_folders, write_tree
+
+    root = scratch_path(spark, "tree")
+    t = Tables(spark, sf)
+    write_tree(t.files, root)
+    write_folders(t.nodes.where("is_dir"), root)
+    return list_tree(spark, root, read_content=False, hide=HIDE).select("path", "is_dir")
+
+
 @query("watch_callback", _with(
     "SELECT event_id, t_us, root, path, kind FROM ev WHERE event_id IN (SELECT event_id FROM chain)",
     ["change_events"], _THROTTLE_CTES, recursive=True))
@@ -710,7 +785,7 @@ def q_watch_callback(spark, sf):
         df.select("event_id", "ts", "root", "path", "kind").write.mode("append").parquet(f"{folder}/seen")
 
     q = W.watch(src, on_change, ignore_names=IGNORE_NAMES, ignore_paths=IGNORE_PATHS, include_names=INCLUDE_NAMES,
-                gap_seconds=GAP_SECONDS, checkpoint=f"{folder}/checkpoint")
+                gap_seconds=GAP_SECONDS, checkpoint=f"{folder}/checkpoint", trigger={"availableNow": True})
     q.awaitTermination()
     seen = spark.read.parquet(f"{folder}/seen")
     return seen.select("event_id", _t_us(seen, "ts"), "root", "path", "kind")
@@ -724,7 +799,7 @@ def q_watch_callback(spark, sf):
                                    [("blocks", D.blocks_cte("page_files", True, True))]))
 def q_pages_bundle_stats(spark, sf):
     pages = Tables(spark, sf).page_files
-    return B.bundle_stats(B.pack(pages, remove_comments=True, remove_docstrings=True))
+    return B.pack_stats(pages, remove_comments=True, remove_docstrings=True)
 
 
 @query("pack_conversations", _with(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -32,8 +33,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder for written tables and checkpoints.
 
-    Read from ``spark.checkpoint.dir`` (or the context's checkpoint dir). Only when the
-    session names none (local tests) is a fresh scratch folder created and set.
+    Read from ``spark.checkpoint.dir`` (or the context's checkpoint dir). Only a local master,
+    where one machine is all there is, gets a fresh scratch folder if the session names none;
+    on a cluster that is an error, as each node would write to a folder of its own.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
@@ -43,11 +45,28 @@ def shared_dir(spark: SparkSession) -> str:
     if conf:
         sc.setCheckpointDir(conf)
         return sc.getCheckpointDir() or conf
+    if not re.fullmatch(r"local(\[.*\])?", sc.master or ""):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     scratch = tempfile.mkdtemp(prefix="corpuspack-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(scratch)
     return sc.getCheckpointDir() or scratch
 
 
+def ship(spark: SparkSession) -> None:
+    """Give executors on other machines this package, if it runs from a folder there is no
+    installation of (a local master's workers read the folder itself)."""
+    import shutil
+
+    import corpuspack
+
+    home = os.path.dirname(os.path.dirname(os.path.abspath(corpuspack.__file__)))
+    if os.path.basename(home) in ("site-packages", "dist-packages") or re.fullmatch(
+            r"local(\[.*\])?", spark.sparkContext.master or ""):
+        return
+    made = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="corpuspack-"), "corpuspack"), "zip", home, "corpuspack")
+    spark.sparkContext.addPyFile(made)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unique location under the shared folder."""
     base = shared_dir(spark).rstrip("/")

@@ -37,19 +37,20 @@ def explicit_list(files: DataFrame, paths: DataFrame, dirs: DataFrame | None = N
 
     Returns ``(found, rejects)``: ``found`` keeps every list entry (order key ``seq``,
     duplicates kept) with the file's text; ``rejects`` lists entries that are directories
-    (``dirs(path)``) or do not exist.
+    (``dirs(path)``), do not exist, or have no text because their bytes are not valid UTF-8.
+    Which entries exist is asked of the paths alone.
     """
-    f = files.select(F.col("path"), F.col(text_col).alias("_text"))
-    j = paths.join(f, "path", "left")
-    found = j.where(F.col("_text").isNotNull()).withColumnRenamed("_text", text_col)
-    missing = j.where(F.col("_text").isNull()).select("bundle", "seq", "path")
+    found = paths.join(files.where(F.col(text_col).isNotNull()).select("path", text_col), "path")
+    missing = paths.join(files.select("path").distinct(), "path", "left_anti")
     if dirs is not None:
         d = dirs.select("path").distinct().withColumn("_is_dir", F.lit(True))
         missing = missing.join(d, "path", "left")
         reason = F.when(F.col("_is_dir"), F.lit("is a directory")).otherwise(F.lit("not found"))
     else:
         reason = F.lit("not found")
-    rejects = missing.select("bundle", "seq", "path", reason.alias("reason"))
+    unread = files.where(F.col(text_col).isNull()).select("path").distinct()
+    rejects = missing.select("bundle", "seq", "path", reason.alias("reason")).unionByName(
+        paths.join(unread, "path", "left_semi").select("bundle", "seq", "path", F.lit("not valid UTF-8").alias("reason")))
     return found, rejects
 
 

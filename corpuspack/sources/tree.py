@@ -11,8 +11,14 @@ does.
 from __future__ import annotations
 
 import datetime
+import fnmatch
+import itertools
+import json
 import os
+import re
 
+import pyarrow as pa
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from corpuspack.schema import TREE_SCHEMA
@@ -26,33 +32,55 @@ class _Part(InputPartition):
 
 
 def _scandir(full: str):
+    """``(name, is_dir)`` of a folder's entries. A link to a folder is a directory that is not
+    entered (so links can't form a loop); any other link is the file it leads to."""
     try:
         with os.scandir(full) as it:
-            return sorted((e.name, e.is_dir(follow_symlinks=False)) for e in it)
+            return sorted((e.name, e.is_dir(), e.is_dir() and e.is_symlink()) for e in it)
     except OSError:
         return []
 
 
 class _TreeReader(DataSourceReader):
-    def __init__(self, root: str, read_content: bool, target: int, driver_limit: int, chunk: int):
+    def __init__(self, root: str, read_content: bool, target: int, driver_limit: int, chunk: int,
+                 hide: list[str], prune: bool, exclude: list[str]):
+        self.hide = [re.compile(fnmatch.translate(h)) for h in hide]
+        self.prune = prune
+        self.exclude = exclude
         self.root = root
         self.read_content = read_content
         self.target = target
         self.driver_limit = driver_limit
         self.chunk = chunk
 
+    def _listed(self, d: str):
+        """Entries of a folder that are shown: ``(relative path, is_dir, whether to enter it)``."""
+        for name, is_dir, linked in _scandir(os.path.join(self.root, d)):
+            rel = f"{d}/{name}" if d else name
+            if self.prune and (name.startswith(".") or any(h.match(name) or (is_dir and h.match(rel + "/")) for h in self.hide)):
+                continue
+            if any(rel == x or rel.startswith(x + "/") for x in self.exclude):
+                continue
+            yield rel, is_dir, is_dir and not linked
+
     def partitions(self):
+        """Folders to walk. The driver lists folders until there are enough, or until it holds
+        ``driver_limit`` entries: a folder that goes beyond is left to a task as a whole."""
         entries, frontier = [], [""]
-        while frontier and len(frontier) < self.target and len(entries) < self.driver_limit:
-            nxt = []
+        ready = []  # folders that tasks walk
+        while frontier and len(frontier) + len(ready) < self.target:
+            below = []
             for d in frontier:
-                for name, is_dir in _scandir(os.path.join(self.root, d)):
-                    rel = f"{d}/{name}" if d else name
-                    entries.append((rel, is_dir))
-                    if is_dir:
-                        nxt.append(rel)
-            frontier = nxt
-        parts = [_Part(frontier[i::self.target], []) for i in range(min(self.target, len(frontier)))]
+                room = self.driver_limit - len(entries)
+                found = list(itertools.islice(self._listed(d), room + 1))
+                if len(found) > room:
+                    ready.append(d)
+                    continue
+                entries += [(rel, is_dir) for rel, is_dir, _ in found]
+                below += [rel for rel, _, enter in found if enter]
+            frontier = below
+        ready += frontier
+        parts = [_Part(ready[i::self.target], []) for i in range(min(self.target, len(ready)))]
         parts += [_Part([], entries[i:i + self.chunk]) for i in range(0, len(entries), self.chunk)]
         return parts or [_Part([], [])]
 
@@ -80,11 +108,9 @@ class _TreeReader(DataSourceReader):
         for top in partition.walks:
             stack = [top]
             while stack:
-                d = stack.pop()
-                for name, is_dir in _scandir(os.path.join(self.root, d)):
-                    rel = f"{d}/{name}" if d else name
+                for rel, is_dir, enter in self._listed(stack.pop()):
                     yield self._row(rel, is_dir)
-                    if is_dir:
+                    if enter:
                         stack.append(rel)
 
 
@@ -92,8 +118,8 @@ class TreeDataSource(DataSource):
     """``spark.read.format("filetree").option("path", root).load()``
 
     Options: ``readContent`` (default true), ``partitions`` (subtree tasks, default 64),
-    ``driverEntries`` (entries the driver may list, default 100000), ``chunk`` (driver-listed
-    entries per task, default 2000). Output: ``path`` relative to the root with '/'
+    ``driverEntries`` (entries the driver holds at most, default 100000), ``chunk`` (driver-listed
+    entries per task, default 2000), ``hide`` and ``exclude`` (JSON lists, see :func:`list_tree`). Output: ``path`` relative to the root with '/'
     separators, ``is_dir``, ``length``, ``mtime``, ``content`` (raw bytes, NULL for
     directories).
     """
@@ -113,6 +139,9 @@ class TreeDataSource(DataSource):
             int(o.get("partitions", "64")),
             int(o.get("driverEntries", "100000")),
             int(o.get("chunk", "2000")),
+            json.loads(o.get("hide", "[]")),
+            "hide" in o,
+            json.loads(o.get("exclude", "[]")),
         )
 
 
@@ -120,15 +149,43 @@ def register(spark) -> None:
     spark.dataSource.register(TreeDataSource)
 
 
-def list_tree(spark, root: str, read_content: bool = True, **options):
-    """All entries under ``root`` (the root itself excluded)."""
+def list_tree(spark, root: str, read_content: bool = True, hide=None, exclude=(), **options):
+    """Entries under ``root`` (the root itself excluded).
+
+    With ``hide`` (globs, possibly none) dot entries and what the globs hide are left out while
+    walking, so hidden subtrees are neither entered nor read. ``exclude`` are paths relative to
+    the root that are left out with all below them (e.g. an output folder inside the tree).
+    """
     register(spark)
     reader = spark.read.format("filetree").option("path", root).option("readContent", str(read_content).lower())
+    if hide is not None:
+        reader = reader.option("hide", json.dumps(list(hide)))
+    if exclude:
+        reader = reader.option("exclude", json.dumps(list(exclude)))
     for k, v in options.items():
         reader = reader.option(k, str(v))
     return reader.load()
 
 
+def read_listed(listed, root: str):
+    """``content`` (raw bytes, NULL if unreadable) for listed files ``(path, ...)``, read by the
+    executors: list with ``read_content=False``, select, and read only what was selected."""
+    root = posix_path(root)
+
+    def run(batches):
+        for batch in batches:
+            for i, path in enumerate(batch.column(batch.schema.get_field_index("path")).to_pylist()):
+                try:
+                    with open(os.path.join(root, path), "rb") as fh:
+                        data = fh.read()
+                except OSError:
+                    data = None
+                yield batch.slice(i, 1).append_column("content", pa.array([data], pa.binary()))
+
+    rows = listed.drop("content")
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("content", T.BinaryType())]))
+
+
 def write_tree(files, root: str, text_col: str = "content") -> None:
     """Write a file table out as a directory tree under ``root`` (one file per row, UTF-8),
     from the executors; ``root`` must be a folder every executor sees."""
@@ -143,3 +200,14 @@ def write_tree(files, root: str, text_col: str = "content") -> None:
 
     os.makedirs(root, exist_ok=True)
     files.select("path", text_col).foreachPartition(write_part)
+
+
+def write_folders(nodes, root: str) -> None:
+    """Make the folders ``(path)`` under ``root``, from the executors."""
+    root = posix_path(root)
+
+    def make(rows):
+        for r in rows:
+            os.makedirs(os.path.join(root, r["path"]), exist_ok=True)
+
+    nodes.select("path").foreachPartition(make)

@@ -62,6 +62,13 @@ def _accept_run(t: np.ndarray, last: int | None, gap: int) -> tuple[list[int], i
     return kept, last
 
 
+def _changes(k: pa.Array) -> np.ndarray:
+    """Whether each entry but the first differs from the one before; NULL equals NULL."""
+    one, two = k.slice(1), k.slice(0, len(k) - 1)
+    both_null = pc.and_(pc.is_null(one), pc.is_null(two))
+    return pc.if_else(both_null, False, pc.not_equal(one, two).fill_null(True)).to_numpy(zero_copy_only=False)
+
+
 def _scan(key: str, gap: int):
     def run(batches):
         carry_key, carry_last = None, None
@@ -73,8 +80,7 @@ def _scan(key: str, gap: int):
             t = b.column("_t").to_numpy(zero_copy_only=False).astype(np.int64)
             bounds = [0]
             if n > 1:
-                change = pc.not_equal(kcol.slice(1), kcol.slice(0, n - 1)).fill_null(True)
-                bounds += (np.flatnonzero(change.to_numpy(zero_copy_only=False)) + 1).tolist()
+                bounds += (np.flatnonzero(_changes(kcol)) + 1).tolist()
             bounds.append(n)
             take: list[int] = []
             for s, e in zip(bounds[:-1], bounds[1:]):  # one run per key
@@ -123,7 +129,7 @@ def _next_pointers(ev: DataFrame, key: str, gap: int, tiebreak: str, num_ranges:
 
         part = TaskContext.get().partitionId()
         names = [key, "_id", "_nxt", "_range", "_first"]
-        carry_key, carry_has, pending = None, False, np.empty(0, dtype=np.int64)
+        before, carry_key, carry_has, pending = False, None, False, np.empty(0, dtype=np.int64)
 
         def out(keys, ids, nxt, first):
             m = len(ids)
@@ -143,7 +149,7 @@ def _next_pointers(ev: DataFrame, key: str, gap: int, tiebreak: str, num_ranges:
             starts = np.zeros(n, dtype=bool)
             starts[0] = True
             if n > 1:
-                starts[1:] = pc.not_equal(k.slice(1), k.slice(0, n - 1)).fill_null(True).to_numpy(zero_copy_only=False)
+                starts[1:] = _changes(k)
             run = np.cumsum(starts) - 1
             run_starts = np.flatnonzero(starts)
             n_runs = len(run_starts)
@@ -151,7 +157,7 @@ def _next_pointers(ev: DataFrame, key: str, gap: int, tiebreak: str, num_ranges:
             # index of the first event at or after each row (n when none)
             nxt_any = np.minimum.accumulate(np.where(tag == 1, idx, n)[::-1])[::-1]
             in_run = (nxt_any < n) & (run[np.minimum(nxt_any, n - 1)] == run)
-            continues = carry_key is not None and k[0].as_py() == carry_key
+            continues = before and k[0].as_py() == carry_key
             # probes carried from the previous batch
             if len(pending):
                 j = nxt_any[0]
@@ -181,7 +187,7 @@ def _next_pointers(ev: DataFrame, key: str, gap: int, tiebreak: str, num_ranges:
             if len(fi):
                 yield out(k.take(pa.array(fi)), ids[fi], None, True)
             carry_has = bool(has[-1]) or (n_runs == 1 and continues and carry_has)
-            carry_key = k[n - 1].as_py()
+            before, carry_key = True, k[n - 1].as_py()
         if len(pending):
             yield out(pa.array([carry_key] * len(pending), key_type), pending, None, False)
 
@@ -190,12 +196,13 @@ def _next_pointers(ev: DataFrame, key: str, gap: int, tiebreak: str, num_ranges:
     pairs = local.select(key, "_range").distinct()
     firsts = local.where("_first").select(key, "_range", F.col("_id").alias("_fid"))
     w = Window.partitionBy(key).orderBy("_range").rowsBetween(1, Window.unboundedFollowing)
-    later = pairs.join(firsts, [key, "_range"], "left").select(
+    firsts = firsts.withColumnsRenamed({key: "_key1", "_range": "_range1"})
+    later = pairs.join(firsts, F.col(key).eqNullSafe(F.col("_key1")) & (F.col("_range") == F.col("_range1")), "left").select(
         key, "_range", F.first("_fid", ignorenulls=True).over(w).alias("_later"))
-    if later.limit(1_000_001).count() <= 1_000_000:
-        later = F.broadcast(later)
+    later = later.withColumnsRenamed({key: "_key0", "_range": "_range0"})
+    same = F.col(key).eqNullSafe(F.col("_key0")) & (F.col("_range") == F.col("_range0"))
     answered = local.where(~F.col("_first") & F.col("_nxt").isNotNull()).select("_id", "_nxt")
-    opened = local.where(~F.col("_first") & F.col("_nxt").isNull()).join(later, [key, "_range"]).select(
+    opened = local.where(~F.col("_first") & F.col("_nxt").isNull()).join(later, same).select(
         "_id", F.col("_later").alias("_nxt"))
     return answered.unionByName(opened)
 
@@ -243,15 +250,14 @@ def throttle(events: DataFrame, gap_seconds: float = DEFAULT_GAP_SECONDS, key: s
         return _throttle_scan(df, key, gap, tiebreak).drop("_t")
     if method == "jump":
         return _throttle_jump(df, key, gap, tiebreak, n).drop("_t")
-    hot = df.groupBy(key).count().where(F.col("count") > hot_rows).select(key)
-    hot_keys = hot.limit(10_001).collect()  # hot keys are few by definition (>= hot_rows rows each)
-    if not hot_keys:
+    from corpuspack.session import materialize
+
+    hot = materialize(df.groupBy(F.col(key).alias("_hot")).count().where(F.col("count") > hot_rows).select("_hot"), "hot-keys")
+    if hot.isEmpty():
         return _throttle_scan(df, key, gap, tiebreak).drop("_t")
-    if len(hot_keys) > 10_000:
-        return _throttle_jump(df, key, gap, tiebreak, n).drop("_t")
-    hot_df = spark.createDataFrame(hot_keys, hot.schema)
-    cold = _throttle_scan(df.join(F.broadcast(hot_df), key, "left_anti"), key, gap, tiebreak)
-    warm = _throttle_jump(df.join(F.broadcast(hot_df), key, "left_semi"), key, gap, tiebreak, n)
+    same = F.col(key).eqNullSafe(F.col("_hot"))
+    cold = _throttle_scan(df.join(hot, same, "left_anti"), key, gap, tiebreak)
+    warm = _throttle_jump(df.join(hot, same, "left_semi"), key, gap, tiebreak, n)
     return cold.unionByName(warm).drop("_t")
 
 
@@ -271,7 +277,9 @@ def last_changed(kept: DataFrame, key: str = "root", ts: str = "ts") -> DataFram
 def _state_fn(gap: int):
     def fn(key, pdfs, state):
         last = state.get[0] if state.exists else None
-        frames = [p for p in pdfs if len(p)]
+        # rows that the last kept one already rules out are dropped chunk by chunk
+        frames = [p if last is None or gap <= 0 else p[p["_t"] >= last + gap] for p in pdfs]
+        frames = [p for p in frames if len(p)]
         if not frames:
             return
         pdf = pd.concat(frames, ignore_index=True).sort_values(["_t", "event_id"], kind="stable")
@@ -307,12 +315,14 @@ def watch(events: DataFrame, callback: Callable[[DataFrame, int], None], *, exte
           gap_seconds: float = DEFAULT_GAP_SECONDS, checkpoint: str, trigger: dict | None = None):
     """Filter -> throttle -> ``callback(kept_changes_df, batch_id)`` per micro-batch.
 
-    Returns the running ``StreamingQuery`` (``.stop()`` ends the watch).
+    Returns the running ``StreamingQuery``: it goes on until ``.stop()``, looking for changes
+    every second, unless ``trigger`` says otherwise (``{"availableNow": True}`` ends with what
+    is there). With the same ``checkpoint`` it resumes where it stopped.
     """
     filtered = watch_filter(events, extension, ignore_names, ignore_paths, include_names)
     kept = throttle_stream(filtered, gap_seconds)
     writer = kept.writeStream.foreachBatch(callback).option("checkpointLocation", checkpoint)
-    writer = writer.trigger(**(trigger or {"availableNow": True}))
+    writer = writer.trigger(**(trigger or {"processingTime": "1 second"}))
     return writer.start()
 
 
@@ -348,8 +358,6 @@ class BundleRebuilder:
     a whole-partition overwrite, so a retried batch gives the same output.
     """
 
-    REPORT_NAMES = 100
-
     def __init__(self, files_fn, selection: DataFrame, out_dir: str, state_dir: str, *, hide=(),
                  remove_comments: bool = False, remove_docstrings: bool = False):
         self.files_fn = files_fn
@@ -357,73 +365,92 @@ class BundleRebuilder:
         self.state_dir = state_dir.rstrip("/")
         self.hide = list(hide)
         self.rc, self.rd = remove_comments, remove_docstrings
-        self.version = 0
-        selection.select("path").write.mode("overwrite").parquet(self._sel_path(0))
-        self.rebuilt: list[tuple[int, list[str]]] = []
-
-    def build_all(self, spark) -> None:
-        """Build every bundle of the current selection once (before the watch starts, when
-        no confirmation is wanted)."""
+        self.rebuilt: list[int] = []  # batches that rebuilt bundles, in this run
+        if self.version(selection.sparkSession) is None:  # a first start; else the state goes on
+            selection.select("path").write.mode("overwrite").parquet(self._path("selection", -1))
+
+    def _path(self, table: str, batch_id: int) -> str:
+        return f"{self.state_dir}/{table}/v{batch_id + 1:012d}"
+
+    def version(self, spark) -> int | None:
+        """Batch of the latest selection that was written to the end (-1: the first one)."""
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.state_dir}/selection")
+        fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(hadoop):
+            return None
+        done = [s.getPath() for s in fs.listStatus(hadoop)]
+        done = [int(p.getName()[1:]) - 1 for p in done if fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+        return max(done, default=None)
+
+    def current_selection(self, spark, before: int | None = None) -> DataFrame:
+        """The latest selection, or the latest of before a batch."""
+        v = self.version(spark)
+        while before is not None and v >= before:  # a batch that runs again starts as it did at first
+            v -= 1
+        return spark.read.schema("path string").parquet(self._path("selection", v))
+
+    def rebuilt_bundles(self, spark) -> DataFrame:
+        """``(bundle, batch)`` of every rebuild that the state folder tells of."""
+        return spark.read.schema("bundle string, batch long").parquet(f"{self.state_dir}/rebuilt/*")
+
+    def _write(self, files: DataFrame, selection: DataFrame, bundles: DataFrame | None = None) -> None:
         from corpuspack.operators import bundle as B
         from corpuspack.operators import selection as S
 
-        sel = self.current_selection(spark)
-        if sel.isEmpty():
-            return
-        vis = S.visible_files(self.files_fn(), self.hide)
-        B.write_bundles(B.pack(S.keep_selected(vis, sel), remove_comments=self.rc, remove_docstrings=self.rd),
-                        self.out_dir, only_written=True)
+        def chosen(rows: DataFrame) -> DataFrame:
+            kept = S.keep_selected(S.visible_files(rows, self.hide), selection)
+            return kept if bundles is None else kept.join(bundles, "bundle", "left_semi")
 
-    def _sel_path(self, v: int) -> str:
-        return f"{self.state_dir}/selection-v{v}"
+        blocks = B.pack(chosen(files), remove_comments=self.rc, remove_docstrings=self.rd)
+        B.write_bundles(blocks, self.out_dir, only_written=True, keys=B.file_keys(chosen(files.select("bundle", "path"))))
 
-    def current_selection(self, spark) -> DataFrame:
-        return spark.read.parquet(self._sel_path(self.version))
+    def build_all(self, spark) -> None:
+        """Build every bundle of the current selection once (before the watch starts, when
+        no confirmation is wanted)."""
+        sel = self.current_selection(spark)
+        if not sel.isEmpty():
+            self._write(self.files_fn(), sel)
 
     def __call__(self, changes: DataFrame, batch_id: int) -> None:
-        from corpuspack.operators import bundle as B
         from corpuspack.operators import selection as S
 
         spark = changes.sparkSession
         files = self.files_fn()
-        vis = S.visible_files(files, self.hide)
-        old_sel = self.current_selection(spark)
+        old = self.current_selection(spark, before=batch_id)
         # membership is tested against the selection before the refresh, and the bundle is
-        # the event's root, so the bundle of a deleted selected file is rebuilt too
-        hit = (changes.select("path", F.col("root").alias("bundle")).join(old_sel, "path", "left_semi")
-               .select("bundle").distinct())
-        new_sel = S.refresh_selection(old_sel, vis)
-        nxt = self.version + 1
-        new_sel.write.mode("overwrite").parquet(self._sel_path(nxt))
-        self.version = nxt
+        # the event's root, so the bundle of a deleted selected file is rebuilt too; written
+        # once, as the micro-batch would be computed again for every use
+        hit = changes.select("path", F.col("root").alias("bundle")).join(old, "path", "left_semi").select("bundle").distinct()
+        hit.withColumn("batch", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(self._path("rebuilt", batch_id))
+        hit = spark.read.schema("bundle string, batch long").parquet(self._path("rebuilt", batch_id)).select("bundle")
+        S.refresh_selection(old, S.visible_files(files, self.hide)).write.mode("overwrite").parquet(
+            self._path("selection", batch_id))
         sel = self.current_selection(spark)
         if hit.isEmpty() or sel.isEmpty():
             return
-        chosen = S.keep_selected(vis, sel).join(hit, "bundle", "left_semi")
-        blocks = B.pack(chosen, remove_comments=self.rc, remove_docstrings=self.rd)
-        B.write_bundles(blocks, self.out_dir, only_written=True)
-        # a few names for the report only (the rebuild itself never leaves the executors)
-        self.rebuilt.append((batch_id, sorted(r.bundle for r in hit.limit(self.REPORT_NAMES).collect())))
+        self._write(files, sel, hit)
+        self.rebuilt.append(batch_id)
 
 
-def replay_source(events: DataFrame, folder: str, chunks: int = 4, ts: str = "ts") -> DataFrame:
-    """Write a change table as ``chunks`` time-ordered files under ``folder`` (one write
-    each, oldest first) and return a streaming reader over them, one file per trigger:
-    a replay of the feed in arrival order."""
+def replay_source(events: DataFrame, folder: str, chunks: int = 4, ts: str = "ts", rows_per_chunk: int = 1_000_000) -> DataFrame:
+    """Write a change table as time-ordered files under ``folder``, oldest first, and return a
+    streaming reader over them, one file per trigger: a replay of the feed in arrival order.
+
+    There are ``chunks`` files, or more so that one holds about ``rows_per_chunk`` rows; their
+    bounds are approximate quantiles of the time.
+    """
     from corpuspack.session import materialize
 
     spark = events.sparkSession
     events = materialize(events, "replay-input")  # read once per chunk below
-    bounds = events.select(_micros(events, ts).alias("_t")).approxQuantile("_t", [i / chunks for i in range(1, chunks)], 0.0)
+    t = _micros(events, ts)
+    chunks = max(chunks, -(-events.count() // rows_per_chunk))
+    bounds = events.select(t.alias("_t")).approxQuantile("_t", [i / chunks for i in range(1, chunks)], 0.1 / chunks)
     edges = [None, *sorted(set(int(b) for b in bounds)), None]
-    for k in range(len(edges) - 1):
-        lo, hi = edges[k], edges[k + 1]
-        cond = F.lit(True)
-        if lo is not None:
-            cond = cond & (_micros(events, ts) >= lo)
-        if hi is not None:
-            cond = cond & (_micros(events, ts) < hi)
-        events.where(cond).coalesce(1).write.mode("overwrite").parquet(f"{folder}/chunk={k:05d}")
+    for k, (lo, hi) in enumerate(zip(edges, edges[1:])):
+        part = events if lo is None else events.where(t >= lo)
+        part = part if hi is None else part.where(t < hi)
+        part.repartitionByRange(1, ts).write.mode("overwrite").parquet(f"{folder}/chunk={k:05d}")
     return (
         spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1)
         .option("pathGlobFilter", "*.parquet").parquet(f"{folder}/chunk=*")
@@ -444,7 +471,7 @@ def run_to_table(stream: DataFrame, folder: str) -> DataFrame:
 # polling a directory tree
 
 
-def tree_snapshot(spark, root: str, by: str = "content") -> DataFrame:
+def tree_snapshot(spark, root: str, by: str = "content", hide: Sequence[str] = ()) -> DataFrame:
     """``(path, content_hash)`` of every file under ``root``, computed on executors.
 
     ``by="content"`` hashes the bytes (exact); ``by="stat"`` uses size and modification
@@ -453,10 +480,10 @@ def tree_snapshot(spark, root: str, by: str = "content") -> DataFrame:
     from corpuspack.sources.tree import list_tree
 
     if by == "stat":
-        listed = list_tree(spark, root, read_content=False).where(~F.col("is_dir"))
+        listed = list_tree(spark, root, read_content=False, hide=hide).where(~F.col("is_dir"))
         sig = F.concat_ws(":", F.col("length").cast("string"), F.unix_micros("mtime").cast("string"))
         return listed.select("path", F.md5(sig).alias("content_hash"))
-    return list_tree(spark, root).where(~F.col("is_dir")).select(
+    return list_tree(spark, root, hide=hide).where(~F.col("is_dir")).select(
         "path", F.md5(F.coalesce(F.col("content"), F.lit(b""))).alias("content_hash"))
 
 
@@ -470,3 +497,35 @@ def snapshot_changes(before: DataFrame, after: DataFrame, root_name: str, at=Non
         F.when(F.col("kind") == "modified", F.lit("modified")).otherwise(F.col("kind")).alias("kind"),
         F.lit(False).alias("is_directory"),
     )
+
+
+def poll_tree(spark, root: str, state_dir: str, *, root_name: str | None = None, by: str = "stat", hide: Sequence[str] = ()) -> int:
+    """List a tree, compare it with the listing before, and append the differences to the
+    change feed ``<state_dir>/events`` (a folder that a stream reads). Returns the number of
+    changes; the first listing only sets the mark. Listings are kept by number, the latest
+    complete one counts, so a poll that was cut short is made again.
+    """
+    import os
+
+    base = f"{state_dir.rstrip('/')}/listing"
+    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
+    folder = jvm.Path(base)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    done = sorted(int(s.getPath().getName()) for s in (fs.listStatus(folder) if fs.exists(folder) else [])
+                  if fs.exists(jvm.Path(s.getPath(), "_SUCCESS")))
+    number = done[-1] + 1 if done else 0
+    name = root_name or os.path.basename(os.path.normpath(root))
+    listed = tree_snapshot(spark, root, by, hide).withColumn("path", F.concat(F.lit(name + "/"), "path"))
+    now = f"{base}/{number:012d}"
+    if done:
+        fresh = f"{state_dir.rstrip('/')}/seen/{number:012d}"
+        listed.write.mode("overwrite").parquet(fresh)  # listed once: what is compared is what is kept
+        schema = "path string, content_hash string"
+        after = spark.read.schema(schema).parquet(fresh)
+        changes = snapshot_changes(spark.read.schema(schema).parquet(f"{base}/{done[-1]:012d}"), after, name)
+        changes = changes.withColumn("event_id", F.xxhash64("path", "kind", F.lit(number)))
+        changes.write.mode("append").parquet(f"{state_dir.rstrip('/')}/events")
+        after.write.mode("overwrite").parquet(now)
+        return changes.count()
+    listed.write.mode("overwrite").parquet(now)
+    return 0

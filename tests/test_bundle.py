@@ -122,7 +122,7 @@ def test_create_bundle_api_counts_and_rejects(spark, tmp_dir):
     n, rejects = B.create_bundle(files, paths, out, root=F.lit("proj"), remove_comments=True)
     assert n == 2 and [r.path for r in rejects.collect()] == ["proj/missing.py"]
     got, _ = _read_back(out, "out")
-    assert got == model_bundle("out", [("lib/cart.py", CART), ("lib/shop.py", SHOP)], comments=True)[0]
+    assert got == model_bundle("proj", [("lib/cart.py", CART), ("lib/shop.py", SHOP)], comments=True)[0]
 
 
 def test_marker_by_extension(spark):
@@ -167,3 +167,50 @@ def test_one_bundle_holding_everything_matches_duckdb(spark, tmp_dir):
     expect, n_files = con.execute(sql).fetchone()
     assert n_parts > 1 and n == n_files
     assert got == expect
+
+
+def test_pack_stats_in_one_pass(spark):
+    files = _files(spark).unionByName(spark.createDataFrame(
+        [("none", "none/x.py", None), ("proj", "proj/bad.py", None)], "bundle string, path string, content string"))
+    for kw in ({}, {"remove_comments": True, "remove_docstrings": True}, {"root": F.lit("proj")}):
+        want = {tuple(r) for r in B.bundle_stats(B.pack(files, **kw)).collect()}
+        assert {tuple(r) for r in B.pack_stats(files, **kw).collect()} == want
+    assert {r.bundle: r.n_files for r in B.pack_stats(files).collect()} == {"proj": 3, "none": 0}
+
+
+def test_the_write_makes_each_block_once(spark, tmp_dir):
+    from pyspark.sql import Observation
+
+    rows = [(f"b{i % 3}", f"b{i % 3}/f{i}.py", f"x = {i}\n") for i in range(500)]
+    files = spark.createDataFrame(rows, "bundle string, path string, content string")
+    seen = Observation("files")
+    observed = files.observe(seen, F.count(F.lit(1)).alias("n"))
+    n = B.write_bundles(B.file_blocks(observed), os.path.join(tmp_dir, "once"), 5, keys=B.file_keys(files))
+    assert n == 500 and seen.get["n"] == 500
+
+
+def test_range_numbers(spark):
+    keys = spark.createDataFrame([("b", f"{i:03d}") for i in range(0, 200, 2)] + [(None, "x")], "bundle string, okey string")
+    for n in (1, 3, 10, 60):
+        starts = B.range_starts(keys, n).first().starts
+        rows = keys.unionByName(spark.createDataFrame([("a", "0"), ("b", "001"), ("c", "")], keys.schema)).withColumn(
+            "s", B.range_starts(keys, n).scalar()).withColumn("r", B.range_id(F.col("s"), max(1, int(n**0.5)))).collect()
+
+        def order(r):
+            return (r.bundle is not None, r.bundle or "", r.okey)
+        for r in rows:
+            assert r.r == max(0, sum(order(s) <= order(r) for s in starts) - 1)
+
+
+def test_null_groups_have_positions(spark):
+    df = spark.createDataFrame([(None, "a"), (None, "b"), ("g", "c"), ("g", "d")], "g string, k string")
+    got = sorted((r.g or "", r.k, r.seq) for r in positions(df, "g", "k", num_ranges=3).collect())
+    assert got == [("", "a", 0), ("", "b", 1), ("g", "c", 0), ("g", "d", 1)]
+
+
+def test_undecodable_listed_files_are_told_apart(spark):
+    files = spark.createDataFrame([("a", "x"), ("b", None)], "path string, content string")
+    paths = spark.createDataFrame([("o", 1, "a"), ("o", 2, "b"), ("o", 3, "c")], "bundle string, seq int, path string")
+    found, rejects = explicit_list(files, paths)
+    assert [r.path for r in found.collect()] == ["a"]
+    assert sorted((r.seq, r.reason) for r in rejects.collect()) == [(2, "not valid UTF-8"), (3, "not found")]

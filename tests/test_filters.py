@@ -46,7 +46,7 @@ def test_empty_keyword_matches_everything(spark):
     assert _eval(spark, rows, lambda n, p: keyword_filter(n, p, ignore_names=[""])) == [False]
 
 
-def test_keyword_table_join_both_paths(spark, monkeypatch):
+def test_keyword_tables(spark):
     import random
 
     from corpuspack.operators import selection as S
@@ -55,12 +55,33 @@ def test_keyword_table_join_both_paths(spark, monkeypatch):
     paths = ["/".join(rng.choice(["src", "tests", "lib", "a", "bé", "x_y"]) for _ in range(rng.randint(1, 4)))
              + rng.choice([".py", ".js", ""]) for _ in range(300)]
     kws = ["/tests/", "lib/a", "é", "x_y/src", ".js", "zzz"]
-    files = spark.createDataFrame([(p,) for p in paths], "path string")
-    table = spark.createDataFrame([(k,) for k in kws], "kw string")
-    expect = sorted(p for p in paths if not any(k in p for k in kws))
-    small = sorted(r.path for r in S.anti_contains(files, table, "path", "kw").collect())
-    monkeypatch.setattr(S, "KEYWORDS_BROADCAST_MAX", 2)  # force the substring equi-join path
-    large = sorted(r.path for r in S.anti_contains(files, table, "path", "kw").collect())
-    assert small == large == expect
-    with_empty = spark.createDataFrame([(k,) for k in kws + [""]], "kw string")
-    assert S.anti_contains(files, with_empty, "path", "kw").count() == 0
+    files = spark.createDataFrame([(p,) for p in [*paths, None]], "path string")
+    table = spark.createDataFrame([(k,) for k in [*kws, None, kws[0]]], "kw string")
+    none = spark.createDataFrame([], "kw string")
+
+    def got(op, keywords):
+        return sorted(((r.path or "") for r in op(files, keywords, "path", "kw").collect()))
+
+    assert got(S.anti_contains, table) == sorted(["", *(p for p in paths if not any(k in p for k in kws))])
+    assert got(S.semi_contains, table) == sorted(p for p in paths if any(k in p for k in kws))
+    assert len(got(S.anti_contains, none)) == len(got(S.semi_contains, none)) == 301
+    blank = spark.createDataFrame([("",)], "kw string")
+    assert got(S.anti_contains, blank) == [""] and len(got(S.semi_contains, blank)) == 300
+    plan = S.anti_contains(files, table, "path", "kw")._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_glob_tables(spark):
+    import fnmatch
+    import random
+
+    from corpuspack.operators import selection as S
+
+    rng = random.Random(3)
+    parts = ["a", "b", "-", "[", "]", "!", "*", "?", "/", ".py", "x"]
+    globs = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 6))) for _ in range(120)] + ["*", "*.py", "", "?"]
+    values = ["".join(rng.choice("ab-[]!/x.") for _ in range(rng.randint(0, 6))) + rng.choice(["", ".py"]) for _ in range(200)]
+    df = spark.createDataFrame([(v,) for v in [*values, None]], "path string")
+    table = spark.createDataFrame([(g,) for g in [*globs, None]], "glob string")
+    got = {(r.value, r.glob) for r in S.glob_matches(df, table).collect()}
+    assert got == {(v, g) for v in values for g in globs if fnmatch.fnmatchcase(v, g)}

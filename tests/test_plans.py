@@ -61,9 +61,32 @@ def test_flagship_plan_shape(spark):
     assert "HashAggregate" in plan and "partial_" in plan
 
 
-def test_sink_uses_one_range_exchange(spark):
+def test_blocks_are_shuffled_once_by_range_number(spark):
     from corpuspack.operators import bundle as B
 
     files = spark.createDataFrame([("b", "b/x.py", "x\n")], "bundle string, path string, content string")
-    plan = B.sink_frame(B.pack(files))._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("rangepartitioning(bundle") == 1
+    plan = B.sink_frame(B.file_blocks(files), keys=B.file_keys(files))._jdf.queryExecution().executedPlan().toString()
+    main = plan.split("Subquery")[0]
+    assert main.count("Exchange") == 1 and "rangepartitioning" not in main
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error(monkeypatch):
+    import pytest
+
+    from corpuspack import session
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_dir(Session())

@@ -41,3 +41,49 @@ def test_split_options_give_the_same_listing(spark, tmp_dir):
         got = list_tree(spark, root, **opts)
         assert sorted(tuple(r) for r in got.collect()) == base, opts
     assert len(base) == 30 + 50 + 1 + 3 + 3 * 5
+
+
+def _make(root, files):
+    for p, text in files.items():
+        os.makedirs(os.path.dirname(os.path.join(root, p)), exist_ok=True)
+        open(os.path.join(root, p), "w").write(text)
+
+
+def test_hidden_parts_are_not_entered(spark, tmp_dir):
+    root = os.path.join(tmp_dir, "h")
+    _make(root, {"a/x.py": "1", ".git/y": "2", "a/.hid/z": "3", "skip/w": "4", "a/b.meta": "5", "out/old.txt": "6", "a/out/n": "7"})
+    got = {r.path for r in list_tree(spark, root, hide=["skip/", "*.meta"], exclude=["out"]).collect()}
+    assert got == {"a", "a/x.py", "a/out", "a/out/n"}
+    assert {r.path for r in list_tree(spark, root, hide=[]).collect()} >= {"skip/w", "a/b.meta"}
+
+
+def test_links_to_folders_are_listed_and_not_entered(spark, tmp_dir):
+    root = os.path.join(tmp_dir, "l")
+    _make(root, {"real/f.py": "abc"})
+    os.symlink(os.path.join(root, "real"), os.path.join(root, "link"))
+    os.symlink(root, os.path.join(root, "real", "up"))  # a loop
+    os.symlink(os.path.join(root, "real", "f.py"), os.path.join(root, "file_link"))
+    os.symlink(os.path.join(root, "nowhere"), os.path.join(root, "broken"))
+    got = {r.path: (r.is_dir, r.length) for r in list_tree(spark, root).collect()}
+    assert got == {"real": (True, None), "real/f.py": (False, 3), "link": (True, None), "real/up": (True, None),
+                   "file_link": (False, 3), "broken": (False, None)}
+
+
+def test_the_driver_holds_no_more_entries_than_it_may(spark, tmp_dir):
+    from corpuspack.sources.tree import TreeDataSource
+
+    root = os.path.join(tmp_dir, "f")
+    _make(root, {f"flat/g{i}": "" for i in range(300)} | {"d/e": "x"})
+    parts = TreeDataSource({"path": root, "driverEntries": "10"}).reader(None).partitions()
+    assert sum(len(p.entries) for p in parts) <= 10
+    assert list_tree(spark, root, driverEntries=10).count() == 303
+
+
+def test_selected_files_only_are_read(spark, tmp_dir):
+    from corpuspack.sources.tree import read_listed
+
+    root = os.path.join(tmp_dir, "r")
+    _make(root, {"a.py": "A", "b.py": "B"})
+    listed = list_tree(spark, root, read_content=False).where("path = 'a.py'")
+    rows = read_listed(listed.select("path").unionByName(spark.createDataFrame([("gone",)], "path string")), root).collect()
+    assert sorted((r.path, r.content and bytes(r.content)) for r in rows) == [("a.py", b"A"), ("gone", None)]

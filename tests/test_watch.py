@@ -61,6 +61,9 @@ def test_throttle_random_equal_model(spark):
         assert last[root] == rows[max(i for i in expect if rows[i][1] == root)][2]
 
 
+ONCE = {"availableNow": True}
+
+
 def _write_stream_input(spark, ev, d, n_files=4):
     pdf = ev.toPandas().sort_values("ts")
     for k, chunk in enumerate(range(0, len(pdf), max(1, len(pdf) // n_files + 1))):
@@ -84,7 +87,7 @@ def test_stream_throttle_equals_batch(spark, tmp_dir):
     def cb(df, batch_id):
         seen.extend(r.event_id for r in df.collect())
 
-    q = W.watch(stream, cb, gap_seconds=0.5, checkpoint=os.path.join(tmp_dir, "ck"))
+    q = W.watch(stream, cb, gap_seconds=0.5, checkpoint=os.path.join(tmp_dir, "ck"), trigger=ONCE)
     q.awaitTermination(120)
     batch = {r.event_id for r in W.throttle(W.watch_filter(ev), 0.5).collect()}
     assert sorted(seen) == sorted(batch) and len(seen) == len(set(seen))
@@ -115,9 +118,9 @@ def test_rebuild_only_hit_bundles(spark, tmp_dir):
     ev = _events(spark, [(0.0, "p", "p/a.py", False), (5.0, "p", "p/b.py", False), (9.0, "q", "q/zz.py", False)])
     _write_stream_input(spark, ev, src, n_files=1)
     stream = spark.readStream.schema(ev.schema).parquet(src + "/*")
-    q = W.watch(stream, rb, gap_seconds=0.5, checkpoint=os.path.join(tmp_dir, "ck"))
+    q = W.watch(stream, rb, gap_seconds=0.5, checkpoint=os.path.join(tmp_dir, "ck"), trigger=ONCE)
     q.awaitTermination(120)
-    assert [b for _, bs in rb.rebuilt for b in bs] == ["p"]  # p/b.py and q/zz.py were not selected
+    assert [r.bundle for r in rb.rebuilt_bundles(spark).collect()] == ["p"]  # p/b.py and q/zz.py were not selected
     for b in "qr":
         assert os.path.isdir(os.path.join(out, f"bundle={b}"))
     got = _bundle_text(out, "p")
@@ -205,7 +208,61 @@ def test_deleted_selected_file_rebuilds_its_bundle(spark, tmp_dir):
     ev = _events(spark, [(0.0, "p", "p/b.py", False)])
     _write_stream_input(spark, ev, src, n_files=1)
     stream = spark.readStream.schema(ev.schema).parquet(src + "/*")
-    W.watch(stream, rb, checkpoint=os.path.join(tmp_dir, "ck")).awaitTermination(120)
-    assert [b for _, bs in rb.rebuilt for b in bs] == ["p"]
+    W.watch(stream, rb, checkpoint=os.path.join(tmp_dir, "ck"), trigger=ONCE).awaitTermination(120)
+    assert [r.bundle for r in rb.rebuilt_bundles(spark).collect()] == ["p"]
     assert "b.py" not in _bundle_text(out, "p") and "a.py" in _bundle_text(out, "p")
     assert "c.py" in _bundle_text(out, "q")
+
+
+def test_a_null_root_is_a_root(spark):
+    rows = [(0.0, None, "a", False), (0.2, None, "b", False), (0.7, None, "c", False), (0.8, None, "d", False),
+            (1.4, None, "e", False), (0.1, "r", "f", False)]
+    ev = _events(spark, rows)
+    want = {0, 2, 4, 5}
+    for method, hot in (("scan", 10), ("jump", 10), ("auto", 2)):
+        assert {r.event_id for r in W.throttle(ev, 0.5, method=method, hot_rows=hot).collect()} == want, method
+
+
+def test_a_watch_resumes_with_its_state(spark, tmp_dir):
+    files = spark.createDataFrame([(b, f"{b}/f.py", f"{b}\n") for b in "abcd"], "bundle string, path string, content string")
+    out, state, src = (os.path.join(tmp_dir, n) for n in ("out", "state", "ev"))
+    every = files.select("path")
+
+    def run(file_table, selection):
+        rb = W.BundleRebuilder(lambda: file_table, selection, out, state)
+        stream = spark.readStream.schema(_events(spark, []).schema).parquet(src + "/*")
+        W.watch(stream, rb, checkpoint=os.path.join(state, "checkpoint"), trigger=ONCE).awaitTermination(120)
+        return rb
+
+    _write_stream_input(spark, _events(spark, [(0.0, "a", "a/f.py", False), (0.1, "b", "b/f.py", False)]), src, n_files=1)
+    first = run(files.where("bundle <> 'c'"), every)  # c/f.py is gone, so it leaves the selection
+    assert first.rebuilt and sorted(r.path for r in first.current_selection(spark).collect()) == ["a/f.py", "b/f.py", "d/f.py"]
+    late = _events(spark, [(0.2, "a", "a/f.py", False), (3.0, "c", "c/f.py", False), (4.0, "d", "d/f.py", False)])
+    late.write.parquet(os.path.join(src, "batch=later"))
+    again = run(files, every)  # the state's selection counts, not the one given
+    assert sorted(r.path for r in again.current_selection(spark).collect()) == ["a/f.py", "b/f.py", "d/f.py"]
+    assert sorted(r.bundle for r in again.rebuilt_bundles(spark).collect()) == ["a", "b", "d"]  # a's second change came too soon
+
+
+def test_more_bundles_than_a_report_holds(spark, tmp_dir):
+    n = 130
+    files = spark.createDataFrame([(f"b{i}", f"b{i}/f.py", "x\n") for i in range(n)], "bundle string, path string, content string")
+    rb = W.BundleRebuilder(lambda: files, files.select("path"), os.path.join(tmp_dir, "out"), os.path.join(tmp_dir, "state"))
+    rb(_events(spark, [(0.0, f"b{i}", f"b{i}/f.py", False) for i in range(n)]), 0)
+    assert rb.rebuilt_bundles(spark).count() == n
+
+
+def test_polling_appends_changes(spark, tmp_dir):
+    root, state = os.path.join(tmp_dir, "proj"), os.path.join(tmp_dir, "state")
+    os.makedirs(os.path.join(root, ".git"))
+    open(os.path.join(root, "a.py"), "w").write("a")
+    open(os.path.join(root, ".git", "x"), "w").write("a")
+    assert W.poll_tree(spark, root, state) == 0
+    assert W.poll_tree(spark, root, state) == 0
+    open(os.path.join(root, "b.py"), "w").write("b")
+    open(os.path.join(root, ".git", "x"), "w").write("longer")
+    assert W.poll_tree(spark, root, state) == 1 and W.poll_tree(spark, root, state) == 0
+    os.remove(os.path.join(root, "a.py"))
+    assert W.poll_tree(spark, root, state) == 1
+    ev = spark.read.parquet(os.path.join(state, "events")).orderBy("ts").collect()
+    assert [(r.path, r.kind, r.root) for r in ev] == [("proj/b.py", "created", "proj"), ("proj/a.py", "deleted", "proj")]
