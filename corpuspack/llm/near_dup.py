@@ -7,11 +7,14 @@
    0.75 share no band with a chance of 5e-6.
 3. Candidates are never all pairs of a bucket. Round one pairs each member of a bucket with the
    bucket's smallest set. Links found join sets to components. Only buckets that still hold
-   several components go on: round two pairs their members with the one of most links so far, the
-   last round all members of different components, so no link between components is missed.
+   several components go on: round two pairs their members with the one of most links so far. For
+   the last round the buckets are cut into blocks, and tasks compare the signatures of two blocks
+   at a time, members of one component excepted, so no link between components is missed and only
+   pairs that the signatures don't rule out become rows, each in the first bucket it shares.
 4. A pair's signatures are compared in batches; under a uniform prior the pair is dropped as soon
    as the posterior chance that its similarity reaches the threshold is below ``miss``. Survivors
-   are checked exactly on the full sets.
+   are checked exactly on the full sets. In the last round, in which most pairs are of middling
+   similarity, three times as many further values are compared.
 
 Defined results: null or empty text, or one without words, has an empty set and no link; null
 doc_id has no link and no component, but is kept; rows with one doc_id and one set are one
@@ -36,19 +39,26 @@ from corpuspack.session import materialize
 BROADCAST_IDS = 2_000_000
 
 
-def factors(count: int) -> tuple[np.ndarray, np.ndarray]:
+#: Members of a bucket's block in the last round, and pairs compared at once.
+BLOCK, PAIRS = 1024, 20_000
+#: Further values of the last round for each of the first signature, kept in 16 bits.
+FURTHER = 3
+
+
+def factors(first: int, count: int) -> tuple[np.ndarray, np.ndarray]:
     """Odd multipliers for the two halves of a hash, one pair for each MinHash function."""
-    seeds = common.mix(np.arange(1, 2 * count + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    seeds = common.mix(np.arange(2 * first + 1, 2 * (first + count) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     odd = (seeds >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-    return odd[:count], odd[count:]
+    return odd[::2], odd[1::2]
 
 
-def signatures(values: np.ndarray, border: np.ndarray, count: int) -> np.ndarray:
-    """MinHash signatures of the non-empty sets, one row each."""
+def signatures(values: np.ndarray, border: np.ndarray, count: int, after: int = 0) -> np.ndarray:
+    """MinHash signatures of the non-empty sets, one row each, by ``count`` functions from the
+    ``after``-th on."""
     low, high = values.astype(np.uint32), (values >> np.uint64(32)).astype(np.uint32)
     first = border[:-1][np.diff(border) > 0]
     out = np.empty((len(first), count), "<u4")
-    a, b = factors(count)
+    a, b = factors(after, count)
     for k in range(count):
         h = low * a[k]
         h ^= high * b[k]
@@ -95,7 +105,7 @@ def sketch(docs: DataFrame, n: int, count: int) -> DataFrame:
 
 
 def in_bands(sets: DataFrame, bands: int, rows: int) -> DataFrame:
-    """band (64-bit key), id: a row for each set and band."""
+    """band (64-bit key), no (of the band), id: a row for each set and band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,10 +113,97 @@ def in_bands(sets: DataFrame, bands: int, rows: int) -> DataFrame:
             key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), sig.shape[:2])
             for k in range(rows):
                 key = common.mix(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, k])
-            ids = np.repeat(np.asarray(batch.column(0)), bands)
-            yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(ids)], names=["band", "id"])
+            ids, no = np.repeat(np.asarray(batch.column(0)), bands), np.tile(np.arange(bands, dtype=np.int32), batch.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(no), pa.array(ids)],
+                                             names=["band", "no", "id"])
+
+    return sets.select("id", "signature").mapInArrow(run, "band long, no int, id long")
+
 
-    return sets.select("id", "signature").mapInArrow(run, "band long, id long")
+def further(texts: DataFrame, n: int, count: int, after: int) -> DataFrame:
+    """id and further signature values (16 bits each) of texts (id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches, limit=1 << 20):
+            made = signatures(*common.shingle_sets(batch.column(1), n), count, after).astype("<u2")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m.tobytes() for m in made], pa.binary())],
+                                             names=["id", "more"])
+
+    return texts.select("id", "text").mapInArrow(run, "id long, more binary")
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """The rows again, in tables that end where the first ``keys`` columns change."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        table = pa.concat_tables([held, table]) if held is not None else table
+        last = np.ones(table.num_rows, bool)
+        for c in range(keys):
+            last &= table.column(c).to_numpy() == table.column(c)[-1].as_py()
+        cut = int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0
+        if cut:
+            yield table.slice(0, cut)
+        held = table.slice(cut)
+    if held is not None:
+        yield held
+
+
+def across(members: DataFrame, bands: int, need: list[tuple[int, int]], first: int) -> DataFrame:
+    """a, b of the pairs of members of a bucket that differ in component and that their signatures
+    don't rule out, each pair in the first bucket that it shares.
+
+    members: band, no, id, component, signature, more. ``need``: numbers of values compared and
+    fewest matches, of which the first ``first`` values are the signature's.
+    """
+    counts = members.groupBy("band").agg(F.count("*").alias("n"))
+    placed = members.join(counts, "band").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn(
+        "own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "band", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "no", "id", "component",
+        "signature", "more")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, 3):
+            band, x, y, own, no, ids, component = (table.column(c).to_numpy() for c in range(7))
+            sig = np.frombuffer(b"".join(table.column(7).to_pylist()), "<u4").reshape(len(ids), -1)
+            more = np.frombuffer(b"".join(table.column(8).to_pylist()), "<u2").reshape(len(ids), -1)
+            edge = np.flatnonzero(np.r_[True, (band[1:] != band[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1]), True])
+
+            def compared(left: np.ndarray, right: np.ndarray) -> pa.RecordBatch:
+                other = (component[left] != component[right]) & ((x[left] == y[left]) | (own[left] != own[right]))
+                left, right = left[other], right[other]
+                same = sig[left] == sig[right]
+                shared = same.reshape(len(left), bands, -1).all(axis=2)
+                here = shared.argmax(axis=1) == no[left]
+                left, right, same = left[here], right[here], same[here]
+                matches, seen = np.zeros(len(left), np.int64), 0
+                for upto, least in need:
+                    if upto <= first:
+                        matches = matches + same[:, seen:upto].sum(axis=1)
+                    else:
+                        a, b = seen - first, upto - first
+                        matches = matches + (more[left, a:b] == more[right, a:b]).sum(axis=1)
+                    alive, seen = matches >= least, upto
+                    left, right, matches, same = left[alive], right[alive], matches[alive], same[alive]
+                ends = np.sort(np.stack((ids[left], ids[right])), axis=0)
+                return pa.RecordBatch.from_arrays([pa.array(ends[0]), pa.array(ends[1])], names=["a", "b"])
+
+            lefts, rights, waiting = [], [], 0
+            for a, b in zip(edge.tolist(), edge[1:].tolist(), strict=False):
+                for row in range(a, b - 1):
+                    lefts.append(np.full(b - row - 1, row))
+                    rights.append(np.arange(row + 1, b))
+                    waiting += b - row - 1
+                    if waiting >= PAIRS:
+                        yield compared(np.concatenate(lefts), np.concatenate(rights))
+                        lefts, rights, waiting = [], [], 0
+            if waiting:
+                yield compared(np.concatenate(lefts), np.concatenate(rights))
+
+    return dealt.repartition("band", "x", "y").sortWithinPartitions("band", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def likely(pairs: DataFrame, need: list[tuple[int, int]]) -> DataFrame:
@@ -194,41 +291,38 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, bands: int =
     signed = materialize(sets.join(few, "id").select("id", "signature"), "candidate-signatures")
     texts = materialize(docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").alias("text")).join(few, "id")
                         .dropDuplicates(["id"]), "candidate-texts")
-    steps = list(range(batch, count + 1, batch))
-    need = list(zip(steps, least_matches(steps, percent / 100, miss), strict=True))
+    steps = list(range(batch, count * (1 + FURTHER) + 1, batch))
+    bounds = list(zip(steps, least_matches(steps, percent / 100, miss), strict=True))
+    need = [b for b in bounds if b[0] <= count]
+
+    def ends(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
+        left, right = (table.select(F.col("id").alias(c), F.col(column).alias(f"of_{c}")) for c in "ab")
+        return pairs.join(left, "a").join(right, "b").select("a", "b", "of_a", "of_b")
+
+    def check(pairs: DataFrame) -> DataFrame:
+        return materialize(confirmed(ends(pairs, texts, "text"), n, percent), "links")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        end = {c: (signed.select(F.col("id").alias(c), F.col("signature").alias(f"s{c}")),
-                   texts.select(F.col("id").alias(c), F.col("text").alias(f"t{c}"))) for c in ("a", "b")}
-        alive = materialize(likely(pairs.join(end["a"][0], "a").join(end["b"][0], "b").select("a", "b", "sa", "sb"), need),
-                            "likely")
-        return materialize(confirmed(alive.join(end["a"][1], "a").join(end["b"][1], "b").select("a", "b", "ta", "tb"),
-                                     n, percent), "links")
-
-    hubs = members.groupBy("band").agg(F.min("id").alias("b"))
-    tried = materialize(members.join(hubs, "band").where("id != b").select(
-        F.col("b").alias("a"), F.col("id").alias("b")).distinct(), "tried")
-    links = verify(tried)
-    for last in (False, True):
-        found = components(links)
-        placed = members.join(found, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
+        return check(materialize(likely(ends(pairs, signed, "signature"), need), "likely"))
+
+    def still_open(links: DataFrame) -> DataFrame:
+        """Members, with their components, of the buckets that hold several."""
+        placed = members.join(components(links), "id", "left").withColumn("component", F.coalesce("component", "id"))
         mixed = placed.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y")
-        open_ = materialize(placed.join(mixed.select("band"), "band"), "open-bands")
-        if open_.isEmpty():
-            break
-        if last:
-            other = open_.select("band", F.col("id").alias("id2"), F.col("component").alias("component2"))
-            pairs = open_.join(other, "band").where("component < component2").select("id", "id2")
-        else:
-            degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("id")).agg(F.count("*").alias("links"))
-            ranked = open_.join(degree, "id", "left").withColumn("links", F.coalesce("links", F.lit(0)))
-            best = ranked.groupBy("band").agg(F.max(F.struct("links", (-F.col("id")).alias("minus"), "component")).alias("best"))
-            pairs = open_.join(best, "band").where("component != best.component").select(
-                "id", (-F.col("best.minus")).alias("id2"))
-        pairs = pairs.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
-        new = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "tried")
-        tried = tried.union(new)
-        links = links.union(verify(new))
+        return materialize(placed.join(mixed.select("band"), "band").select("band", "no", "id", "component"), "open-buckets")
+
+    hubs = members.groupBy("band").agg(F.min("id").alias("a"))
+    links = verify(members.join(hubs, "band").where("id != a").select("a", F.col("id").alias("b")).distinct())
+    left = still_open(links)
+    degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("id")).agg(F.count("*").alias("links"))
+    ranked = left.join(degree, "id", "left").withColumn("links", F.coalesce("links", F.lit(0)))
+    best = ranked.groupBy("band").agg(F.max(F.struct("links", (-F.col("id")).alias("minus"), "component")).alias("best"))
+    pairs = left.join(best, "band").where("component != best.component").select("id", (-F.col("best.minus")).alias("hub"))
+    links = links.union(verify(pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()))
+    left = still_open(links)
+    chosen = texts.join(small(materialize(left.select("id").distinct(), "open")), "id")
+    values = materialize(signed.join(further(chosen, n, FURTHER * count, count), "id"), "open-signatures")
+    links = links.union(check(materialize(across(left.join(values, "id"), bands, bounds, count), "likely")))
     found = components(links)
 
     of_set = materialize(sets.join(found, "id", "left").select(*keys, F.coalesce("component", "id").alias("of")), "set-components")
@@ -242,12 +336,12 @@ def keep(docs: DataFrame, **settings) -> DataFrame:
     """One document of each component: the rows of docs with the smallest doc_id, one of those
     with the same doc_id."""
     verdicts = materialize(near_duplicates(docs, **settings), "near-duplicates")
-    gone = materialize(verdicts.where("not kept").select(F.col("doc_id").alias("gone")).distinct(), "dropped")
-    kept = docs.join(small(gone), F.col("doc_id").cast("long") == F.col("gone"), "left_anti")
-    repeated = materialize(verdicts.where("kept and doc_id is not null").groupBy(F.col("doc_id").alias("again")).count()
-                           .where("count > 1").select("again"), "repeated")
-    if repeated.isEmpty():
-        return kept
-    on = F.col("doc_id").cast("long") == F.col("again")
-    single = kept.join(small(repeated), on, "left_anti")
-    return single.union(kept.join(small(repeated), on, "left_semi").dropDuplicates(["doc_id"]))
+    gone = materialize(verdicts.where("not kept").select(F.col("doc_id").alias("id")).distinct(), "dropped")
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"))
+    kept = rows.join(small(gone), "id", "left_anti")
+    repeated = materialize(verdicts.where("kept and doc_id is not null").groupBy(F.col("doc_id").alias("id")).count()
+                           .where("count > 1").select("id"), "repeated")
+    if not repeated.isEmpty():
+        twice = kept.join(small(repeated), "id", "left_semi").dropDuplicates(["id"])
+        kept = kept.join(small(repeated), "id", "left_anti").union(twice)
+    return kept.select("whole.*")
