@@ -24,7 +24,40 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-@query("op1_host_rules")
+# Words and lines by regular expressions, three-word windows as joined texts, the beta prior's
+# moments over the hosts.
+_OP1_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT r, i, array_to_string(w[i:i + 2], ' ') AS g
+    FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3)),
+twice AS (SELECT r, i FROM windows SEMI JOIN (SELECT r, g FROM windows GROUP BY r, g HAVING count(*) > 1) t USING (r, g)),
+covered AS (SELECT r, count(DISTINCT i + k) AS n FROM twice, (SELECT unnest([0, 1, 2]) AS k) GROUP BY r),
+lines AS (SELECT r, count(*) AS n, count(*) - count(DISTINCT line) AS dup FROM (
+    SELECT r, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
+m AS (SELECT d.r, doc_id, source, CAST(len(w) AS BIGINT) AS n_words,
+    CAST(length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(coalesce(l.dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words,
+    coalesce(l.n, 0) AS n_lines FROM d LEFT JOIN covered c USING (r) LEFT JOIN lines l USING (r)),
+f AS (SELECT *, 100 * n_symbols > 5 * word_chars AS s1, 100 * n_symbols > 2 * word_chars AS s2,
+    100 * n_dup_lines > 50 * n_lines AS l1, 100 * n_dup_lines > 30 * n_lines AS l2,
+    100 * n_repeat_words > 50 * n_words AS p1, 100 * n_repeat_words > 30 * n_words AS p2 FROM m),
+h AS (SELECT source, count(*) AS n, count(*) FILTER (s2) AS s, count(*) FILTER (l2) AS l, count(*) FILTER (p2) AS p
+    FROM f GROUP BY source),
+u AS (UNPIVOT h ON s, l, p INTO NAME rule VALUE k),
+prior AS (SELECT rule, sum(k) / sum(n) AS mean, greatest(sum(k) / sum(n) * (1 - sum(k) / sum(n)), 1e-6) AS spread,
+    coalesce(var_samp(k / n), 0) AS var, avg(1 / n) AS noise FROM u GROUP BY rule),
+fit AS (SELECT rule, mean, greatest(spread / greatest(var - spread * noise, spread / 1e4) - 1, 1) AS k0 FROM prior),
+suspect AS (SELECT source, max(CASE WHEN rule = 's' THEN (k + mean * k0) / (n + k0) END) >= 0.5 AS s,
+    max(CASE WHEN rule = 'l' THEN (k + mean * k0) / (n + k0) END) >= 0.5 AS l,
+    max(CASE WHEN rule = 'p' THEN (k + mean * k0) / (n + k0) END) >= 0.5 AS p FROM u JOIN fit USING (rule) GROUP BY source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR p1 AS base_failed,
+    NOT (n_words < 50 OR p1 OR s1 OR l1 OR (s2 AND suspect.s) OR (l2 AND suspect.l) OR (p2 AND suspect.p)) AS kept
+FROM f JOIN suspect ON f.source IS NOT DISTINCT FROM suspect.source"""
+
+
+@query("op1_host_rules", _OP1_SQL)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.judge(table(spark, sf_dir, "documents")).drop("n_lines")
 
@@ -40,7 +73,23 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.withColumn("taken", F.col("size") * F.col("copies"))
 
 
-@query("op4_near_dup")
+# Every pair of documents that shares a shingle, and what is reachable by the pairs that are
+# similar enough.
+_OP4_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n_both FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * n_both >= 75 * (x.n + y.n - n_both)),
+reach AS (SELECT doc_id AS id, doc_id AS other FROM d UNION SELECT reach.id, links.b FROM reach JOIN links ON links.a = reach.other),
+c AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id)
+SELECT doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN c ON c.id = doc_id"""
+
+
+@query("op4_near_dup", _OP4_SQL)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
