@@ -18,6 +18,7 @@ no block.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -37,8 +38,8 @@ MAGIC = b"EFID"
 #: without id, ids, first document id
 HEADER = struct.Struct("<4sBBBBQQQq")
 SAMPLE = 64
-#: A block ends with the document in which it reaches this many ids.
-BLOCK_IDS = 1 << 20
+#: Text of a block's documents, in bytes (a longer document has a block of its own).
+BLOCK_BYTES = 4 << 20
 
 
 @dataclass
@@ -120,7 +121,7 @@ class Block:
         return [None] * self.without_id + [int(x) + self.first_doc for x in self.docs.all()]
 
 
-def write_block(ids: np.ndarray, counts: list[int], docs: list[int | None], id_bytes: int) -> bytes:
+def write_block(ids: np.ndarray, counts: np.ndarray, docs: list[int | None], id_bytes: int) -> bytes:
     """Documents (null ids first, then rising) with their numbers of ids as one block."""
     known = [d for d in docs if d is not None]
     first = known[0] if known else 0
@@ -141,70 +142,140 @@ def read_block(data: bytes) -> Block:
     return Block(ids, starts, docs, first, without)
 
 
+#: Pieces that are one word and ASCII marks (no apostrophe) after it: words and marks are encoded apart,
+#: case is dropped.
+_PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
+#: Pieces, and words, that each worker keeps the ids of, at about 30 bytes each.
+KEPT = 3_000_000
+
+
+class Table:
+    """Ids of pieces by the pieces' hashes: rising hashes, and where each piece's ids lie."""
+
+    def __init__(self, kind: str):
+        self.kind = kind
+        self.hashes, self.begin, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.ids = np.zeros(0, kind)
+
+    def places(self, hashes: np.ndarray) -> np.ndarray:
+        """Entry of each hash, -1 where there is none."""
+        if not len(self.hashes):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, at, -1)
+
+    def add(self, hashes: np.ndarray, made: list[bytes], needed: np.ndarray) -> None:
+        """New entries; the hashes rise and have no entry yet. A full table keeps only the
+        entries ``needed`` now."""
+        if len(self.hashes) + len(hashes) > KEPT:
+            part = [self.ids[b:b + n] for b, n in zip(self.begin[needed], self.count[needed], strict=True)]
+            self.hashes, self.count = self.hashes[needed], self.count[needed]
+            self.begin = np.cumsum(self.count, dtype=np.int64) - self.count
+            self.ids = np.concatenate([np.zeros(0, self.kind), *part])
+        count = np.fromiter(map(len, made), np.int32, len(made)) // np.dtype(self.kind).itemsize
+        begin = len(self.ids) + np.cumsum(count, dtype=np.int64) - count
+        at = np.searchsorted(self.hashes, hashes)
+        self.hashes, self.begin, self.count = (np.insert(old, at, new) for old, new in (
+            (self.hashes, hashes), (self.begin, begin), (self.count, count)))
+        self.ids = np.concatenate((self.ids, np.frombuffer(b"".join(made), self.kind)))
+
+    def complete(self, hashes: np.ndarray, learn) -> np.ndarray:
+        """Entries of different rising hashes; ``learn`` makes the ids of those (by index) that
+        are new."""
+        place = self.places(hashes)
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            self.add(hashes[new], learn(new.tolist()), place[place >= 0])
+            place = self.places(hashes)
+        return place
+
+
 class Encoder:
-    """Ids of texts under one vocabulary; pieces between spaces are encoded on their own."""
+    """Ids of texts under one vocabulary. The pieces between ASCII white space are encoded on
+    their own: white space, lower case and composition act within a piece, so a cut at white space
+    changes no id. Pieces are told apart by 64-bit hashes (two of a table's three million pieces
+    and a new one meet with a chance of 2e-13), each different one is looked up or encoded once,
+    and the ids are laid out in one array."""
 
     def __init__(self, vocabulary: str):
         self.tokenizer = tokens.load(vocabulary)
         self.id_bytes = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = f"<u{self.id_bytes}"
-        self.memo = tokens.Memo(lambda piece: self.encode([piece])[0])
-        self.memo[""] = b""
+        self.pieces, self.words = Table(self.kind), Table(self.kind)
 
-    def encode(self, pieces: list[str]) -> list[bytes]:
-        made = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
+    def encode(self, texts: list[str]) -> list[bytes]:
+        made = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.kind).tobytes() for e in made]
 
-    def texts(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each text as bytes. White space, lower case and composition act within a
-        piece, so a cut at every space changes no id."""
-        cut = [t.split(" ") for t in texts]
-        new = [p for p in set().union(*cut) - self.memo.keys() if len(p) <= tokens.CACHE_CHARS]
-        if len(self.memo) + len(new) > tokens.CACHE_ENTRIES:
-            self.memo.clear()
-            self.memo[""] = b""
-        self.memo.update(zip(new, self.encode(new), strict=True))
-        return (b"".join(map(self.memo.__getitem__, pieces)) for pieces in cut)
+    def encode_words(self, words: list[str], at_once: int = 4000) -> list[bytes]:
+        """As ``encode``, for words and marks that are one pre-token each: many in one text."""
+        out = []
+        for i in range(0, len(words), at_once):
+            part = words[i:i + at_once]
+            made = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            word = np.array(made.word_ids, np.int64)
+            if not len(word) or word[-1] != len(part) - 1:  # some word is more than one
+                out += self.encode(part)
+                continue
+            raw = np.array(made.ids, self.kind).tobytes()
+            cut = (np.searchsorted(word, np.arange(len(part) + 1)) * self.id_bytes).tolist()
+            out += [raw[a:b] for a, b in zip(cut, cut[1:], strict=False)]
+        return out
+
+    def known(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of lower-cased words or marks, of those not met before by encoding them."""
+        hashes, _, _ = common.word_hashes(np.frombuffer(" ".join(words).encode(), np.uint8))
+        different, first = np.unique(hashes, return_index=True)
+        t = self.words
+        place = t.complete(different, lambda new: self.encode_words([words[first[k]] for k in new]))
+        raw, size = t.ids.tobytes(), self.id_bytes
+        begin, end = (t.begin[place] * size).tolist(), ((t.begin + t.count)[place] * size).tolist()
+        return {words[f]: raw[b:e] for f, b, e in zip(first.tolist(), begin, end, strict=True)}
+
+    def learn(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of pieces (ASCII letters lower-cased)."""
+        texts = [p.decode() for p in pieces]
+        plain = [m and (m[1].lower(), m[2]) for m in map(_PLAIN.fullmatch, texts)]
+        words = {w for pair in plain if pair for w in pair}
+        words.discard("")
+        ids = self.known(list(words)) | {"": b""}
+        other = iter(self.encode([t for t, pair in zip(texts, plain, strict=True) if not pair]))
+        return [ids[pair[0]] + ids[pair[1]] if pair else next(other) for pair in plain]
+
+    def texts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts end to end, and how many each text has."""
+        data, at = common.text_bytes(column)
+        hashes, start, end = common.word_hashes(data)
+        different, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        raw = data.tobytes().lower()  # ASCII letters
+        t = self.pieces
+        place = t.complete(different, lambda new: self.learn([raw[start[k]:end[k]] for k in first[new].tolist()]))
+        begin, count = t.begin[place][which], t.count[place][which].astype(np.int64)
+        before = np.concatenate(([0], np.cumsum(count)))
+        ids = t.ids[np.repeat(begin - before[:-1], count) + np.arange(before[-1])]
+        return ids, np.diff(before[np.searchsorted(start, at)])
 
 
 _ENCODERS: dict[str, Encoder] = {}
 
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str = "word_bpe_49k.json", end_id: int = 2,
-                 block_ids: int = BLOCK_IDS) -> None:
+                 block_bytes: int = BLOCK_BYTES) -> None:
     """Write the token blocks of ``docs`` (doc_id, text) to ``path``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if vocabulary not in _ENCODERS:
             _ENCODERS[vocabulary] = Encoder(vocabulary)
-        e, part = _ENCODERS[vocabulary], TaskContext.get().partitionId()
-        end = np.array([end_id], e.kind).tobytes()
-        held: list[bytes] = []
-        names: list[int | None] = []
-        state = {"block": 0, "before": 0, "ids": 0}
-
-        def block() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(held), e.kind)
-            data = write_block(ids, [len(h) // e.id_bytes for h in held], names, e.id_bytes)
-            out = pa.RecordBatch.from_pydict({
-                "part": pa.array([part], pa.int32()), "block": pa.array([state["block"]], pa.int32()),
-                "n_docs": pa.array([len(names)], pa.int64()), "before": pa.array([state["before"]], pa.int64()),
+        e, part, before = _ENCODERS[vocabulary], TaskContext.get().partitionId(), 0
+        for number, batch in enumerate(common.slices(batches, limit=block_bytes)):
+            ids, counts = e.texts(batch.column(1))
+            ids = np.insert(ids, np.cumsum(counts), end_id)
+            data = write_block(ids, counts + 1, batch.column(0).to_pylist(), e.id_bytes)
+            yield pa.RecordBatch.from_pydict({
+                "part": pa.array([part], pa.int32()), "block": pa.array([number], pa.int32()),
+                "n_docs": pa.array([batch.num_rows], pa.int64()), "before": pa.array([before], pa.int64()),
                 "n_ids": pa.array([len(ids)], pa.int64()), "data": pa.array([data], pa.binary())})
-            state.update(block=state["block"] + 1, before=state["before"] + len(ids), ids=0)
-            held.clear()
-            names.clear()
-            return out
-
-        for batch in common.slices(batches):
-            for name, ids in zip(batch.column(0).to_pylist(), e.texts([t or "" for t in batch.column(1).to_pylist()]),
-                                 strict=True):
-                held.append(ids + end)
-                names.append(name)
-                state["ids"] += len(held[-1]) // e.id_bytes
-                if state["ids"] >= block_ids:
-                    yield block()
-        if names:
-            yield block()
+            before += len(ids)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     ordered = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange("doc_id", "tie").sortWithinPartitions(

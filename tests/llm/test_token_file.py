@@ -48,7 +48,7 @@ def test_pieces_give_the_librarys_ids():
             assert ids[a:a + n].tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
-def test_generations_forget_without_changing_ids(monkeypatch):
+def test_full_tables_forget_without_changing_ids(monkeypatch):
     monkeypatch.setattr(T, "KEPT", 20)
     encoder, text = T.Encoder("word_bpe_49k.json"), " ".join(f"ab{chr(97 + i % 26)}{chr(97 + i % 7)}x" for i in range(200))
     for part in (text, text[::-1], text):
