@@ -13,7 +13,8 @@ blocks trimmed, empty ones dropped, the others joined by a line feed in page ord
 element is white space.
 
 Defined results: null or empty html gives an empty text, as does a page without an article; where
-all else is in a form, the form is read; an article within the article is a comment on it; broken markup is read as far as it goes
+all else is in a form, or the article is in an element named otherwise, these are read; an
+article within the article is a comment on it; broken markup is read as far as it goes
 (open elements end with the page); other columns are not read, repeated rows and null ids are kept
 as they are; an empty table gives an empty table.
 """
@@ -63,6 +64,7 @@ _TOKEN = re.compile(
     r"|<[a-zA-Z/!?][^>]*+\Z", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
 _NAME_PART = re.compile(r"[A-Za-z][a-z]*|[0-9]+")
+_ARTICLE = re.compile(r"<(?:article|main)\b", re.I)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 #: Shares: of links from which a box is a menu, of the container's points from which a sibling stays.
@@ -92,8 +94,9 @@ def says_other(tag: str, attributes: str) -> bool:
 class Page:
     """The tree of a page: for each element its name, parent and blocks of text."""
 
-    def __init__(self, source: str, forms: bool = False):
-        self.forms, self.form_seen = forms, False
+    def __init__(self, source: str, forms: bool = False, around: bool = False):
+        self.forms, self.around = forms, around  # read forms, and what is named otherwise around an article
+        self.form_seen = False
         self.tags, self.parents = ["#"], [-1]
         self.blocks: list[tuple[int, str, int, int]] = []  # element, text, its characters in links, links
         self.open = [0]
@@ -196,6 +199,8 @@ class Page:
             return not self.forms
         if tag in NAMED and (tag != "header" or not any(self.tags[n] in ("article", "main") for n in self.open)):
             return True
+        if self.around and not any(self.tags[n] in ("article", "main") for n in self.open) and tag not in ("article", "main"):
+            return False
         return bool(attributes) and says_other(tag, attributes)
 
     def _close(self, tag: str) -> None:
@@ -277,7 +282,9 @@ def main_text(source: str | None) -> str:
         return ""
     page = Page(source)
     text = page.main_text()
-    return Page(source, forms=True).main_text() if not text and page.form_seen else text
+    if not text and (page.form_seen or _ARTICLE.search(source)):
+        return Page(source, forms=True, around=bool(_ARTICLE.search(source))).main_text()
+    return text
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -128,7 +128,8 @@ def judged(text: Column, kind: str, span: Column, base: bool) -> Column:
               "card": s.rlike("^" + LOOSE["card"].replace("(?<![0-9])", "").replace("(?![0-9])", "") + "$"),
               "phone": s.rlike("^" + LOOSE["phone"].replace("(?<![0-9+(])", "").replace("(?![0-9])", "") + "$")}[kind]
     check = {"email": F.length(s) <= 254}.get(kind, passes(kind, s))
-    votes = [vote(strict), vote(check), vote(s.rlike(GAZETTEER[kind])),
+    # an address written out has no strict form to be measured by
+    votes = [vote(strict, F.lit(False) if kind == "email" else None), vote(check), vote(s.rlike(GAZETTEER[kind])),
              vote(before.rlike(CONTEXT[kind]), before.rlike(AGAINST)),
              vote(~(F.concat(F.when(span["start"] > 0, left).otherwise(F.lit("")), right).rlike("[A-Za-z0-9]")))]
     return F.struct(F.lit(kind).alias("kind"), F.lit(KINDS.index(kind)).alias("rank"), span["start"].alias("start"),

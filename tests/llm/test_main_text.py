@@ -32,9 +32,10 @@ def test_pages(inside, text):
 
 @pytest.mark.parametrize("page, text", [
     (None, ""), ("", ""), ("plain text", "plain text"), ("<p>a", "a"), ("<div class=ad>only an advert</div>", ""),
-    ("<nav><a href=x>menu</a></nav>", ""), ('<a href="x>y">q</a> z', "q z"), ("a < b and c > d", "a < b and c > d"),
+    ("<nav><a href=x>menu</a></nav>", ""), ("<div class=ad>an advert</div><form><input></form>", ""), ('<a href="x>y">q</a> z', "q z"), ("a < b and c > d", "a < b and c > d"),
     ("<p title=it's>one</p><p>it's</p>", "one\nit's"), ("<p>x<script>y", "x"), ("<p>cut off <b cla", "cut off"),
     ("<!-- never ends <p>x</p>", ""), ("<P CLASS=X>upper</P>", "upper"),
+    (f"<div class='page sidebar-right'><div class=ad>Buy</div><article><p>{P1}</p><p class=ad>x</p></article></div>", P1),
     (f"<form id=page><p>{P1}</p></form>", P1), ("<div>" * 5000 + "deep" + "</div>" * 5000, "deep"),
 ])
 def test_broken_and_bare(page, text):

@@ -57,10 +57,12 @@ def test_base_spans(documents):
 
 def test_added_spans(documents):
     rows = [(1, "call +1 (826) 555-4081 190.137.223.204 now"), (2, "cards 4111 1111 1111 1111 5500 0000 0000 0004 end"), (3, "no 1234 5678 9012 3456 7890 1 end")]
+    rows += [(4, "write to jane.doe [at] mail [dot] example [dot] com today"), (5, "meet [at] the corner [dot] yes")]
     rows += [(10 + i, f"call +1 (8{i:02}) 555-40{i:02} or a{i}@b.com, 10.0.0.{i}, 4111 1111 1111 1111, id 9999 8888 7777 66{i:02}") for i in range(50)]
     spans = {r.doc_id: r.spans for r in pii.personal_data(documents(rows, "doc_id long, text string")).collect()}
     assert [tuple(s)[:3] for s in spans[1]] == [("ip", 23, 38), ("phone", 5, 22)]
     assert [(s.start, s.end, s.base) for s in spans[2]] == [(6, 25, False), (26, 45, False)]
+    assert [(s.kind, s.start, s.end) for s in spans[4]] == [("email", 9, 49)] and spans[5] == []
     assert spans[3] == [] and all([s.kind for s in spans[10 + i]] == ["email", "ip", "card", "phone"] for i in range(50))
 
 
