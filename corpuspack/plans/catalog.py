@@ -188,6 +188,16 @@ def q_path_parts(spark, sf):
     )
 
 
+@query("normalize_separators", _with("SELECT doc_id, path AS normalized FROM files", ["files"], []))
+def q_normalize_separators(spark, sf):
+    """Paths written with backslashes, every other separator or all, become what they were."""
+    f = Tables(spark, sf).files
+    every = F.replace("path", F.lit("/"), F.lit("\\"))
+    first = F.regexp_replace("path", "^([^/]*)/", "$1\\\\")
+    written = F.when(F.col("doc_id") % 2 == 0, every).otherwise(first)
+    return f.select("doc_id", P.normalize_separators(written).alias("normalized"))
+
+
 @query("comment_prefix", _with(
     f"SELECT path, {D.ext()} AS ext, {D.comment_prefix(D.ext())} AS prefix FROM files", ["files"], []))
 def q_comment_prefix(spark, sf):

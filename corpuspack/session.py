@@ -10,7 +10,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "corpuspack") -> SparkSession:
+def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "corpuspack",
+                  more: dict[str, str] | None = None) -> SparkSession:
     """A local session configured like the cluster one (AQE on, UTC, no UI)."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -25,7 +26,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
     )
-    spark = builder.getOrCreate()
+    spark = builder.config(map=more or {}).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
