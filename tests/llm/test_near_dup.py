@@ -81,6 +81,28 @@ def test_a_star_whose_points_are_no_links_of_each_other(documents):
     assert got == want
 
 
+def test_blocks_of_a_bucket_meet_each_other(documents, monkeypatch, spark):
+    """All pairs that differ in component, in whatever blocks, and each once."""
+    import itertools
+
+    monkeypatch.setattr(N, "BLOCK", 4)
+    rng, bands, rows = random.Random(5), 2, 2
+    sets = [[rng.randrange(3) for _ in range(4)] + [rng.randrange(2) for _ in range(12)] for _ in range(60)]
+    sig = {i: s[:4] for i, s in enumerate(sets)}
+    table = spark.createDataFrame([(i, bytearray(np.array(s[:4], "<u4").tobytes())) for i, s in enumerate(sets)], "id long, signature binary")
+    members = N.in_bands(table, bands, rows).join(table, "id")
+    more = spark.createDataFrame([(i, i % 5, bytearray(np.array(s[4:], "<u2").tobytes())) for i, s in enumerate(sets)], "id long, component long, more binary")
+    need = [(2, 1), (4, 2), (10, 5), (16, 8)]
+    got = sorted(map(tuple, N.across(members.join(more, "id"), bands, need, 4).collect()))
+
+    def alike(i, j):
+        return all(sum(a == b for a, b in zip(sets[i][:n], sets[j][:n])) >= least for n, least in need)
+
+    want = [(i, j) for i, j in itertools.combinations(range(60), 2) if i % 5 != j % 5 and alike(i, j)
+            and any(sig[i][k:k + 2] == sig[j][k:k + 2] for k in (0, 2))]
+    assert got == want and len(want) > 50
+
+
 def test_many_copies(documents):
     rows = [(i, "one two three four five six seven eight" if i % 3 else f"other {i} text of its own here") for i in range(600)]
     table = documents(rows, "doc_id long, text string")
