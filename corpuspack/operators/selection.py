@@ -133,26 +133,27 @@ def toggle(selection: DataFrame, targets: DataFrame, visible: DataFrame, check_d
     """
     from corpuspack.session import materialize
 
-    # one aggregation, written once: every step below reads it (paths only, no content)
-    info = materialize(node_info(visible), "node-info")
-    tv = targets.select("path").distinct().join(info, "path")
-    dir_t = tv.where("is_dir").select("path")
-    file_t = tv.where(~F.col("is_dir")).select("path")
-    hits = selected_dirs(info, selection)
-    flags = dir_t.join(hits.withColumn("hit", F.lit(True)), "path", "left").select(
-        F.col("path").alias("target"), F.coalesce("hit", F.lit(False)).alias("any_selected"))
-    lv = info.where("is_leaf").select("path")
-    affected = lv.select("path", F.explode(P.ancestors(F.col("path"), include_self=True)).alias("target")).join(
-        flags, "target"
-    )
-    # one outer join does both: a path stays (or enters) unless a target above it had a
-    # selected descendant; paths outside every target keep their state
-    merged = selection.select("path").distinct().join(affected.select("path", "any_selected"), "path", "full")
-    after_dirs = merged.where(~F.coalesce(F.col("any_selected"), F.lit(False))).select("path")
-    out = toggle_files(after_dirs, file_t)
+    # what is known of each path, written once: every step below reads it (paths only, no content)
+    chosen = selection.select("path").distinct().withColumn("in_s", F.lit(True))
+    aimed = targets.select("path").distinct().withColumn("in_t", F.lit(True))
+    state = materialize(node_info(visible).join(chosen, "path", "full").join(aimed, "path", "left").select(
+        "path", "is_dir", "is_leaf", F.coalesce("in_s", F.lit(False)).alias("in_s"),
+        (F.col("in_t") & F.col("is_dir").isNotNull()).alias("in_t")), "node-state")
+    shown = state.where("is_dir is not null and (is_leaf or in_s or in_t)")
+    below = shown.withColumn("target", F.explode(P.ancestors(F.col("path"), include_self=F.col("is_dir")))).join(
+        state.where("in_t and is_dir").select(F.col("path").alias("target")), "target")
+    found = below.groupBy("target").agg(
+        F.max("in_s").alias("any_selected"), F.coalesce(F.max(F.col("in_t") & (F.col("path") != F.col("target"))), F.lit(False)).alias("overlap"))
+    affected = below.where("is_leaf").join(found, "target").select("path", "any_selected")
+    rows = state.select("path", "in_s", F.coalesce(F.col("in_t") & ~F.col("is_dir"), F.lit(False)).alias("flips"),
+                        F.lit(None).cast("boolean").alias("any_selected"))
+    told = rows.unionByName(affected.select("path", F.lit(False).alias("in_s"), F.lit(False).alias("flips"), "any_selected"))
+    # below a target the target decides, elsewhere the selection; a file target flips it
+    agg = told.groupBy("path").agg(F.max("in_s").alias("in_s"), F.max("flips").alias("flips"), F.max("any_selected").alias("any_selected"))
+    on = F.when(F.col("any_selected").isNull(), F.col("in_s")).otherwise(~F.col("any_selected"))
+    out = agg.where(on != F.col("flips")).select("path")
     if check_disjoint:
-        bad = overlapping_targets(dir_t, tv.select("path"))
-        out = out.unionByName(bad.select(
+        out = out.unionByName(found.where("overlap").select(
             F.raise_error(F.concat(F.lit("toggle targets overlap: "), F.col("target"))).cast("string").alias("path")))
     return out
 
