@@ -33,6 +33,8 @@ from corpuspack.session import materialize
 MAX_EDITS, CHARS_PER_EDIT = 2, 25
 #: Sides of up to this many ids of 8 bytes (16 MB) are broadcast after they were counted.
 BROADCAST_IDS = 2_000_000
+#: Bytes of text taken at once, so that its arrays stay in the processor's cache.
+SLICE = 1 << 19
 #: Lines that a task remembers to have given out.
 SEEN = 500_000
 
@@ -49,6 +51,18 @@ def _powers(which: str, n: int) -> np.ndarray:
     return _POWERS[which][:n]
 
 
+_COMMON = {k: common.mix((np.arange(1 << 14, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15 + 2 * k))
+           for k in (1, 2)}
+
+
+def _values(points: np.ndarray, which: int) -> np.ndarray:
+    """A random-looking number for each code point, of two independent kinds."""
+    out = _COMMON[which].take(points, mode="clip")
+    rare = np.flatnonzero(points >= len(_COMMON[which]))
+    out[rare] = common.mix((points[rare].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15 + 2 * which))
+    return out
+
+
 class Lines:
     """The lines with a word of some texts as code points, with sums that hash any stretch."""
 
@@ -64,10 +78,13 @@ class Lines:
         words = np.concatenate(([0], np.cumsum(~space)))
         full = words[end] > words[start]
         self.start, self.end, self.text, self.number = start[full], end[full], self.text[full], self.number[full]
-        value = common.mix((self.points.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
-        self.value = value
-        n = len(self.points)
-        self.sums = np.concatenate(([np.uint64(0)], np.cumsum(value * _powers("up", n), dtype=np.uint64)))
+        self.value = _values(self.points, 1)
+        self.sums = self._sums(self.value)
+
+    def _sums(self, value: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(value) + 1, np.uint64)
+        np.cumsum(value * _powers("up", len(value)), out=out[1:])
+        return out
 
     def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return common.mix((self.sums[end] - self.sums[start]) * _powers("down", len(self.points))[start])
@@ -75,7 +92,7 @@ class Lines:
     def keys(self) -> tuple[np.ndarray, np.ndarray]:
         """Two independent hashes of each line."""
         first = self.hash(self.start, self.end)
-        other = np.concatenate(([np.uint64(0)], np.cumsum(common.mix(self.value) * _powers("up", len(self.points)), dtype=np.uint64)))
+        other = self._sums(_values(self.points, 2))
         second = common.mix((other[self.end] - other[self.start]) * _powers("down", len(self.points))[self.start])
         return first, second + (self.end - self.start).astype(np.uint64)
 
@@ -85,8 +102,8 @@ class Lines:
 
     def sketches(self) -> np.ndarray:
         """Bit c of a line: whether characters of class c (of 64) occur an odd number of times."""
-        bit = np.uint64(1) << (self.value & np.uint64(63))
-        odd = np.concatenate(([np.uint64(0)], np.bitwise_xor.accumulate(bit)))
+        odd = np.zeros(len(self.value) + 1, np.uint64)
+        np.bitwise_xor.accumulate(np.uint64(1) << (self.value & np.uint64(63)), out=odd[1:])
         return odd[self.end] ^ odd[self.start]
 
 
@@ -176,7 +193,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
     """doc_id, line (number in its text), key, key2 of each line."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches, limit=2 << 20):
+        for batch in common.slices(batches, limit=SLICE):
             lines = Lines(batch.column(1).to_pylist())
             first, second = lines.keys()
             yield pa.RecordBatch.from_arrays([
@@ -196,7 +213,7 @@ def places(docs: DataFrame, find, edits: int, chars_per_edit: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in common.slices(batches, limit=2 << 20):
+        for batch in common.slices(batches, limit=SLICE):
             lines = Lines(batch.column(1).to_pylist())
             key = lines.keys()[0]
             rows = np.unique(key, return_index=True)[1]
@@ -219,7 +236,7 @@ def line_texts(docs: DataFrame) -> DataFrame:
     """key, key2 and text of each line."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches, limit=2 << 20):
+        for batch in common.slices(batches, limit=SLICE):
             lines = Lines(batch.column(1).to_pylist())
             first, second = lines.keys()
             yield pa.RecordBatch.from_arrays([pa.array(first.view(np.int64)), pa.array(second.view(np.int64)),
