@@ -19,6 +19,19 @@ def read_files(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
     return spark.read.format(fmt).load(path)
 
 
+def list_store(spark: SparkSession, uri: str, read_content: bool = True) -> DataFrame:
+    """Files below a folder of any storage that Spark reads (an object store, a cluster file
+    system), in the schema of a listed tree: paths relative to ``uri``, no directories. Spark
+    leaves out names that start with ``_`` or ``.``; where those count, list a mounted tree."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(uri)
+    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
+    root = jvm.Path(uri)
+    base = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(root).toString().rstrip("/") + "/"
+    path = F.substring(F.col("path"), F.lit(len(base) + 1), F.length("path"))
+    return found.select(path.alias("path"), F.lit(False).alias("is_dir"), F.col("length"), F.col("modificationTime").alias("mtime"),
+                        (F.col("content") if read_content else F.lit(None).cast("binary")).alias("content"))
+
+
 def decode_files(raw: DataFrame, bytes_col: str = "bytes") -> DataFrame:
     """Decode raw bytes like a strict UTF-8 text-mode read; ``text`` is NULL when invalid."""
     return raw.withColumn("text", T.read_text(F.col(bytes_col))).drop(bytes_col)
@@ -59,4 +72,4 @@ def seq_key(seq_col: str = "seq"):
     return F.lpad(F.col(seq_col).cast("string"), 20, "0")
 
 
-__all__ = ["FILES_SCHEMA", "read_files", "decode_files", "rejects_undecodable", "explicit_list", "seq_key"]
+__all__ = ["FILES_SCHEMA", "read_files", "list_store", "decode_files", "rejects_undecodable", "explicit_list", "seq_key"]

@@ -87,3 +87,14 @@ def test_selected_files_only_are_read(spark, tmp_dir):
     listed = list_tree(spark, root, read_content=False).where("path = 'a.py'")
     rows = read_listed(listed.select("path").unionByName(spark.createDataFrame([("gone",)], "path string")), root).collect()
     assert sorted((r.path, r.content and bytes(r.content)) for r in rows) == [("a.py", b"A"), ("gone", None)]
+
+
+def test_a_store_is_listed_through_spark(spark, tmp_dir):
+    from corpuspack.sources.files import list_store
+
+    root = os.path.join(tmp_dir, "store")
+    _make(root, {"a/x y.py": "1", "b/c/z.md": "22", "_hidden": "3"})
+    rows = {r.path: (r.is_dir, r.length, bytes(r.content)) for r in list_store(spark, root).collect()}
+    assert rows == {"a/x y.py": (False, 1, b"1"), "b/c/z.md": (False, 2, b"22")}
+    listed = list_store(spark, "file://" + root, read_content=False)
+    assert {(r.path, r.content) for r in listed.collect()} == {("a/x y.py", None), ("b/c/z.md", None)}
