@@ -25,6 +25,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -154,7 +155,7 @@ class Table:
 
     def __init__(self, kind: str):
         self.kind = kind
-        self.hashes, self.begin, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.hashes, self.begin, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.ids = np.zeros(0, kind)
 
     def places(self, hashes: np.ndarray) -> np.ndarray:
@@ -170,10 +171,10 @@ class Table:
         if len(self.hashes) + len(hashes) > KEPT:
             part = [self.ids[b:b + n] for b, n in zip(self.begin[needed], self.count[needed], strict=True)]
             self.hashes, self.count = self.hashes[needed], self.count[needed]
-            self.begin = np.cumsum(self.count, dtype=np.int64) - self.count
+            self.begin = np.cumsum(self.count, dtype=np.int32) - self.count
             self.ids = np.concatenate([np.zeros(0, self.kind), *part])
         count = np.fromiter(map(len, made), np.int32, len(made)) // np.dtype(self.kind).itemsize
-        begin = len(self.ids) + np.cumsum(count, dtype=np.int64) - count
+        begin = np.int32(len(self.ids)) + np.cumsum(count, dtype=np.int32) - count
         at = np.searchsorted(self.hashes, hashes)
         self.hashes, self.begin, self.count = (np.insert(old, at, new) for old, new in (
             (self.hashes, hashes), (self.begin, begin), (self.count, count)))
@@ -207,7 +208,7 @@ class Encoder:
         made = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.kind).tobytes() for e in made]
 
-    def encode_words(self, words: list[str], at_once: int = 4000) -> list[bytes]:
+    def encode_words(self, words: list[str], at_once: int = 500) -> list[bytes]:
         """As ``encode``, for words and marks that are one pre-token each: many in one text."""
         out = []
         for i in range(0, len(words), at_once):
@@ -246,27 +247,41 @@ class Encoder:
         """The ids of all texts end to end, and how many each text has."""
         data, at = common.text_bytes(column)
         hashes, start, end = common.word_hashes(data)
-        different, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        which, found = pd.factorize(hashes)  # cheaper than sorting all occurrences
+        first = np.empty(len(found), np.int64)
+        first[which[::-1]] = np.arange(len(which))[::-1]
+        order = np.argsort(found)
         raw = data.tobytes().lower()  # ASCII letters
         t = self.pieces
-        place = t.complete(different, lambda new: self.learn([raw[start[k]:end[k]] for k in first[new].tolist()]))
-        begin, count = t.begin[place][which], t.count[place][which].astype(np.int64)
-        before = np.concatenate(([0], np.cumsum(count)))
-        ids = t.ids[np.repeat(begin - before[:-1], count) + np.arange(before[-1])]
+        place = np.empty(len(found), np.int64)
+        place[order] = t.complete(found[order], lambda new: self.learn(
+            [raw[start[k]:end[k]] for k in first[order[new]].tolist()]))
+        begin, count = t.begin[place][which], t.count[place][which]
+        before = np.zeros(len(count) + 1, np.int32)  # of one slice, as the table: far below 2^31 ids
+        np.cumsum(count, out=before[1:])
+        at_id = np.repeat(begin - before[:-1], count)
+        at_id += np.arange(len(at_id), dtype=np.int32)
+        ids = t.ids[at_id]
         return ids, np.diff(before[np.searchsorted(start, at)])
 
 
 _ENCODERS: dict[str, Encoder] = {}
 
 
+def encoder(vocabulary: str) -> Encoder:
+    """The worker's encoder of a vocabulary, kept between tasks (a function that is sent to a
+    task carries copies of the values it uses, this module's own is not copied)."""
+    if vocabulary not in _ENCODERS:
+        _ENCODERS[vocabulary] = Encoder(vocabulary)
+    return _ENCODERS[vocabulary]
+
+
 def write_tokens(docs: DataFrame, path: str, vocabulary: str = "word_bpe_49k.json", end_id: int = 2,
                  block_bytes: int = BLOCK_BYTES) -> None:
     """Write the token blocks of ``docs`` (doc_id, text) to ``path``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if vocabulary not in _ENCODERS:
-            _ENCODERS[vocabulary] = Encoder(vocabulary)
-        e, part, before = _ENCODERS[vocabulary], TaskContext.get().partitionId(), 0
+        e, part, before = encoder(vocabulary), TaskContext.get().partitionId(), 0
         for number, batch in enumerate(common.slices(batches, limit=block_bytes)):
             ids, counts = e.texts(batch.column(1))
             ids = np.insert(ids, np.cumsum(counts), end_id)
