@@ -62,8 +62,10 @@ def test_added_spans(documents):
     spans = {r.doc_id: r.spans for r in pii.personal_data(documents(rows, "doc_id long, text string")).collect()}
     assert [tuple(s)[:3] for s in spans[1]] == [("ip", 23, 38), ("phone", 5, 22)]
     assert [(s.start, s.end, s.base) for s in spans[2]] == [(6, 25, False), (26, 45, False)]
-    assert [(s.kind, s.start, s.end) for s in spans[4]] == [("email", 9, 49)] and spans[5] == []
-    assert spans[3] == [] and all([s.kind for s in spans[10 + i]] == ["email", "ip", "card", "phone"] for i in range(50))
+    assert [(s.kind, s.start, s.end) for s in spans[4]] == [("email", 9, 51)] and spans[5] == []
+    assert spans[3] == []
+    for i, text in rows[5:]:
+        assert [(s.kind, s.start, s.end) for s in spans[i]] == list(plain_spans(text))
 
 
 def test_running_sums(spark):
