@@ -27,24 +27,31 @@ from corpuspack.operators.bundle import (
     bundle_stats,
     create_bundle,
     file_blocks,
+    file_keys,
     pack,
+    pack_stats,
     write_bundles,
     written_stats,
 )
 
 from corpuspack.operators.selection import (
+    anti_contains,
     dir_rollup,
     empty_dirs,
+    glob_matches,
     refresh_selection,
     select_all,
     select_glob,
+    semi_contains,
     toggle,
     visible_files,
     visible_nodes,
 )
-from corpuspack.sources.tree import list_tree
+from corpuspack.sources.files import list_store
+from corpuspack.sources.tree import list_tree, read_listed
 from corpuspack.streaming.watch import (
     BundleRebuilder,
+    poll_tree,
     snapshot_changes,
     snapshot_diff,
     throttle,
@@ -69,4 +76,5 @@ __all__ = [
     "dir_rollup", "empty_dirs", "refresh_selection", "select_all", "select_glob", "toggle", "visible_files",
     "visible_nodes", "list_tree", "BundleRebuilder", "snapshot_changes", "snapshot_diff", "throttle",
     "throttle_stream", "tree_snapshot", "watch", "watch_filter",
+    "anti_contains", "file_keys", "glob_matches", "list_store", "pack_stats", "poll_tree", "read_listed", "semi_contains",
 ]
