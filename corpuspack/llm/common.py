@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -116,6 +117,26 @@ def slices(batches: Iterator[pa.RecordBatch], text: int = 1, limit: int = 4 << 2
             last = min(max(first + 1, last), len(column))
             yield batch.slice(first, last - first)
             first = last
+    release()
+
+
+#: Rows sent to a Python worker at once: texts are large, and two copies are held on either side.
+ROWS_PER_BATCH = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Send texts to Python workers in small batches, unless the session says otherwise."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(setting) == "10000":  # Spark's own value
+        spark.conf.set(setting, str(ROWS_PER_BATCH))
+
+
+def release() -> None:
+    """Give freed memory back to the system: workers live on between tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
 
 
 def shingle_sets(column: pa.Array, n: int = 5) -> tuple[np.ndarray, np.ndarray]:

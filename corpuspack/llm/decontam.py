@@ -33,6 +33,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 from corpuspack.llm import common
 
 SEED_WORDS = 3
+#: Bytes of text looked through at once.
+SLICE = 1 << 20
 #: Words of test items sent to the executors at once (16 bytes each).
 PART_WORDS = 2_000_000
 
@@ -169,7 +171,7 @@ def document_counts(docs: DataFrame, items: Items) -> dict[int, int]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(sent.value.seeds), np.int64)
-        for batch in common.slices(batches, text=0):
+        for batch in common.slices(batches, text=0, limit=SLICE):
             data, at = common.text_bytes(batch.column(0))
             words, start, _ = common.word_hashes(data)
             place, entry = sent.value.hits(words)
@@ -186,6 +188,7 @@ def document_counts(docs: DataFrame, items: Items) -> dict[int, int]:
 
 
 def prepared(docs: DataFrame, items: DataFrame, part_words: int) -> Iterator[Items]:
+    common.small_batches(docs.sparkSession)
     for part in parts(items, part_words):
         if len(part.seeds):
             yield part.rarest(document_counts(docs, part))
@@ -205,7 +208,7 @@ def contaminated(docs: DataFrame, items: DataFrame, part_words: int = PART_WORDS
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             p = sent.value
             lengths = np.diff(p.border)
-            for batch in common.slices(batches):
+            for batch in common.slices(batches, limit=SLICE):
                 found = list(p.leaks(batch.column(1)))
                 if found:
                     ids = batch.column(0).take(pa.array([f[0] for f in found]))
@@ -228,7 +231,7 @@ def clean(docs: DataFrame, items: DataFrame, part_words: int = PART_WORDS) -> Da
         sent = docs.sparkSession.sparkContext.broadcast(part)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for batch in common.slices(batches, text=text):
+            for batch in common.slices(batches, text=text, limit=SLICE):
                 keep = np.ones(batch.num_rows, bool)
                 keep[[f[0] for f in sent.value.leaks(batch.column(text))]] = False
                 yield batch.filter(pa.array(keep))

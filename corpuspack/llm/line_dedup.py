@@ -288,6 +288,7 @@ def links(docs: DataFrame, classes: DataFrame, edits: int = MAX_EDITS, chars_per
 def line_classes(docs: DataFrame, edits: int = MAX_EDITS, chars_per_edit: int = CHARS_PER_EDIT) -> DataFrame:
     """doc_id, line, class_doc and class_line (the first occurrence of the same line), copies,
     n_links (different lines linked with it), kept for each line of docs (doc_id, text)."""
+    common.small_batches(docs.sparkSession)
     every = materialize(occurrences(docs), "lines")
     where = F.struct("doc_id", "line")
     classes = every.groupBy("key", "key2").agg(F.min(where).alias("first"), F.count("*").alias("copies"))

@@ -276,6 +276,7 @@ def components(links: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, bands: int = 32, rows: int = 4, batch: int = 32,
                     miss: float = 1e-6) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text)."""
+    common.small_batches(docs.sparkSession)
     count = bands * rows
     sketches = materialize(sketch(docs, n, count), "sketches")
     keys = ["key1", "key2", "n_shingles"]

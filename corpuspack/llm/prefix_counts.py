@@ -180,6 +180,7 @@ def prefix_table(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", keep_st
                 columns.append(pa.array(steps, pa.binary()))
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_tokens", "steps"][:len(columns)])
 
+    common.small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, fields)
 
 

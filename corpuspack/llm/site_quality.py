@@ -150,6 +150,7 @@ def site_quality(docs: DataFrame, labels: DataFrame, host: Column | None = None,
     """doc_id, evidence, host_rate, path_rate (without the document), quality, kept."""
     host = F.col("source") if host is None else host
     path = F.col("lang") if path is None else path
+    common.small_batches(docs.sparkSession)
     rows = materialize(measured(docs, host, path), "quality-measures")
     model = classifier(rows, labels, sample)
     evidence = F.lit(0.0)

@@ -40,7 +40,7 @@ MAGIC = b"EFID"
 HEADER = struct.Struct("<4sBBBBQQQq")
 SAMPLE = 64
 #: Text of a block's documents, in bytes (a longer document has a block of its own).
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 
 
 @dataclass
@@ -147,7 +147,7 @@ def read_block(data: bytes) -> Block:
 #: case is dropped.
 _PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
 #: Pieces, and words, that each worker keeps the ids of, at about 30 bytes each.
-KEPT = 3_000_000
+KEPT = 1_500_000
 
 
 class Table:
@@ -194,8 +194,8 @@ class Table:
 class Encoder:
     """Ids of texts under one vocabulary. The pieces between ASCII white space are encoded on
     their own: white space, lower case and composition act within a piece, so a cut at white space
-    changes no id. Pieces are told apart by 64-bit hashes (two of a table's three million pieces
-    and a new one meet with a chance of 2e-13), each different one is looked up or encoded once,
+    changes no id. Pieces are told apart by 64-bit hashes (one of a table's pieces and a
+    new one meet with a chance of 8e-14), each different one is looked up or encoded once,
     and the ids are laid out in one array."""
 
     def __init__(self, vocabulary: str):
@@ -292,6 +292,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = "word_bpe_49k.jso
                 "n_ids": pa.array([len(ids)], pa.int64()), "data": pa.array([data], pa.binary())})
             before += len(ids)
 
+    common.small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     ordered = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange("doc_id", "tie").sortWithinPartitions(
         "doc_id", "tie", "text").select("doc_id", "text")
