@@ -151,7 +151,7 @@ def test_one_bundle_holding_everything_matches_duckdb(spark, tmp_dir):
     ranges, equals DuckDB's single ordered string_agg of the same blocks."""
     import duckdb
 
-    from conftest import SF001 as SF001_DIR
+    from tables import SF001 as SF001_DIR
     from corpuspack.plans import duck as D
     from corpuspack.plans.fixtures import DUCK_FILES, Tables
 

@@ -3,7 +3,7 @@
 import pytest
 
 from corpuspack.plans.fixtures import SPARK_FILES, SPARK_FILES_REFERENCE
-from conftest import SF001, SF01
+from tables import SF001, SF01
 
 
 @pytest.mark.parametrize("sf", [SF001, SF01])

@@ -2,7 +2,7 @@
 
 from corpuspack.plans import catalog
 from corpuspack.plans.fixtures import Tables
-from conftest import SF001
+from tables import SF001
 
 
 def _plan(df):
