@@ -1,12 +1,18 @@
-"""Duplicate and nearly equal lines: a segment-partition edit join.
+"""Duplicate and nearly equal lines: an edit join on the rarest stretches of each line.
 
-Two different lines are linked if their edit distance is at most one per ``chars_per_edit`` code
-points of the longer one, and at most ``max_edits`` (t). A line cut into t + 1 segments keeps one
-of them unchanged under t edits, so every line is indexed by its segments, and looks among the
-lines as long or up to t shorter for its own substrings: of a segment's length, from the places
-to which the edits before and after it can have moved it (a few per segment and length).
-Candidates that share a key must also agree in a 64-bit sketch but for two bits an edit (the
-parities of its characters' numbers), and are verified by banded bit-parallel edit distance.
+Two different lines are linked if their edit distance is at most t, one edit per
+``chars_per_edit`` code points of the longer one (and at most ``edits``, if given).
+
+All stretches of q code points (grams) stand in one order, rare ones first by a sample of the
+corpus. A line's prefix are its grams below a bound of that order, as many as it takes that t
+edits can't reach all of them (t + 1 of them don't overlap). Of two linked lines the one with the
+lower bound keeps a gram of its prefix, which the other one then holds in its own prefix: every
+link shares a gram, for any t. Grams that lie too far apart in the two lines, or in lines too
+different in length, are no candidates; the others must agree in a histogram of their characters
+but for two counts an edit, and are verified by bit-parallel edit distance.
+
+Grams are compared inside tasks: a bucket of grams is sorted and its lines paired there, so only
+pairs that may be linked become rows.
 
 Equal lines are one class first (128-bit hashes), so copies are never paired. A class stands at
 its first occurrence. A line is kept if it is the first of its class and no earlier class is
@@ -30,7 +36,15 @@ from pyspark.sql import functions as F
 from corpuspack.llm import common
 from corpuspack.session import materialize
 
-MAX_EDITS, CHARS_PER_EDIT = 2, 25
+CHARS_PER_EDIT = 20
+#: Code points of a gram, as long as lines of any length hold enough that don't overlap.
+GRAM = 9
+#: Bits of a gram's hash by which grams are counted, and code points of the sample they are counted in.
+COUNTED_BITS, SAMPLE_CHARS = 20, 8_000_000
+#: Rows (a line's gram each) that a task holds before it gives them out, and of a bucket.
+HELD_ROWS, BUCKET_ROWS = 1 << 18, 1 << 20
+#: Largest length and place that a row tells from larger ones.
+FAR = (1 << 16) - 1
 #: Sides of up to this many ids of 8 bytes (16 MB) are broadcast after they were counted.
 BROADCAST_IDS = 2_000_000
 #: Bytes of text taken at once, so that its arrays stay in the processor's cache.
@@ -100,93 +114,109 @@ class Lines:
         raw = self.points.tobytes()
         return [raw[4 * a:4 * b].decode("utf-32-le") for a, b in zip(self.start.tolist(), self.end.tolist(), strict=True)]
 
-    def sketches(self) -> np.ndarray:
-        """Bit c of a line: whether characters of class c (of 64) occur an odd number of times."""
-        odd = np.zeros(len(self.value) + 1, np.uint64)
-        np.bitwise_xor.accumulate(np.uint64(1) << (self.value & np.uint64(63)), out=odd[1:])
-        return odd[self.end] ^ odd[self.start]
-
+    def histograms(self) -> np.ndarray:
+        """Number of characters of each of 64 classes, modulo 256, a row of bytes per line."""
+        out = np.empty((len(self.start), 64), np.uint8)
+        kind = (self.value & np.uint64(63)).astype(np.uint8)
+        for c in range(64):
+            at = np.flatnonzero(kind == c)
+            out[:, c] = np.searchsorted(at, self.end) - np.searchsorted(at, self.start)
+        return out
 
-def segment(length: np.ndarray, i: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Start and length of the i-th of ``parts`` segments; the last ones take what is left over."""
-    size, rest = length // parts, length % parts
-    return i * size + np.maximum(0, i - (parts - rest)), size + (i >= parts - rest)
+    def grams(self, size: int) -> np.ndarray:
+        """Hash of the ``size`` code points from each place on."""
+        n = max(0, len(self.points) - size + 1)
+        at = np.arange(n)
+        return self.hash(at, at + size)
 
 
-def place_key(lines: Lines, start: np.ndarray, size: np.ndarray, of: np.ndarray, i: int, parts: int) -> np.ndarray:
-    """Hash of a stretch as the i-th segment of a line of length ``of``."""
-    return common.mix(lines.hash(start, start + size) + of.astype(np.uint64) * np.uint64(2 * parts) + np.uint64(i))
+def allowed(chars: np.ndarray, edits: int | None, chars_per_edit: int) -> np.ndarray:
+    """Edits between two lines of which the longer one has ``chars`` code points."""
+    t = chars // chars_per_edit
+    return t if edits is None else np.minimum(t, edits)
 
 
-def segments(lines: Lines, rows: np.ndarray, edits: int, chars_per_edit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(key, row) of the segments of the lines that can have a link."""
-    length = (lines.end - lines.start)[rows]
-    usable = length + edits >= chars_per_edit  # a longer line may have edits with it
-    r, n = rows[usable], length[usable]
-    for i in range(edits + 1):
-        at, size = segment(n, i, edits + 1)
-        yield place_key(lines, lines.start[r] + at, size, n, i, edits + 1), r
+def gram_size(chars_per_edit: int) -> int:
+    """Code points of a gram: a line that can have t edits holds t + 1 grams that don't overlap."""
+    if chars_per_edit < 3:
+        raise ValueError("chars_per_edit must be 3 at least")
+    return max(1, min(GRAM, (chars_per_edit - 1) // 2))
 
 
-def substrings(lines: Lines, rows: np.ndarray, edits: int, chars_per_edit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(key, row) of the substrings at which a line as long or shorter may share a segment.
+def prefixes(lines: Lines, rows: np.ndarray, order: np.ndarray, size: int, edits: int | None, chars_per_edit: int
+             ) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the grams in the prefixes of the lines ``rows`` (rising), and each one's line.
 
-    Under t edits some segment i is whole with at most i edits before it and t - i after it; it
-    lies ``move`` places further on, which takes |move| edits before it and, for lengths that
-    differ by ``shorter``, |shorter - move| after it.
+    order: of each gram a number from 0 to 1. A line's bound is raised until as many grams below
+    it as there can be edits, and one more, don't overlap.
     """
     length = (lines.end - lines.start)[rows]
-    allowed = np.minimum(edits, length // chars_per_edit)
-    for shorter in range(edits + 1):
-        usable = (allowed >= max(shorter, 1)) & (length - shorter > edits)
-        r, n, t = rows[usable], length[usable] - shorter, allowed[usable]
-        for i in range(edits + 1):
-            at, size = segment(n, i, edits + 1)
-            for move in range(-edits, edits + 1):
-                before, after = abs(move), abs(shorter - move)
-                if before <= i and after <= edits - i:
-                    place = at + move
-                    ok = (place >= 0) & (place + size <= n + shorter) & (before + after <= t)
-                    yield place_key(lines, lines.start[r][ok] + place[ok], size[ok], n[ok], i, edits + 1), r[ok]
-
-
-def edit_distance(a: list[np.ndarray], b: list[np.ndarray], edits: int) -> np.ndarray:
-    """Edit distances of the pairs (a[k], b[k]), edits + 1 if above ``edits``.
-
-    Of each pair the reachable diagonals within ``edits`` of the main one are bits of a word, one
-    word for each number of edits spent; all pairs go on by a character of b at once.
-    """
-    pairs, band = len(a), 2 * edits + 1
-    la, lb = (np.array([len(x) for x in s], np.int64) for s in (a, b))
-    wide = int(max(la.max(initial=0), lb.max(initial=0)))
-    left = np.full((pairs, wide + 2 * band), -1, np.int64)
-    right = np.full((pairs, wide + 1), -2, np.int64)
-    for k in range(pairs):
-        left[k, edits:edits + la[k]] = a[k]
-        right[k, :lb[k]] = b[k]
-    mask = np.uint64((1 << band) - 1)
-    one = np.uint64(1)
-    states = [np.full(pairs, 1 << edits, np.uint64)]
-    for _ in range(edits):
-        states.append(states[-1] | ((states[-1] << one) & mask))
-    weights = one << np.arange(band, dtype=np.uint64)
-    result = np.full(pairs, edits + 1, np.int64)
-    for j in range(int(lb.max(initial=0)) + 1):
-        for k in np.flatnonzero(lb == j):
-            offset = la[k] - lb[k] + edits
-            if 0 <= offset < band:
-                result[k] = next((d for d in range(edits + 1) if int(states[d][k]) >> int(offset) & 1), edits + 1)
-        if j == wide:
-            break
-        equal = ((left[:, j:j + band] == right[:, j:j + 1]) * weights).sum(axis=1, dtype=np.uint64)
-        new: list[np.ndarray] = []
-        for d in range(edits + 1):
-            s = states[d] & equal
-            if d:
-                s = s | states[d - 1] | (states[d - 1] >> one) | ((new[d - 1] << one) & mask)
-            new.append(s)
-        states = new
-    return result
+    most = allowed(length * chars_per_edit // (chars_per_edit - 1), edits, chars_per_edit)  # with a longer line
+    rows, length, most = rows[most > 0], length[most > 0], most[most > 0]
+    count = np.maximum(length - size + 1, 0)
+    line = np.repeat(np.arange(len(rows)), count)
+    at = np.arange(len(line)) - np.repeat(np.cumsum(count) - count, count) + lines.start[rows][line]
+    order = order[at]
+    bound = 0.75 / np.maximum(1.5, length / (most + 1) - size)
+    open_ = np.ones(len(rows), bool)
+    while open_.any():
+        chosen = np.flatnonzero((order < bound[line]) & open_[line])
+        p, of = at[chosen], line[chosen]
+        after = np.searchsorted(p, p + size)
+        here, last = (np.searchsorted(of, np.arange(len(rows)), side) for side in ("left", "right"))
+        apart, going = np.zeros(len(rows), np.int64), np.flatnonzero(open_ & (here < last))
+        while len(going):
+            apart[going] += 1
+            going = going[apart[going] <= most[going]]
+            here[going] = after[here[going]]
+            going = going[here[going] < last[going]]
+        open_ &= (apart <= most) & (bound <= 1)  # beyond 1 all grams are in
+        bound[open_] *= 1.15
+        left = open_[line] | (order < bound[line])
+        line, at, order = line[left], at[left], order[left]
+    return at, rows[line]
+
+
+def bit_distance(a: np.ndarray, b: np.ndarray, edits: int) -> int:
+    """Edit distance of two rows of code points, edits + 1 if above ``edits``: what is equal at
+    both ends is cut off, then a column of the table is a pair of numbers of len(a) bits."""
+    if abs(len(a) - len(b)) > edits:
+        return edits + 1
+    n = min(len(a), len(b))
+    other = np.flatnonzero(a[:n] != b[:n])
+    first = int(other[0]) if len(other) else n
+    a, b, n = a[first:], b[first:], n - first
+    other = np.flatnonzero(a[len(a) - n:][::-1] != b[len(b) - n:][::-1])
+    last = int(other[0]) if len(other) else n
+    a, b = a[:len(a) - last].tolist(), b[:len(b) - last].tolist()
+    if not a or not b:
+        return min(len(a) + len(b), edits + 1)
+    places: dict[int, int] = {}
+    for i, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << i
+    whole, top, score, left = (1 << len(a)) - 1, 1 << (len(a) - 1), len(a), len(b)
+    up, down = whole, 0
+    for c in b:
+        equal = places.get(c, 0)
+        across = (((equal & up) + up) ^ up) | equal
+        more, less = down | (whole & ~(across | up)), up & across
+        left -= 1
+        if more & top:
+            score += 1
+        elif less & top:
+            score -= 1
+        if score - left > edits:
+            return edits + 1
+        more, less = (more << 1) | 1, less << 1
+        steep = equal | down
+        up, down = (less | ~(steep | more)) & whole, more & steep & whole
+    return score
+
+
+def edit_distance(a: list[np.ndarray], b: list[np.ndarray], edits: int | np.ndarray) -> np.ndarray:
+    """Edit distances of the pairs (a[k], b[k]), edits + 1 if above ``edits`` (of each pair)."""
+    most = np.broadcast_to(edits, len(a)).tolist()
+    return np.array([bit_distance(x, y, t) for x, y, t in zip(a, b, most, strict=True)], np.int64)
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
@@ -207,29 +237,176 @@ def rows_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def places(docs: DataFrame, find, edits: int, chars_per_edit: int) -> DataFrame:
-    """place (key of a stretch), key (of the line), sketch and chars of what ``find`` yields. A
-    task gives a line's rows again only if it has met very many others since."""
+def gram_order(docs: DataFrame, chars: int, size: int) -> np.ndarray:
+    """For each class of grams (by bits of their hash) where it begins in the order from 0 to 1 of
+    all grams, rare classes first, and one entry more; counted in a sample of bounded size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches, limit=SLICE):
+            held, n = np.unique(Lines(batch.column(1).to_pylist()).grams(size) >> np.uint64(64 - COUNTED_BITS), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array([held.astype("<u4").tobytes()]), pa.array([n.astype("<u4").tobytes()])],
+                                             names=["held", "n"])
+
+    total = np.zeros(1 << COUNTED_BITS, np.int64)
+    sample = rows_of(docs).sample(min(1.0, SAMPLE_CHARS / max(1, chars)), 17)
+    for row in sample.mapInArrow(run, "held binary, n binary").toLocalIterator():
+        total[np.frombuffer(row["held"], "<u4")] += np.frombuffer(row["n"], "<u4")
+    by_count = np.argsort(total, kind="stable")
+    share = (total + 0.5) / (total + 0.5).sum()
+    begin = np.empty((2, len(total)), np.float32)  # begin and width
+    begin[0, by_count] = np.cumsum(share[by_count]) - share[by_count]
+    begin[1] = share
+    return begin
+
+
+#: A line's gram: hash within its bucket, line, code points of the line, first place, and how far
+#: off the last one is.
+FIELDS = (("place", "<u4"), ("key", "<i8"), ("chars", "<u2"), ("first", "<u2"), ("wide", "<u2"))
+
+
+def gram_rows(docs: DataFrame, order, buckets: int, edits: int | None, chars_per_edit: int) -> DataFrame:
+    """bucket and data (rows of FIELDS, field by field) of the prefixes' grams. A task gives a
+    line's rows again only if it has met very many others since."""
+    size = gram_size(chars_per_edit)
+
+    def given_out(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        bucket, *fields = (np.concatenate(x) for x in zip(*held, strict=True))
+        by_bucket = np.argsort(bucket, kind="stable")
+        bucket, fields = bucket[by_bucket], [f[by_bucket] for f in fields]
+        edge = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
+        data = [b"".join(f[a:b].tobytes() for f in fields) for a, b in zip(edge, edge[1:], strict=False)]
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[edge[:-1]], pa.int32()), pa.array(data, pa.binary())],
+                                         names=["bucket", "data"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin, width = order.value
         seen: set[int] = set()
+        held: list[list[np.ndarray]] = []
         for batch in common.slices(batches, limit=SLICE):
             lines = Lines(batch.column(1).to_pylist())
             key = lines.keys()[0]
             rows = np.unique(key, return_index=True)[1]
-            new = [k not in seen for k in key[rows].tolist()]
-            rows = rows[new]
+            rows = np.sort(rows[[k not in seen for k in key[rows].tolist()]])
             if len(seen) > SEEN:
                 seen.clear()
             seen.update(key[rows].tolist())
-            sketch, length = lines.sketches(), lines.end - lines.start
-            for place, r in find(lines, rows, edits, chars_per_edit):
-                if len(r):
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(place.view(np.int64)), pa.array(key[r].view(np.int64)), pa.array(sketch[r].view(np.int64)),
-                        pa.array(length[r].astype(np.int32))], names=["place", "key", "sketch", "chars"])
+            gram = lines.grams(size)
+            counted = (gram >> np.uint64(64 - COUNTED_BITS)).astype(np.int32)
+            within = ((gram & np.uint64((1 << 24) - 1)).astype(np.float32)) / np.float32(1 << 24)
+            at, line = prefixes(lines, rows, begin[counted] + width[counted] * within, size, edits, chars_per_edit)
+            gram = gram[at]
+            by_gram = np.lexsort((at, gram, line))
+            at, line, gram = at[by_gram], line[by_gram], gram[by_gram]
+            edge = np.flatnonzero(np.r_[True, (line[1:] != line[:-1]) | (gram[1:] != gram[:-1]), True][:len(at) + 1])
+            if len(at):
+                first, last, line, gram = at[edge[:-1]], at[edge[1:] - 1], line[edge[:-1]], common.mix(gram[edge[:-1]])
+                fields = [gram & np.uint64((1 << 32) - 1), key[line].view(np.int64), lines.end[line] - lines.start[line],
+                          first - lines.start[line], last - first]
+                held.append([((gram >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32), *(
+                    (np.minimum(x, FAR) if kind == "<u2" else x).astype(kind) for x, (_, kind) in zip(fields, FIELDS, strict=True))])
+            if sum(len(h[0]) for h in held) > HELD_ROWS:
+                yield from given_out(held)
+                held = []
+        if held:
+            yield from given_out(held)
+
+    return rows_of(docs).mapInArrow(run, "bucket int, data binary")
+
+
+def pairs_within(data: list[bytes], edits: int | None, chars_per_edit: int) -> Iterator[np.ndarray]:
+    """Pairs of lines (two rows of keys, smaller ones first) that share a gram of a bucket at
+    places that t edits can move it between."""
+    width = sum(np.dtype(kind).itemsize for _, kind in FIELDS)
+    place, key, chars, first, wide = (np.concatenate(x) for x in zip(*(_fields(d, len(d) // width) for d in data), strict=True))
+    by_place = np.lexsort((key, chars, place))
+    place, key, chars, first, wide = (x[by_place] for x in (place, key, chars, first, wide))
+    new = np.r_[True, (place[1:] != place[:-1]) | (key[1:] != key[:-1])]
+    place, key, chars, first, last = (x[new].astype(np.int64) for x in (place, key, chars, first, first.astype(np.int64) + wide))
+    t = allowed(chars, edits, chars_per_edit)
+    row, step = np.arange(len(place)), 1
+    while len(row):
+        row = row[row + step < len(place)]
+        other = row + step
+        near = (place[row] == place[other]) & (chars[other] - chars[row] <= t[other])  # as for all further ones
+        row, other = row[near], other[near]
+        apart = np.maximum(0, np.maximum(first[other] - last[row], first[row] - last[other]))
+        single = (first[row] == last[row]) & (first[other] == last[other])
+        move, longer = first[other] - first[row], chars[other] - chars[row]
+        needed = np.where(single, np.abs(move) + np.abs(longer - move), apart)
+        good = ((needed <= t[other]) | (chars[other] >= FAR)) & (key[row] != key[other])
+        if good.any():
+            yield np.sort(np.stack((key[row[good]], key[other[good]])), axis=0)
+        step += 1
+
+
+def _fields(data: bytes, n: int) -> Iterator[np.ndarray]:
+    at = 0
+    for _, kind in FIELDS:
+        yield np.frombuffer(data, kind, n, at)
+        at += n * np.dtype(kind).itemsize
+
+
+def candidates(grams: DataFrame, parts: int, edits: int | None, chars_per_edit: int) -> DataFrame:
+    """a, b: the pairs that share a gram, some of them repeated."""
+
+    def found(data: list[bytes]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for pairs in pairs_within(data, edits, chars_per_edit):
+            held.append(pairs)
+            if sum(p.shape[1] for p in held) > HELD_ROWS:
+                held = [np.unique(np.concatenate(held, axis=1), axis=1)]
+                if held[0].shape[1] > HELD_ROWS // 2:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], names=["a", "b"])
+                    held = []
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.unique(np.concatenate(held, axis=1), axis=1)], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, held = None, []
+        for batch in batches:
+            for b, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if b != bucket and held:
+                    yield from found(held)
+                    held = []
+                bucket = b
+                held.append(data)
+        if held:
+            yield from found(held)
+        common.release()
+
+    return grams.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long")
+
+
+def line_histograms(docs: DataFrame) -> DataFrame:
+    """key, chars and histogram of each line, of those met before in a task not always again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches, limit=SLICE):
+            lines = Lines(batch.column(1).to_pylist())
+            key, rows = np.unique(lines.keys()[0], return_index=True)
+            made = lines.histograms()[rows]
+            yield pa.RecordBatch.from_arrays([
+                pa.array(key.view(np.int64)), pa.array((lines.end - lines.start)[rows]),
+                pa.array([m.tobytes() for m in made], pa.binary())], names=["key", "chars", "histogram"])
+
+    return rows_of(docs).mapInArrow(run, "key long, chars long, histogram binary")
+
+
+def alike(pairs: DataFrame, edits: int | None, chars_per_edit: int) -> DataFrame:
+    """a, b of the pairs (a, b, chars_a, chars_b, histogram_a, histogram_b) that the histograms
+    don't rule out: an edit changes two counts at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, 64) for c in (4, 5))
+            off = np.minimum(left - right, right - left).sum(axis=1, dtype=np.int64)  # modulo 256
+            chars = np.maximum(batch.column(2).to_numpy(), batch.column(3).to_numpy())
+            good = pa.array(off <= 2 * allowed(chars, edits, chars_per_edit))
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(good) for c in (0, 1)], names=["a", "b"])
 
-    return rows_of(docs).mapInArrow(run, "place long, key long, sketch long, chars int")
+    return pairs.mapInArrow(run, "a long, b long")
 
 
 def line_texts(docs: DataFrame) -> DataFrame:
@@ -245,33 +422,37 @@ def line_texts(docs: DataFrame) -> DataFrame:
     return rows_of(docs).mapInArrow(run, "key long, key2 long, text string")
 
 
-def verified(pairs: DataFrame, edits: int, chars_per_edit: int) -> DataFrame:
+def verified(pairs: DataFrame, edits: int | None, chars_per_edit: int) -> DataFrame:
     """The pairs (a, a2, b, b2, text_a, text_b) whose distance is small enough, with it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, text=4, limit=1 << 19):
             texts = [[np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in batch.column(c).to_pylist()] for c in (4, 5)]
             longest = np.array([max(len(x), len(y)) for x, y in zip(*texts, strict=True)], np.int64)
-            distance = np.zeros(batch.num_rows, np.int64)
-            order = np.argsort(longest, kind="stable")  # pairs of like length together
-            for part in np.array_split(order, max(1, batch.num_rows // 512)):
-                distance[part] = edit_distance(*([t[k] for k in part] for t in texts), edits)
-            good = pa.array(distance <= np.minimum(edits, longest // chars_per_edit))
+            most = allowed(longest, edits, chars_per_edit)
+            distance = edit_distance(*texts, most)
+            good = pa.array(distance <= most)
             yield pa.RecordBatch.from_arrays([*(batch.column(c).filter(good) for c in range(4)), pa.array(distance).filter(good)],
                                              names=["a", "a2", "b", "b2", "edits"])
 
     return pairs.mapInArrow(run, "a long, a2 long, b long, b2 long, edits long")
 
 
-def links(docs: DataFrame, classes: DataFrame, edits: int = MAX_EDITS, chars_per_edit: int = CHARS_PER_EDIT) -> DataFrame:
+def links(docs: DataFrame, classes: DataFrame, edits: int | None = None, chars_per_edit: int = CHARS_PER_EDIT) -> DataFrame:
     """a, a2, b, b2 (keys of two different lines), edits: each link once, a written table."""
-    index = places(docs, segments, edits, chars_per_edit).toDF("place", "a", "sketch_a", "chars_a")
-    probe = places(docs, substrings, edits, chars_per_edit).toDF("place", "b", "sketch_b", "chars_b")
-    pairs = index.join(probe, "place").where(
-        (F.col("a") != F.col("b")) & ((F.col("chars_a") < F.col("chars_b")) | (F.col("a") < F.col("b")))
-        & (F.bit_count(F.col("sketch_a").bitwiseXOR(F.col("sketch_b"))) <= 2 * F.least(
-            F.lit(edits), F.floor(F.col("chars_b") / chars_per_edit))))
-    pairs = materialize(pairs.select("a", "b").distinct(), "line-candidates")
+    spark = docs.sparkSession
+    chars = docs.agg(F.sum(F.length(F.col("text").cast("string")))).first()[0] or 0
+    order = spark.sparkContext.broadcast(gram_order(docs, chars, gram_size(chars_per_edit)))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(parts, -(-chars // (6 * BUCKET_ROWS)))  # a line has a row for 6 code points or more
+    grams = gram_rows(docs, order, buckets, edits, chars_per_edit)
+    shared = materialize(candidates(grams, min(buckets, max(parts, buckets // 4)), edits, chars_per_edit).distinct(), "line-shared")
+    some = materialize(shared.select(F.col("a").alias("key")).union(shared.select("b")).distinct(), "line-some")
+    made = materialize(line_histograms(docs).join(some, "key", "left_semi").dropDuplicates(["key"]), "line-histograms")
+    left, right = (made.select(F.col("key").alias(c), F.col("chars").alias(f"chars_{c}"), F.col("histogram").alias(f"histogram_{c}"))
+                   for c in "ab")
+    compared = shared.join(left, "a").join(right, "b").select("a", "b", "chars_a", "chars_b", "histogram_a", "histogram_b")
+    pairs = materialize(alike(compared, edits, chars_per_edit), "line-candidates")
     wanted = materialize(classes.join(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), "key").select(
         "key", "key2", "first"), "line-keys")
     holders = materialize(wanted.where("first.doc_id is not null").select(F.col("first.doc_id").alias("doc_id")).distinct(),
@@ -285,7 +466,7 @@ def links(docs: DataFrame, classes: DataFrame, edits: int = MAX_EDITS, chars_per
     return materialize(verified(joined, edits, chars_per_edit), "line-links")
 
 
-def line_classes(docs: DataFrame, edits: int = MAX_EDITS, chars_per_edit: int = CHARS_PER_EDIT) -> DataFrame:
+def line_classes(docs: DataFrame, edits: int | None = None, chars_per_edit: int = CHARS_PER_EDIT) -> DataFrame:
     """doc_id, line, class_doc and class_line (the first occurrence of the same line), copies,
     n_links (different lines linked with it), kept for each line of docs (doc_id, text)."""
     common.small_batches(docs.sparkSession)

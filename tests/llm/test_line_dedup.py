@@ -89,3 +89,41 @@ def test_odd_rows(odd, empty, clashing):
     rows = sorted((r.doc_id or 0, r.line, r.copies, r.kept) for r in L.line_classes(odd).collect())
     assert rows == [(0, 0, 1, True), (1, 0, 1, True), (5, 0, 1, True), (6, 0, 2, True), (6, 0, 2, True)]
     assert L.line_classes(clashing).count() == 5 and L.line_classes(empty).count() == 0
+
+
+def spread_edits(rng, text, edits, letters):
+    """One edit in the middle of each of ``edits`` like parts."""
+    out, n = list(text), len(text)
+    for i in reversed(range(edits)):
+        k = (2 * i + 1) * n // (2 * edits)
+        out[k:k + 1] = rng.choice([[], [out[k], rng.choice(letters)], [rng.choice([x for x in letters if x != out[k]])]])
+    return "".join(out)
+
+
+def test_edits_grow_with_the_line(documents):
+    rng, lines = random.Random(7), []
+    for n in (19, 20, 39, 41, 100, 198, 200, 333, 600):
+        for _ in range(3):
+            base = "".join(rng.choice("abcdefgh éß") for _ in range(n - 1)) + "z"
+            lines += [base, *(spread_edits(rng, base, n // 20 + more, "abcdefgh éß") for more in (0, 1))]
+    lines += ["word " * 60, "word " * 61, "word " * 64, "a" * 100, "a" * 105, "a" * 106]
+    rows = [(i, x) for i, x in enumerate(lines)]
+    got = L.line_classes(documents(rows, "doc_id long, text string")).collect()
+    expected = plain_classes(rows, 10**9, 20)
+    assert {(r.doc_id, r.line): (r.class_doc, r.class_line, r.copies, r.n_links, r.kept) for r in got} == expected
+    assert sum(e[3] for e in expected.values()) >= 2 * 3 * 8
+
+
+def test_one_replaced_word_in_a_usual_line(documents):
+    words = "the committee agreed that another meeting about the new bridge would take place before the end of winter " * 2
+    rows = [(1, words), (2, words.replace("bridge", "theatre", 1)), (3, words.replace("committee", "parliament"))]
+    got = {r.doc_id: (r.n_links, r.kept) for r in L.line_classes(documents(rows, "doc_id long, text string")).collect()}
+    assert got[1] == (1, True) and got[2] == (1, False) and got[3] == (0, True)
+
+
+def test_a_line_longer_than_rows_can_tell(documents):
+    rng = random.Random(3)
+    base = "".join(rng.choice("abcdefgh éß") for _ in range(70_000))
+    rows = [(1, base), (2, "x" * 900 + base[500:69_000]), (3, base[::-1])]
+    got = {r.doc_id: (r.n_links, r.kept) for r in L.line_classes(documents(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (1, True), 2: (1, False), 3: (0, True)}
