@@ -12,7 +12,8 @@ different in length, are no candidates; the others must agree in a histogram of
 but for two counts an edit, and are verified by bit-parallel edit distance.
 
 Grams are compared inside tasks: a bucket of grams is sorted and its lines paired there, so only
-pairs that may be linked become rows.
+pairs that may be linked become rows. A gram that by the sample occurs more than ``BLOCK`` times is
+cut into blocks of lines, and two blocks at a time meet in a place of their own.
 
 Equal lines are one class first (128-bit hashes), so copies are never paired. A class stands at
 its first occurrence. A line is kept if it is the first of its class and no earlier class is
@@ -43,6 +44,9 @@ GRAM = 9
 COUNTED_BITS, SAMPLE_CHARS = 20, 8_000_000
 #: Rows (a line's gram each) that a task holds before it gives them out, and of a bucket.
 HELD_ROWS, BUCKET_ROWS = 1 << 18, 1 << 20
+#: Lines that a place is meant to hold at most, and how often the mean class of grams a class must
+#: occur to be dealt in blocks.
+BLOCK, ABOVE_MEAN = 1 << 14, 16
 #: Largest length and place that a row tells from larger ones.
 FAR = (1 << 16) - 1
 #: Sides of up to this many ids of 8 bytes (16 MB) are broadcast after they were counted.
@@ -259,12 +263,28 @@ def gram_order(docs: DataFrame, chars: int, size: int) -> np.ndarray:
     return begin
 
 
+def block_counts(width: np.ndarray, chars: int) -> np.ndarray:
+    """Blocks that each class of grams is dealt in, by its share of all ``chars`` grams."""
+    bound = max(BLOCK, ABOVE_MEAN * chars / len(width))
+    return np.ceil(np.maximum(1, width.astype(np.float64) * chars / bound)).astype(np.int32)
+
+
+def in_blocks(gram: np.ndarray, key: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each gram of a line, and the gram's number: one of several blocks has a place with
+    each of the blocks."""
+    of = np.repeat(np.arange(len(gram)), blocks)
+    other = np.arange(len(of)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    own = (key[of] % blocks[of].astype(np.uint64)).astype(np.int64)
+    x, y = np.minimum(own, other), np.maximum(own, other)
+    return common.mix(gram[of] + (x * blocks[of] + y).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), of
+
+
 #: A line's gram: hash within its bucket, line, code points of the line, first place, and how far
 #: off the last one is.
 FIELDS = (("place", "<u4"), ("key", "<i8"), ("chars", "<u2"), ("first", "<u2"), ("wide", "<u2"))
 
 
-def gram_rows(docs: DataFrame, order, buckets: int, edits: int | None, chars_per_edit: int) -> DataFrame:
+def gram_rows(docs: DataFrame, order, chars: int, buckets: int, edits: int | None, chars_per_edit: int) -> DataFrame:
     """bucket and data (rows of FIELDS, field by field) of the prefixes' grams. A task gives a
     line's rows again only if it has met very many others since."""
     size = gram_size(chars_per_edit)
@@ -280,6 +300,7 @@ def gram_rows(docs: DataFrame, order, buckets: int, edits: int | None, chars_per
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin, width = order.value
+        blocks = block_counts(width, chars)
         seen: set[int] = set()
         held: list[list[np.ndarray]] = []
         for batch in common.slices(batches, limit=SLICE):
@@ -299,7 +320,9 @@ def gram_rows(docs: DataFrame, order, buckets: int, edits: int | None, chars_per
             at, line, gram = at[by_gram], line[by_gram], gram[by_gram]
             edge = np.flatnonzero(np.r_[True, (line[1:] != line[:-1]) | (gram[1:] != gram[:-1]), True][:len(at) + 1])
             if len(at):
-                first, last, line, gram = at[edge[:-1]], at[edge[1:] - 1], line[edge[:-1]], common.mix(gram[edge[:-1]])
+                first, last, line, gram = at[edge[:-1]], at[edge[1:] - 1], line[edge[:-1]], gram[edge[:-1]]
+                gram, of = in_blocks(gram, key[line], blocks[(gram >> np.uint64(64 - COUNTED_BITS)).astype(np.int32)])
+                first, last, line = first[of], last[of], line[of]
                 fields = [gram & np.uint64((1 << 32) - 1), key[line].view(np.int64), lines.end[line] - lines.start[line],
                           first - lines.start[line], last - first]
                 held.append([((gram >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32), *(
@@ -445,7 +468,7 @@ def links(docs: DataFrame, classes: DataFrame, edits: int | None = None, chars_p
     order = spark.sparkContext.broadcast(gram_order(docs, chars, gram_size(chars_per_edit)))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(parts, -(-chars // (6 * BUCKET_ROWS)))  # a line has a row for 6 code points or more
-    grams = gram_rows(docs, order, buckets, edits, chars_per_edit)
+    grams = gram_rows(docs, order, chars, buckets, edits, chars_per_edit)
     shared = materialize(candidates(grams, min(buckets, max(parts, buckets // 4)), edits, chars_per_edit).distinct(), "line-shared")
     some = materialize(shared.select(F.col("a").alias("key")).union(shared.select("b")).distinct(), "line-some")
     made = materialize(line_histograms(docs).join(some, "key", "left_semi").dropDuplicates(["key"]), "line-histograms")

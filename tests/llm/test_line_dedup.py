@@ -127,3 +127,25 @@ def test_a_line_longer_than_rows_can_tell(documents):
     rows = [(1, base), (2, "x" * 900 + base[500:69_000]), (3, base[::-1])]
     got = {r.doc_id: (r.n_links, r.kept) for r in L.line_classes(documents(rows, "doc_id long, text string")).collect()}
     assert got == {1: (1, True), 2: (1, False), 3: (0, True)}
+
+
+def test_hot_grams_are_dealt_in_blocks(documents, monkeypatch):
+    rows = [(i, f"Posted on Monday morning by the user {i * 7919 % 1000:03d}") for i in range(60)]
+    expected = plain_classes(rows, 10**9, 20)
+    monkeypatch.setattr(L, "BLOCK", 8)
+    monkeypatch.setattr(L, "ABOVE_MEAN", 0)
+    got = L.line_classes(documents(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.line): (r.class_doc, r.class_line, r.copies, r.n_links, r.kept) for r in got} == expected
+
+
+def test_blocks_of_a_place_are_bounded(monkeypatch):
+    monkeypatch.setattr(L, "BLOCK", 100)
+    blocks = L.block_counts(np.array([0.5, *[1e-9] * 4095], np.float32), 4000)
+    assert blocks[0] == 20 and set(blocks[1:].tolist()) == {1}
+    key = np.random.default_rng(1).integers(0, 1 << 63, 2000, np.uint64)
+    place, of = L.in_blocks(np.full(2000, 5, np.uint64), key, np.full(2000, 20))
+    assert np.unique(place, return_counts=True)[1].max() < 300
+    met = np.zeros((2000, 2000), bool)
+    for p in np.unique(place):
+        met[np.ix_(of[place == p], of[place == p])] = True
+    assert met.all()
