@@ -2,12 +2,15 @@
 
 A test item of m words leaks into a text if the best local alignment of their words (match 1,
 other word, missing word or added word -1; ASCII letters lower-cased) scores at least half of m,
-which an exact copy does with up to a quarter of its words replaced or missing.
+which an exact copy does with up to a quarter of its words replaced or missing, or up to half as
+many words added to it.
 
-Such a copy keeps at least m/4 - 2 of the item's three-word seeds, so the item's seeds that most
-documents of the corpus hold can be left out, as long as the ones left out are fewer than that:
-of each item the rarest seeds are kept, and a text is aligned only where it holds ``need`` of
-them. Nothing is lost by it, however common a leaked passage is.
+With e words replaced, missing or added, a leak matches at least m/2 + e words in at most e + 1
+runs, so it keeps at least m/2 - 1 of the item's two-word seeds, whatever e is. So the item's seeds
+that most documents of the corpus hold can be left out, as long as the ones left out are fewer than
+that: of each item the rarest seeds are kept, and a text is aligned only where it holds ``need`` of
+them, none more than 3m/2 words (what a leak can stretch over) after the one before. Nothing is
+lost by it, however common a leaked passage is.
 
 The items' word hashes are sent to the executors in parts of at most ``part_words`` words (a
 bound on what is broadcast); a larger benchmark takes one more scan of the corpus for each part.
@@ -32,7 +35,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from corpuspack.llm import common
 
-SEED_WORDS = 3
+SEED_WORDS = 2
 #: Bytes of text looked through at once.
 SLICE = 1 << 20
 #: Words of test items sent to the executors at once (16 bytes each).
@@ -88,7 +91,7 @@ class Items:
                 item.append(np.full(len(g), i))
                 place.append(np.arange(len(g)))
         lengths = np.diff(border)
-        promised = np.maximum(1, -(-lengths // 4) - 2)  # seeds that a copy keeps at least
+        promised = np.maximum(1, -(-lengths // 2) - 1)  # seeds that a copy keeps at least
         out = cls(names, words, border, *(np.concatenate(x) if x else np.zeros(0, t) for x, t in (
             (seeds, np.uint64), (item, np.int64), (place, np.int64))), promised,
             tuple(sorted({int(min(SEED_WORDS, n)) for n in lengths if n})))
@@ -99,8 +102,8 @@ class Items:
                      self.need, self.widths)
 
     def rarest(self, documents: dict[int, int]) -> Items:
-        """Without each item's most common seeds, by numbers of documents; one or two are needed."""
-        need = np.minimum(self.need, 2)
+        """Without each item's most common seeds, by numbers of documents; up to three are needed."""
+        need = np.minimum(self.need, 3)
         df = np.array([documents.get(int(s), 0) for s in self.seeds.view(np.int64)], np.int64)
         order = np.lexsort((self.seed_at, -df, self.seed_item))  # most common first within an item
         item = self.seed_item[order]
@@ -139,7 +142,7 @@ class Items:
         text, item, place, seed_at = text[order], item[order], place[order], self.seed_at[entry[order]]
         lengths = np.diff(self.border)
         new = np.ones(len(text), bool)  # a group: hits of one item that lie close together
-        new[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (np.diff(place) > lengths[item[1:]])
+        new[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (np.diff(place) > (lengths + lengths // 2)[item[1:]])
         begin = np.append(np.flatnonzero(new), len(text))
         enough = np.flatnonzero(np.diff(begin) >= self.need[item[begin[:-1]]])
         for g in enough:

@@ -93,3 +93,23 @@ def test_odd_rows(odd, empty, clashing, documents):
     none = documents([], "item_id long, text string")
     assert D.contaminated(odd, none).count() == 0 and D.clean(odd, none).count() == 8
     assert D.contaminated(empty, bench).count() == 0 and D.clean(empty, bench).count() == 0
+
+
+def test_added_words_and_short_items_are_found(documents):
+    rng, rows, items = random.Random(11), [], []
+    for m in (3, 4, 5, 8, 15, 16, 40, 59):
+        item = [f"i{m}x{k}" for k in range(m)]
+        items.append(" ".join(item))
+        added = [w for k, v in enumerate(item) for w in ([v, f"new{k}"] if k % 2 and k + 1 < m else [v])]
+        replaced = [f"other{k}" if k % 4 == 2 and k < 4 * (m // 4) else v for k, v in enumerate(item)]
+        apart = [*item[:m // 2], *[f"gap{k}" for k in range(m // 2)], *item[m // 2:]]
+        for _ in range(2):
+            for copy in (added, replaced, apart):
+                rows.append(" ".join([f"a{rng.randrange(99)}" for _ in range(9)] + copy + ["end"] * rng.randrange(3)))
+    rows += ["a b X d e", "a b c d e", "a X Y d e"]
+    items.append("a b c d e")
+    got = {(r.doc_id, r.item_id) for r in D.contaminated(
+        documents([(i, t, "en", "s", 0) for i, t in enumerate(rows)]),
+        documents(list(enumerate(items)), "item_id long, text string")).collect()}
+    assert got == {(i, k) for i, t in enumerate(rows) for k, item in enumerate(items) if promised(words(t), words(item))}
+    assert len(got) >= 6 * 7
