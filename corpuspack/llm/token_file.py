@@ -18,6 +18,7 @@ no block.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import struct
 import zlib
@@ -196,13 +197,16 @@ class Encoder:
     their own: white space, lower case and composition act within a piece, so a cut at white space
     changes no id. Pieces are told apart by 64-bit hashes (one of a table's pieces and a
     new one meet with a chance of 8e-14), each different one is looked up or encoded once,
-    and the ids are laid out in one array."""
+    and the ids are laid out in one array. Hashes and pieces fold case, but for pieces that hold an
+    added token of the vocabulary in any case: the library may match those in the raw text only."""
 
     def __init__(self, vocabulary: str):
         self.tokenizer = tokens.load(vocabulary)
         self.id_bytes = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = f"<u{self.id_bytes}"
         self.pieces, self.words = Table(self.kind), Table(self.kind)
+        added = {t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()}
+        self.added = re.compile(b"|".join(map(re.escape, sorted(added - {b""}, key=len, reverse=True))) or b"(?!)")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         made = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -234,7 +238,7 @@ class Encoder:
         return {words[f]: raw[b:e] for f, b, e in zip(first.tolist(), begin, end, strict=True)}
 
     def learn(self, pieces: list[bytes]) -> list[bytes]:
-        """The ids of pieces (ASCII letters lower-cased)."""
+        """The ids of pieces (ASCII letters lower-cased, but for those that hold an added token)."""
         texts = [p.decode() for p in pieces]
         plain = [m and (m[1].lower(), m[2]) for m in map(_PLAIN.fullmatch, texts)]
         words = {w for pair in plain if pair for w in pair}
@@ -247,15 +251,19 @@ class Encoder:
         """The ids of all texts end to end, and how many each text has."""
         data, at = common.text_bytes(column)
         hashes, start, end = common.word_hashes(data)
+        as_written, raw = data.tobytes(), data.tobytes().lower()  # ASCII letters
+        marked = {int(np.searchsorted(start, m.start(), "right")) - 1 for m in self.added.finditer(raw)}
+        for k in marked:
+            digest = hashlib.blake2b(as_written[start[k]:end[k]], digest_size=8).digest()
+            hashes[k] = int.from_bytes(digest, "little")
         which, found = pd.factorize(hashes)  # cheaper than sorting all occurrences
         first = np.empty(len(found), np.int64)
         first[which[::-1]] = np.arange(len(which))[::-1]
         order = np.argsort(found)
-        raw = data.tobytes().lower()  # ASCII letters
         t = self.pieces
         place = np.empty(len(found), np.int64)
         place[order] = t.complete(found[order], lambda new: self.learn(
-            [raw[start[k]:end[k]] for k in first[order[new]].tolist()]))
+            [(as_written if k in marked else raw)[start[k]:end[k]] for k in first[order[new]].tolist()]))
         begin, count = t.begin[place][which], t.count[place][which]
         before = np.zeros(len(count) + 1, np.int32)  # of one slice, as the table: far below 2^31 ids
         np.cumsum(count, out=before[1:])

@@ -80,3 +80,14 @@ def test_many_blocks_and_parts(documents, spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "t")).count() > 20
     got = sorted((tuple(r) for r in T.read_tokens(spark, str(tmp_path / "t")).collect()), key=lambda r: r[1])
     assert got == list(expected(sorted((r[0], r[1]) for r in rows)))
+
+
+def test_added_tokens_in_any_case_give_the_librarys_ids():
+    texts = ["a <|ENDOFTEXT|> b", "a <|endoftext|> b", "<|EndOfText|>x <|endoftext|>x", "x<|StartOfText|>Y <|startoftext|>", "<|endofTEXT|><|endoftext|>",
+             "THE<|endoftext|> the<|endoftext|> The<|ENDOFTEXT|>"]
+    encoder = T.Encoder("word_bpe_49k.json")
+    for column in (texts, texts[::-1], texts):
+        ids, counts = encoder.texts(pa.array(column))
+        at = np.cumsum(counts) - counts
+        for text, a, n in zip(column, at, counts, strict=True):
+            assert ids[a:a + n].tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
