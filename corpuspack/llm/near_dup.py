@@ -2,7 +2,7 @@
 
 1. One pass makes of each text its set of distinct word shingles (64-bit hashes, ASCII letters
    lower-cased), the set's size, a 128-bit key and a MinHash signature. Documents with one key have
-   one set; from here on a set stands for its documents, under their smallest doc_id.
+   one set; from here on a set stands for its documents, under a number of its own.
 2. Sets that share a band (4 of 128 values, 32 bands) are candidates: two sets at the threshold of
    0.75 share no band with a chance of 5e-6.
 3. Candidates are never all pairs of a bucket. Round one pairs each member of a bucket with the
@@ -18,7 +18,8 @@
 
 Defined results: null or empty text, or one without words, has an empty set and no link; null
 doc_id has no link and no component, but is kept; rows with one doc_id and one set are one
-document (``keep`` keeps one row of those with one doc_id); ties go to the smallest doc_id; other
+document (``keep`` keeps one row of them), rows with one doc_id and different sets are different
+documents, each judged by its own set; a component has the smallest doc_id of its sets; other
 columns are not read; an empty table gives an empty table.
 """
 
@@ -31,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpuspack.llm import common
 from corpuspack.session import materialize
@@ -41,6 +43,8 @@ BROADCAST_IDS = 2_000_000
 
 #: Members of a bucket's block in the last round, and pairs compared at once.
 BLOCK, PAIRS = 1024, 20_000
+#: What tells sets apart.
+SET = ["key1", "key2", "n_shingles"]
 #: Further values of the last round for each of the first signature, kept in 16 bits.
 FURTHER = 3
 
@@ -81,6 +85,17 @@ def least_matches(batches: list[int], threshold: float, miss: float) -> list[int
     return out
 
 
+def set_keys(values: np.ndarray, border: np.ndarray) -> np.ndarray:
+    """Two independent hashes of each set (0 of an empty one)."""
+    full = np.diff(border) > 0
+    keys = np.zeros((2, len(full)), np.uint64)
+    if full.any():
+        first = border[:-1][full]
+        keys[0, full] = np.add.reduceat(common.mix(values), first)
+        keys[1, full] = np.bitwise_xor.reduceat(common.mix(values * np.uint64(0xD1342543DE82EF95)), first)
+    return keys
+
+
 def sketch(docs: DataFrame, n: int, count: int) -> DataFrame:
     """doc_id, n_shingles, key1, key2, signature (null for an empty set)."""
 
@@ -89,11 +104,7 @@ def sketch(docs: DataFrame, n: int, count: int) -> DataFrame:
             values, border = common.shingle_sets(batch.column(1), n)
             sizes = np.diff(border)
             full = sizes > 0
-            keys = np.zeros((2, len(sizes)), np.uint64)
-            if full.any():
-                first = border[:-1][full]
-                keys[0, full] = np.add.reduceat(common.mix(values), first)
-                keys[1, full] = np.bitwise_xor.reduceat(common.mix(values * np.uint64(0xD1342543DE82EF95)), first)
+            keys = set_keys(values, border)
             made = iter(signatures(values, border, count))
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array(sizes, pa.int64()), *(pa.array(k.view(np.int64)) for k in keys),
@@ -104,6 +115,28 @@ def sketch(docs: DataFrame, n: int, count: int) -> DataFrame:
         run, "doc_id long, n_shingles long, key1 long, key2 long, signature binary")
 
 
+def keyed(rows: DataFrame, n: int) -> DataFrame:
+    """rows (id, text, ...) with key1, key2 and n_shingles of each text, as ``sketch`` makes them."""
+    kept = rows.schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches, limit=1 << 20):
+            values, border = common.shingle_sets(batch.column(1), n)
+            columns = [*set_keys(values, border).view(np.int64), np.diff(border)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.int64()) for c in columns)],
+                                             names=[*kept, *SET])
+
+    schema = T.StructType([*rows.schema.fields, *(T.StructField(c, T.LongType()) for c in SET)])
+    return rows.mapInArrow(run, schema)
+
+
+def several_sets(sketches: DataFrame) -> DataFrame:
+    """id: the doc_ids of rows with different sets, a written table."""
+    of = F.struct(*SET)
+    seen = sketches.where("doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.min(of).alias("x"), F.max(of).alias("y"))
+    return materialize(seen.where("x != y").select("id"), "several-sets")
+
+
 def in_bands(sets: DataFrame, bands: int, rows: int) -> DataFrame:
     """band (64-bit key), no (of the band), id: a row for each set and band."""
 
@@ -276,13 +309,20 @@ def components(links: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, bands: int = 32, rows: int = 4, batch: int = 32,
                     miss: float = 1e-6) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text)."""
+    return judged(docs, n, percent, bands, rows, batch, miss)[0].drop("key1", "key2")
+
+
+def judged(docs: DataFrame, n: int = 5, percent: int = 75, bands: int = 32, rows: int = 4, batch: int = 32,
+           miss: float = 1e-6) -> tuple[DataFrame, DataFrame]:
+    """What ``near_duplicates`` returns, with key1 and key2, and the doc_ids (id) with several sets."""
     common.small_batches(docs.sparkSession)
     count = bands * rows
     sketches = materialize(sketch(docs, n, count), "sketches")
-    keys = ["key1", "key2", "n_shingles"]
+    several = several_sets(sketches)
     usable = sketches.where("doc_id is not null and n_shingles > 0")
-    sets = materialize(usable.groupBy(*keys).agg(
-        F.min("doc_id").alias("id"), F.first("signature").alias("signature")), "sets")
+    sets = materialize(usable.groupBy(*SET).agg(
+        F.min("doc_id").alias("doc"), F.first("signature").alias("signature")).orderBy("doc", *SET).withColumn(
+        "id", F.monotonically_increasing_id()), "sets")  # numbers rise with doc_id: the oldest is the hub
 
     banded = in_bands(sets, bands, rows)
     shared = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
@@ -290,8 +330,16 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, bands: int =
     candidates = materialize(members.select("id").distinct(), "candidates")
     few = small(candidates)
     signed = materialize(sets.join(few, "id").select("id", "signature"), "candidate-signatures")
-    texts = materialize(docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").alias("text")).join(few, "id")
-                        .dropDuplicates(["id"]), "candidate-texts")
+    wanted = materialize(sets.join(few, "id").select("id", F.col("doc").alias("doc_id"), *SET), "candidate-sets")
+    written = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").alias("text")).join(
+        small(materialize(wanted.select(F.col("doc_id").alias("id")).distinct(), "candidate-docs")), "id")
+    mixed = not several.isEmpty()
+    single = written.join(small(several), "id", "left_anti") if mixed else written
+    texts = single.withColumnRenamed("id", "doc_id").join(wanted.drop(*SET), "doc_id").select("id", "text")
+    if mixed:  # the text with the set's own keys
+        other = keyed(written.join(small(several), "id", "left_semi").select("id", "text"), n)
+        texts = texts.union(other.withColumnRenamed("id", "doc_id").join(wanted, ["doc_id", *SET]).select("id", "text"))
+    texts = materialize(texts.dropDuplicates(["id"]), "candidate-texts")
     steps = list(range(batch, count * (1 + FURTHER) + 1, batch))
     bounds = list(zip(steps, least_matches(steps, percent / 100, miss), strict=True))
     need = [b for b in bounds if b[0] <= count]
@@ -326,23 +374,37 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, bands: int =
     links = links.union(check(materialize(across(left.join(values, "id"), bands, bounds, count), "likely")))
     found = components(links)
 
-    of_set = materialize(sets.join(found, "id", "left").select(*keys, F.coalesce("component", "id").alias("of")), "set-components")
-    joined = sketches.drop("signature").join(of_set, keys, "left")
+    placed = materialize(sets.join(found, "id", "left").select(*SET, "doc", F.coalesce("component", "id").alias("component")), "placed-sets")
+    heads = placed.groupBy("component").agg(F.min("doc").alias("of"), F.count("*").alias("n")).where("n > 1").drop("n")
+    of_set = materialize(placed.join(heads, "component", "left").select(*SET, F.coalesce("of", "doc").alias("of")), "set-components")
+    joined = sketches.drop("signature").join(of_set, SET, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("of", "doc_id")).alias("component_id")
-    return joined.select("doc_id", "n_shingles", component).withColumn(
-        "kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
+    return joined.select("doc_id", "n_shingles", component, "key1", "key2").withColumn(
+        "kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select(
+        "doc_id", "n_shingles", "component_id", "kept", "key1", "key2"), several
 
 
-def keep(docs: DataFrame, **settings) -> DataFrame:
+def keep(docs: DataFrame, n: int = 5, **settings) -> DataFrame:
     """One document of each component: the rows of docs with the smallest doc_id, one of those
-    with the same doc_id."""
-    verdicts = materialize(near_duplicates(docs, **settings), "near-duplicates")
+    with the same doc_id and set."""
+    found, several = judged(docs, n, **settings)
+    verdicts = materialize(found, "near-duplicates")
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").alias("text"),
+                       F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"))
+    kept, mixed = rows, None
+    if not several.isEmpty():
+        few = small(several)
+        kept = rows.join(few, "id", "left_anti")
+        stay = verdicts.join(few.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").where("kept").select(
+            F.col("doc_id").alias("id"), *SET).distinct()
+        mixed = keyed(rows.join(few, "id", "left_semi").select("id", "text", "whole"), n).join(stay, ["id", *SET]).dropDuplicates(["id", *SET])
+        verdicts = materialize(verdicts.join(few.withColumnRenamed("id", "doc_id"), "doc_id", "left_anti"), "single-sets")
     gone = materialize(verdicts.where("not kept").select(F.col("doc_id").alias("id")).distinct(), "dropped")
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"))
-    kept = rows.join(small(gone), "id", "left_anti")
+    kept = kept.drop("text").join(small(gone), "id", "left_anti")
     repeated = materialize(verdicts.where("kept and doc_id is not null").groupBy(F.col("doc_id").alias("id")).count()
                            .where("count > 1").select("id"), "repeated")
     if not repeated.isEmpty():
         twice = kept.join(small(repeated), "id", "left_semi").dropDuplicates(["id"])
         kept = kept.join(small(repeated), "id", "left_anti").union(twice)
-    return kept.select("whole.*")
+    kept = kept.select("whole")
+    return (kept.union(mixed.select("whole")) if mixed is not None else kept).select("whole.*")

@@ -131,3 +131,18 @@ def test_odd_rows(odd, empty, clashing):
     assert N.near_duplicates(clashing).count() == 8 and N.near_duplicates(empty).count() == 0
     assert N.keep(odd).count() == 7  # one of the two rows of document 6
     assert N.keep(clashing).columns == clashing.columns and N.keep(empty).count() == 0
+
+
+def test_one_doc_id_with_different_texts(documents):
+    """Each text is judged by its own set, whichever row comes first."""
+    base = [[f"{c}{k}" for k in range(80)] for c in "pqr"]
+    near = [" ".join([*b[:79], "end"]) for b in base]
+    p, q, r = (" ".join(b) for b in base)
+    rows = [(1, p), (2, q), (2, r), (2, r), (3, near[1]), (4, near[2]), (5, near[0]), (5, "words of its own that nothing else has"), (5, None)]
+    for order in (rows, rows[::-1]):
+        table = documents(order, "doc_id long, text string")
+        got = {(x.doc_id, x.n_shingles, x.component_id, x.kept) for x in N.near_duplicates(table).collect()}
+        assert got == {(1, 76, 1, True), (2, 76, 2, True), (3, 76, 2, False), (4, 76, 2, False), (5, 76, 1, False),
+                       (5, 4, 5, True), (5, 0, 5, True)}
+        assert sorted((x.doc_id, x.text or "") for x in N.keep(table).collect()) == sorted(
+            [(1, p), (2, q), (2, r), (5, "words of its own that nothing else has"), (5, "")])
