@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuspack.llm import decontam, host_rules, line_dedup, main_text, near_dup, pii, prefix_counts, site_quality, source_mix, token_file
+from corpuspack.llm import decontam, host_rules, line_dedup, main_text, manifest, near_dup, pii, prefix_counts, site_quality, source_mix, token_file
 from corpuspack.llm.common import table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,3 +123,47 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = prefix_counts.prefix_table(table(spark, sf_dir, "documents"), keep_steps=False)
     return counted.withColumn("over_limit", prefix_counts.over_limit(F.col("n_tokens")))
+
+
+# The check sum bit by bit, each tree level by level from the one below, the siblings by their
+# positions, and a fold over each proof.
+_OP11_SQL = r"""
+WITH RECURSIVE l AS (SELECT doc_id, lang, n_chars,
+    coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+        || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+    coalesce(strlen(text) || ':' || text, '-') AS tail,
+    list_reduce(list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda i: CAST(ord(CAST(doc_id AS VARCHAR)[i]) AS BIGINT)),
+        lambda crc, b: list_reduce(range(8), lambda x, k: xor(x >> 1, CASE WHEN x % 2 = 1 THEN 3988292384 ELSE 0 END), xor(crc, b)),
+        CAST(4294967295 AS BIGINT)) AS crc FROM documents),
+d AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n
+    FROM (SELECT *, sha256(head || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || tail) AS leaf,
+        CASE WHEN xor(crc, 4294967295) % 7 = 0 THEN
+            sha256(head || coalesce(strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1), '-') || tail) END AS tampered FROM l)),
+tree AS (SELECT lang, 0 AS level, pos, n, leaf AS node FROM d
+    UNION ALL SELECT a.lang, a.level + 1, a.pos // 2, (a.n + 1) // 2, sha256(a.node || coalesce(b.node, ''))
+    FROM tree a LEFT JOIN tree b ON a.lang IS NOT DISTINCT FROM b.lang AND b.pos = a.pos + 1 WHERE a.n > 1 AND a.pos % 2 = 0),
+tops AS (SELECT lang, level AS height, node AS subroot, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS rank,
+    count(*) OVER () AS n FROM tree WHERE n = 1),
+heads AS (SELECT 0 AS level, rank AS pos, n, subroot AS node FROM tops
+    UNION ALL SELECT a.level + 1, a.pos // 2, (a.n + 1) // 2, sha256(a.node || coalesce(b.node, ''))
+    FROM heads a LEFT JOIN heads b ON b.pos = a.pos + 1 WHERE a.n > 1 AND a.pos % 2 = 0),
+root AS (SELECT node AS root, level AS height FROM heads WHERE n = 1),
+sides AS (SELECT d.lang, d.pos, t.level, xor(d.pos >> t.level, 1) % 2 = 1 AS is_right, s.node
+    FROM d JOIN tops ON d.lang IS NOT DISTINCT FROM tops.lang CROSS JOIN LATERAL (SELECT unnest(range(tops.height)) AS level) t
+    LEFT JOIN tree s ON s.lang IS NOT DISTINCT FROM d.lang AND s.level = t.level AND s.pos = xor(d.pos >> t.level, 1)
+    UNION ALL SELECT d.lang, d.pos, tops.height + h.level, xor(tops.rank >> h.level, 1) % 2 = 1, s.node
+    FROM d JOIN tops ON d.lang IS NOT DISTINCT FROM tops.lang CROSS JOIN (SELECT unnest(range(height)) AS level FROM root) h
+    LEFT JOIN heads s ON s.level = h.level AND s.pos = xor(tops.rank >> h.level, 1)),
+proofs AS (SELECT lang, pos, list(struct_pack(is_right, node) ORDER BY level) AS path FROM sides GROUP BY lang, pos),
+folded AS (SELECT d.doc_id, d.leaf, tops.subroot, root.root, sha256(coalesce(array_to_string(list_transform(path, lambda s: coalesce(s.node, '')), ''), '')) AS proof_sha256,
+    list_reduce(list_transform(coalesce(path, []), lambda s: struct_pack(x := '', l := CASE WHEN s.is_right THEN '' ELSE coalesce(s.node, '') END,
+        r := CASE WHEN s.is_right THEN coalesce(s.node, '') ELSE '' END)),
+        lambda a, s: struct_pack(x := sha256(s.l || a.x || s.r), l := '', r := ''), struct_pack(x := coalesce(tampered, leaf), l := '', r := '')).x AS folded_root
+    FROM d JOIN tops ON d.lang IS NOT DISTINCT FROM tops.lang CROSS JOIN root
+    LEFT JOIN proofs p ON p.lang IS NOT DISTINCT FROM d.lang AND p.pos = d.pos)
+SELECT *, folded_root = root AS verified FROM folded"""
+
+
+@query("op11_manifest", _OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.audit(table(spark, sf_dir, "documents"))
