@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuspack.llm import decontam, host_rules, line_dedup, main_text, manifest, near_dup, pii, prefix_counts, site_quality, source_mix, token_file
+from corpuspack.llm import decontam, host_rules, line_dedup, main_text, manifest, near_dup, pii, prefix_counts, secret_scan, site_quality, source_mix, token_file
 from corpuspack.llm.common import table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -167,3 +167,40 @@ SELECT *, folded_root = root AS verified FROM folded"""
 @query("op11_manifest", _OP11_SQL)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.audit(table(spark, sf_dir, "documents"))
+
+
+# Matches and the texts between them give the places; each window's entropy on its own.
+_OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+patterns AS (SELECT * FROM (VALUES
+    (0, 'assign', '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+'),
+    (1, 'access', 'AKIA[A-Z0-9]+'), (2, 'hex', '[0-9a-f]+'), (3, 'run', '[A-Za-z0-9+/_-]{20,}={0,2}')) t(rank, kind, pattern)),
+found AS (SELECT r, rank, kind, regexp_extract_all(text, pattern) AS m, string_split_regex(text, pattern) AS g FROM d, patterns),
+listed AS (SELECT r, rank, kind, unnest(m) AS m, unnest(g[1:len(m)]) AS g, generate_subscripts(m, 1) AS i FROM found WHERE len(m) > 0),
+placed AS (SELECT r, rank, kind, m, sum(length(m) + length(g)) OVER (PARTITION BY r, rank ORDER BY i) AS e FROM listed),
+base AS (SELECT r, rank, kind, CAST(e - length(m) AS BIGINT) AS s, CAST(e AS BIGINT) AS e FROM placed
+    WHERE (kind = 'assign' AND length(regexp_replace(m, '^(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?', '')) >= 12)
+        OR (kind = 'access' AND length(m) >= 18) OR (kind = 'hex' AND length(m) >= 16)),
+runs AS (SELECT p.r, regexp_matches(m, '^[0-9A-Fa-f]+$') AS is_hex, CAST(e - length(m) AS BIGINT) AS s, CAST(e AS BIGINT) AS e, m,
+        text[greatest(e - length(m) - 200, 0) + 1:e - length(m)] AS before
+    FROM placed p JOIN d USING (r) WHERE kind = 'run'),
+free AS (SELECT * FROM runs WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.r = runs.r AND b.s <= runs.s AND runs.e <= b.e)
+    AND NOT regexp_matches(m, '^[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$|^[A-Za-z]+(?:[+/_-]+[A-Za-z]+)*[+/_-]*=*$|^[0-9+/_-]+=*$')
+    AND NOT regexp_matches(m, '(?i)example|placeholder|changeme|dummy|your[_-]|x{6}|0123456789|abcdefgh')
+    AND NOT regexp_matches(before, '(?i)(?:sha-?(?:1|256|384|512)|md5|checksum|digest|integrity|commit)[\x22'' ]*[:=]?[\x22'' ]*$')
+    AND NOT regexp_matches(before, '(?i)[a-z]{3,8}://[^\s?\x22''<>]*$') AND NOT regexp_matches(before, '(?i)base64,$')),
+windows AS (SELECT r, s, e, is_hex, regexp_replace(m, '=+$', '') AS m, unnest(range(1, length(regexp_replace(m, '=+$', '')) - 18)) AS k FROM free),
+scored AS (SELECT r, s, e, is_hex, max(list_aggregate(string_split(m[k:k + 19], ''), 'entropy')) AS bits FROM windows GROUP BY ALL),
+spans AS (SELECT r, rank, kind, s, e, true AS base FROM base UNION ALL
+    SELECT r, CASE WHEN is_hex THEN 3 ELSE 4 END, CASE WHEN is_hex THEN 'entropy_hex' ELSE 'entropy_base64' END, s, e, false
+    FROM scored WHERE bits >= CASE WHEN is_hex THEN 3.0 ELSE 3.7 END),
+told AS (SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+    string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER (base) AS base,
+    string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) AS spans FROM spans GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+    sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN told USING (r)"""
+
+
+@query("op13_secrets", _OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.secrets(table(spark, sf_dir, "documents")))
