@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuspack.llm import decontam, host_rules, line_dedup, main_text, manifest, near_dup, pii, prefix_counts, secret_scan, site_quality, source_mix, token_file
+from corpuspack.llm import decontam, host_rules, line_dedup, main_text, manifest, near_dup, pii, prefix_counts, secret_scan, site_quality, source_mix, token_align, token_file
 from corpuspack.llm.common import table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -204,3 +204,8 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 @query("op13_secrets", _OP13_SQL)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.secrets(table(spark, sf_dir, "documents")))
+
+
+@query("op12_token_align")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_align.align(table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("groups", "groups_sha256")
