@@ -11,7 +11,8 @@ How often two ids are linked is a number of the whole corpus, so documents are a
 bounded text. A slice numbers the different id pairs it has and counts them; a document keeps these
 numbers with how often it has them. Only the slices' counts are added up by pair - a pair that every
 document has is one row per slice -, and each slice gets the corpus counts of its pairs back, in a
-cogroup by slice with its documents. Texts are encoded once and aren't shuffled.
+cogroup by slice with its documents. Texts are encoded once, by pieces of which a worker keeps the ids,
+and aren't shuffled.
 
 Defined results: a text that is null or empty, or whose tokens don't spell it out exactly, has no
 tokens, so zeros and no groups; null ids and repeated rows are kept; ties for a B id's most frequent
@@ -22,6 +23,7 @@ are not read; an empty table gives an empty table.
 from __future__ import annotations
 
 import functools
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuspack.llm import common
-from corpuspack.llm.tokens import vocabulary
+from corpuspack.llm.tokens import CACHE_ENTRIES, spaced_pieces, vocabulary
 from corpuspack.session import materialize
 
 TOKENIZER_A = "byte_bpe_50k.json"
@@ -78,7 +80,72 @@ def encoder_b(name: str):
     model = sentencepiece.SentencePieceProcessor(model_file=name if "/" in name else vocabulary(name))
     spelled = [bytes([int(model.id_to_piece(i)[3:5], 16)]) if model.is_byte(i) else
                model.id_to_piece(i).replace("▁", " ").encode() for i in range(model.get_piece_size())]
-    return (lambda texts: model.encode(texts, num_threads=1)), spelled, np.array([len(x) for x in spelled], np.int64)
+    alone = model.encode("a ")[len(model.encode("a")):]  # a space and nothing after it
+
+    def encode(texts: list[str]) -> list[list[int]]:
+        return [ids if t else alone for ids, t in zip(model.encode(texts, num_threads=1), texts, strict=True)]
+
+    return encode, spelled, np.array([len(x) for x in spelled], np.int64)
+
+
+class Side:
+    """The ids of one tokenizer for numbered pieces, end to end."""
+
+    def __init__(self, encode, spelled: list[bytes], length: np.ndarray):
+        self.encode, self.spelled, self.length = encode, spelled, length
+        self.ids, self.first = np.zeros(0, np.int64), np.zeros(1, np.int64)
+
+    def add(self, texts: list[str]) -> list[bool]:
+        """Encodes the pieces that come next; whether each is spelled out by its tokens."""
+        ids = self.encode(texts)
+        counts = np.array([len(x) for x in ids], np.int64)
+        self.ids = np.concatenate((self.ids, np.fromiter(itertools.chain.from_iterable(ids), np.int64, count=int(counts.sum()))))
+        self.first = np.concatenate((self.first, self.first[-1] + np.cumsum(counts)))
+        spell = self.spelled.__getitem__
+        return [b"".join(map(spell, x)) == (" " + t).encode() for x, t in zip(ids, texts, strict=True)]
+
+    def tokens(self, which: np.ndarray, text: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """ids, their number in each text, and the byte offsets they end at (over all texts)."""
+        count = self.first[which + 1] - self.first[which]
+        ids = self.ids[ranges(self.first[which], count)]
+        return ids, np.bincount(text, weights=count, minlength=n_texts).astype(np.int64), np.cumsum(self.length[ids])
+
+
+class Pieces:
+    """Both tokenizers' ids of texts, by pieces that are encoded once (an exact memo that is emptied
+    when it holds ``CACHE_ENTRIES`` pieces).
+
+    Texts are cut where a space follows other than white space: the byte-level tokenizer begins a word
+    there, and no piece of the other model goes on after such a space, as none has one behind another
+    character; so the ids of the pieces, end to end, are the text's. A model that has such a piece
+    gets whole texts.
+    """
+
+    def __init__(self, a: str, b: str):
+        self.sides = (Side(*encoder_a(a)), Side(*encoder_b(b)))
+        self.whole = any(b" " in x.lstrip(b" ") for x in self.sides[1].spelled)
+        self.known: dict[str, int] = {}
+        self.exact = np.zeros(0, bool)
+
+    def cut(self, text: str) -> list[str]:
+        return [text] if self.whole else spaced_pieces(text)
+
+    def numbers(self, texts: list[str]) -> np.ndarray:
+        """The pieces' numbers, new ones encoded; valid up to the next call."""
+        if len(self.known) > CACHE_ENTRIES or len(self.sides[0].ids) > 16 * CACHE_ENTRIES:
+            self.known, self.exact = {}, np.zeros(0, bool)
+            self.sides = tuple(Side(s.encode, s.spelled, s.length) for s in self.sides)
+        new = [t for t in dict.fromkeys(texts) if t not in self.known]
+        if new:
+            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+            one, other = (side.add(new) for side in self.sides)
+            self.exact = np.concatenate((self.exact, np.array(one) & np.array(other)))
+        return np.fromiter(map(self.known.__getitem__, texts), np.int64, count=len(texts))
+
+
+@functools.lru_cache(maxsize=2)
+def pieces(a: str, b: str) -> Pieces:
+    return Pieces(a, b)
 
 
 def gallop(values: np.ndarray, into: np.ndarray, guess: np.ndarray) -> np.ndarray:
@@ -146,18 +213,17 @@ class Aligned:
     """The alignment of some texts: ids and ends of both sides, groups and links."""
 
     def __init__(self, texts: list[str | None], a: str, b: str):
-        encode_a, spelled_a, length_a = encoder_a(a)
-        encode_b, spelled_b, length_b = encoder_b(b)
-        given = [t or "" for t in texts]
-        ids_a, ids_b = encode_a(given), encode_b(given)
-        for i, text in enumerate(given):
-            whole = (" " + text).encode()
-            if not text or any(b"".join(map(spelled.__getitem__, ids)) != whole for spelled, ids in ((spelled_a, ids_a[i]), (spelled_b, ids_b[i]))):
-                ids_a[i], ids_b[i] = [], []
-        self.n_a, self.n_b = (np.array([len(x) for x in ids], np.int64) for ids in (ids_a, ids_b))
-        self.ids_a, self.ids_b = (np.fromiter((i for x in ids for i in x), np.int64, count=int(n.sum()))
-                                  for ids, n in ((ids_a, self.n_a), (ids_b, self.n_b)))
-        self.ends_a, self.ends_b = np.cumsum(length_a[self.ids_a]), np.cumsum(length_b[self.ids_b])
+        encoded = pieces(a, b)
+        cut = [encoded.cut(t) if t else [] for t in texts]
+        n = np.array([len(x) for x in cut], np.int64)
+        which = encoded.numbers([p for x in cut for p in x])
+        # a text of which a piece isn't spelled out has no tokens
+        text = np.repeat(np.arange(len(cut)), n)
+        wrong = np.zeros(len(cut), bool)
+        wrong[text[~encoded.exact[which]]] = True
+        which, text = which[~wrong[text]], text[~wrong[text]]
+        (self.ids_a, self.n_a, self.ends_a), (self.ids_b, self.n_b, self.ends_b) = (
+            side.tokens(which, text, len(cut)) for side in encoded.sides)
         self._link()
 
     def _link(self) -> None:

@@ -1,5 +1,6 @@
-"""Token alignment against every pair of tokens compared, and the galloping search against counting."""
+"""Token alignment against byte ranges compared one by one, and the galloping search against counting."""
 
+import bisect
 import hashlib
 import random
 from collections import Counter
@@ -30,7 +31,7 @@ def spelled_b(i):
 
 
 def plain(text):
-    """ids of A and B, groups, and the linked pairs of ids, by comparing all tokens' byte ranges."""
+    """ids of A and B, groups, and the linked pairs of ids, by comparing the tokens' byte ranges."""
     if not text:
         return [], [], [], []
     a, b = A.encode(" " + text, add_special_tokens=False).ids, B.encode(text)
@@ -44,8 +45,15 @@ def plain(text):
             at = side[-1][1]
         sides.append(side)
     cuts = sorted({e for _, e, _ in sides[0]} & {e for _, e, _ in sides[1]})
-    groups = [[[i for s, e, i in side if lo <= s and e <= hi] for side in sides] for lo, hi in zip([0, *cuts], cuts)]
-    links = [(x, y) for s, e, x in sides[0] for t, u, y in sides[1] if s < u and t < e]
+    groups, links = [[[], []] for _ in cuts], []
+    for k, side in enumerate(sides):
+        for _, e, i in side:
+            groups[bisect.bisect_left(cuts, e)][k].append(i)
+    for s, e, x in sides[0]:
+        k = bisect.bisect_right(sides[1], s, key=lambda r: r[1])
+        while k < len(sides[1]) and sides[1][k][0] < e:
+            links.append((x, sides[1][k][2]))
+            k += 1
     return a, b, groups, links
 
 
