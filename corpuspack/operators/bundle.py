@@ -8,7 +8,10 @@ sums over blocks (distributive), so they need neither the packed text nor a sort
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from corpuspack.functions import paths as P
@@ -131,22 +134,39 @@ def processed_count(blocks: DataFrame) -> DataFrame:
     return blocks.where("is_file").groupBy("bundle").agg(F.count(F.lit(1)).alias("n_processed"))
 
 
-def range_starts(keys: DataFrame, num_ranges: int) -> DataFrame:
-    """One row with the sorted first keys ``(bundle, okey)`` of at most ``num_ranges`` even ranges."""
-    key = F.struct("bundle", "okey")
-    firsts = keys.select("bundle", "okey").repartitionByRange(num_ranges, "bundle", "okey").groupBy(
-        F.spark_partition_id()).agg(F.min(key).alias("first"))
-    return firsts.agg(F.sort_array(F.collect_list("first")).alias("starts"))
+#: Sampled keys per range: a range's size is within about a quarter of the mean.
+KEYS_PER_RANGE = 16
 
 
-def range_id(starts: Column, step: int) -> Column:
-    """Number of the range that a row's ``(bundle, okey)`` lies in: first among every ``step``-th
-    start, then among the ``step`` from there on."""
-    key = F.struct("bundle", "okey")
-    coarse = F.size(F.filter(starts, lambda s, i: (i % step == 0) & (s <= key)))
-    near = F.slice(starts, F.greatest((coarse - 1) * step + 1, F.lit(1)), F.lit(step))
-    fine = F.size(F.filter(near, lambda s: s <= key))
-    return F.greatest((F.greatest(coarse, F.lit(1)) - 1) * step + fine - 1, F.lit(0)).cast("int")
+def range_starts(keys: DataFrame, num_ranges: int) -> DataFrame:
+    """One row with the sorted first keys ``(bundle, okey)`` of at most ``num_ranges`` even ranges.
+
+    The bounds are quantiles of the keys whose hash lies below a threshold: a sketch that is merged by
+    union, so nothing but its ``KEYS_PER_RANGE * num_ranges`` keys (fewer if there are fewer) leaves the
+    tasks that read the table. The threshold comes from the number of keys. Equal keys hash alike, so
+    the sketch, and with it the ranges, are the same in each run.
+    """
+    total = keys.agg(F.count(F.lit(1))).scalar()
+    place = F.shiftrightunsigned(F.xxhash64("bundle", "okey"), 11) / F.lit(float(1 << 53))  # even in [0, 1)
+    sketch = keys.where(place * total < KEYS_PER_RANGE * num_ranges)
+    ordered = sketch.agg(F.sort_array(F.collect_list(F.struct("bundle", "okey"))).alias("k"))
+    m = F.size("k").cast("long")
+    n = F.least(m, F.lit(num_ranges))
+    firsts = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get("k", F.floor(i * m / n).cast("int")))
+    return ordered.select(F.when(m > 0, firsts).otherwise(F.slice("k", 1, 0)).alias("starts"))
+
+
+def with_range(df: DataFrame, starts: Sequence[Row], name: str = "_range") -> DataFrame:
+    """Adds the number of the range that a row's ``(bundle, okey)`` lies in: the last start that isn't
+    greater, searched by halving, so that a row costs the logarithm of the number of ranges. The starts
+    are one constant of the plan, not a column."""
+    listed = json.dumps([{"bundle": s["bundle"], "okey": s["okey"]} for s in starts])
+    table = F.from_json(F.lit(listed), "array<struct<bundle:string,okey:string>>")
+    key = F.struct(F.col("bundle").cast("string").alias("bundle"), F.col("okey").alias("okey"))
+    steps = F.array(*[F.lit(1 << bit) for bit in reversed(range(max(1, len(starts).bit_length())))])
+    found = F.aggregate(steps, F.lit(0), lambda at, step: F.when(
+        F.coalesce(F.get(table, at + step - 1) <= key, F.lit(False)), at + step).otherwise(at))
+    return df.withColumn(name, F.greatest(found - 1, F.lit(0)))
 
 
 def sink_frame(blocks: DataFrame, num_ranges: int | None = None, observation=None,
@@ -159,11 +179,9 @@ def sink_frame(blocks: DataFrame, num_ranges: int | None = None, observation=Non
     """
     spark = blocks.sparkSession
     n = num_ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    starts = range_starts(blocks if keys is None else keys, n).scalar()
-    rows = blocks.select(
-        "bundle", "okey", "is_file", F.expr("substring(block, 1, length(block) - 1)").alias("value"),
-        starts.alias("_starts")).withColumn("_range", range_id(F.col("_starts"), max(1, int(n**0.5)))).drop("_starts")
-    ranged = rows.repartitionById(n, "_range")
+    starts = range_starts(blocks if keys is None else keys, n).first().starts
+    rows = blocks.select("bundle", "okey", "is_file", F.expr("substring(block, 1, length(block) - 1)").alias("value"))
+    ranged = with_range(rows, starts).repartitionById(n, "_range")
     if observation is not None:
         ranged = ranged.observe(observation, F.count_if(F.col("is_file")).alias("n_files"))
     return ranged.sortWithinPartitions("bundle", "okey").select("bundle", "value")
@@ -243,5 +261,5 @@ def create_bundle(files: DataFrame, paths: DataFrame, out_dir: str, *, root: str
     blocks = file_blocks(found.withColumn("okey", seq_key()), root=root, order="okey",
                          remove_comments=remove_comments, remove_docstrings=remove_docstrings)
     header = header_blocks(paths.select("bundle").distinct(), root=root)
-    n = write_bundles(header.unionByName(blocks), out_dir)
+    n = write_bundles(header.unionByName(blocks), out_dir, keys=paths.select("bundle", seq_key().alias("okey")))
     return n, rejects

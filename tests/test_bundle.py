@@ -193,8 +193,8 @@ def test_range_numbers(spark):
     keys = spark.createDataFrame([("b", f"{i:03d}") for i in range(0, 200, 2)] + [(None, "x")], "bundle string, okey string")
     for n in (1, 3, 10, 60):
         starts = B.range_starts(keys, n).first().starts
-        rows = keys.unionByName(spark.createDataFrame([("a", "0"), ("b", "001"), ("c", "")], keys.schema)).withColumn(
-            "s", B.range_starts(keys, n).scalar()).withColumn("r", B.range_id(F.col("s"), max(1, int(n**0.5)))).collect()
+        rows = B.with_range(keys.unionByName(spark.createDataFrame([("a", "0"), ("b", "001"), ("c", "")], keys.schema)),
+                            starts, "r").collect()
 
         def order(r):
             return (r.bundle is not None, r.bundle or "", r.okey)
@@ -202,6 +202,25 @@ def test_range_numbers(spark):
             assert r.r == max(0, sum(order(s) <= order(r) for s in starts) - 1)
 
 
+def test_a_hundred_thousand_ranges(spark):
+    keys = spark.range(400_000).select(F.when(F.col("id") % 3 == 0, "big").otherwise(F.concat(F.lit("b"), F.col("id") % 50)).alias("bundle"),
+                                       F.sha2(F.col("id").cast("string"), 256).alias("okey"))
+    starts = B.range_starts(keys, 100_000).first().starts
+    assert 90_000 < len(starts) <= 100_000
+    sizes = B.with_range(keys, starts, "r").groupBy("r").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("bundle", "okey")).alias("lo"), F.max(F.struct("bundle", "okey")).alias("hi")).orderBy("r").collect()
+    assert sum(r.n for r in sizes) == 400_000 and max(r.n for r in sizes) < 40
+    assert all(tuple(a.hi) < tuple(b.lo) for a, b in zip(sizes, sizes[1:]))
+
+
+def test_ranges_are_even_and_the_same_in_each_run(spark):
+    keys = spark.range(50_000).select(F.when(F.col("id") % 3 == 0, "big").otherwise("b").alias("bundle"), F.hex("id").alias("okey"))
+    starts = B.range_starts(keys.repartition(7), 20).first().starts
+    sizes = [r["count"] for r in B.with_range(keys, starts, "r").groupBy("r").count().collect()]
+    assert len(sizes) == 20 and max(sizes) < 2.5 * sum(sizes) / 20
+    assert starts == B.range_starts(keys.repartition(3), 20).first().starts
+
+
 def test_null_groups_have_positions(spark):
     df = spark.createDataFrame([(None, "a"), (None, "b"), ("g", "c"), ("g", "d")], "g string, k string")
     got = sorted((r.g or "", r.k, r.seq) for r in positions(df, "g", "k", num_ranges=3).collect())
