@@ -72,9 +72,9 @@ def file_blocks(files: DataFrame, *, text_col: str = "content", remove_comments:
 
 
 def _header(marker: str, root: str | Column) -> Column:
-    """Header text: the source root, or the bundle's id where that is empty."""
+    """Header text: the source root, or the bundle's id where that is empty (nothing for a NULL one)."""
     root_c = F.col(root) if isinstance(root, str) else root
-    shown = F.when(F.length(root_c) > 0, root_c).otherwise(F.col("bundle"))
+    shown = F.when(F.length(root_c) > 0, root_c).otherwise(F.coalesce(F.col("bundle").cast("string"), F.lit("")))
     return _lit_fmt(T.HEADER_FMT, F.lit(marker if marker != "by_extension" else "#"), root=shown)
 
 
