@@ -5,12 +5,16 @@
     python -m corpuspack pack --files /tables/files --out /tables/bundles --select
     python -m corpuspack watch --files /tables/files --events /tables/changes --out ... --state ... --once
     python -m corpuspack watch --tree /data/repo --out /data/bundles --state /data/state --select
+    python -m corpuspack watch --tree /data/repo --out /data/store --state /data/state --select --parts
+    python -m corpuspack export --out /data/bundles --bundle repo --to /data/repo.txt
 
 ``--files`` is a table with ``bundle, path, content``; ``--tree`` lists a folder (the
 bundle is the folder's name). ``--ignore`` / ``--select`` take comma-separated globs; given
 without a value they mean ``__pycache__,*.meta`` / ``*.py``. ``watch`` goes on until it is
 stopped (``--once``: until what is there is done); with the same ``--state`` folder it resumes.
-A watched ``--tree`` without ``--events`` is polled.
+A watched ``--tree`` without ``--events`` is polled; all changes of a poll count. ``--parts`` keeps the
+bundles in parts with an index, and a change rewrites only the parts that hold it. ``export`` joins the
+parts of one bundle into one file.
 """
 
 from __future__ import annotations
@@ -52,7 +56,15 @@ def _args(argv=None):
             a.add_argument("--ignore-names", default="")
             a.add_argument("--ignore-paths", default="")
             a.add_argument("--include-names", default="")
+            a.add_argument("--extension", help="only changes of files with this ending")
+            a.add_argument("--parts", action="store_true", help="rewrite parts instead of bundles")
+            a.add_argument("--files-per-part", type=int, default=10_000)
             a.add_argument("--once", action="store_true", help="process what is there, then stop")
+    a = sub.add_parser("export")
+    a.add_argument("--out", required=True, help="where the bundles were written to")
+    a.add_argument("--bundle", required=True)
+    a.add_argument("--to", required=True, help="the file to write")
+    a.add_argument("--parts", action="store_true", help="the bundles are kept in parts")
     return p.parse_args(argv)
 
 
@@ -83,6 +95,10 @@ def main(argv=None) -> None:
     a = _args(argv)
     spark = SparkSession.builder.appName(f"corpuspack-{a.cmd}").getOrCreate()
     ship(spark)
+    if a.cmd == "export":
+        place = a.out.rstrip("/") + ("/data/area=text" if a.parts else "")
+        print(json.dumps({"bytes": B.export_bundle(spark, place, a.bundle, a.to)}))
+        return
     hide = parse_patterns(a.ignore, DEFAULT_HIDE)
     select = parse_patterns(a.select, DEFAULT_SELECT)
     options = {"remove_comments": a.strip_comments, "remove_docstrings": a.remove_docstrings}
@@ -101,7 +117,11 @@ def main(argv=None) -> None:
 
     state = a.state.rstrip("/")
     # a new DataFrame each time: an old one keeps the list of files of its day
-    rebuild = W.BundleRebuilder(lambda: _files(spark, a), selection, a.out, state, hide=hide, **options)
+    if a.parts:
+        rebuild = W.PartRebuilder(lambda: _files(spark, a), selection, a.out, state, hide=hide, files_per_part=a.files_per_part,
+                                  select=lambda files: S.select_glob(files, select), **options)
+    else:
+        rebuild = W.BundleRebuilder(lambda: _files(spark, a), selection, a.out, state, hide=hide, **options)
     polled = a.tree and not a.events
     if polled:
         W.poll_tree(spark, a.tree, state, hide=hide)
@@ -111,7 +131,7 @@ def main(argv=None) -> None:
     if polled:
         spark.createDataFrame([], schema).write.mode("append").parquet(folder)
     events = spark.readStream.schema(schema).parquet(folder)
-    q = W.watch(events, rebuild, ignore_names=parse_patterns(a.ignore_names),
+    q = W.watch(events, rebuild, extension=a.extension, coalesce=bool(polled or a.parts), ignore_names=parse_patterns(a.ignore_names),
                 ignore_paths=parse_patterns(a.ignore_paths), include_names=parse_patterns(a.include_names),
                 gap_seconds=a.gap, checkpoint=f"{state}/checkpoint",
                 trigger={"availableNow": True} if a.once else None)

@@ -263,3 +263,33 @@ def create_bundle(files: DataFrame, paths: DataFrame, out_dir: str, *, root: str
     header = header_blocks(paths.select("bundle").distinct(), root=root)
     n = write_bundles(header.unionByName(blocks), out_dir, keys=paths.select("bundle", seq_key().alias("okey")))
     return n, rejects
+
+
+def export_bundle(spark, out_dir: str, bundle: str, target: str) -> int:
+    """Join a written bundle's part files, in the order of their names, into the one file ``target``.
+    The bytes are streamed from storage to storage; returns their number."""
+    from urllib.parse import unquote
+
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path
+    fs = place(out_dir).getFileSystem(conf)
+    # of several folders whose names mean the same there is only one that a write made
+    found = [s.getPath() for s in fs.listStatus(place(out_dir)) if unquote(s.getPath().getName()) == f"bundle={bundle}"]
+    if not found:
+        raise KeyError(bundle)
+    parts = []
+    files = fs.listFiles(found[0], True)
+    while files.hasNext():
+        p = files.next().getPath()
+        if p.getName().startswith("part-"):
+            parts.append(p)
+    end = place(target)
+    out = end.getFileSystem(conf).create(end, True)
+    try:
+        for p in sorted(parts, key=lambda p: p.toString()):
+            stream = fs.open(p)
+            jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, out, 1 << 20, False)
+            stream.close()
+        return out.getPos()
+    finally:
+        out.close()

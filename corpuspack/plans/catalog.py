@@ -20,6 +20,7 @@ from corpuspack.operators import bundle as B
 from corpuspack.operators import ordering as O
 from corpuspack.operators import selection as S
 from corpuspack.operators import transform as TR
+from corpuspack.operators.partstore import PartStore
 from corpuspack.plans import duck as D
 from corpuspack.plans.fixtures import Tables, duck_with
 from corpuspack.session import scratch_path
@@ -827,3 +828,84 @@ def q_pack_conversations(spark, sf):
                           F.md5("block").alias("block_md5"))
     placed = O.positions(sized, "bundle", "okey", size="n_chars")
     return placed.select("bundle", "seq", "offset", "path", "n_chars", "block_md5")
+
+
+# ---------------------------------------------------------------------------------------
+# bundles in parts
+
+
+_VIS_BLOCKS = [("vis", _VIS_FILES_SQL), ("blocks", D.blocks_cte("vis", True, True))]
+
+
+@query("bundle_index", _with(
+    """SELECT bundle, path, CAST(strlen(block) AS BIGINT) AS bytes, md5(block) AS block_md5,
+         CAST(coalesce(sum(strlen(block)) OVER (PARTITION BY bundle ORDER BY okey
+              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS byte_offset
+       FROM blocks""", ["files"], _VIS_BLOCKS))
+def q_bundle_index(spark, sf):
+    """Where each block lies in its bundle, from the index that the write made."""
+    store = PartStore(spark, scratch_path(spark, "store"), files_per_part=20, remove_comments=True, remove_docstrings=True)
+    store.build(_visible_files(Tables(spark, sf)))
+    return store.index().select("bundle", "path", "bytes", F.col("md5").alias("block_md5"), F.col("at").alias("byte_offset"))
+
+
+@query("restore_files", _with(
+    "SELECT bundle, path, md5(block) AS block_md5, CAST(length(block) AS BIGINT) AS n_chars FROM blocks WHERE is_file",
+    ["files"], _VIS_BLOCKS))
+def q_restore_files(spark, sf):
+    """Every file cut out of its part again, by offset and size."""
+    store = PartStore(spark, scratch_path(spark, "store"), files_per_part=20, remove_comments=True, remove_docstrings=True)
+    vis = _visible_files(Tables(spark, sf))
+    store.build(vis)
+    restored = store.read_blocks(vis.where("content is not null").select("bundle", "path"))
+    return restored.select("bundle", "path", F.md5("block").alias("block_md5"), T.char_count("block").alias("n_chars"))
+
+
+_AFTER_SQL = """SELECT bundle, path, CASE WHEN doc_id % 10 = 5 THEN content || 'x' ELSE content END AS content
+                FROM files WHERE doc_id % 10 <> 4"""
+
+
+@query("watch_rebuild_parts", _with(
+    """SELECT bundle, CAST(count(*) FILTER (WHERE is_file) AS BIGINT) AS n_files,
+         CAST(sum(length(block) - length(replace(block, chr(10), ''))) + 1 AS BIGINT) AS n_lines,
+         CAST(sum(length(block)) AS BIGINT) AS n_chars
+       FROM blocks GROUP BY bundle""",
+    ["files"], [("after", _AFTER_SQL), ("chosen", f"SELECT * FROM after WHERE {D.any_glob('path', SELECT_GLOBS)} AND NOT {D.hidden('path', 'false', [])}"),
+                ("blocks", D.blocks_cte("chosen", True, True))]))
+def q_watch_rebuild_parts(spark, sf):
+    """Bundles of the first snapshot's files, kept up with the changes to the second one in several
+    micro-batches that rewrite parts only: equal to a batch build of the second."""
+    t = Tables(spark, sf)
+    files = t.files
+    before = files.where("doc_id % 10 <> 3").select("bundle", "path", "content")
+    after = files.where("doc_id % 10 <> 4").select("bundle", "path", F.when(
+        F.col("doc_id") % 10 == 5, F.concat("content", F.lit("x"))).otherwise(F.col("content")).alias("content"))
+    folder = scratch_path(spark, "watch-parts")
+    rebuild = W.PartRebuilder(lambda: before, S.select_glob(before, SELECT_GLOBS), f"{folder}/store", f"{folder}/state",
+                              select=lambda rows: S.select_glob(rows, SELECT_GLOBS), files_per_part=20,
+                              remove_comments=True, remove_docstrings=True)
+    rebuild.build_all(spark)
+    rebuild.files_fn = lambda: after
+    changes = W.snapshot_diff(t.snapshot_a, t.snapshot_b).join(files.select("path", "bundle"), "path").select(
+        F.xxhash64("path").alias("event_id"), F.timestamp_seconds(F.pmod(F.xxhash64("path"), F.lit(1000))).alias("ts"),
+        F.col("bundle").alias("root"), "path", "kind", F.lit(False).alias("is_directory"))
+    src = W.replay_source(changes, f"{folder}/in", chunks=3)
+    W.watch(src, rebuild, checkpoint=f"{folder}/checkpoint", trigger={"availableNow": True}, coalesce=True).awaitTermination()
+    return rebuild.store(spark).stats().drop("kb")
+
+
+@query("throttle_feed", _with(
+    "SELECT event_id, t_us, root, path, kind FROM ev WHERE event_id IN (SELECT event_id FROM chain)",
+    ["change_events"], _THROTTLE_CTES, recursive=True))
+def q_throttle_feed(spark, sf):
+    """The throttle of a stream by the batch form, micro-batch by micro-batch."""
+    ev = W.watch_filter(Tables(spark, sf).change_events, None, IGNORE_NAMES, IGNORE_PATHS, INCLUDE_NAMES)
+    folder = scratch_path(spark, "throttle-feed")
+    src = W.replay_source(ev.select("event_id", "ts", "root", "path", "kind"), f"{folder}/in")
+
+    def sink(kept, batch_id):
+        kept.write.mode("overwrite").parquet(f"{folder}/kept/batch={batch_id}")
+
+    W.throttle_feed(src, sink, f"{folder}/state", GAP_SECONDS, trigger={"availableNow": True}).awaitTermination()
+    kept = spark.read.parquet(f"{folder}/kept")
+    return kept.select("event_id", _t_us(kept, "ts"), "root", "path", "kind")

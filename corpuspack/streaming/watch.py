@@ -310,16 +310,78 @@ def throttle_stream(events: DataFrame, gap_seconds: float = DEFAULT_GAP_SECONDS,
     )
 
 
+class BatchThrottle:
+    """Throttle of a stream's micro-batches, with each key's last kept time in a table.
+
+    Rows that a last kept time rules out are dropped; of what is left the first row of each key is
+    kept, as in a feed that begins there, so the batch form (:func:`throttle`) decides: a key with many
+    rows is spread over tasks. The times are a log of changes (:class:`DeltaLog`) under ``state_dir``, one
+    version per micro-batch; one that runs again starts from the times before it.
+    """
+
+    def __init__(self, state_dir: str, gap_seconds: float = DEFAULT_GAP_SECONDS, key: str = "root", ts: str = "ts",
+                 tiebreak: str = "event_id", hot_rows: int = HOT_ROOT_ROWS):
+        self.state_dir, self.gap, self.key, self.ts, self.tiebreak = state_dir.rstrip("/"), gap_seconds, key, ts, tiebreak
+        self.hot_rows = hot_rows
+
+    def __call__(self, rows: DataFrame, batch_id: int) -> DataFrame:
+        from corpuspack.operators.deltalog import DeltaLog
+        from corpuspack.session import materialize
+
+        gap = int(round(self.gap * 1_000_000))
+        if gap <= 0:
+            return rows
+        log = DeltaLog(rows.sparkSession, self.state_dir, ["k"], "k string, last long")
+        if log.last() is None:
+            log.start(rows.sparkSession.createDataFrame([], "k string, last long"))
+        last = log.current(before=batch_id)
+        timed = rows.withColumns({"_k": F.col(self.key).cast("string"), "_at": _micros(rows, self.ts)})
+        open_ = timed.join(last, F.col("_k").eqNullSafe(F.col("k")), "left").where(
+            F.col("last").isNull() | (F.col("_at") >= F.col("last") + gap)).drop("k", "last")
+        kept = materialize(throttle(open_, self.gap, "_k", self.ts, self.tiebreak, hot_rows=self.hot_rows), "throttle-kept")
+        log.append(batch_id, kept.groupBy(F.col("_k").alias("k")).agg(F.max("_at").alias("last")).withColumn("gone", F.lit(False)))
+        return kept.drop("_k", "_at")
+
+
+def throttle_feed(events: DataFrame, sink: Callable[[DataFrame, int], None], folder: str, gap_seconds: float = DEFAULT_GAP_SECONDS,
+                  key: str = "root", ts: str = "ts", trigger: dict | None = None, hot_rows: int = HOT_ROOT_ROWS):
+    """Run a stream of changes through :class:`BatchThrottle`; ``sink(kept, batch_id)`` gets the kept
+    rows of each micro-batch. State and checkpoint lie under ``folder``. Returns the running query."""
+    from corpuspack.session import materialize
+
+    keep = BatchThrottle(f"{folder}/last-kept", gap_seconds, key, ts, hot_rows=hot_rows)
+
+    def each(rows: DataFrame, batch_id: int) -> None:  # written once, as it would be computed for every use
+        sink(keep(materialize(rows, "throttle-batch"), batch_id), batch_id)
+
+    writer = events.writeStream.foreachBatch(each).option("checkpointLocation", f"{folder}/checkpoint")
+    return writer.trigger(**(trigger or {"processingTime": "1 second"})).start()
+
+
 def watch(events: DataFrame, callback: Callable[[DataFrame, int], None], *, extension: str | None = None,
           ignore_names: Sequence[str] = (), ignore_paths: Sequence[str] = (), include_names: Sequence[str] = (),
-          gap_seconds: float = DEFAULT_GAP_SECONDS, checkpoint: str, trigger: dict | None = None):
+          gap_seconds: float = DEFAULT_GAP_SECONDS, checkpoint: str, trigger: dict | None = None, coalesce: bool = False):
     """Filter -> throttle -> ``callback(kept_changes_df, batch_id)`` per micro-batch.
 
     Returns the running ``StreamingQuery``: it goes on until ``.stop()``, looking for changes
     every second, unless ``trigger`` says otherwise (``{"availableNow": True}`` ends with what
     is there). With the same ``checkpoint`` it resumes where it stopped.
+
+    ``coalesce``: no change is dropped; the callback gets all different changed files of a
+    micro-batch (their last change), at most one micro-batch per ``gap_seconds``. For callbacks
+    that act on the files that changed, and for feeds whose changes share one time, as polled ones do.
     """
     filtered = watch_filter(events, extension, ignore_names, ignore_paths, include_names)
+    if coalesce:
+        def each(rows: DataFrame, batch_id: int) -> None:
+            from corpuspack.session import materialize
+
+            names = rows.columns
+            latest = rows.groupBy("root", "path").agg(F.max_by(F.struct(*names), F.struct("ts", "event_id")).alias("r"))
+            callback(materialize(latest.select("r.*"), "changes"), batch_id)
+
+        trigger = trigger or {"processingTime": f"{max(1, round(gap_seconds * 1000))} milliseconds"}
+        return filtered.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**trigger).start()
     kept = throttle_stream(filtered, gap_seconds)
     writer = kept.writeStream.foreachBatch(callback).option("checkpointLocation", checkpoint)
     writer = writer.trigger(**(trigger or {"processingTime": "1 second"}))
@@ -333,13 +395,13 @@ def watch(events: DataFrame, callback: Callable[[DataFrame, int], None], *, exte
 def snapshot_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     """``(path, kind)`` with kind created / deleted / modified between two listings
     ``(path, content_hash)``."""
-    a = before.select("path", F.col("content_hash").alias("_a"))
-    b = after.select("path", F.col("content_hash").alias("_b"))
+    a = before.select("path", F.col("content_hash").alias("_a"), F.lit(True).alias("_in_a"))
+    b = after.select("path", F.col("content_hash").alias("_b"), F.lit(True).alias("_in_b"))
     j = a.join(b, "path", "full")
-    kind = (
-        F.when(F.col("_a").isNull(), F.lit("created"))
-        .when(F.col("_b").isNull(), F.lit("deleted"))
-        .when(F.col("_a") != F.col("_b"), F.lit("modified"))
+    kind = (  # the side that is missing tells, as a hash may be NULL
+        F.when(F.col("_in_a").isNull(), F.lit("created"))
+        .when(F.col("_in_b").isNull(), F.lit("deleted"))
+        .when(~F.col("_a").eqNullSafe(F.col("_b")), F.lit("modified"))
     )
     return j.select("path", kind.alias("kind")).where(F.col("kind").isNotNull())
 
@@ -366,28 +428,28 @@ class BundleRebuilder:
         self.hide = list(hide)
         self.rc, self.rd = remove_comments, remove_docstrings
         self.rebuilt: list[int] = []  # batches that rebuilt bundles, in this run
-        if self.version(selection.sparkSession) is None:  # a first start; else the state goes on
-            selection.select("path").write.mode("overwrite").parquet(self._path("selection", -1))
+        log = self._log(selection.sparkSession)
+        if log.last() is None:  # a first start; else the state goes on
+            log.start(selection.select("path").distinct())
+
+    def _log(self, spark):
+        from corpuspack.operators.deltalog import DeltaLog
+
+        return DeltaLog(spark, f"{self.state_dir}/selection", ["path"], "path string")
 
     def _path(self, table: str, batch_id: int) -> str:
         return f"{self.state_dir}/{table}/v{batch_id + 1:012d}"
 
-    def version(self, spark) -> int | None:
-        """Batch of the latest selection that was written to the end (-1: the first one)."""
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.state_dir}/selection")
-        fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(hadoop):
-            return None
-        done = [s.getPath() for s in fs.listStatus(hadoop)]
-        done = [int(p.getName()[1:]) - 1 for p in done if fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-        return max(done, default=None)
-
     def current_selection(self, spark, before: int | None = None) -> DataFrame:
         """The latest selection, or the latest of before a batch."""
-        v = self.version(spark)
-        while before is not None and v >= before:  # a batch that runs again starts as it did at first
-            v -= 1
-        return spark.read.schema("path string").parquet(self._path("selection", v))
+        return self._log(spark).current(before)
+
+    def _refresh(self, files: DataFrame, old: DataFrame, batch_id: int) -> None:
+        """Selected files that are gone leave the selection; only these are written."""
+        from corpuspack.operators import selection as S
+
+        there = S.visible_files(files, self.hide).select("path")
+        self._log(files.sparkSession).append(batch_id, old.join(there, "path", "left_anti").withColumn("gone", F.lit(True)))
 
     def rebuilt_bundles(self, spark) -> DataFrame:
         """``(bundle, batch)`` of every rebuild that the state folder tells of."""
@@ -412,8 +474,6 @@ class BundleRebuilder:
             self._write(self.files_fn(), sel)
 
     def __call__(self, changes: DataFrame, batch_id: int) -> None:
-        from corpuspack.operators import selection as S
-
         spark = changes.sparkSession
         files = self.files_fn()
         old = self.current_selection(spark, before=batch_id)
@@ -423,8 +483,7 @@ class BundleRebuilder:
         hit = changes.select("path", F.col("root").alias("bundle")).join(old, "path", "left_semi").select("bundle").distinct()
         hit.withColumn("batch", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(self._path("rebuilt", batch_id))
         hit = spark.read.schema("bundle string, batch long").parquet(self._path("rebuilt", batch_id)).select("bundle")
-        S.refresh_selection(old, S.visible_files(files, self.hide)).write.mode("overwrite").parquet(
-            self._path("selection", batch_id))
+        self._refresh(files, old, batch_id)
         sel = self.current_selection(spark)
         if hit.isEmpty() or sel.isEmpty():
             return
@@ -432,29 +491,82 @@ class BundleRebuilder:
         self.rebuilt.append(batch_id)
 
 
+class PartRebuilder(BundleRebuilder):
+    """A rebuilder over a :class:`PartStore` in ``out_dir``: a micro-batch rewrites the parts that hold
+    its changed files that are or were selected, not their bundles. It must be told of every change,
+    so it is run by ``watch(..., coalesce=True)``. With a ``select`` (a function of visible files) files
+    that come up and match join the selection.
+    """
+
+    def __init__(self, files_fn, selection: DataFrame, out_dir: str, state_dir: str, *, select=None, files_per_part: int = 10_000, **kw):
+        super().__init__(files_fn, selection, out_dir, state_dir, **kw)
+        self.select, self.files_per_part = select, files_per_part
+
+    def store(self, spark):
+        from corpuspack.operators.partstore import PartStore
+
+        return PartStore(spark, self.out_dir, files_per_part=self.files_per_part, remove_comments=self.rc, remove_docstrings=self.rd)
+
+    def _chosen(self, files: DataFrame, selection: DataFrame) -> DataFrame:
+        from corpuspack.operators import selection as S
+
+        return S.keep_selected(S.visible_files(files, self.hide), selection)
+
+    def build_all(self, spark) -> None:
+        sel = self.current_selection(spark)
+        if not sel.isEmpty():
+            self.store(spark).build(self._chosen(self.files_fn(), sel))
+
+    def __call__(self, changes: DataFrame, batch_id: int) -> None:
+        from corpuspack.operators import selection as S
+        from corpuspack.session import materialize
+
+        spark = changes.sparkSession
+        files, old = self.files_fn(), self.current_selection(spark, before=batch_id)
+        # only the changed paths are looked up: what is gone leaves the selection, what matches enters
+        named = materialize(changes.select(F.col("root").alias("bundle"), "path").distinct(), "changed")
+        there = S.visible_files(files, self.hide).select("bundle", "path").join(named.select("path"), "path", "left_semi")
+        there = materialize(there, "changed-files")
+        was = old.join(named.select("path").distinct(), "path", "left_semi").withColumn("_was", F.lit(True))
+        now = there.select("path").withColumn("_there", F.lit(True))
+        fits = (self.select(there) if self.select else there.where(F.lit(False))).select("path").withColumn("_fits", F.lit(True))
+        told = materialize(named.join(was, "path", "left").join(now.distinct(), "path", "left").join(fits.distinct(), "path", "left").select(
+            "bundle", "path", F.coalesce("_was", F.lit(False)).alias("was"),
+            (F.col("_there").isNotNull() & (F.col("_was").isNotNull() | F.col("_fits").isNotNull())).alias("is")), "changed-selection")
+        delta = told.where(F.col("was") != F.col("is")).select("path", (~F.col("is")).alias("gone")).distinct()
+        self._log(spark).append(batch_id, delta)
+        hit = told.where(F.col("was") | F.col("is"))
+        sel = self.current_selection(spark)
+        if hit.isEmpty() or sel.isEmpty():
+            return
+        # a file's bundle is the one it lies in; of a file that is gone it is the event's root
+        mine = there.select(F.col("bundle").alias("_b"), F.col("path").alias("_p"))
+        hit = hit.join(mine, F.col("path") == F.col("_p"), "left").select(F.when(F.col("_p").isNotNull(), F.col("_b")).otherwise(F.col("bundle")).alias("bundle"), "path")
+        if self.store(spark).update(self._chosen(files, sel), materialize(hit, "changed-hit"), batch_id):
+            self.rebuilt.append(batch_id)
+
+
 def replay_source(events: DataFrame, folder: str, chunks: int = 4, ts: str = "ts", rows_per_chunk: int = 1_000_000) -> DataFrame:
     """Write a change table as time-ordered files under ``folder``, oldest first, and return a
     streaming reader over them, one file per trigger: a replay of the feed in arrival order.
 
-    There are ``chunks`` files, or more so that one holds about ``rows_per_chunk`` rows; their
-    bounds are approximate quantiles of the time.
+    One range-partitioned write makes ``chunks`` files, or more so that one holds about
+    ``rows_per_chunk`` rows; equal times are in one file. A file stream goes by the files' times, so
+    these are set in the order of the ranges.
     """
-    from corpuspack.session import materialize
+    import time
 
     spark = events.sparkSession
-    events = materialize(events, "replay-input")  # read once per chunk below
-    t = _micros(events, ts)
     chunks = max(chunks, -(-events.count() // rows_per_chunk))
-    bounds = events.select(t.alias("_t")).approxQuantile("_t", [i / chunks for i in range(1, chunks)], 0.1 / chunks)
-    edges = [None, *sorted(set(int(b) for b in bounds)), None]
-    for k, (lo, hi) in enumerate(zip(edges, edges[1:])):
-        part = events if lo is None else events.where(t >= lo)
-        part = part if hi is None else part.where(t < hi)
-        part.repartitionByRange(1, ts).write.mode("overwrite").parquet(f"{folder}/chunk={k:05d}")
-    return (
-        spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1)
-        .option("pathGlobFilter", "*.parquet").parquet(f"{folder}/chunk=*")
-    )
+    place = f"{folder}/replay"
+    events.repartitionByRange(chunks, ts).sortWithinPartitions(ts).write.mode("overwrite").parquet(place)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    parts = sorted((s.getPath() for s in fs.listStatus(path) if s.getPath().getName().startswith("part-")), key=lambda p: p.getName())
+    begin = int(time.time() - len(parts)) * 1000
+    for k, part in enumerate(parts):  # a file per million rows
+        fs.setTimes(part, begin + 1000 * k, -1)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "*.parquet").parquet(place)
 
 
 def run_to_table(stream: DataFrame, folder: str) -> DataFrame:
@@ -503,10 +615,13 @@ def poll_tree(spark, root: str, state_dir: str, *, root_name: str | None = None,
     """List a tree, compare it with the listing before, and append the differences to the
     change feed ``<state_dir>/events`` (a folder that a stream reads). Returns the number of
     changes; the first listing only sets the mark. Listings are kept by number, the latest
-    complete one counts, so a poll that was cut short is made again.
+    complete one counts. A poll that was cut short goes on with the listing it made, and leaves out the
+    events it had appended, so each change is told once.
     """
     import os
 
+    from corpuspack.session import materialize
+
     base = f"{state_dir.rstrip('/')}/listing"
     jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
     folder = jvm.Path(base)
@@ -518,13 +633,18 @@ def poll_tree(spark, root: str, state_dir: str, *, root_name: str | None = None,
     listed = tree_snapshot(spark, root, by, hide).withColumn("path", F.concat(F.lit(name + "/"), "path"))
     now = f"{base}/{number:012d}"
     if done:
-        fresh = f"{state_dir.rstrip('/')}/seen/{number:012d}"
-        listed.write.mode("overwrite").parquet(fresh)  # listed once: what is compared is what is kept
         schema = "path string, content_hash string"
+        fresh, feed = f"{state_dir.rstrip('/')}/seen/{number:012d}", f"{state_dir.rstrip('/')}/events"
+        again = fs.exists(jvm.Path(fresh, "_SUCCESS"))  # a poll that was cut short after its listing
+        if not again:
+            listed.write.mode("overwrite").parquet(fresh)  # listed once: what is compared is what is kept
         after = spark.read.schema(schema).parquet(fresh)
         changes = snapshot_changes(spark.read.schema(schema).parquet(f"{base}/{done[-1]:012d}"), after, name)
-        changes = changes.withColumn("event_id", F.xxhash64("path", "kind", F.lit(number)))
-        changes.write.mode("append").parquet(f"{state_dir.rstrip('/')}/events")
+        changes = materialize(changes.withColumn("event_id", F.xxhash64("path", "kind", F.lit(number))), "poll-changes")
+        told = changes
+        if again and fs.exists(jvm.Path(feed)):  # it may have told of them already
+            told = changes.join(spark.read.schema(changes.schema).parquet(feed).select("event_id"), "event_id", "left_anti").select(*changes.columns)
+        told.write.mode("append").parquet(feed)
         after.write.mode("overwrite").parquet(now)
         return changes.count()
     listed.write.mode("overwrite").parquet(now)

@@ -4,6 +4,8 @@ import datetime as dt
 import os
 import random
 
+from pyspark.sql import functions as F
+
 from corpuspack.operators import bundle as B
 from corpuspack.streaming import watch as W
 from models import model_throttle
@@ -266,3 +268,85 @@ def test_polling_appends_changes(spark, tmp_dir):
     assert W.poll_tree(spark, root, state) == 1
     ev = spark.read.parquet(os.path.join(state, "events")).orderBy("ts").collect()
     assert [(r.path, r.kind, r.root) for r in ev] == [("proj/b.py", "created", "proj"), ("proj/a.py", "deleted", "proj")]
+
+
+def test_null_hashes_are_compared(spark):
+    before = spark.createDataFrame([("both", None), ("gone", None), ("got", None), ("lost", "x"), ("same", "s")], "path string, content_hash string")
+    after = spark.createDataFrame([("both", None), ("new", None), ("got", "x"), ("lost", None), ("same", "s")], "path string, content_hash string")
+    got = {(r.path, r.kind) for r in W.snapshot_diff(before, after).collect()}
+    assert got == {("gone", "deleted"), ("new", "created"), ("got", "modified"), ("lost", "modified")}
+
+
+def test_stream_throttle_of_any_cut_equals_the_batch(spark, tmp_dir):
+    rng = random.Random(4)
+    rows, t = [], 0
+    for i in range(400):
+        t += rng.choice([0, 1, 100, 250, 499, 500, 700])
+        rows.append((t / 1000, rng.choice(["hot", "hot", "hot", "r", None]), f"p{i}.py", False))
+    ev = _events(spark, rows)
+    want = sorted(r.event_id for r in W.throttle(ev, 0.5).collect())
+    for n, hot_rows in ((1, 50), (6, 2_000_000)):
+        keep = W.BatchThrottle(os.path.join(tmp_dir, f"state{n}"), 0.5, hot_rows=hot_rows)
+        cuts = sorted({0, len(rows), *rng.sample(range(len(rows)), n - 1)})
+        got = []
+        for k, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
+            part = ev.where((F.col("event_id") >= lo) & (F.col("event_id") < hi))
+            first = sorted(r.event_id for r in keep(part, k).collect())
+            if k == 1:  # the micro-batch runs again
+                assert sorted(r.event_id for r in keep(part, k).collect()) == first
+            got += first
+        assert sorted(got) == want
+
+
+def test_every_change_of_a_poll_reaches_the_rebuild(spark, tmp_dir):
+    files = {"p/a.py": "x\n", "p/b.py": "y\n", "q/c.py": "z\n"}
+
+    def table():
+        return spark.createDataFrame([(p[0], p, c) for p, c in sorted(files.items())], "bundle string, path string, content string")
+
+    sel = spark.createDataFrame([("p/b.py",), ("q/c.py",)], "path string")
+    out, src = os.path.join(tmp_dir, "parts"), os.path.join(tmp_dir, "ev")
+    rb = W.PartRebuilder(table, sel, out, os.path.join(tmp_dir, "state"), select=lambda f: f.where(F.col("path").endswith(".md")))
+    rb.build_all(spark)
+    files["p/b.py"] = "changed\n"
+    files["p/n.md"] = "new\n"
+    del files["q/c.py"]
+    # one time for all, and the first isn't selected: a throttle would keep that one only
+    ev = _events(spark, [(0.0, "p", "p/a.py", False), (0.0, "p", "p/b.py", False), (0.0, "p", "p/n.md", False), (0.0, "q", "q/c.py", False)])
+    _write_stream_input(spark, ev, src, n_files=1)
+    stream = spark.readStream.schema(ev.schema).parquet(src + "/*")
+    W.watch(stream, rb, checkpoint=os.path.join(tmp_dir, "ck"), trigger=ONCE, coalesce=True).awaitTermination(120)
+    assert rb.rebuilt and sorted(r.path for r in rb.current_selection(spark).collect()) == ["p/b.py", "p/n.md"]
+    chosen = table().where("path in ('p/b.py', 'p/n.md')")
+    want = {tuple(r) for r in B.pack_stats(chosen).select("bundle", "n_files", "n_lines", "n_chars").collect()}
+    assert {tuple(r) for r in rb.store(spark).stats().select("bundle", "n_files", "n_lines", "n_chars").collect()} == want
+    assert "changed" in rb.store(spark).read_block("p", "p/b.py")
+
+
+def test_a_poll_cut_short_tells_each_change_once(spark, tmp_dir):
+    import shutil
+
+    root, state = os.path.join(tmp_dir, "proj"), os.path.join(tmp_dir, "state")
+    os.makedirs(root)
+    open(os.path.join(root, "a.py"), "w").write("a")
+    W.poll_tree(spark, root, state)
+    open(os.path.join(root, "b.py"), "w").write("b")
+    assert W.poll_tree(spark, root, state) == 1
+    shutil.rmtree(os.path.join(state, "listing", "000000000001"))  # as if it ended before its listing was there
+    open(os.path.join(root, "c.py"), "w").write("c")
+    W.poll_tree(spark, root, state)
+    W.poll_tree(spark, root, state)
+    ev = spark.read.parquet(os.path.join(state, "events")).collect()
+    assert sorted((r.path, r.kind) for r in ev) == [("proj/b.py", "created"), ("proj/c.py", "created")]
+
+
+def test_the_selection_log_holds_changes_only(spark, tmp_dir):
+    import glob as g
+
+    files = spark.createDataFrame([("a", f"a/f{i}.py", "x\n") for i in range(50)], "bundle string, path string, content string")
+    every = files.select("path").unionByName(spark.createDataFrame([("a/gone.py",)], "path string"))
+    rb = W.BundleRebuilder(lambda: files, every, os.path.join(tmp_dir, "out"), os.path.join(tmp_dir, "state"))
+    for batch in range(3):
+        rb(_events(spark, [(0.0, "a", "a/f1.py", False)]), batch)
+    assert rb.current_selection(spark).count() == 50
+    assert spark.read.parquet(*g.glob(os.path.join(tmp_dir, "state/selection/delta/*"))).count() == 1
