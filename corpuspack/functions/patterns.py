@@ -98,15 +98,18 @@ def _tokens(pattern: str) -> list:
     return out
 
 
-def longest_literal(pattern: str) -> str:
-    """The longest run of literal characters of a glob ('' if it has none)."""
+def glob_shape(pattern: str) -> tuple[list[str], int, str, str]:
+    """A glob's runs of literal characters, the least length of what it matches, and the literal
+    characters that this begins and ends with."""
+    tokens = _tokens(pattern)
     runs = [""]
-    for t in _tokens(pattern):
+    for t in tokens:
         if t[0] == "lit":
             runs[-1] += t[1]
         else:
             runs.append("")
-    return max(runs, key=len)
+    least = sum(t is not _STAR for t in tokens)
+    return [r for r in runs if r], least, runs[0], runs[-1]
 
 
 def is_simple_glob(pattern: str) -> bool:

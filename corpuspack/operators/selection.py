@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuspack.functions import paths as P
-from corpuspack.functions.patterns import any_glob, can_match_trailing_slash, glob_to_regex, longest_literal
+from corpuspack.functions.patterns import any_glob, can_match_trailing_slash, glob_shape, glob_to_regex
 
 
 def hidden(path="path", is_dir="is_dir", hide: Sequence[str] = ()):
@@ -166,53 +166,103 @@ def selection_count(selection: DataFrame) -> DataFrame:
 # keyword and glob tables (substring joins without a nested loop)
 
 
-def containing(df: DataFrame, col: str, keywords: DataFrame, kw_col: str) -> DataFrame:
-    """``(value, keyword)`` for each different value of ``col`` and each keyword it contains.
+#: Characters of keywords that one automaton holds (some 50 bytes each), and values that meet it at once.
+KEYWORD_CHARS = 2_000_000
+VALUES_PER_GROUP = 100_000
 
-    An equi-join at every size: the substrings of each value at the lengths that keywords have
-    meet the keywords. Only values are carried, never the rows; NULLs match nothing, the empty
-    keyword matches every value.
+
+def _matcher(first: bool):
+    """What the values of a group hold of its keywords, in one pass over each value."""
+
+    def run(values: pa.Table, keywords: pa.Table) -> pa.Table:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        known = keywords.column("keyword").to_pylist()
+        for k in known:
+            if k:
+                automaton.add_word(k, k)
+        automaton.make_automaton()
+        blank = [""] if "" in known else []  # every value holds the empty keyword
+        out_values, out_keywords = [], []
+        for v in values.column("value").to_pylist():
+            hits = blank if first and blank else ({k for _, k in automaton.iter(v)} if not first else [
+                k for _, k in [next(automaton.iter(v), (0, None))] if k is not None]) if len(automaton) else []
+            hits = [*hits, *([] if first else blank)]
+            out_values += [v] * len(hits)
+            out_keywords += hits
+        return pa.table({"value": pa.array(out_values, pa.string()), "keyword": pa.array(out_keywords, pa.string())})
+
+    return run
+
+
+def containing(df: DataFrame, col: str, keywords: DataFrame, kw_col: str, first: bool = False) -> DataFrame:
+    """``(value, keyword)`` for each different value of ``col`` and each keyword it contains; with
+    ``first`` only the keyword that ends first in it, of each part of the keywords.
+
+    Each value is read once by an automaton of all keywords (Aho-Corasick), so the work doesn't grow with
+    the keywords' number or lengths. Keywords are dealt into parts of at most about ``KEYWORD_CHARS``, and
+    different values into groups of about ``VALUES_PER_GROUP``; a task has one part and one group. Only
+    values are carried, never the rows; NULLs match nothing, the empty keyword matches every value.
     """
-    kw = keywords.select(F.col(kw_col).alias("keyword")).where("keyword is not null").distinct()
-    lengths = kw.agg(F.sort_array(F.collect_set(F.length("keyword")))).scalar()  # bounded by the longest keyword
-    values = df.select(F.col(col).alias("value")).where("value is not null").distinct().withColumn("lengths", lengths)
-    v = F.col("value")
-    subs = F.flatten(F.transform("lengths", lambda n: F.when(n == 0, F.array(F.lit(""))).when(
-        n <= F.length(v), F.transform(F.sequence(F.lit(1), F.length(v) - n + 1), lambda i: v.substr(i, n)))
-        .otherwise(F.array().cast("array<string>"))))
-    parts = values.select("value", F.explode(F.array_distinct(subs)).alias("keyword"))
-    return parts.join(kw, "keyword").select("value", "keyword")
+    kw = keywords.select(F.col(kw_col).cast("string").alias("keyword")).where("keyword is not null").distinct()
+    values = df.select(F.col(col).cast("string").alias("value")).where("value is not null").distinct()
+    parts = kw.agg(F.greatest(F.lit(1), F.ceil(F.coalesce(F.sum(F.length("keyword")), F.lit(0)) / KEYWORD_CHARS)).cast("int")).scalar()
+    groups = df.agg(F.greatest(F.lit(1), F.ceil(F.count(col) / VALUES_PER_GROUP)).cast("int")).scalar()
+    dealt = values.select("value", F.pmod(F.xxhash64("value"), groups).cast("int").alias("g")).select(
+        "value", "g", F.explode(F.sequence(F.lit(0), parts - 1)).alias("p"))
+    copied = kw.select("keyword", F.pmod(F.xxhash64("keyword"), parts).cast("int").alias("q")).select(
+        "keyword", "q", F.explode(F.sequence(F.lit(0), groups - 1)).alias("h"))
+    return dealt.groupBy("p", "g").cogroup(copied.groupBy("q", "h")).applyInArrow(_matcher(first), "value string, keyword string")
 
 
 def anti_contains(df: DataFrame, keywords: DataFrame, col: str, kw_col: str) -> DataFrame:
     """Rows of ``df`` whose ``col`` contains none of the keywords (a NULL ``col`` contains none)."""
-    hits = containing(df, col, keywords, kw_col).select(F.col("value").alias("_hit")).distinct()
+    hits = containing(df, col, keywords, kw_col, first=True).select(F.col("value").alias("_hit")).distinct()
     return df.join(hits, F.col(col) == F.col("_hit"), "left_anti")
 
 
 def semi_contains(df: DataFrame, keywords: DataFrame, col: str, kw_col: str) -> DataFrame:
     """Rows of ``df`` whose ``col`` contains a keyword; without any keyword all rows, as an empty
     include list keeps everything."""
-    hits = containing(df, col, keywords, kw_col).select(F.col("value").alias("_hit")).distinct()
+    hits = containing(df, col, keywords, kw_col, first=True).select(F.col("value").alias("_hit")).distinct()
     listed = keywords.where(F.col(kw_col).isNotNull()).agg((F.count(F.lit(1)) > 0).alias("any")).scalar()
     found = df.join(hits.withColumn("_found", F.lit(True)), F.col(col) == F.col("_hit"), "left")
     return found.where(F.col("_found") | ~listed).drop("_hit", "_found")
 
 
-def glob_matches(df: DataFrame, globs: DataFrame, col: str = "path", glob_col: str = "glob") -> DataFrame:
-    """``(value, glob)`` for each different value of ``col`` and each glob of a table it matches.
+def glob_candidates(df: DataFrame, globs: DataFrame, col: str = "path", glob_col: str = "glob") -> DataFrame:
+    """``(value, glob, pattern)`` of the pairs that :func:`glob_matches` tries.
 
-    A glob's longest literal run must occur in the value, so values and globs first meet as
-    values and keywords; only such pairs are tried against the glob's pattern.
+    Every literal run of a glob must occur in a value it matches, in their order. All runs of all globs are
+    looked for in one pass over the values; each glob is filed under the run that the fewest values hold,
+    so a common ending doesn't bring a glob to every value that has it. A glob one of whose runs no
+    value holds is tried nowhere. Of what is left the length and the fixed beginning and end must fit.
     """
+    from corpuspack.session import materialize
+
     def parsed(batches):
         for batch in batches:
             patterns = batch.column(0).to_pylist()
+            shapes = [glob_shape(p) for p in patterns]
             yield pa.RecordBatch.from_pydict({
-                "glob": batch.column(0), "literal": pa.array([longest_literal(p) for p in patterns], pa.string()),
-                "pattern": pa.array([glob_to_regex(p) for p in patterns], pa.string())})
+                "glob": batch.column(0), "pattern": pa.array([glob_to_regex(p) for p in patterns], pa.string()),
+                "runs": pa.array([s[0] or [""] for s in shapes], pa.list_(pa.string())), "least": pa.array([s[1] for s in shapes], pa.int32()),
+                "head": pa.array([s[2] for s in shapes], pa.string()), "tail": pa.array([s[3] for s in shapes], pa.string())})
 
     table = globs.select(F.col(glob_col).cast("string").alias("glob")).where("glob is not null").distinct().mapInArrow(
-        parsed, "glob string, literal string, pattern string")
-    met = containing(df, col, table, "literal").join(table.withColumnRenamed("literal", "keyword"), "keyword")
-    return met.where(F.rlike("value", F.col("pattern"))).select("value", "glob")
+        parsed, "glob string, pattern string, runs array<string>, least int, head string, tail string")
+    table = materialize(table, "globs")
+    runs = table.select("glob", F.size(F.array_distinct("runs")).alias("n"), F.explode(F.array_distinct("runs")).alias("keyword"))
+    met = materialize(containing(df, col, runs, "keyword"), "glob-runs")
+    held = met.groupBy("keyword").agg(F.count(F.lit(1)).alias("held"))
+    filed = runs.join(held, "keyword").groupBy("glob").agg(
+        F.min_by("keyword", F.struct("held", -F.length("keyword"), "keyword")).alias("keyword"), F.count(F.lit(1)).alias("found"), F.first("n").alias("n"))
+    filed = filed.where("found = n").select("glob", "keyword").join(table.drop("runs"), "glob")
+    fits = (F.length("value") >= F.col("least")) & F.startswith("value", F.col("head")) & F.endswith("value", F.col("tail"))
+    return met.join(filed, "keyword").where(fits).select("value", "glob", "pattern")
+
+
+def glob_matches(df: DataFrame, globs: DataFrame, col: str = "path", glob_col: str = "glob") -> DataFrame:
+    """``(value, glob)`` for each different value of ``col`` and each glob of a table it matches."""
+    return glob_candidates(df, globs, col, glob_col).where(F.rlike("value", F.col("pattern"))).select("value", "glob")

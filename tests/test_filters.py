@@ -1,5 +1,7 @@
 """Keyword filters as Spark column predicates."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from corpuspack.functions.patterns import keyword_filter, should_ignore, should_include
@@ -85,3 +87,56 @@ def test_glob_tables(spark):
     table = spark.createDataFrame([(g,) for g in [*globs, None]], "glob string")
     got = {(r.value, r.glob) for r in S.glob_matches(df, table).collect()}
     assert got == {(v, g) for v in values for g in globs if fnmatch.fnmatchcase(v, g)}
+
+
+def test_parts_and_groups_of_keywords(spark, monkeypatch):
+    from corpuspack.operators import selection as S
+
+    rng = random.Random(3)
+    paths = ["".join(rng.choice("abcd/é") for _ in range(rng.randrange(1, 30))) for _ in range(400)] + [None, "same", "same"]
+    words = ["".join(rng.choice("abcd/é") for _ in range(rng.randrange(1, 6))) for _ in range(150)]
+    files = spark.createDataFrame([(p,) for p in paths], "path string")
+    monkeypatch.setattr(S, "KEYWORD_CHARS", 60)
+    monkeypatch.setattr(S, "VALUES_PER_GROUP", 50)
+    for kws in (words, words + ["", None], [None], []):
+        table = spark.createDataFrame([(k,) for k in kws], "kw string")
+        real = {k for k in kws if k is not None}
+        got = [(r.value, r.keyword) for r in S.containing(files, "path", table, "kw").collect()]
+        assert len(got) == len(set(got)) and set(got) == {(p, k) for p in set(paths) - {None} for k in real if k in p}
+        some = {r.value for r in S.containing(files, "path", table, "kw", first=True).collect()}
+        assert some == {p for p in set(paths) - {None} if any(k in p for k in real)}
+
+
+def test_a_million_keywords(spark):
+    from corpuspack.operators import selection as S
+
+    table = spark.range(1_000_000).select(F.concat(F.lit("k"), F.hex(F.col("id") * 7919), F.lit("/")).alias("kw"))
+    files = spark.range(20_000).select(F.concat(F.lit("src/"), F.hex("id"), F.lit("k"), F.hex(F.col("id") * 7919 * 3), F.lit("/x.py")).alias("path"))
+    kept = S.anti_contains(files, table, "path", "kw")
+    assert kept.count() == 0
+    missing = files.select(F.replace("path", F.lit("k"), F.lit("q")).alias("path"))
+    assert S.anti_contains(missing, table, "path", "kw").count() == 20_000
+
+
+def test_a_hundred_thousand_globs(spark):
+    from corpuspack.operators import selection as S
+
+    globs = spark.range(100_000).select(F.concat(F.lit("src/*"), F.hex("id"), F.lit("?*.py")).alias("glob"))
+    globs = globs.unionByName(spark.createDataFrame([("*.py",), ("*",), ("nowhere*.py",), ("src/0?.py",), ("s*y",)], "glob string"))
+    files = spark.range(300).select(F.concat(F.lit("src/m"), F.hex(F.col("id") * 311), F.lit("z.py")).alias("path"))
+    tried = S.glob_candidates(files, globs)
+    got = {(r.value, r.glob) for r in S.glob_matches(files, globs).collect()}
+    for r in files.collect():
+        digits = r.path[len("src/m"):-len("z.py")]
+        want = {f"src/*{digits[i:j]}?*.py" for i in range(len(digits)) for j in range(i + 1, len(digits) + 1)
+                if digits[i:j][0] != "0" or j == i + 1}
+        assert {g for v, g in got if v == r.path} >= {g for g in want if int(g[5:-5], 16) < 100_000} | {"*.py", "*", "s*y"}
+    assert not any(g in ("nowhere*.py", "src/0?.py") for _, g in got)
+    assert tried.count() < 30 * 300  # and not 100,000 for each path, though all globs end in .py
+
+
+def test_shapes_of_globs():
+    from corpuspack.functions.patterns import glob_shape
+
+    assert glob_shape("src/*/m?.c*") == (["src/", "/m", ".c"], 9, "src/", "")
+    assert glob_shape("*") == ([], 0, "", "") and glob_shape("a") == (["a"], 1, "a", "a") and glob_shape("[ab]x") == (["x"], 2, "", "x")
