@@ -45,15 +45,21 @@ class PrefixCounter:
     def __init__(self, name: str):
         self.tokenizer = tokens.load(name)
         self.split = self.tokenizer.pre_tokenizer
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        special = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.special = re.compile("|".join(map(re.escape, special)) or r"(?!)")
         self.bare = Tokenizer(self.tokenizer.model)  # no pre-tokenizer: one row of byte letters
         names = list(self.tokenizer.get_vocab(with_added_tokens=False))
         # a token that its own letters don't encode to is never produced
         made = self.bare.encode_batch(names, add_special_tokens=False)
         self.known = {n for n, e in zip(names, made, strict=True) if len(e.ids) == 1}
-        self.longest = max(map(len, self.known), default=1)
+        # the longest token that ends in the same three letters
+        self.reach: dict[str, int] = {}
+        for n in self.known:
+            if len(n) > 2:
+                self.reach[n[-3:]] = max(len(n), self.reach.get(n[-3:], 0))
         self.fits: dict[tuple[str, str], bool] = {}
         self.letters = tokens.Memo(lambda c: "".join(x for x, _ in self.split.pre_tokenize_str(c)))  # of one character
+        self.ascii = {i: self.letters[chr(i)] for i in range(128)}
         self.before: tuple[str, list[int], list[str]] = ("", [0], [""])
         self.words = tokens.Memo(self.word)
         self.later = tokens.Memo(lambda rest: self.piece(" " + rest))
@@ -67,7 +73,7 @@ class PrefixCounter:
 
     def counts(self, letters: str) -> list[int]:
         """Token count of each prefix (0, 1, 2, ... byte letters) of one pre-token."""
-        known, fits, longest = self.known, self.fits, self.longest
+        known, fits, reach = self.known, self.fits, self.reach
         old, count, last = self.before
         same = 0  # letters shared with the row before, whose table begins alike
         for a, b in zip(old, letters):  # noqa: B905
@@ -76,7 +82,7 @@ class PrefixCounter:
             same += 1
         count, last = count[:same + 1], last[:same + 1]
         for i in range(same + 1, len(letters) + 1):
-            for begin in range(max(0, i - longest), i):
+            for begin in range(max(0, i - reach.get(letters[i - 3:i], 2)) if i > 2 else 0, i):
                 t = letters[begin:i]
                 if t in known:
                     if begin:
@@ -93,23 +99,29 @@ class PrefixCounter:
         """The steps of one pre-token."""
         if text in ("'ll", "'re", "'ve"):  # cut short, the mark and the letter stand alone
             return np.diff([0, 1, 2, self.counts(text)[-1]]).astype(STEP).tobytes()
-        letters = list(map(self.letters.__getitem__, text))
-        count = self.counts("".join(letters))
-        if len(count) > len(text) + 1:
-            count = [count[e] for e in itertools.accumulate(map(len, letters), initial=0)]
+        if text.isascii():
+            count = self.counts(text.translate(self.ascii))
+        else:
+            letters = list(map(self.letters.__getitem__, text))
+            count = self.counts("".join(letters))
+            if len(count) > len(text) + 1:
+                count = [count[e] for e in itertools.accumulate(map(len, letters), initial=0)]
         return array.array("h", map(operator.sub, count[1:], count)).tobytes()
 
     def piece(self, text: str) -> bytes:
         """The steps of one piece: how the count changes at each of its code points."""
-        at, s = min(((text.find(s), s) for s in self.special if s in text), default=(-1, ""))
-        if at < 0:
-            return self.sections(text)
-        end = at + len(s)
-        cut = np.cumsum(np.frombuffer(self.sections(text[:end]), STEP), dtype=np.int64)  # cut short: ordinary text
-        cut[-1] = (cut[at - 1] if at else 0) + 1
-        if at and text[at - 1] in WHITE_SPACE:  # white space at the end of a section is whole
-            cut[-1] = np.frombuffer(self.sections(text[:at]), STEP).sum() + 1
-        return np.diff(cut, prepend=0).astype(STEP).tobytes() + (self.steps(text[end:]) if end < len(text) else b"")
+        out, begin = [], 0
+        for m in self.special.finditer(text):
+            part, at = text[begin:m.end()], m.start() - begin
+            cut = np.cumsum(np.frombuffer(self.sections(part), STEP), dtype=np.int64)  # cut short: ordinary text
+            cut[-1] = (cut[at - 1] if at else 0) + 1
+            if at and part[at - 1] in WHITE_SPACE:  # white space at the end of a section is whole
+                cut[-1] = np.frombuffer(self.sections(part[:at]), STEP).sum() + 1
+            out.append(np.diff(cut, prepend=0).astype(STEP).tobytes())
+            begin = m.end()
+        if begin < len(text):
+            out.append(self.sections(text[begin:]))
+        return b"".join(out)
 
     def sections(self, text: str) -> bytes:
         """Text without special strings, cut where white space begins."""
@@ -146,9 +158,11 @@ class PrefixCounter:
         word's table is that of the word before."""
         cut = [tokens.spaced_pieces(t) for t in texts]
         new = {p for pieces in cut for p in pieces[1:]} - self.later.keys()
-        words = {m[1] for m in map(_PLAIN.fullmatch, (" " + p for p in new)) if m} - self.words.keys()
-        for w in sorted(words):
+        plain = {p: m for p, m in ((p, _PLAIN.fullmatch(" " + p)) for p in new) if m}
+        for w in sorted({m[1] for m in plain.values()} - self.words.keys()):
             self.words[w]
+        for p, m in plain.items():
+            self.later.put(p, self.words[m[1]] + (self.words[m[2]] if m[2] else b""))
         return map(self.joined, cut)
 
 

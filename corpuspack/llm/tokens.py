@@ -69,8 +69,11 @@ class Memo(dict):
 
     def __missing__(self, key: str):
         value = self.function(key)
+        self.put(key, value)
+        return value
+
+    def put(self, key: str, value) -> None:
         if len(key) <= CACHE_CHARS:
             if len(self) >= CACHE_ENTRIES:
                 self.clear()
             self[key] = value
-        return value

@@ -52,3 +52,21 @@ def test_table_of_odd_rows(odd, empty, clashing):
     assert P.prefix_table(empty).count() == 0
     assert sorted(map(str, P.prefix_table(clashing, keep_steps=False).collect())) == sorted(
         map(str, P.prefix_table(odd, keep_steps=False).collect()))
+
+
+def test_many_special_strings_in_a_row():
+    counter = P.counter("byte_bpe_50k.json")
+    library = tokens.load("byte_bpe_50k.json")
+    for text in ("<|endoftext|>" * 400, "a<|endoftext|> <|endoftext|>\n b<|endoftext|><|endo"):
+        counts = np.cumsum(np.frombuffer(counter.steps(text), P.STEP)).tolist()
+        ends = range(1, len(text) + 1) if len(text) < 100 else range(1, len(text) + 1, 97)
+        assert [counts[i - 1] for i in ends] == [len(library.encode(text[:i], add_special_tokens=False).ids) for i in ends]
+    assert np.frombuffer(counter.steps("<|endoftext|>" * 100_000), P.STEP).sum() == 100_000
+
+
+def test_long_runs_without_blanks():
+    rng = random.Random(5)
+    counter, library = P.counter("byte_bpe_50k.json"), tokens.load("byte_bpe_50k.json")
+    base = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    for text in ("".join(rng.choices(base, k=300_000)), "".join(rng.choices("etaoinshr", k=100_000)), "=" * 2000, "é日" * 3000):
+        assert np.frombuffer(counter.steps(text), P.STEP).sum(dtype=np.int64) == len(library.encode(text, add_special_tokens=False).ids)
