@@ -783,6 +783,21 @@ def q_list_tree_hidden(spark, sf):
     return list_tree(spark, root, read_content=False, hide=HIDE).select("path", "is_dir")
 
 
+@query("walk_tree", _with(
+    f"""SELECT path, is_dir, length FROM (
+          SELECT path, false AS is_dir, CAST(strlen(content) AS BIGINT) AS length FROM files
+          UNION ALL
+          SELECT DISTINCT unnest({D.ancestors()}) AS path, true AS is_dir, CAST(NULL AS BIGINT) AS length FROM files)
+        WHERE NOT {D.hidden('path', 'is_dir', HIDE)}""", ["files"], []))
+def q_walk_tree(spark, sf):
+    """The tree walked in rounds, folders dealt out again after each."""
+    from corpuspack.sources.tree import walk_tree, write_tree
+
+    root = scratch_path(spark, "tree")
+    write_tree(Tables(spark, sf).files, root)
+    return walk_tree(spark, root, hide=HIDE, folder_entries=50).select("path", "is_dir", "length")
+
+
 @query("watch_callback", _with(
     "SELECT event_id, t_us, root, path, kind FROM ev WHERE event_id IN (SELECT event_id FROM chain)",
     ["change_events"], _THROTTLE_CTES, recursive=True))

@@ -32,13 +32,15 @@ class _Part(InputPartition):
 
 
 def _scandir(full: str):
-    """``(name, is_dir)`` of a folder's entries. A link to a folder is a directory that is not
-    entered (so links can't form a loop); any other link is the file it leads to."""
+    """``(name, is_dir, linked)`` of a folder's entries, one by one as the system gives them: who stops
+    early holds no more. A link to a folder is a directory that is not entered (so links can't form a
+    loop); any other link is the file it leads to."""
     try:
         with os.scandir(full) as it:
-            return sorted((e.name, e.is_dir(), e.is_dir() and e.is_symlink()) for e in it)
+            for e in it:
+                yield e.name, e.is_dir(), e.is_dir() and e.is_symlink()
     except OSError:
-        return []
+        return
 
 
 class _TreeReader(DataSourceReader):
@@ -167,6 +169,59 @@ def list_tree(spark, root: str, read_content: bool = True, hide=None, exclude=()
     return reader.load()
 
 
+def walk_tree(spark, root: str, hide=None, exclude=(), folder_entries: int = 20_000, tasks: int | None = None):
+    """``(path, is_dir, length, mtime)`` of the entries under ``root``, walked by tasks alone.
+
+    The folders still to be listed are a table. A task lists its folders and what lies below them until
+    it has seen ``folder_entries`` entries, and hands back the folders that are left; these are dealt
+    out again. So a deep chain is followed in one task, a wide tree spreads with each round, and no more
+    than a number of folders is held by the driver. One folder is read by one task, entry by entry; sizes
+    and times are asked for afterwards, by all tasks alike. ``hide`` and ``exclude`` as in :func:`list_tree`.
+    """
+    from pyspark.sql import functions as F
+
+    from corpuspack.session import write_table
+
+    reader = _TreeReader(posix_path(root), False, 0, 0, 0, list(hide or []), hide is not None, list(exclude))
+    n = tasks or max(2, spark.sparkContext.defaultParallelism)
+
+    def walk(batches):
+        stack = [p for b in batches for p in b.column(0).to_pylist()]
+        seen, rows, asked = 0, [], 0
+
+        def packed():
+            out = pa.RecordBatch.from_pydict({"path": [r[0] for r in rows], "is_dir": [r[1] for r in rows], "left": [r[2] for r in rows]})
+            rows.clear()
+            return out
+
+        while stack and (seen < folder_entries or not asked):
+            asked += 1
+            for rel, is_dir, enter in reader._listed(stack.pop()):
+                seen += 1
+                rows.append((rel, is_dir, False))
+                if enter:
+                    stack.append(rel)
+                if len(rows) >= 1000:
+                    yield packed()
+        rows += [(p, True, True) for p in stack]
+        if rows:
+            yield packed()
+
+    def measured(batches):
+        for b in batches:
+            found = [reader._row(p, d) for p, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r[2] for r in found], pa.int64()),
+                                              pa.array([r[3] for r in found], pa.timestamp("us", "UTC"))], names=["path", "is_dir", "length", "mtime"])
+
+    schema = "path string, is_dir boolean, left boolean"
+    frontier, written = spark.createDataFrame([("",)], "path string"), []
+    while not written or not frontier.isEmpty():
+        written.append(write_table(frontier.repartition(n).mapInArrow(walk, schema), "walk"))
+        frontier = spark.read.schema(schema).parquet(written[-1]).where("left").select("path")
+    listed = spark.read.schema(schema).parquet(*written).where(~F.col("left")).select("path", "is_dir")
+    return listed.repartition(n).mapInArrow(measured, "path string, is_dir boolean, length long, mtime timestamp")
+
+
 def read_listed(listed, root: str):
     """``content`` (raw bytes, NULL if unreadable) for listed files ``(path, ...)``, read by the
     executors: list with ``read_content=False``, select, and read only what was selected."""

@@ -98,3 +98,44 @@ def test_a_store_is_listed_through_spark(spark, tmp_dir):
     assert rows == {"a/x y.py": (False, 1, b"1"), "b/c/z.md": (False, 2, b"22")}
     listed = list_store(spark, "file://" + root, read_content=False)
     assert {(r.path, r.content) for r in listed.collect()} == {("a/x y.py", None), ("b/c/z.md", None)}
+
+
+def test_the_driver_never_holds_a_flat_folder(spark, tmp_dir, monkeypatch):
+    from corpuspack.sources import tree
+
+    for i in range(3000):
+        open(os.path.join(tmp_dir, f"f{i:04d}"), "w").close()
+    taken, plain = [], tree._scandir
+
+    def counted(full):
+        for e in plain(full):
+            taken.append(e)
+            yield e
+
+    monkeypatch.setattr(tree, "_scandir", counted)
+    reader = tree._TreeReader(tmp_dir, False, 64, 10, 2000, [], False, [])
+    parts = reader.partitions()
+    assert len(taken) <= 11 and sum(len(p.entries) for p in parts) == 0
+    assert sum(len(list(reader.read(p))) for p in parts) == 3000
+
+
+def test_walk_of_deep_flat_and_hidden_folders(spark, tmp_dir):
+    from corpuspack.sources.tree import list_tree, walk_tree
+
+    deep = os.path.join(tmp_dir, *["d"] * 60)
+    os.makedirs(deep)
+    open(os.path.join(deep, "end.py"), "w").write("abc")
+    for k in range(40):
+        os.makedirs(os.path.join(tmp_dir, f"w{k}", "x", ".hid"))
+        for i in range(10):
+            open(os.path.join(tmp_dir, f"w{k}", "x", f"f{i}.py"), "w").write("x" * i)
+    os.makedirs(os.path.join(tmp_dir, "flat"))
+    for i in range(700):
+        open(os.path.join(tmp_dir, "flat", f"{i}.md"), "w").close()
+    os.symlink(tmp_dir, os.path.join(tmp_dir, "w0", "loop"))
+    for hide, exclude in ((None, ()), (["w1*"], ("flat",))):
+        want = {tuple(r) for r in list_tree(spark, tmp_dir, read_content=False, hide=hide, exclude=exclude).select("path", "is_dir", "length", "mtime").collect()}
+        for entries in (1, 30, 100_000):
+            got = walk_tree(spark, tmp_dir, hide=hide, exclude=exclude, folder_entries=entries, tasks=3).collect() if entries > 1 or hide else None
+            if got is not None:
+                assert len(got) == len(want) and {tuple(r) for r in got} == want
