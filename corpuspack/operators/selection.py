@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -158,6 +159,69 @@ def toggle(selection: DataFrame, targets: DataFrame, visible: DataFrame, check_d
     return out
 
 
+def _apply_in_order(regions: pa.Table, toggles: pa.Table) -> pa.Table:
+    """Run one component's toggles over its regions; the regions that were set, and to what.
+
+    Targets in tree order have their descendants right behind them, so a target is an interval of
+    entry and exit numbers, and a toggle one test and one assignment of an interval.
+    """
+    order = sorted(zip(toggles.column("seq").to_pylist(), toggles.column("path").to_pylist()))
+    names = sorted({p for _, p in order}, key=lambda p: p.split("/"))
+    enter, leave, open_ = {n: i for i, n in enumerate(names)}, {}, []
+    for n in [*names, None]:
+        while open_ and (n is None or not n.startswith(open_[-1] + "/")):
+            leave[open_.pop()] = len(names) if n is None else enter[n]
+        open_.append(n)
+    held, some, fixed = (np.zeros(len(names), bool) for _ in range(3))
+    value = np.full(len(names), -1, np.int8)
+    for r in regions.to_pylist():
+        i = enter[r["region"]]
+        held[i], some[i], fixed[i] = r["held"], r["some"], r["fixed"]
+    for _, p in order:
+        here = slice(enter[p], leave[p])
+        on = not (some[here].any() or fixed[here].any())
+        some[here] = held[here] & on
+        value[here] = on
+    told = np.flatnonzero((value >= 0) & held)
+    return pa.table({"region": pa.array([names[i] for i in told], pa.string()), "value": pa.array(value[told] > 0)})
+
+
+def toggle_sequence(selection: DataFrame, toggles: DataFrame, visible: DataFrame) -> DataFrame:
+    """Apply ``toggles(seq, path)`` one after the other; targets may repeat and lie inside each other.
+
+    Each toggle follows the rule of :func:`toggle` on the selection as the ones before left it. Leaves with
+    the same deepest target always change together, so they are one region: whether any of it is selected
+    is counted over all leaves, and only regions and toggles meet in order. Targets that don't share an
+    ancestor target are apart; a component has at most as many regions as toggles, however many leaves
+    there are. Equal ``seq`` go by path; targets that are no visible nodes are ignored.
+    """
+    from corpuspack.session import materialize
+
+    chosen = selection.select("path").distinct().withColumn("in_s", F.lit(True))
+    state = materialize(node_info(visible).join(chosen, "path", "full").select(
+        "path", "is_dir", "is_leaf", F.coalesce("in_s", F.lit(False)).alias("in_s")), "node-state")
+    shown = state.where("is_dir is not null")
+    asked = materialize(toggles.select("seq", "path").join(shown.select("path"), "path", "left_semi"), "toggles")
+    target = asked.select(F.col("path").alias("t")).distinct()
+
+    def inside(rows: DataFrame) -> DataFrame:
+        """Each path with its deepest (``region``) and outermost (``part``) target, if it has one."""
+        up = rows.select("path", F.explode(P.ancestors(F.col("path"), include_self=True)).alias("t")).join(target, "t")
+        return up.groupBy("path").agg(F.max_by("t", F.length("t")).alias("region"), F.min_by("t", F.length("t")).alias("part"))
+
+    placed = materialize(shown.where("is_leaf or in_s").join(inside(shown.where("is_leaf or in_s").select("path")), "path"), "placed")
+    regions = placed.groupBy("part", "region").agg(F.max("is_leaf").alias("held"), F.max(F.col("is_leaf") & F.col("in_s")).alias("some"),
+                                                  F.max(~F.col("is_leaf") & F.col("in_s")).alias("fixed"))
+    parts = inside(target.withColumnRenamed("t", "path")).select("path", F.col("part").alias("of"))
+    ordered = asked.join(parts, "path").select("of", F.col("seq"), "path")
+    # toggles of a part without any leaf change nothing, and a part has toggles by its nature
+    told = ordered.groupBy("of").cogroup(regions.groupBy("part")).applyInArrow(
+        lambda t, r: _apply_in_order(r, t), "region string, value boolean")
+    decided = placed.where("is_leaf").join(told, "region").select("path", "value")
+    rows = state.where("in_s").select("path", F.lit(None).cast("boolean").alias("value")).unionByName(decided)
+    return rows.groupBy("path").agg(F.max("value").alias("value")).where(F.coalesce("value", F.lit(True))).select("path")
+
+
 def selection_count(selection: DataFrame) -> DataFrame:
     return selection.select("path").distinct().agg(F.count(F.lit(1)).alias("n_selected"))
 

@@ -924,3 +924,33 @@ def q_throttle_feed(spark, sf):
     W.throttle_feed(src, sink, f"{folder}/state", GAP_SECONDS, trigger={"availableNow": True}).awaitTermination()
     kept = spark.read.parquet(f"{folder}/kept")
     return kept.select("event_id", _t_us(kept, "ts"), "root", "path", "kind")
+
+
+_TOGGLE_SEQUENCE = """
+SELECT md5(path) AS seq, path FROM shown WHERE is_dir AND length(path) - length(replace(path, '/', '')) <= 1
+UNION ALL SELECT md5(concat(path, '2')) AS seq, path FROM shown WHERE is_dir AND length(path) - length(replace(path, '/', '')) = 0
+UNION ALL SELECT md5(path) AS seq, path FROM files WHERE doc_id % 9 = 0
+UNION ALL SELECT md5(concat(path, '2')) AS seq, path FROM files WHERE doc_id % 18 = 0"""
+
+
+@query("toggle_sequence", _with(
+    """SELECT unnest(sel) AS path FROM steps WHERE k = (SELECT max(k) FROM steps)""", ["nodes", "files", "selection"], [
+        ("shown", f"SELECT path, is_dir FROM nodes WHERE NOT {D.hidden('path', 'is_dir', HIDE)}"),
+        ("toggles", _TOGGLE_SEQUENCE),
+        ("ordered", "SELECT row_number() OVER (ORDER BY seq, path) AS k, path FROM toggles WHERE path IN (SELECT path FROM shown)"),
+        ("leaf", """SELECT path FROM shown s WHERE NOT is_dir OR NOT EXISTS (
+                      SELECT 1 FROM shown c WHERE c.path <> s.path AND starts_with(c.path, s.path || '/'))"""),
+        ("under", """SELECT k, list(leaf.path) AS leaves FROM ordered JOIN leaf
+                     ON leaf.path = ordered.path OR starts_with(leaf.path, ordered.path || '/') GROUP BY k"""),
+        ("steps", """SELECT CAST(0 AS BIGINT) AS k, (SELECT list(DISTINCT path) FROM selection) AS sel
+             UNION ALL SELECT steps.k + 1, CASE WHEN u.leaves IS NULL THEN sel
+               WHEN list_has_any(sel, u.leaves) THEN list_filter(sel, lambda x: NOT list_contains(u.leaves, x))
+               ELSE list_concat(sel, u.leaves) END
+             FROM steps JOIN ordered o ON o.k = steps.k + 1 LEFT JOIN under u ON u.k = o.k"""),
+    ], recursive=True))
+def q_toggle_sequence(spark, sf):
+    """Directories, directories inside them and files toggled one after the other."""
+    t = Tables(spark, sf)
+    shown = S.visible_nodes(t.nodes, HIDE)
+    toggles = spark.sql(_TOGGLE_SEQUENCE.replace("shown", "{shown}").replace("FROM files", "FROM {files}"), shown=shown, files=t.files)
+    return S.toggle_sequence(t.selection, toggles, shown)

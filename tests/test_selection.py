@@ -132,3 +132,34 @@ def test_tree_key_order_equals_tuple_order(spark):
         return [(i == len(parts) - 1 and not d, c.lower(), c) for i, c in enumerate(parts)]
 
     assert got == [p for p, _ in sorted(rows, key=key)]
+
+
+def test_toggles_in_order_equal_one_by_one(spark):
+    rng = random.Random(7)
+    for trial in range(4):
+        nodes = {}
+        for _ in range(60):
+            parts = [rng.choice("abc") + rng.choice(["", "é", "-", "0"]) for _ in range(rng.randint(1, 5))]
+            for k in range(1, len(parts)):
+                nodes["/".join(parts[:k])] = True
+            nodes.setdefault("/".join(parts), rng.random() < 0.2)
+        nodes = {p: d or any(q.startswith(p + "/") for q in nodes) for p, d in nodes.items()}
+        leaves = {p for p, d in nodes.items() if not d or not any(q.startswith(p + "/") for q in nodes)}
+        state = set(rng.sample(sorted(leaves), 10)) | {"not/there"}
+        if trial == 1:
+            state.add(next(p for p in sorted(nodes) if p not in leaves))  # a selected folder that has entries
+        steps = [(rng.randrange(40), rng.choice(sorted(nodes) + ["none"])) for _ in range(50)]
+        visible = _nodes(spark, sorted(nodes.items()))
+        selection = spark.createDataFrame([(p,) for p in sorted(state)], "path string")
+        toggles = spark.createDataFrame(steps, "seq int, path string")
+        got = _paths(S.toggle_sequence(selection, toggles, visible))
+        for _, p in sorted(steps):
+            if p not in nodes:
+                continue
+            below = {q for q in nodes if q == p or q.startswith(p + "/")}
+            if state & below:
+                state -= below & leaves
+            else:
+                state |= below & leaves
+        assert got == sorted(state), trial
+    assert _paths(S.toggle_sequence(selection, toggles.limit(0), visible)) == _paths(selection)
