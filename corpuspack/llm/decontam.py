@@ -15,6 +15,10 @@ lost by it, however common a leaked passage is.
 The items' word hashes are sent to the executors in parts of at most ``part_words`` words (a
 bound on what is broadcast); a larger benchmark takes one more scan of the corpus for each part.
 A scan has no shuffle: a text's seeds, windows and alignments are found where the text is read.
+Documents are counted by different seeds, a place of a text being at most one seed of each width.
+Hits are places of a text with the items that have their seed, so a common seed of many items gives
+places times items of them; they are made for some items at a time, ``HITS`` or those of one item (no
+more than the text has places), so that memory is bounded by the slice of text and the part of items.
 
 Defined results: null or empty texts and items without words match nothing; an item shorter than
 three words is one seed of all its words; null ids are passed on; repeated rows and items are
@@ -38,6 +42,8 @@ from corpuspack.llm import common
 SEED_WORDS = 2
 #: Bytes of text looked through at once.
 SLICE = 1 << 20
+#: Places of texts with items of their seed that are held at once (some 50 bytes each).
+HITS = 2_000_000
 #: Words of test items sent to the executors at once (16 bytes each).
 PART_WORDS = 2_000_000
 
@@ -113,48 +119,70 @@ class Items:
         out.need = need
         return out
 
-    def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places in a word row and entries of ``seeds`` at which they agree (all of them)."""
-        where, entry = [], []
+    def places(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The different seeds, and the places of a word row that are one of them with its number."""
+        known = np.unique(self.seeds)
         table = np.zeros(1 << 20, bool)
-        table[(self.seeds & np.uint64(len(table) - 1)).astype(np.int64)] = True
+        table[(known & np.uint64(len(table) - 1)).astype(np.int64)] = True
+        where, number = [], []
         for width in self.widths:
             g = grams(words, width)
             maybe = np.flatnonzero(table[(g & np.uint64(len(table) - 1)).astype(np.int64)])
-            lo, hi = (np.searchsorted(self.seeds, g[maybe], side) for side in ("left", "right"))
-            times = hi - lo
-            where.append(np.repeat(maybe, times))
-            entry.append(np.repeat(lo - (np.cumsum(times) - times), times) + np.arange(times.sum()))
-        return (np.concatenate(where), np.concatenate(entry)) if where else (np.zeros(0, np.int64),) * 2
+            at = np.searchsorted(known, g[maybe])
+            found = np.zeros(len(at), bool)
+            found[at < len(known)] = known[at[at < len(known)]] == g[maybe][at < len(known)]
+            where.append(maybe[found])
+            number.append(at[found])
+        return (known, *(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (where, number)))
+
+    def hits(self, words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """place, seed (by number), item, and how often the item has the seed, for some items at a time."""
+        known, place, number = self.places(words)
+        order = np.argsort(number, kind="stable")
+        place, number = place[order], number[order]
+        # an item's equal seeds are one entry
+        entry = np.stack((np.searchsorted(known, self.seeds), self.seed_item))
+        entry, times = np.unique(entry, axis=1, return_counts=True) if entry.shape[1] else (entry, np.zeros(0, np.int64))
+        held = np.bincount(number, minlength=len(known))[entry[0]]
+        entry, times, held = entry[:, held > 0], times[held > 0], held[held > 0]
+        total = np.bincount(entry[1], weights=held, minlength=len(self.names))
+        batch = (np.cumsum(total) // HITS).astype(np.int64)[entry[1]]  # by item
+        by = np.argsort(batch, kind="stable")
+        for mine in np.split(by, np.flatnonzero(np.diff(batch[by])) + 1) if len(by) else ():
+            n = held[mine]
+            first = np.searchsorted(number, entry[0, mine])
+            at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            which = np.repeat(mine, n)
+            yield place[at], entry[0, which], entry[1, which], times[which]
 
     def leaks(self, texts: pa.Array) -> Iterator[tuple[int, int, int, int, int]]:
         """text, item, score, first and end word of the window for each leak, by text and item."""
         data, at = common.text_bytes(texts)
         words, start, _ = common.word_hashes(data)
         first = np.searchsorted(start, at)
-        place, entry = self.hits(words)
-        text = np.searchsorted(first, place, "right") - 1
-        item = self.seed_item[entry]
-        width = np.minimum(SEED_WORDS, np.diff(self.border))[item]
-        inside = place + width <= first[text + 1]
-        order = np.lexsort((place, item, text))
-        order = order[inside[order]]
-        text, item, place, seed_at = text[order], item[order], place[order], self.seed_at[entry[order]]
         lengths = np.diff(self.border)
-        new = np.ones(len(text), bool)  # a group: hits of one item that lie close together
-        new[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (np.diff(place) > (lengths + lengths // 2)[item[1:]])
-        begin = np.append(np.flatnonzero(new), len(text))
-        enough = np.flatnonzero(np.diff(begin) >= self.need[item[begin[:-1]]])
-        for g in enough:
-            a, b = begin[g], begin[g + 1]
-            i, t = item[a], text[a]
-            if len(np.unique(seed_at[a:b])) < self.need[i]:
-                continue
-            reach = lengths[i] + lengths[i] // 2 + 1
-            x, y = max(first[t], place[a] - reach), min(first[t + 1], place[b - 1] + reach)
-            score, end = align(words[x:y], self.words[self.border[i]:self.border[i + 1]])
-            if 2 * score >= lengths[i]:
-                yield int(t), int(i), score, int(x - first[t]), int(x - first[t] + end)
+        for place, seed, item, times in self.hits(words):
+            text = np.searchsorted(first, place, "right") - 1
+            inside = place + np.minimum(SEED_WORDS, lengths)[item] <= first[text + 1]
+            order = np.lexsort((place, item, text))
+            order = order[inside[order]]
+            text, item, place, seed, times = text[order], item[order], place[order], seed[order], times[order]
+            new = np.ones(len(text), bool)  # a group: hits of one item that lie close together
+            new[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (np.diff(place) > (lengths + lengths // 2)[item[1:]])
+            begin = np.append(np.flatnonzero(new), len(text))
+            # a seed that the item has more than once counts as often, but each only once
+            enough = np.flatnonzero(np.add.reduceat(times, begin[:-1]) >= self.need[item[begin[:-1]]]) if len(text) else ()
+            for g in enough:
+                a, b = begin[g], begin[g + 1]
+                i, t = item[a], text[a]
+                different = np.unique(seed[a:b], return_index=True)[1]
+                if times[a:b][different].sum() < self.need[i]:
+                    continue
+                reach = lengths[i] + lengths[i] // 2 + 1
+                x, y = max(first[t], place[a] - reach), min(first[t + 1], place[b - 1] + reach)
+                score, end = align(words[x:y], self.words[self.border[i]:self.border[i + 1]])
+                if 2 * score >= lengths[i]:
+                    yield int(t), int(i), score, int(x - first[t]), int(x - first[t] + end)
 
 
 def parts(items: DataFrame, part_words: int) -> Iterator[Items]:
@@ -173,18 +201,17 @@ def document_counts(docs: DataFrame, items: Items) -> dict[int, int]:
     sent = docs.sparkSession.sparkContext.broadcast(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(sent.value.seeds), np.int64)
+        seeds = np.unique(sent.value.seeds)
+        total = np.zeros(len(seeds), np.int64)
         for batch in common.slices(batches, text=0, limit=SLICE):
             data, at = common.text_bytes(batch.column(0))
             words, start, _ = common.word_hashes(data)
-            place, entry = sent.value.hits(words)
+            _, place, seed = sent.value.places(words)
             text = np.searchsorted(np.searchsorted(start, at), place, "right") - 1
-            seen = np.unique(np.stack((text, entry)), axis=1)[1]
+            seen = np.unique(text * len(seeds) + seed) % max(1, len(seeds))
             total += np.bincount(seen, minlength=len(total))
-        # entries of equal seeds have equal counts
-        seeds, first = np.unique(sent.value.seeds, return_index=True)
-        held = total[first] > 0
-        yield pa.RecordBatch.from_arrays([pa.array(seeds[held].view(np.int64)), pa.array(total[first][held])], names=["seed", "n"])
+        held = total > 0
+        yield pa.RecordBatch.from_arrays([pa.array(seeds[held].view(np.int64)), pa.array(total[held])], names=["seed", "n"])
 
     counts = docs.select("text").mapInArrow(run, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
     return {r["seed"]: r["n"] for r in counts.collect()}

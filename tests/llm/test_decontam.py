@@ -113,3 +113,32 @@ def test_added_words_and_short_items_are_found(documents):
         documents(list(enumerate(items)), "item_id long, text string")).collect()}
     assert got == {(i, k) for i, t in enumerate(rows) for k, item in enumerate(items) if promised(words(t), words(item))}
     assert len(got) >= 6 * 7
+
+
+def test_hits_of_common_words_stay_bounded(monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+
+    def zipf(n):
+        return [f"w{k}" for k in np.minimum(rng.zipf(1.2, n), 20_000)]
+
+    items = [" ".join(zipf(30)) for _ in range(1500)]
+    text = zipf(20_000)
+    text[9000:9000] = items[77].split()
+    texts = pa.array([" ".join(text), " ".join(zipf(3000)) + " " + items[5]])
+    made = D.Items.make(list(range(len(items))), items)
+    _, _, seeds = made.places(D.common.word_hashes(D.common.text_bytes(texts)[0])[0])
+    known = np.unique(made.seeds)
+    made = made.rarest(dict(zip(known.view(np.int64).tolist(), np.bincount(seeds, minlength=len(known)).tolist())))
+    peak, found = {}, {}
+    for limit in (50_000, 10**9):
+        monkeypatch.setattr(D, "HITS", limit)
+        tracemalloc.start()
+        found[limit] = sorted(made.leaks(texts))
+        peak[limit] = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+    assert found[50_000] == found[10**9] and {(0, 77), (1, 5)} <= {g[:2] for g in found[10**9]}
+    assert peak[50_000] < 40e6 < peak[10**9]
