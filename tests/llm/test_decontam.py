@@ -125,8 +125,8 @@ def test_hits_of_common_words_stay_bounded(monkeypatch):
     def zipf(n):
         return [f"w{k}" for k in np.minimum(rng.zipf(1.2, n), 20_000)]
 
-    items = [" ".join(zipf(30)) for _ in range(1500)]
-    text = zipf(20_000)
+    items = [" ".join(zipf(30)) for _ in range(2000)]
+    text = zipf(30_000)
     text[9000:9000] = items[77].split()
     texts = pa.array([" ".join(text), " ".join(zipf(3000)) + " " + items[5]])
     made = D.Items.make(list(range(len(items))), items)
@@ -141,4 +141,4 @@ def test_hits_of_common_words_stay_bounded(monkeypatch):
         peak[limit] = tracemalloc.get_traced_memory()[1]
         tracemalloc.stop()
     assert found[50_000] == found[10**9] and {(0, 77), (1, 5)} <= {g[:2] for g in found[10**9]}
-    assert peak[50_000] < 40e6 < peak[10**9]
+    assert 2 * peak[50_000] < peak[10**9]
