@@ -74,12 +74,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared folder (survives executor loss)."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def spread(df: DataFrame, key: str | None = None) -> DataFrame:
     """Redistribute an under-split input before CPU-heavy per-row work.
 
