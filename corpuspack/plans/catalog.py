@@ -859,7 +859,7 @@ _VIS_BLOCKS = [("vis", _VIS_FILES_SQL), ("blocks", D.blocks_cte("vis", True, Tru
        FROM blocks""", ["files"], _VIS_BLOCKS))
 def q_bundle_index(spark, sf):
     """Where each block lies in its bundle, from the index that the write made."""
-    store = PartStore(spark, scratch_path(spark, "store"), files_per_part=20, remove_comments=True, remove_docstrings=True)
+    store = PartStore(spark, scratch_path(spark, "store"), files_per_part=100, remove_comments=True, remove_docstrings=True)
     store.build(_visible_files(Tables(spark, sf)))
     return store.index().select("bundle", "path", "bytes", F.col("md5").alias("block_md5"), F.col("at").alias("byte_offset"))
 
@@ -869,7 +869,7 @@ def q_bundle_index(spark, sf):
     ["files"], _VIS_BLOCKS))
 def q_restore_files(spark, sf):
     """Every file cut out of its part again, by offset and size."""
-    store = PartStore(spark, scratch_path(spark, "store"), files_per_part=20, remove_comments=True, remove_docstrings=True)
+    store = PartStore(spark, scratch_path(spark, "store"), files_per_part=100, remove_comments=True, remove_docstrings=True)
     vis = _visible_files(Tables(spark, sf))
     store.build(vis)
     restored = store.read_blocks(vis.where("content is not null").select("bundle", "path"))
@@ -897,7 +897,7 @@ def q_watch_rebuild_parts(spark, sf):
         F.col("doc_id") % 10 == 5, F.concat("content", F.lit("x"))).otherwise(F.col("content")).alias("content"))
     folder = scratch_path(spark, "watch-parts")
     rebuild = W.PartRebuilder(lambda: before, S.select_glob(before, SELECT_GLOBS), f"{folder}/store", f"{folder}/state",
-                              select=lambda rows: S.select_glob(rows, SELECT_GLOBS), files_per_part=20,
+                              select=lambda rows: S.select_glob(rows, SELECT_GLOBS), files_per_part=100,
                               remove_comments=True, remove_docstrings=True)
     rebuild.build_all(spark)
     rebuild.files_fn = lambda: after
