@@ -1,7 +1,11 @@
 """Main text of web pages by tree scoring.
 
-A page becomes a tree; scripts, styles, forms and what says by its tag, role, class or id that it
-is a menu, header, footer, sidebar, notice, advert or a reader's comment is left out. Every block
+A page becomes a tree; scripts, styles, forms and what says by its tag, role or plain name (class
+or id) that it is a menu, header, footer, sidebar, notice, advert or a reader's comment is left
+out. Names that sections of an article have too (discussion, related work, copyright law) are
+evidence only: such an element goes if it is linked through, holds readers' comments or, where such
+a word is its whole name, has no text under a heading of its own. Ids of headings are anchors, and
+a header within an article is its title's. Every block
 of text left passes points, by its length and its commas, to its parent in full and to further
 ancestors in part; an element's points are discounted by the share of its text that is links. The
 element with most points is the container, widened to the ``article`` or ``main`` around it; its
@@ -16,7 +20,7 @@ Defined results: null or empty html gives an empty text, as does a page without
 all else is in a form, or the article is in an element named otherwise, these are read; an
 article within the article is a comment on it; broken markup is read as far as it goes
 (open elements end with the page); other columns are not read, repeated rows and null ids are kept
-as they are; an empty table gives an empty table.
+as they are; an empty table gives an empty table. Of elements with equal points the first is the container.
 """
 
 from __future__ import annotations
@@ -37,7 +41,7 @@ BLOCK = frozenset("""address article aside blockquote body caption center dd det
     p pre search section summary table tbody td tfoot th thead tr ul""".split())
 VOID = frozenset("area base basefont bgsound br col embed frame hr img input keygen link meta param source track wbr".split())
 RAW = frozenset("iframe noembed noframes script style textarea title xmp".split())
-DROPPED = frozenset("""applet audio button canvas datalist dialog head iframe map math menu nav noembed noframes noscript
+DROPPED = frozenset("""annotation annotation-xml applet audio button canvas datalist dialog head iframe map menu nav noembed noframes noscript
     object optgroup option script search select style svg template textarea title video""".split())
 NAMED = frozenset("aside footer header".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
@@ -52,6 +56,16 @@ WORDS = frozenset("""ad ads adsense advert adverts advertisement advertisements
     promoted promotion recommendations recommended related replies reply respond responses rail search share sharing
     sidebar sidebars signin signup sitemap skip social sponsor sponsored subscribe subscription toolbar topbar widget
     widgets""".split())
+# Of these words, those that title sections of articles too, and those of readers' comments.
+TITLES = frozenset("""announcement copyright disclaimer discussion form forms menu menus notifications promotion rail
+    recommendations related responses search sharing skip social subscription""".split())
+READERS = frozenset("comment comments commentlist disqus replies reply respond".split())
+# What names of parts have beside such a word without saying what the part is about.
+FRAME = frozenset("""area article bar block body bottom box btn button buttons container content count entry first group
+    heading holder icons inline inner item items label last left line link links list main module outer page panel post
+    posts primary right row secondary section signup site slot small stories text title top unit wrap wrapper
+    zone""".split())
+LINES = frozenset("blockquote caption dd dt figcaption li p pre td th".split())
 #: Before such a word these say that something else has or hasn't such a part.
 ABOUT = frozenset("with has have no without hide show is".split())
 #: An opening tag ends open elements of these names, up to the element that holds them.
@@ -71,26 +85,55 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 #: Shares: of links from which a box is a menu, of the container's points from which a sibling stays.
 MENU_LINKS, SIBLING = 0.6, 0.2
+#: Share of links from which a name counts as a verdict, and characters above which a titled box is a section.
+NAMED_LINKS, SECTION_CHARS = 0.35, 40
 LEVELS = 5
 
 
-def says_other(tag: str, attributes: str) -> bool:
-    """Whether an element's attributes say that it is no part of the article."""
+#: What an element's attributes say: nothing, that its name has such a word beside others of its own, that its name is one
+#: that sections of articles have too (in its class, or in the id of a section), that it is no part of the article.
+PART, HINT, ANCHOR, TITLE, OTHER = range(5)
+
+
+def named(tag: str, name: str, value: str, within: bool) -> int:
+    """What one class or id says of an element, ``within`` an article or not."""
+    parts = [p.lower() for p in _NAME_PART.findall(value)]
+    found = {p for i, p in enumerate(parts) if p in WORDS and not (i and parts[i - 1] in ABOUT)}
+    if within:
+        found -= {"header", "headers"}
+    if not found or (tag in HEADINGS and name == "id"):
+        return PART
+    framed = any(p in FRAME for p in parts)
+    plain = all(p in found or p in FRAME or p.isdigit() or p in ("header", "headers") for p in parts)
+    if not within and tag not in LINES | HEADINGS:
+        return OTHER
+    if not plain or (framed and tag in LINES | HEADINGS and found <= TITLES):
+        return HINT
+    if found <= TITLES:
+        return ANCHOR if name == "id" and tag == "section" else TITLE
+    return OTHER
+
+
+def grade(tag: str, attributes: str, within: bool = False) -> int:
+    """The most that an element's attributes say."""
+    most = PART
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), html.unescape("".join(values))
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (
                 name == "style" and _HIDDEN.search(value)):
-            return True
+            return OTHER
         if tag in WHOLE and tag != "article":
             continue
         if name == "role" and value.strip().lower() in ROLES:
-            return True
+            return OTHER
         if name in ("class", "id"):
-            for one in value.split():
-                parts = [p.lower() for p in _NAME_PART.findall(one)]
-                if any(p in WORDS and not (i and parts[i - 1] in ABOUT) for i, p in enumerate(parts)):
-                    return True
-    return False
+            most = max([most, *(named(tag, name, one, within) for one in value.split())])
+    return most
+
+
+def says_other(tag: str, attributes: str) -> bool:
+    """Whether an element's attributes say that it is no part of the article."""
+    return grade(tag, attributes) == OTHER
 
 
 class Page:
@@ -100,6 +143,8 @@ class Page:
         self.forms, self.around = forms, around  # read forms, and what is named otherwise around an article
         self.form_seen = False
         self.tags, self.parents = ["#"], [-1]
+        self.doubts: dict[int, int] = {}  # elements whose names are evidence only
+        self.readers: set[int] = set()  # elements named as readers' comments
         self.blocks: list[tuple[int, str, int, int]] = []  # element, text, its characters in links, links
         self.open = [0]
         self.skip = 0  # length of the stack at which the part left out began
@@ -201,9 +246,15 @@ class Page:
             return not self.forms
         if tag in NAMED and (tag != "header" or not any(self.tags[n] in ("article", "main") for n in self.open)):
             return True
-        if self.around and not any(self.tags[n] in ("article", "main") for n in self.open) and tag not in ("article", "main"):
+        within = any(self.tags[n] in ("article", "main") for n in self.open[:-1])
+        if self.around and not within and tag not in ("article", "main"):
             return False
-        return bool(attributes) and says_other(tag, attributes)
+        said = grade(tag, attributes, within) if attributes else PART
+        if said in (HINT, ANCHOR, TITLE):
+            self.doubts[self.open[-1]] = said
+        if said and any(p.lower() in READERS for p in _NAME_PART.findall(attributes)):
+            self.readers.add(self.open[-1])
+        return said == OTHER
 
     def _close(self, tag: str) -> None:
         if tag in ("br", "p") and tag not in (self.tags[n] for n in self.open):
@@ -218,14 +269,50 @@ class Page:
 
     # scoring
 
-    def main_text(self) -> str:
+    def _sums(self, out: list[bool]) -> tuple[list[int], list[int], list[int]]:
+        """Per element its characters, those in links, and links, without what is out."""
         n = len(self.tags)
-        chars, linked, links, points = [0] * n, [0] * n, [0] * n, [0.0] * n
+        chars, linked, links = [0] * n, [0] * n, [0] * n
         for node, text, in_links, count in self.blocks:
+            if not out[node]:
+                chars[node] += len(text)
+                linked[node] += min(in_links, len(text))
+                links[node] += count
+        for i in range(n - 1, 0, -1):
+            p = self.parents[i]
+            chars[p] += chars[i]
+            linked[p] += linked[i]
+            links[p] += links[i]
+        return chars, linked, links
+
+    def _out(self) -> list[bool]:
+        """Per element whether its name and the evidence beside it, or an ancestor's, leave it out."""
+        n = len(self.tags)
+        out = [False] * n
+        if not self.doubts:
+            return out
+        chars, linked, _ = self._sums(out)
+        titled, readers = [t in HEADINGS and c > 0 for t, c in zip(self.tags, chars)], [False] * n
+        for i in range(n - 1, 0, -1):
+            p = self.parents[i]
+            titled[p] = titled[p] or titled[i]
+            readers[p] = readers[p] or readers[i] or i in self.readers
+        for i in range(1, n):
+            out[i] = out[self.parents[i]]
+            if i in self.doubts and not out[i]:
+                text = chars[i] > SECTION_CHARS and (titled[i] or self.doubts[i] == ANCHOR)
+                out[i] = readers[i] or linked[i] >= NAMED_LINKS * max(chars[i], 1) or (self.doubts[i] != HINT and not text)
+        return out
+
+    def main_text(self) -> str:
+        n = len(self.tags)
+        out = self._out()
+        chars, linked, links = self._sums(out)
+        points = [0.0] * n
+        for node, text, _, _ in self.blocks:
+            if out[node]:
+                continue
             size = len(text)
-            chars[node] += size
-            linked[node] += min(in_links, size)
-            links[node] += count
             worth = min(1.0, size / 25) + text.count(",") + text.count("、") + min(size / 100, 3.0)
             up = self.parents[node] if self.tags[node] in ("p", "pre", "li", "dd", "td", "blockquote") else node
             for level in range(LEVELS):
@@ -233,11 +320,6 @@ class Page:
                     break
                 points[up] += worth / (1, 2, 6, 9, 12)[level]
                 up = self.parents[up]
-        for i in range(n - 1, 0, -1):
-            p = self.parents[i]
-            chars[p] += chars[i]
-            linked[p] += linked[i]
-            links[p] += links[i]
         score = [points[i] * (1 - linked[i] / chars[i]) if chars[i] else 0.0 for i in range(n)]
         dense = [chars[i] > 0 and links[i] >= 3 and linked[i] >= MENU_LINKS * chars[i] and self.tags[i] in BOXES
                  for i in range(n)]
@@ -252,7 +334,7 @@ class Page:
         for i in range(n):
             inside[i] = i in kept or (i > 0 and inside[self.parents[i]] and not dense[i] and not (
                 self.tags[i] == "article" and self.tags[around] == "article"))
-        return "\n".join(text for node, text, _, _ in self.blocks if inside[node])
+        return "\n".join(text for node, text, _, _ in self.blocks if inside[node] and not out[node])
 
     def _siblings(self, best: int, score: list[float], chars: list[int], linked: list[int]) -> set[int]:
         """The container and its siblings that go with it."""
