@@ -70,3 +70,41 @@ def test_odd_rows(odd, empty, clashing):
     assert S.emit(clashing).columns == clashing.columns
     nothing = odd.where("doc_id in (2, 3, 4)")
     assert {(r.target, r.copies) for r in S.mix(nothing).collect()} == {(0.0, 0)}
+
+
+@pytest.mark.parametrize("cell_rows", [20_000, 30, 7])
+def test_samples_equal_a_plain_running_sum(documents, cell_rows):
+    """Per source: the copies of its rows, put in the order in which they were taken, are the
+    integers that the plain running sum from the source's offset crosses."""
+    rng = random.Random(cell_rows)
+    rows = [(None if i % 3 else i // 2, "w " * rng.choice([0, 3, 3, 3, 40]) + rng.choice("ab"), None, rng.choice(["s", "t", None]), i % 2)
+            for i in range(600)] + [(None, "the same row", "en", "s", 1)] * 300
+    got = S.mix(documents(rows), carry=["doc_id", "text", "lang", "source", "n_chars"], cell_rows=cell_rows).collect()
+    key = lambda r: tuple(map(str, (r[0], r[1], r[2], r[3], r[4])))
+    assert sorted(map(key, got)) == sorted(map(key, rows))
+    for source in ("s", "t", None):
+        mine = [r for r in got if r.source == source]
+        rate = mine[0].target / mine[0].source_size
+        total = sum(r.copies for r in mine)
+        assert abs(total - rate * len(mine)) <= 1 and {r.copies for r in mine} <= {int(rate), int(rate) + 1}
+        # neighbours in size make up for each other: so does any class of sizes as a whole
+        for size in {r.size for r in mine}:
+            some = [r.copies for r in mine if r.size == size]
+            assert abs(sum(some) - rate * len(some)) <= 1 + 1e-9
+    emitted = S.emit(documents(rows), cell_rows=cell_rows).collect()
+    assert collections.Counter(map(key, emitted)) == sum((collections.Counter({key(r): r.copies}) for r in got), collections.Counter())
+
+
+@pytest.mark.parametrize("cell_rows", [20_000, 7])
+def test_null_ids_repeats_and_ties_agree_between_partitionings(documents, cell_rows):
+    rows = [(None, f"a b {i % 50}", "en", "s", 0) for i in range(200)] + [(7, f"c d {i}", "en", "t", i) for i in range(100)]
+    runs = [sorted(map(str, S.emit(documents(rows, parts=p), cell_rows=cell_rows).collect())) for p in (1, 6)]
+    assert runs[0] == runs[1] and len(runs[0]) > 300
+
+
+def test_no_cell_grows_with_the_rows(documents):
+    """Null ids of one size spread over cells; equal rows are one row of the numbering."""
+    docs = documents([(None, f"a b {i}", "en", "s", 0) for i in range(1000)] + [(None, "x y z", "en", "s", 0)] * 1000)
+    hashes = docs.select(S.row_hash(docs, docs.columns, 1).alias("h")).collect()
+    cells = collections.Counter(r.h % 10 for r in set(hashes))
+    assert len(set(hashes)) == 1001 and max(cells.values()) < 200
