@@ -2,8 +2,9 @@
 
 Every document is measured and tried against rules, each with a loose and a strict limit. Failures
 of the strict limit are summed up by host, a host's rate is shrunk toward all hosts' with a beta
-prior fitted to the rates themselves (moments over the hosts), and a host whose shrunk rate for a
-rule is high is suspect for this rule. The verdict goes back to the documents: on a suspect host
+prior fitted to the rates themselves (moments over the hosts), and a host is suspect for a rule if its
+shrunk rate is high, or surely above the corpus rate: if ``SURE`` posterior standard deviations
+below it still are ``TIMES`` the rate of all documents. The verdict goes back to the documents: on a suspect host
 the rule's strict limit counts, elsewhere the loose one. Base rules count everywhere.
 
 Measures of a text, over words (runs of other than the six ASCII separators): n_words, word_chars
@@ -50,8 +51,9 @@ RULES = (
 )
 #: Base rules: fewest words, and most words in repeated windows (%).
 MIN_WORDS, MAX_REPEATS = 50, 50
-#: A host is suspect for a rule from this shrunk rate on.
-SUSPECT = 0.5
+#: A host is suspect for a rule from this shrunk rate on, or where its lower bound, so many posterior
+#: standard deviations below, is at so many times the corpus rate.
+SUSPECT, SURE, TIMES = 0.5, 2, 1.5
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 
@@ -93,7 +95,7 @@ def base_failed(min_words: int = MIN_WORDS, max_repeats: int = MAX_REPEATS) -> C
 
 def host_rates(rows: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """Per host: n and for each rule its shrunk failure rate (posterior mean under the beta prior
-    whose mean and strength match the hosts' rates)."""
+    whose mean and strength match the hosts' rates), its posterior variance and the corpus rate."""
     hosts = materialize(rows.groupBy("host").agg(F.count("*").alias("n"), *[
         F.sum(above(r, r.strict).cast("long")).alias(r.name) for r in rules]), "host-sums")
     fits = []
@@ -106,18 +108,30 @@ def host_rates(rows: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
         between = F.greatest(var - spread * noise, spread / 1e4)
         fits += [mean.alias(f"{r.name}_m"), F.greatest(spread / between - 1, F.lit(1.0)).alias(f"{r.name}_k")]
     prior = hosts.agg(*fits).select(F.struct("*")).scalar()  # one row
-    return hosts.withColumn("prior", prior).select("host", "n", *[
+    shrunk = hosts.withColumn("prior", prior).select("*", *[
         ((F.col(r.name) + F.col(f"prior.{r.name}_m") * F.col(f"prior.{r.name}_k")) / (
             F.col("n") + F.col(f"prior.{r.name}_k"))).alias(f"{r.name}_rate") for r in rules])
+    columns = []
+    for r in rules:
+        rate = F.col(f"{r.name}_rate")
+        variance = rate * (1 - rate) / (F.col("n") + F.col(f"prior.{r.name}_k") + 1)
+        columns += [rate, variance.alias(f"{r.name}_variance"), F.col(f"prior.{r.name}_m").alias(f"{r.name}_corpus")]
+    return shrunk.select("host", "n", *columns)
+
+
+def suspected(rule: Rule, suspect: float, sure: float, times: float) -> Column:
+    """Whether a host of host_rates is suspect for a rule."""
+    rate, corpus = F.col(f"{rule.name}_rate"), F.col(f"{rule.name}_corpus")
+    return (rate >= suspect) | ((corpus > 0) & (rate - sure * F.sqrt(F.col(f"{rule.name}_variance")) >= times * corpus))
 
 
 def judge(docs: DataFrame, carry: Sequence[str] = ("doc_id",), rules: Sequence[Rule] = RULES,
-          suspect: float = SUSPECT) -> DataFrame:
+          suspect: float = SUSPECT, sure: float = SURE, times: float = TIMES) -> DataFrame:
     """Columns ``carry`` of docs (doc_id, text, source), the measures, base_failed, kept."""
     rows = materialize(measured(docs, carry), "host-rules")
     hosts = materialize(host_rates(rows, rules).select(
         F.coalesce("host", F.lit("")).alias("name"), F.col("host").isNull().alias("nameless"), *[
-            (F.col(f"{r.name}_rate") >= suspect).alias(f"{r.name}_suspect") for r in rules]), "host-verdicts")
+            suspected(r, suspect, sure, times).alias(f"{r.name}_suspect") for r in rules]), "host-verdicts")
     joined = rows.join(hosts, (F.coalesce(rows["host"], F.lit("")) == hosts["name"]) & (
         rows["host"].isNull() == hosts["nameless"]))
     failed = base_failed()

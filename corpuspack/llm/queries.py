@@ -49,9 +49,10 @@ u AS (UNPIVOT h ON s, l, p INTO NAME rule VALUE k),
 prior AS (SELECT rule, sum(k) / sum(n) AS mean, greatest(sum(k) / sum(n) * (1 - sum(k) / sum(n)), 1e-6) AS spread,
     coalesce(var_samp(k / n), 0) AS var, avg(1 / n) AS noise FROM u GROUP BY rule),
 fit AS (SELECT rule, mean, greatest(spread / greatest(var - spread * noise, spread / 1e4) - 1, 1) AS k0 FROM prior),
-suspect AS (SELECT source, max(CASE WHEN rule = 's' THEN (k + mean * k0) / (n + k0) END) >= 0.5 AS s,
-    max(CASE WHEN rule = 'l' THEN (k + mean * k0) / (n + k0) END) >= 0.5 AS l,
-    max(CASE WHEN rule = 'p' THEN (k + mean * k0) / (n + k0) END) >= 0.5 AS p FROM u JOIN fit USING (rule) GROUP BY source)
+post AS (SELECT source, rule, n, mean, k0, (k + mean * k0) / (n + k0) AS rate FROM u JOIN fit USING (rule)),
+bad AS (SELECT source, rule, rate >= 0.5 OR (mean > 0 AND rate - 2 * sqrt(rate * (1 - rate) / (n + k0 + 1)) >= 1.5 * mean) AS b FROM post),
+suspect AS (SELECT source, bool_or(rule = 's' AND b) AS s, bool_or(rule = 'l' AND b) AS l, bool_or(rule = 'p' AND b) AS p
+    FROM bad GROUP BY source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR p1 AS base_failed,
     NOT (n_words < 50 OR p1 OR s1 OR l1 OR (s2 AND suspect.s) OR (l2 AND suspect.l) OR (p2 AND suspect.p)) AS kept
 FROM f JOIN suspect ON f.source IS NOT DISTINCT FROM suspect.source"""

@@ -63,3 +63,13 @@ def test_keep_returns_the_rows_as_they_are(documents, clashing):
     good = documents([(1, clean(1), "en", None, 3), (1, clean(1), "en", None, 3), (None, clean(2), None, "s", None), (4, "short", "en", "s", 5)])
     assert sorted(map(str, H.keep(good).collect())) == sorted(str(r) for r in good.collect() if r.text != "short")
     assert H.keep(clashing).columns == clashing.columns
+
+
+def test_a_host_surely_above_the_corpus_rate_is_suspect(documents):
+    """19 hosts at 5 % and one at three times that: far below one half, yet its strict limits count."""
+    rows = [(1000 * h + i, marked(i, 12) if i % 20 < (3 if h == 0 else 1) else clean(i), "en", f"h{h}", 0) for h in range(20) for i in range(300)]
+    rows += [(90_000, marked(1, 12), "en", "tiny", 0), (90_001, clean(1), "en", "tiny", 0)]  # one of two: too few to be sure
+    got = {r.doc_id: r.kept for r in H.judge(documents(rows)).collect()}
+    assert all(got[d] == (not (d < 1000 and d % 20 < 3)) for d in got)
+    rates = {r.host: r for r in H.host_rates(H.measured(documents(rows), ["doc_id"])).collect()}
+    assert rates["h0"].symbols_rate < 0.2 and abs(rates["h0"].symbols_corpus - 331 / 6002) < 1e-9
