@@ -19,6 +19,8 @@ from __future__ import annotations
 import hashlib
 import json
 from bisect import bisect_left
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,6 +30,9 @@ from corpuspack.operators import bundle as B
 from corpuspack.operators.deltalog import DeltaLog
 
 GAP = 1_000_000
+#: Files that a writing task is meant to hold at least: small parts share a task, as each task's result
+#: goes to the driver.
+TASK_FILES = 10_000
 _INDEX = "okey string, path string, is_file boolean, bytes long, lines long, chars long, md5 string"
 _MANIFEST = ("bundle string, part string, start string, first_key string, last_key string, files long, "
              "bytes long, lines long, chars long")
@@ -41,6 +46,19 @@ def _order(bundle: str | None, okey: str) -> tuple:
     return (bundle is not None, (bundle or "").encode(), okey.encode())
 
 
+@contextmanager
+def few_listing_tasks(spark: SparkSession) -> Iterator[None]:
+    """Folders are listed by as many tasks as the session shuffles with, not by a task each (up to 10,000),
+    whose results would all go to the driver."""
+    setting = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(min(int(before), int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
 class PartStore:
     """Bundles under ``folder``. ``files_per_part`` is the size that parts are meant to have."""
 
@@ -52,6 +70,11 @@ class PartStore:
 
     # ------------------------------------------------------------------ writing
 
+    def _tasks(self, parts: int) -> int:
+        """Tasks that write so many parts, each part by one of them."""
+        least = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        return max(1, min(parts, max(least, -(-parts * self.files_per_part // TASK_FILES))))
+
     def _write(self, blocks: DataFrame, starts: list[Row], chosen: list[int] | None) -> None:
         """Write the blocks of all ranges of ``starts(bundle, okey, part)``, or of the chosen ones."""
         names = F.from_json(F.lit(json.dumps([s["part"] for s in starts])), "array<string>")
@@ -66,14 +89,26 @@ class PartStore:
         both = F.array(F.struct(F.lit("index").alias("area"), F.col("entry").alias("value")),
                        F.struct(F.lit("text").alias("area"), text.alias("value")))
         rows = sized.select("bundle", "part", "okey", "_range", F.explode(both).alias("x")).select("x.*", "bundle", "part", "okey", "_range")
-        dealt = rows.repartitionById(len(starts), "_range") if chosen is None else rows.repartition(max(1, len(chosen)), "_range")
+        if chosen is None:
+            n = self._tasks(len(starts))
+            dealt = rows.repartitionById(n, F.floor(F.col("_range") * F.lit(n).cast("long") / len(starts)).cast("int"))
+        else:
+            dealt = rows.repartition(self._tasks(len(chosen)), "_range")
         (dealt.sortWithinPartitions("area", "bundle", "part", "okey").select("area", "bundle", "part", "value")
             .write.mode("overwrite").option("partitionOverwriteMode", "static" if chosen is None else "dynamic")
             .partitionBy("area", "bundle", "part").text(f"{self.folder}/data"))
 
+    def _load(self, area: str, kind: str, schema: str, **options: str) -> DataFrame:
+        """The files of an area; those of other areas are not listed."""
+        data = f"{self.folder}/data"
+        place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{data}/area={area}")
+        there = place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(place)  # not without a block
+        reader = self.spark.read.format(kind).schema(f"{schema}, area string, bundle string, part string").options(basePath=data, **options)
+        with few_listing_tasks(self.spark):
+            return reader.load(f"{data}/area={area}" if there else data).where(F.col("area") == area).drop("area")
+
     def _rows(self, area: str) -> DataFrame:
-        rows = self.spark.read.schema("value string, area string, bundle string, part string").option("lineSep", "\n")
-        return rows.text(f"{self.folder}/data").where(F.col("area") == area).drop("area")
+        return self._load(area, "text", "value string", lineSep="\n")
 
     def _entries(self) -> DataFrame:
         return self._rows("index").select("bundle", "part", F.from_json("value", _INDEX).alias("e")).select("bundle", "part", "e.*")

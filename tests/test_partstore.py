@@ -92,6 +92,25 @@ def test_a_change_in_ten_thousand_files_rewrites_one_part(spark, tmp_dir):
     assert spark.read.parquet(f"{store.folder}/manifest/delta/*").count() == 1  # the state grew by the change
 
 
+def test_tasks_do_not_grow_with_the_parts(spark, tmp_dir):
+    """Each task's result goes to the driver: parts and the folders they lie in have no task of their own."""
+    state = {f"b/d{i % 7}/f{i:05d}.txt": f"{i}\n" for i in range(1200)}
+    paths = [(p.split("/")[0], p) for p in state]
+    sc = spark.sparkContext
+    sc.setJobGroup(tmp_dir, "parts")
+    store = made(spark, tmp_dir, state)
+    blocks = store.read_blocks(spark.createDataFrame(paths, "bundle string, path string")).count()
+    state.update(dict.fromkeys(state, "other\n"))
+    written = store.update(frame(spark, state), spark.createDataFrame(paths, "bundle string, path string"), 0)
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    stages = {s for j in sc.statusTracker().getJobIdsForGroup(tmp_dir) for s in sc.statusTracker().getJobInfo(j).stageIds}
+    infos = [sc.statusTracker().getStageInfo(s) for s in stages]
+    assert blocks == 1200 and written == store.parts().count() > 90
+    assert max(i.numTasks for i in infos if i) <= 32
+    assert texts(store) == packed(frame(spark, state))
+    assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == "10000"
+
+
 def test_random_changes_equal_a_build(spark, tmp_dir):
     rng = random.Random(8)
     state = dict(list(STATE.items())[:80])
