@@ -269,9 +269,8 @@ class PartStore:
         """``(bundle, path, block)`` of the wanted ``(bundle, path)``, cut out of their parts' files."""
         want = wanted.select(F.col("bundle").alias("_b"), F.col("path").alias("_w")).distinct()
         found = self.index().join(want, F.col("bundle").eqNullSafe(F.col("_b")) & (F.col("path") == F.col("_w"))).drop("_b", "_w")
-        raw = self.spark.read.format("binaryFile").schema(
-            "path string, modificationTime timestamp, length long, content binary, area string, bundle string, part string").load(f"{self.folder}/data")
-        raw = raw.where("area = 'text'").select(F.col("bundle").alias("_b"), F.col("part").alias("_p"), "content")
+        raw = self._load("text", "binaryFile", "path string, modificationTime timestamp, length long, content binary")
+        raw = raw.select(F.col("bundle").alias("_b"), F.col("part").alias("_p"), "content")
         located = found.join(raw, F.col("bundle").eqNullSafe(F.col("_b")) & (F.col("part") == F.col("_p")))
         block = F.decode(F.substring("content", (F.col("offset") + 1).cast("int"), F.col("bytes").cast("int")), "UTF-8")
         return located.select("bundle", "path", block.alias("block"))
