@@ -149,3 +149,65 @@ def test_blocks_of_a_place_are_bounded(monkeypatch):
     for p in np.unique(place):
         met[np.ix_(of[place == p], of[place == p])] = True
     assert met.all()
+
+
+def test_distances_of_many_texts():
+    rng = random.Random(11)
+    a = ["".join(rng.choice("abé ÿ€") for _ in range(rng.choice((0, 1, 9, 40, 90)))) for _ in range(500)]
+    b = [changed(rng, x, rng.randint(0, 30), "ab€") for x in a]
+    edits = np.array([rng.randint(0, 64) for _ in a])
+    expected = [min(plain_distance(x, y), t + 1) for x, y, t in zip(a, b, edits.tolist())]
+    assert L.edit_distance(a, b, edits).tolist() == expected
+    assert [L.distance(x, y, t) for x, y, t in zip(a, b, edits.tolist())] == expected
+
+
+def test_linked_lines_share_a_chosen_gram():
+    """With the fewest characters in common that t edits can leave, whatever the order of grams."""
+    rng = random.Random(5)
+    for n in (20, 38, 39, 40, 59, 60, 100, 199, 200, 380, 410):
+        for seed in range(20):
+            a = "".join(rng.choice("abcdefgh") for _ in range(n))
+            b = spread_edits(rng, a, n // 20, "abcdefgh")
+            if plain_distance(a, b) > max(len(a), len(b)) // 20:
+                continue
+            both = []
+            for text in (a, b):
+                lines = L.Lines([text])
+                gram = lines.grams(9)
+                order = (L.common.mix(gram + np.uint64(seed)) >> np.uint64(34)).astype(np.uint32) + np.uint32(1)
+                at, _ = L.chosen_grams(lines, np.arange(1), order, 9, None, 20)
+                both.append(set(gram[at].tolist()))
+            assert both[0] & both[1], (a, b)
+
+
+def test_a_shared_gram_alone_is_no_candidate():
+    """Lines of one length with one gram in common at one place, and nothing beside it."""
+    rng = random.Random(2)
+    lines = L.Lines(["".join(rng.choice("abcdefgh") for _ in range(50)) + "QRSTUVWXY" + "".join(rng.choice("abcdefgh") for _ in range(50))
+                     for _ in range(200)])
+    at, n = lines.start + 50, np.zeros(200)
+    fields = [n, np.arange(200), n + 109, n + 50, n, L.around(lines, at, 9)]
+    data = b"".join(x.astype(kind).tobytes() for x, (_, kind) in zip(fields, L.FIELDS))
+    assert sum(p.shape[1] for p in L.pairs_within([data], 1 << 62, None, 20)) < 0.1 * 200 * 199 / 2
+
+
+@pytest.mark.parametrize("bands", [1, 6])
+def test_bands_lose_no_link(documents, monkeypatch, bands):
+    rng, lines = random.Random(bands), []
+    for n in range(20, 420, 8):
+        base = "".join(rng.choice("abcdefgh éß") for _ in range(n))
+        lines += [base, *(spread_edits(rng, base, n // 20 + more, "abcdefgh éß") for more in (0, 1))]
+    rows = [(i // 3, x) for i, x in enumerate(lines)]
+    rows = [(i, "\n".join(x for j, x in rows if j == i)) for i in range(len(lines) // 3)]
+    monkeypatch.setattr(L, "BANDS", bands)
+    got = L.line_classes(documents(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.line): (r.class_doc, r.class_line, r.copies, r.n_links, r.kept) for r in got} == plain_classes(rows, 10**9, 20)
+
+
+def test_shuffled_files_go_with_each_written_table(documents, monkeypatch):
+    seen, write = [], L.materialize
+    monkeypatch.setattr(L, "materialize", lambda df, name: (seen.append(df.sparkSession.conf.get(L.CLEANED)), write(df, name))[1])
+    docs = documents([(1, "one line of text in a document\nand another one")], "doc_id long, text string")
+    before = docs.sparkSession.conf.get(L.CLEANED, None)
+    assert L.line_classes(docs).count() == 2 and set(seen) == {"true"}
+    assert docs.sparkSession.conf.get(L.CLEANED, None) == before
