@@ -211,3 +211,59 @@ def test_shuffled_files_go_with_each_written_table(documents, monkeypatch):
     before = docs.sparkSession.conf.get(L.CLEANED, None)
     assert L.line_classes(docs).count() == 2 and set(seen) == {"true"}
     assert docs.sparkSession.conf.get(L.CLEANED, None) == before
+
+
+def test_a_stretch_in_common_gives_a_pair_once():
+    """Not once for each of its grams."""
+    rng = random.Random(4)
+    base = "".join(rng.choice("abcdefgh") for _ in range(800))
+    lines = L.Lines([base, spread_edits(rng, base, 3, "abcdefgh")])
+    gram, size = lines.grams(9), lines.end - lines.start
+    order = (L.common.mix(gram) >> np.uint64(34)).astype(np.uint32) + np.uint32(1)
+    at, line = L.chosen_grams(lines, np.arange(2), order, 9, None, 20)
+    first, last, line, gram, near_by = L.held_rows(lines, at, line, gram[at], 9)
+    fields = [gram & np.uint64((1 << 32) - 1), line, size[line], first - lines.start[line], last - first, near_by]
+    data = b"".join(x.astype(kind).tobytes() for x, (_, kind) in zip(fields, L.FIELDS, strict=True))
+    shared = len(set(gram[line == 0].tolist()) & set(gram[line == 1].tolist()))
+    pairs = np.concatenate([*L.pairs_within([data], 1 << 62, None, 20)], axis=1)
+    assert shared > 60 and 1 <= pairs.shape[1] <= 8 and {tuple(p) for p in pairs.T.tolist()} == {(0, 1)}
+
+
+def test_a_repeated_gram_hides_no_pair():
+    """Rows of a gram that a line has several times tell nothing of what is before it."""
+    lines = L.Lines(["abcdefghi" + "x" * 30 + "abcdefghi" + "y" * 30])
+    at = lines.start[0] + np.array([0, 39, 48])
+    first, last, _, gram, near_by = L.held_rows(lines, at, np.zeros(3, np.int64), lines.grams(9)[at], 9)
+    told = dict(zip((first - lines.start[0]).tolist(), zip((last - first).tolist(), (near_by >> np.uint64(32)).tolist())))
+    assert told[0] == (39, 0) and told[48][0] == 0 and told[48][1] > 0 and len(set(gram.tolist())) == 2
+
+
+def test_lines_with_one_id_are_told_apart(documents, monkeypatch):
+    rng, lines = random.Random(8), []
+    for n in range(20, 300, 12):
+        base = "".join(rng.choice("abcdefgh éß") for _ in range(n))
+        lines += [base, *(spread_edits(rng, base, n // 20 + more, "abcdefgh éß") for more in (0, 1))]
+    rows = list(enumerate(lines))
+    monkeypatch.setattr(L, "ID_BITS", 3)
+    got = L.line_classes(documents(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.line): (r.class_doc, r.class_line, r.copies, r.n_links, r.kept) for r in got} == plain_classes(rows, 10**9, 20)
+
+
+@pytest.mark.parametrize("letters", ["ab", "abcé ", "aÿ€", "ab\U0001F600", "".join(map(chr, range(0x4E00, 0x4E00 + 400)))])
+def test_distances_by_many_letters_and_edits(letters):
+    rng = random.Random(len(letters))
+    a = ["".join(rng.choice(letters) for _ in range(rng.choice((0, 1, 9, 63, 64, 65, 130, 200)))) for _ in range(200)]
+    b = [changed(rng, x, rng.choice((0, 3, 20, 80)), letters) for x in a]
+    edits = np.array([rng.choice((0, 3, 4, 10, 62, 63, 100, 300)) for _ in a])
+    expected = [min(plain_distance(x, y), t + 1) for x, y, t in zip(a, b, edits.tolist())]
+    assert L.edit_distance(a, b, edits).tolist() == expected
+
+
+def test_texts_of_one_doc_id(documents):
+    """The same rows again under one id and under none: their lines are verified once."""
+    rng = random.Random(9)
+    base = "".join(rng.choice("abcdefgh") for _ in range(200))
+    near = spread_edits(rng, base, 6, "abcdefgh")
+    rows = [(d, t) for d in (None, 7) for t in (base, base + "\n" + near, near, base)]
+    got = L.line_classes(documents(rows, "doc_id long, text string")).collect()
+    assert len(got) == 10 and {(r.copies, r.n_links) for r in got} == {(6, 1), (4, 1)}
